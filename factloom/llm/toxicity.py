@@ -59,6 +59,18 @@ def forward_backward(e: np.ndarray, starts: np.ndarray, lengths: np.ndarray, a:
     return f * back / (f * back + 1 - f), back
 
 
+class Types(dict):
+    """Types of tokens, found when a token is first seen."""
+
+    def __init__(self, model: Model):
+        super().__init__()
+        self.model = model
+
+    def __missing__(self, token: str) -> int:
+        found = self[token] = self.model.type_of(token)
+        return found
+
+
 class Model:
     """Weights of the field and of the document score."""
 
@@ -67,9 +79,13 @@ class Model:
         self.w = np.zeros((3, len(names) + 1))
         self.bias, self.a = -4.0, np.zeros((2, 2))
         self.out = np.array([math.log((share + 1e-6) / (1 - share + 1e-6)), 0.0, 0.0, 0.0])
-        self.types: dict[str, int] = {}
+        self.types = Types(self)
         self.table = [(0,) * (1 + len(BEGINNINGS))]
 
+    def forget(self) -> None:
+        self.types.clear()
+        del self.table[1:]
+
     def type_of(self, token: str) -> int:
         """Tokens without a chosen feature are all of type 0."""
         known = [self.names[f] for f in features(token) if f in self.names]
@@ -79,15 +95,7 @@ class Model:
         return len(self.table) - 1
 
     def ids(self, tokens: list[str]) -> np.ndarray:
-        out = np.empty(len(tokens), np.int32)
-        types = self.types
-        if len(types) > 400_000:
-            types.clear()
-            del self.table[1:]
-        for t in set(tokens) - types.keys():
-            types[t] = self.type_of(t)
-        out[:] = np.fromiter(map(types.__getitem__, tokens), np.int32, len(tokens))
-        return out
+        return np.fromiter(map(self.types.__getitem__, tokens), np.int32, len(tokens))
 
     def emissions(self, ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         w = self.w[:, np.array(self.table)].sum(axis=2)
@@ -197,6 +205,7 @@ def fit(rows: list[tuple[str, int]], share: float) -> Model:
         grad = z.T @ (weight * (t - p)) - 0.1 * np.r_[0, model.out[1:]]
         hess = (z * (weight * p * (1 - p))[:, None]).T @ z + np.diag([1e-3, 0.1, 0.1, 0.1])
         model.out = model.out + np.clip(np.linalg.solve(hess, grad), -2, 2)
+    model.forget()
     return model
 
 
@@ -235,6 +244,8 @@ def scorer(model: Model, text_at: int) -> Callable[[pa.RecordBatch], tuple[list[
                 # lower() may change a text's length; offsets are those of the text itself where it does not.
                 spans.append(",".join(f"{m.start()}:{m.end()}" for k, m in enumerate(TOKEN.finditer(t)) if k in hot) if hot else "")
             held.clear()
+            if len(model.types) > 400_000:
+                model.forget()
 
         total = 0
         for t in batch.column(text_at):
@@ -242,7 +253,7 @@ def scorer(model: Model, text_at: int) -> Callable[[pa.RecordBatch], tuple[list[
             x = model.ids(TOKEN.findall(t))
             held.append((t, x))
             total += len(x)
-            if total >= TOKENS or len(model.types) > 350_000:
+            if total >= TOKENS or len(model.types) > 400_000:
                 flush()
                 total = 0
         flush()
