@@ -15,16 +15,21 @@ SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the cluster's shared checkpoint folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder of this session, which all executors share.
 
-    The folder is the one that ``spark.checkpoint.dir`` names; only where that is unset (tests on one
-    machine) is a temporary one made.
+    It is the one that ``spark.checkpoint.dir`` names; only where that is unset (tests on one machine) is a
+    temporary one made.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage through the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

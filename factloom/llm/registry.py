@@ -5,7 +5,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("simhash", "exact_dedup", "chat", "html_text", "mixing", "decontamination", "toxicity")
+MODULES = ("simhash", "pii", "chat", "exact_dedup", "substring_dedup", "html_text", "mixing", "decontamination", "toxicity")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
