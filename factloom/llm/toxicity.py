@@ -27,7 +27,7 @@ MOST = 1500
 CUE = 25.0
 FEATURES = 4000
 CHUNK = 128
-TOKENS = 2_000_000
+TOKENS = 400_000
 TOKEN = re.compile(r"[^\W\d_]+")
 BEGINNINGS = (4, 5, 6)
 
@@ -230,7 +230,7 @@ def hash_of(id) -> int:
 
 
 def scorer(model: Model, text_at: int) -> Callable[[pa.RecordBatch], tuple[list[float], list[str]]]:
-    """Scores and spans (start:end of toxic tokens, code points) of a batch, some two million tokens at a time."""
+    """Scores and spans (start:end of toxic tokens, code points) of a batch, some 400,000 tokens at a time."""
 
     def of(batch: pa.RecordBatch) -> tuple[list[float], list[str]]:
         scores: list[float] = []
@@ -244,7 +244,7 @@ def scorer(model: Model, text_at: int) -> Callable[[pa.RecordBatch], tuple[list[
                 # lower() may change a text's length; offsets are those of the text itself where it does not.
                 spans.append(",".join(f"{m.start()}:{m.end()}" for k, m in enumerate(TOKEN.finditer(t)) if k in hot) if hot else "")
             held.clear()
-            if len(model.types) > 400_000:
+            if len(model.types) > 100_000:
                 model.forget()
 
         total = 0
@@ -253,7 +253,7 @@ def scorer(model: Model, text_at: int) -> Callable[[pa.RecordBatch], tuple[list[
             x = model.ids(TOKEN.findall(t))
             held.append((t, x))
             total += len(x)
-            if total >= TOKENS or len(model.types) > 400_000:
+            if total >= TOKENS or len(model.types) > 100_000:
                 flush()
                 total = 0
         flush()
