@@ -131,14 +131,25 @@ def repeats(segments: list[bytes], docs: np.ndarray, starts: np.ndarray, window:
     return masks
 
 
-def window_marks(words: list[bytes], hashes: Hashes, window: int = WINDOW, gram: int = GRAM) -> np.ndarray:
-    """For each window the smallest hash of its grams."""
-    h = rolled(hashes.of(words), gram)
-    span, width = window - gram + 1, 1
+def sliding(best, x: np.ndarray, span: int) -> np.ndarray:
+    """``best`` (minimum or maximum) of every ``span`` consecutive elements."""
+    width, out = 1, x
     while width * 2 <= span:
-        h = np.minimum(h[:-width], h[width:])
+        out = best(out[:-width], out[width:])
         width *= 2
-    return np.minimum(h[: len(h) - (span - width)], h[span - width :])
+    return best(out[: len(out) - (span - width)], out[span - width :])
+
+
+def window_marks(words: list[bytes], hashes: Hashes, window: int = WINDOW, gram: int = GRAM) -> np.ndarray:
+    """For each window the smallest hash of its grams."""
+    return sliding(np.minimum, rolled(hashes.of(words), gram), window - gram + 1)
+
+
+def anchors(words: list[bytes], hashes: Hashes, window: int = WINDOW, gram: int = GRAM) -> np.ndarray:
+    """The gram hashes that are some window's mark, once for each place: equal windows at two places give two."""
+    h, span = rolled(hashes.of(words), gram), window - gram + 1
+    none = np.zeros(span - 1, np.uint64)
+    return h[sliding(np.maximum, np.concatenate([none, sliding(np.minimum, h, span), none]), span) == h]
 
 
 class Filter:
@@ -201,8 +212,7 @@ def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int =
             for t in batch.column(0).cast(pa.binary()):
                 words = t.as_py().split()
                 if len(words) >= window:
-                    m = window_marks(words, hashes, window)
-                    out.append(m[runs(m)[0]])
+                    out.append(anchors(words, hashes, window))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64))], ["mark"])
 
     counts = base.select("_t").mapInArrow(marks, "mark long").groupBy("mark").agg(F.count("*").alias("n")).where("n > 1")
