@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Hashes, rolled, table, text_of
+from .common import rolled, scan_words, table, text_of
 
 WINDOW = 20
 GRAM = 6
@@ -140,22 +141,76 @@ def sliding(best, x: np.ndarray, span: int) -> np.ndarray:
     return best(out[: len(out) - (span - width)], out[span - width :])
 
 
-def window_marks(words: list[bytes], hashes: Hashes, window: int = WINDOW, gram: int = GRAM) -> np.ndarray:
-    """For each window the smallest hash of its grams."""
-    return sliding(np.minimum, rolled(hashes.of(words), gram), window - gram + 1)
+class Windows:
+    """All windows of the texts of an Arrow binary array, and for each its mark: the smallest hash of its grams."""
+
+    def __init__(self, texts, window: int = WINDOW, gram: int = GRAM):
+        self.window, self.span = window, window - gram + 1
+        self.hashes, self.starts, self.ends, self.row, self.bytes = scan_words(texts)
+        self.grams = rolled(self.hashes, gram)
+        n = max(0, len(self.hashes) - window + 1)
+        #: Places where a window lies in one text.
+        self.at = np.flatnonzero(self.row[:n] == self.row[window - 1 :]) if n else np.empty(0, np.int64)
+        self.marks = sliding(np.minimum, self.grams, self.span) if n else np.empty(0, np.uint64)
+        #: The number of words in the text before each word.
+        self.place = np.arange(len(self.row)) - np.searchsorted(self.row, self.row)
+
+    def anchors(self) -> np.ndarray:
+        """The gram hashes that are some window's mark, once for each place: equal windows at two places give two."""
+        if not len(self.at):
+            return np.empty(0, np.uint64)
+        held = np.zeros(len(self.marks) + 2 * (self.span - 1), np.uint64)
+        held[self.at + self.span - 1] = self.marks[self.at]
+        return self.grams[sliding(np.maximum, held, self.span) == self.grams]
+
+    def segments(self, kept: Filter) -> Iterator[tuple[int, int, int, int, bytes]]:
+        """(shard key, row, first window's place, windows, text) of what the filter lets through.
+
+        A segment is a run of windows of one text with one mark, of PIECE windows at most; of a very
+        common mark each window is a segment, its key its own hash.
+        """
+        at, marks = self.at, self.marks[self.at]
+        new = np.ones(len(at), bool)
+        new[1:] = (marks[1:] != marks[:-1]) | (at[1:] != at[:-1] + 1)
+        first = np.flatnonzero(new)
+        since = np.arange(len(at)) - np.repeat(first, np.diff(np.r_[first, len(at)]))
+        start = np.flatnonzero(since % PIECE == 0)
+        count = np.diff(np.r_[start, len(at)])
+        some = kept.has(marks[start])
+        if kept.common.size:
+            common = np.isin(marks[start], kept.common)
+            yield from self._cut(at[start[some & ~common]], count[some & ~common], marks[start[some & ~common]])
+            n = count[some & common]
+            single = np.repeat(at[start[some & common]], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            yield from self._cut(single, np.ones(len(single), np.int64), rolled(self.hashes, self.window)[single])
+        else:
+            yield from self._cut(at[start[some]], count[some], marks[start[some]])
 
+    def _cut(self, at: np.ndarray, count: np.ndarray, keys: np.ndarray) -> Iterator[tuple[int, int, int, int, bytes]]:
+        a, b = self.starts[at], self.ends[at + count + self.window - 2]
+        for key, row, place, n, x, y in zip(keys.tolist(), self.row[at].tolist(), self.place[at].tolist(), count.tolist(), a.tolist(), b.tolist(), strict=True):
+            yield key, row, place, n, self.bytes[x:y].tobytes()
 
-def anchors(words: list[bytes], hashes: Hashes, window: int = WINDOW, gram: int = GRAM) -> np.ndarray:
-    """The gram hashes that are some window's mark, once for each place: equal windows at two places give two."""
-    h, span = rolled(hashes.of(words), gram), window - gram + 1
-    none = np.zeros(span - 1, np.uint64)
-    return h[sliding(np.maximum, np.concatenate([none, sliding(np.minimum, h, span), none]), span) == h]
+
+def sliding(best, x: np.ndarray, span: int) -> np.ndarray:
+    """``best`` (minimum or maximum) of every ``span`` consecutive elements."""
+    width, out = 1, x
+    while width * 2 <= span:
+        out = best(out[:-width], out[width:])
+        width *= 2
+    return best(out[: len(out) - (span - width)], out[span - width :])
+
+
+def slices(batch: pa.RecordBatch, rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch, so that what is made from it stays small."""
+    for k in range(0, batch.num_rows, rows):
+        yield batch.slice(k, rows)
 
 
 class Filter:
     """The marks that come twice (never a miss), and those that are very common."""
 
-    def __init__(self, bits: np.ndarray, common: set[int]):
+    def __init__(self, bits: np.ndarray, common: np.ndarray):
         self.bits, self.common = bits, common
 
     def has(self, marks: np.ndarray) -> np.ndarray:
@@ -167,29 +222,6 @@ def places(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (marks & low).astype(np.int64), ((marks >> np.uint64(BLOOM_BITS)) & low).astype(np.int64)
 
 
-def runs(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and length of each run of windows with one mark, at most PIECE long."""
-    new = np.r_[True, marks[1:] != marks[:-1]]
-    first = np.flatnonzero(new)
-    since = np.arange(len(marks)) - np.repeat(first, np.diff(np.r_[first, len(marks)]))
-    start = np.flatnonzero(since % PIECE == 0)
-    return start, np.diff(np.r_[start, len(marks)])
-
-
-def segments(words: list[bytes], hashes: Hashes, kept: Filter, window: int) -> Iterator[tuple[int, int, bytes]]:
-    """(shard key, start, text) of what the filter lets through."""
-    marks = window_marks(words, hashes, window)
-    start, length = runs(marks)
-    some = kept.has(marks[start])
-    for m, s, n in zip(marks[start][some].tolist(), start[some].tolist(), length[some].tolist(), strict=True):
-        if m in kept.common:
-            for k in range(s, s + n):
-                text = b" ".join(words[k : k + window])
-                yield xxhash.xxh3_64_intdigest(text), k, text
-        else:
-            yield m, s, b" ".join(words[s : s + n + window - 1])
-
-
 def signed(x: list[int]) -> pa.Array:
     return pa.array(np.array(x, np.uint64).view(np.int64))
 
@@ -206,14 +238,10 @@ def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int =
     base = docs.select(F.coalesce(F.col(id).cast("long"), F.lit(2**63 - 1)).alias("_o"), F.xxhash64(text_of(text)).alias("_h"), text_of(text).alias("_t"))
 
     def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
         for batch in batches:
-            out = [np.empty(0, np.uint64)]
-            for t in batch.column(0).cast(pa.binary()):
-                words = t.as_py().split()
-                if len(words) >= window:
-                    out.append(anchors(words, hashes, window))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64))], ["mark"])
+            for part in slices(batch):
+                found = Windows(part.column(0).cast(pa.binary()), window).anchors()
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], ["mark"])
 
     counts = base.select("_t").mapInArrow(marks, "mark long").groupBy("mark").agg(F.count("*").alias("n")).where("n > 1")
     at = F.explode(F.array(F.col("mark").bitwiseAND((1 << BLOOM_BITS) - 1), F.shiftrightunsigned("mark", BLOOM_BITS).bitwiseAND((1 << BLOOM_BITS) - 1)))
@@ -222,28 +250,21 @@ def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int =
     found = cells.toArrow()  # one row for each 64-bit cell of the filter at most
     bits = np.zeros(1 << (BLOOM_BITS - 6), np.uint64)
     bits[found["cell"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
-    common: set[int] = set()
+    common: list[int] = []
     if found["most"].null_count < len(found):
         total = counts.agg(F.sum("n")).first()[0]
-        common = {r[0] % 2**64 for r in counts.where(F.col("n") > max(COMMON, total // 2000)).select("mark").collect()}
-    sent = spark.sparkContext.broadcast(Filter(bits, common))
+        common = [r[0] for r in counts.where(F.col("n") > max(COMMON, total // 2000)).select("mark").collect()]  # 2000 at most
+    sent = spark.sparkContext.broadcast(Filter(bits, np.array(common, np.int64).view(np.uint64)))
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
         for batch in batches:
-            rows: list[tuple] = []
-            for o, t in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
-                words = t.as_py().split()
-                if len(words) >= window:
-                    own: dict[bytes, list] = {}
-                    for key, start, segment in segments(words, hashes, sent.value, window):
-                        seen = own.setdefault(segment, [key, start, 0])
-                        seen[2] += 1
-                    rows += [(key, segment, o, start, n) for segment, (key, start, n) in own.items()]
-                if len(rows) > 20_000:
-                    yield segment_batch(rows)
-                    rows = []
-            yield segment_batch(rows)
+            for part in slices(batch):
+                ids = part.column(0).to_pylist()
+                own: dict[tuple[int, bytes], list] = {}
+                for key, row, place, _, segment in Windows(part.column(1).cast(pa.binary()), window).segments(sent.value):
+                    seen = own.setdefault((row, segment), [key, place, 0])
+                    seen[1], seen[2] = min(seen[1], place), seen[2] + 1
+                yield segment_batch([(key, segment, ids[row], place, n) for (row, segment), (key, place, n) in own.items()])
 
     def segment_batch(rows: list[tuple]) -> pa.RecordBatch:
         key, segment, o, start, n = zip(*rows, strict=True) if rows else ([],) * 5
@@ -278,17 +299,11 @@ def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int =
     judged = distinct.repartition("key").sortWithinPartitions("key").mapInArrow(search, "digest binary, first_o long, first_start long, mask long")
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
         for batch in batches:
-            rows: list[tuple] = []
-            for o, h, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()), strict=True):
-                words = t.as_py().split()
-                if len(words) >= window:
-                    rows += [(xxhash.xxh3_128_digest(x), o, h, s, x.count(b" ") + 2 - window) for _, s, x in segments(words, hashes, sent.value, window)]
-                if len(rows) > 50_000:
-                    yield member_batch(rows)
-                    rows = []
-            yield member_batch(rows)
+            for part in slices(batch):
+                ids, hs = part.column(0).to_pylist(), part.column(1).to_pylist()
+                found = Windows(part.column(2).cast(pa.binary()), window).segments(sent.value)
+                yield member_batch([(xxhash.xxh3_128_digest(x), ids[row], hs[row], place, n) for _, row, place, n, x in found])
 
     def member_batch(rows: list[tuple]) -> pa.RecordBatch:
         cols = zip(*rows, strict=True) if rows else ([],) * 5
@@ -302,23 +317,23 @@ def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int =
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts, removed, kept = [], [], []
-            for t, starts, masks in zip(batch.column(1).cast(pa.binary()), batch.column(2), batch.column(3), strict=True):
-                words = t.as_py().split()
-                counts.append(len(words))
-                if starts.is_valid:
-                    gone = np.zeros(len(words) + 1, np.int64)
-                    for s, m in zip(starts.as_py(), masks.as_py(), strict=True):
-                        k = np.flatnonzero((m >> np.arange(PIECE)) & 1) + s
-                        gone[k] += 1
-                        gone[k + window] -= 1
-                    keep = np.cumsum(gone[:-1]) == 0
-                    words = [words[k] for k in np.flatnonzero(keep)]
-                removed.append(counts[-1] - len(words))
-                kept.append(b" ".join(words))
-            texts = pa.array(kept, pa.binary()).cast(pa.string())
-            shas = pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), shas, texts], ["_o", "n_words", "n_removed", "kept_sha256", "kept"])
+            for part in slices(batch):
+                counts, removed, kept = [], [], []
+                for t, starts, masks in zip(part.column(1).cast(pa.binary()), part.column(2), part.column(3), strict=True):
+                    words = t.as_py().split()
+                    counts.append(len(words))
+                    if starts.is_valid:
+                        s, m = starts.values.to_numpy(), masks.values.to_numpy()
+                        k, j = np.nonzero((m[:, None] >> np.arange(PIECE)) & 1)
+                        gone = np.zeros(len(words) + 1, np.int64)
+                        np.add.at(gone, s[k] + j, 1)
+                        np.add.at(gone, s[k] + j + window, -1)
+                        words = list(compress(words, (np.cumsum(gone[:-1]) == 0).tolist()))
+                    removed.append(counts[-1] - len(words))
+                    kept.append(b" ".join(words))
+                texts = pa.array(kept, pa.binary()).cast(pa.string())
+                shas = pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), shas, texts], ["_o", "n_words", "n_removed", "kept_sha256", "kept"])
 
     both = base.join(by_doc.hint("merge"), ["_o", "_h"], "left").select("_o", "_t", "starts", "masks")
     out = both.mapInArrow(cut, "_o long, n_words long, n_removed long, kept_sha256 string, kept string")
