@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import rolled, scan_words, table, text_of
+from .common import checkpointed, rolled, scan_words, table, text_of
 
 WINDOW = 20
 GRAM = 6
@@ -243,7 +243,7 @@ def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int =
                 found = Windows(part.column(0).cast(pa.binary()), window).anchors()
                 yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], ["mark"])
 
-    counts = base.select("_t").mapInArrow(marks, "mark long").groupBy("mark").agg(F.count("*").alias("n")).where("n > 1")
+    counts = checkpointed(base.select("_t").mapInArrow(marks, "mark long").groupBy("mark").agg(F.count("*").alias("n")).where("n > 1"))
     at = F.explode(F.array(F.col("mark").bitwiseAND((1 << BLOOM_BITS) - 1), F.shiftrightunsigned("mark", BLOOM_BITS).bitwiseAND((1 << BLOOM_BITS) - 1)))
     cells = counts.select("mark", "n", at.alias("at")).groupBy(F.shiftright("at", 6).alias("cell"))
     cells = cells.agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 AS int))")).alias("bits"), F.max(F.when(F.col("n") > COMMON, F.col("n"))).alias("most"))
