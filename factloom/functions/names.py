@@ -76,7 +76,7 @@ def role_from_name(c: Column) -> Column:
 
 def variants(name: Column, scope: Column | None = None) -> Column:
     """All spellings of a hierarchical name: with / and with ., with and without its scope."""
-    strip = lambda c: F.trim(F.lit("/"), F.trim(decoded(c)))
+    strip = lambda c: F.trim(F.trim(decoded(c)), F.lit("/"))
     raw = strip(name)
     out = F.array(raw, F.translate(raw, ".", "/"))
     if scope is not None:

@@ -254,14 +254,15 @@ def port_conflicts(f: Facts) -> DataFrame:
     only_order = F.col("all_bits") & F.col("orders") & ~F.col("sets") & ~F.col("outer")
     role_code = F.when(F.array_contains("roles", "power") & F.array_contains("roles", "ground"), "OC4203").when(F.arrays_overlap("roles", F.array(F.lit("clock"), F.lit("reset"))), "OC4204").otherwise("OC4201")
     shape_code = F.when(only_order, F.when(F.col("order_known"), "OC4102")).otherwise("OC4103")
+    row = lambda code, property, pieces: F.struct(code.alias("code"), property.alias("property"), F.col(pieces).alias("evidence"))
     rows = F.filter(
         F.array(
-            F.struct(F.when(F.col("d"), "OC4001").alias("code"), F.lit("direction").alias("property"), F.col("d_e").alias("evidence")),
-            F.struct(F.when(F.col("r"), role_code), F.lit("role"), F.col("r_e")),
-            F.struct(F.when(F.col("w"), "OC4101"), F.lit("shape.width"), F.col("w_e")),
-            F.struct(F.when(~F.col("w") & F.col("s") & F.lit(not f.policy.scalar_vector_equivalent), "OC4106"), F.lit("shape.scalar"), F.col("s_e")),
-            F.struct(F.when(~F.col("w") & F.col("x"), shape_code), F.when(only_order, "shape.index_order").otherwise("shape.dimensions"), F.col("x_e")),
-        ).cast(f"array<struct<code:string,property:string,evidence:{EVIDENCE}>>"),
+            row(F.when(F.col("d"), "OC4001"), F.lit("direction"), "d_e"),
+            row(F.when(F.col("r"), role_code), F.lit("role"), "r_e"),
+            row(F.when(F.col("w"), "OC4101"), F.lit("shape.width"), "w_e"),
+            row(F.when(~F.col("w") & F.col("s") & F.lit(not f.policy.scalar_vector_equivalent), "OC4106"), F.lit("shape.scalar"), "s_e"),
+            row(F.when(~F.col("w") & F.col("x"), shape_code), F.when(only_order, "shape.index_order").otherwise("shape.dimensions"), "x_e"),
+        ),
         lambda x: x["code"].isNotNull(),
     )
     r = g.select(*key, F.explode(rows).alias("x")).select(*key, "x.*")
