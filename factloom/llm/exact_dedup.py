@@ -50,10 +50,10 @@ def keep_first_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", d
     _, classes, collided = _classes(docs, id, text, digest)
     keys = ["_hash", "_norm"] if collided else ["_hash"]
     right = classes.select(key_of("keep_id").alias("_key"), *keys)
-    left = docs.withColumn("_key", key_of(id)).withColumn("_norm", normalised(text)).withColumn("_hash", digest("_norm"))
+    left = docs.select(F.struct("*").alias("_row"), key_of(id).alias("_key"), normalised(text).alias("_norm")).withColumn("_hash", digest("_norm"))
     left = left if collided else left.drop("_norm")
     found = left.join(right.hint("merge"), ["_key", *keys], "left_semi")
-    return found.dropDuplicates(["_key", *keys]).select(*docs.columns)
+    return found.dropDuplicates(["_key", *keys]).select("_row.*")
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

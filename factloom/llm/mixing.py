@@ -23,11 +23,14 @@ REPEATS = 2
 BUCKET_BITS = 12
 
 
-def targets(sizes: dict[str | None, int], weights: tuple = WEIGHTS, share: float = SHARE, repeats: int = REPEATS) -> dict[str | None, float]:
-    """By source its words in the mix: weights in code point order (null last), capped, the excess shared again."""
+def targets(sizes: dict[str | None, int], weights: tuple = WEIGHTS, share: float = SHARE, repeats: int = REPEATS, total: int | None = None) -> dict[str | None, float]:
+    """By source its words in the mix: weights in code point order (null last), capped, the excess shared again.
+
+    ``total`` is all documents' size where sources overlap.
+    """
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
     weight = {s: float(weights[k % len(weights)]) for k, s in enumerate(names)}
-    left, free, out = share * sum(sizes.values()), list(names), {}
+    left, free, out = share * (sum(sizes.values()) if total is None else total), list(names), {}
     while free:
         unit = left / sum(weight[s] for s in free)
         over = [s for s in free if weight[s] * unit > repeats * sizes[s]]
@@ -104,7 +107,7 @@ def mix(docs: DataFrame, members: Column, id: str = "doc_id", text: str = "text"
     for p, n in patterns.items():
         for s in p:
             by_source[s] = by_source.get(s, 0) + n
-    wanted = targets(by_source, weights, share, repeats)
+    wanted = targets(by_source, weights, share, repeats, sum(patterns.values()))
     routed = flow(patterns, wanted, repeats)
     rows = [(list(p), by_source[p[0]] if p else 0, wanted[p[0]] if p else 0.0, routed[p]) for p in patterns]
     plan = sizes.sparkSession.createDataFrame(rows, "members array<string>, source_size long, target double, quotas array<long>")

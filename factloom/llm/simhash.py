@@ -289,7 +289,8 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", n:
 def keep_one_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` whose id names their component, one for each component, with all their columns."""
     first = near_duplicates(docs, id, text, **options).where(F.col(id).eqNullSafe(F.col("component_id"))).select(key_of(id).alias("_key"))
-    return docs.withColumn("_key", key_of(id)).join(first.hint("merge"), "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("_row"), key_of(id).alias("_key"))
+    return rows.join(first.hint("merge"), "_key", "left_semi").dropDuplicates(["_key"]).select("_row.*")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
