@@ -7,19 +7,12 @@ states are written to the checkpoint folder every few rounds, so the plan stays
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-STATE = ["id", "node", "passed", "parity", "uncertain"]
-
+from .shared import cut
 
-def _checkpointed(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint()
+STATE = ["id", "node", "passed", "parity", "uncertain"]
 
 
 def reach(edges: DataFrame, starts: DataFrame, with_uncertain: bool = False, max_states: int = 500_000, every: int = 4) -> tuple[DataFrame, bool]:
@@ -41,7 +34,7 @@ def reach(edges: DataFrame, starts: DataFrame, with_uncertain: bool = False, max
     s = starts.select("id", "node", "through", "exclude").where(~F.coalesce(F.array_contains("exclude", F.col("node")), F.lit(False)))
     front = s.select("id", "node", step_passed(F.col("node"), F.lit(0), F.col("through")).alias("passed"), F.lit(0).alias("parity"), F.lit(False).alias("uncertain"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent"))
     rules = starts.select("id", "through", "exclude").dropDuplicates(["id"])
-    front = _checkpointed(front.dropDuplicates(STATE))
+    front = cut(front.dropDuplicates(STATE))
     seen, total, depth, waiting = front, front.count(), 0, []
     while True:
         depth += 1
@@ -49,7 +42,7 @@ def reach(edges: DataFrame, starts: DataFrame, with_uncertain: bool = False, max
         step = step.select("id", F.col("sink").alias("_to"), step_passed(F.col("sink"), F.col("passed"), F.col("through")).alias("_passed"), ((F.col("parity") + F.col("flip")) % 2).alias("_parity"), (F.col("uncertain") | F.col("doubt")).alias("_uncertain"), F.col("node").alias("_from"))
         found = step.groupBy("id", F.col("_to").alias("node"), F.col("_passed").alias("passed"), F.col("_parity").alias("parity"), F.col("_uncertain").alias("uncertain")).agg(F.min("_from").alias("parent"))
         front = found.join(seen.select(*STATE), STATE, "left_anti").select(*STATE, F.lit(depth).alias("depth"), "parent")
-        front = _checkpointed(front)
+        front = cut(front)
         n = front.count()
         if not n:
             return seen, False
@@ -57,7 +50,7 @@ def reach(edges: DataFrame, starts: DataFrame, with_uncertain: bool = False, max
         waiting.append(front)
         seen = seen.union(front)
         if len(waiting) >= every:
-            seen, waiting = _checkpointed(seen), []
+            seen, waiting = cut(seen), []
         if total > max_states:
             return seen, True
 

@@ -21,6 +21,7 @@ from factloom.functions import boolean, names
 from factloom.model import EVIDENCE, FINDING, SCHEMAS, empty
 
 from . import generic, graph
+from .shared import cut
 
 NO_CONNECT = ("NC", "DNP", "N/C")
 REGISTER_KINDS = ("ipxact", "header", "systemrdl")
@@ -88,14 +89,14 @@ class Facts:
     def components(self) -> DataFrame:
         """A row for each definition: view, kind, native_name, component (canonical), candidates."""
         used = self["components"].withColumn("native", F.col("native_name")).withColumn("component", F.lit(None).cast("string"))
-        return self._resolved(used, "component").drop("component", "native").withColumnRenamed("canonical", "component")
+        return cut(self._resolved(used, "component").drop("component", "native").withColumnRenamed("canonical", "component"))
 
     @cached_property
     def ports(self) -> DataFrame:
         """A row for each port of each definition: component and port (canonical) beside the observed columns."""
         of = self.components.select("view", F.col("native_name").alias("native_component"), "component").distinct()
         own = self["ports"].withColumnRenamed("component", "native_component").join(of, ["view", "native_component"])
-        return self._resolved(own.withColumn("native", F.col("native_name")), "port").drop("native").withColumnRenamed("canonical", "port")
+        return cut(self._resolved(own.withColumn("native", F.col("native_name")), "port").drop("native").withColumnRenamed("canonical", "port"))
 
     @cached_property
     def port_values(self) -> DataFrame:
@@ -117,7 +118,7 @@ class Facts:
             "component", "port", F.lit("contract.frozen").alias("view"), F.lit(None).cast("string").alias("source"), F.lit(None).cast("int").alias("line"), F.lit(None).cast("int").alias("column"),
             *[F.when(c(F.col(n)) != "unknown", c(F.col(n))).alias(n) for n, c in (("direction", names.direction), ("role", names.role))], "width",
         )
-        return seen.unionByName(frozen.join(seen.select("component", "port").distinct(), ["component", "port"], "left_semi"), allowMissingColumns=True)
+        return cut(seen.unionByName(frozen.join(seen.select("component", "port").distinct(), ["component", "port"], "left_semi"), allowMissingColumns=True))
 
     @cached_property
     def whole_tainted(self) -> DataFrame:
@@ -281,7 +282,7 @@ def bus_integrity(f: Facts) -> DataFrame:
     return finding(r, F.col("code"), "port", port_id(), "shape.bits", text(F.col("view"), " lists bits ", F.array_join("bit_indices", ","), " of ", F.col("component"), "/", F.col("port"), "."), F.array(evidence("view", F.array_join("bit_indices", ","), True)).cast(EVIDENCE))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def similarity(left: pd.Series, right: pd.Series) -> pd.Series:
     """Ratio of matching blocks of two names; the order of the arguments matters."""
     return pd.Series([SequenceMatcher(None, a.casefold(), b.casefold()).ratio() for a, b in zip(left, right, strict=True)])
@@ -384,7 +385,7 @@ def package_rules(f: Facts) -> DataFrame:
     return found.union(finding(multi, "OC5004", "die_pad", pad_id, "mapping", text("Pad ", F.col("die_pad"), " has ", F.col("n").cast("string"), " balls."), F.col("evidence")))
 
 
-@F.udf("string")
+@F.udf(T.StringType())
 def _regexp_or_null(pattern: str):
     return names.safe_regexp(pattern or "")
 
@@ -484,7 +485,7 @@ def register_members(f: Facts) -> DataFrame:
 
 def register_rules(f: Facts) -> DataFrame:
     """OC6301 to OC6310."""
-    m = register_members(f)
+    m = cut(register_members(f))
     id = text("register:", F.col("component"), "/", F.col("register"))
     reg = ["component", "register"]
     amb = m.where("needs_scope").groupBy("component", "name").agg(F.count_if(F.col("scope") == "").alias("unscoped"), gathered(evidence("view", F.col("native_name"))).alias("evidence")).where("unscoped > 0")
@@ -499,7 +500,7 @@ def register_rules(f: Facts) -> DataFrame:
     missing = generic.absence(required, m, [*reg, "view"], f.whole_tainted, ["view"]).groupBy(*reg).agg(F.array_join(F.array_sort(F.collect_set("view")), ", ").alias("missing"))
     own = first.groupBy(*reg).agg(gathered(evidence("view", F.col("native_name"))).alias("evidence"))
     found = found.union(finding(missing.join(own, reg), "OC6301", "register", id, "presence", text(F.col("register"), " is missing from ", F.col("missing"), "."), F.col("evidence")))
-    known = first.where(F.coalesce("status", F.lit("known")) == "known").withColumn("access", names.access(F.col("access")))
+    known = cut(first.where(F.coalesce("status", F.lit("known")) == "known").withColumn("access", names.access(F.col("access"))))
     differ = generic.conflicts(known, reg, ["address_offset", "absolute_address", "size_bits", "access"])
     rows = F.array_compact(F.array(F.when(F.col("address_offset_conflict") | F.col("absolute_address_conflict"), F.lit("OC6302 address")), F.when(F.col("size_bits_conflict"), F.lit("OC6303 width")), F.when(F.col("access_conflict"), F.lit("OC6306 access"))))
     proof = known.groupBy(*reg).agg(gathered(evidence("view", F.concat_ws(" ", F.col("address_offset").cast("string"), F.col("absolute_address").cast("string"), F.col("size_bits").cast("string"), "access"))).alias("evidence"))
@@ -511,7 +512,7 @@ def register_rules(f: Facts) -> DataFrame:
 def field_rules(f: Facts, known: DataFrame, reg: list[str]) -> DataFrame:
     """OC6304 to OC6309 of register fields."""
     x = known.where(F.col("fields").isNotNull()).select(*reg, "view", "size_bits", F.posexplode("fields").alias("k", "x")).select(*reg, "view", "size_bits", "k", F.lower(F.trim(names.decoded(F.col("x.name")))).alias("field"), F.col("x.bit_offset").alias("bit_offset"), F.col("x.bit_width").alias("bit_width"), names.access(F.col("x.access")).alias("access"), F.col("x.reset").alias("reset"), F.coalesce("x.status", F.lit("known")).alias("status"))
-    at = [*reg, "field"]
+    x, at = cut(x), [*reg, "field"]
     fid = text("register:", F.col("component"), "/", F.col("register"), "/field:", F.col("field"))
     rid = text("register:", F.col("component"), "/", F.col("register"))
     twice = x.groupBy(*at, "view").agg(F.count("*").alias("n"), gathered(evidence("view", F.col("field"))).alias("evidence")).where("n > 1")
