@@ -113,13 +113,9 @@ def json_text(c: Column) -> Column:
 
 def _escaped(c: Column) -> Column:
     def one(ch: Column) -> Column:
-        hex4 = lambda n: F.concat(F.lit("\\u"), F.lower(F.lpad(F.hex(n), 4, "0")))
-        code = F.conv(F.hex(F.encode(ch, "UTF-32BE")), 16, 10).cast("int")
-        high, low = (code - 0x10000) / 1024, (code - 0x10000) % 1024
-        return (
-            F.when(ch == '"', '\\"').when(ch == "\\", "\\\\").when(code == 8, "\\b").when(code == 9, "\\t").when(code == 10, "\\n").when(code == 12, "\\f").when(code == 13, "\\r")
-            .when(code.between(32, 126), ch).when(code < 0x10000, hex4(code)).otherwise(F.concat(hex4(F.floor(high).cast("int") + 0xD800), hex4(low + 0xDC00)))
-        )
+        units = F.lower(F.hex(F.encode(ch, "UTF-16BE")))  # a surrogate pair beyond the basic plane
+        named = F.element_at(F.create_map(*[F.lit(x) for x in ('"', '\\"', "\\", "\\\\", "\b", "\\b", "\t", "\\t", "\n", "\\n", "\f", "\\f", "\r", "\\r")]), ch)
+        return F.coalesce(named, F.when(ch.rlike(r"^[\x20-\x7e]$"), ch), F.regexp_replace(units, "(.{4})", r"\\u$1"))
 
     return F.concat(F.lit('"'), F.array_join(F.transform(F.filter(F.split(c, ""), lambda x: x != ""), one), ""), F.lit('"'))
 

@@ -540,13 +540,18 @@ def connectivity_rules(f: Facts) -> DataFrame:
     of one requirement (any); a requirement's verdict is its worst pair's.
     """
     q = f["requirements"]
-    w = Window.partitionBy("source", "sink").orderBy("ordinal")
-    by_id = Window.partitionBy("id").orderBy("ordinal")
-    twice = q.withColumns({"k": F.row_number().over(w), "first": F.first("expectation").over(w), "n": F.row_number().over(by_id)}).where("k > 1 OR n > 1")
+    same = ["source", "sink", F.coalesce("through", F.array().cast("array<string>")), F.coalesce("exclude", F.array().cast("array<string>"))]
+    groups = {"_i": Window.partitionBy("id").orderBy("ordinal"), "_r": Window.partitionBy(*same, F.coalesce("transform", F.lit("any"))).orderBy("ordinal"), "_o": Window.partitionBy(*same).orderBy("ordinal")}
+    q = q.withColumns({n: F.first("ordinal").over(w) for n, w in groups.items()} | {"_e": F.first("expectation").over(groups["_o"])})
+    again = [F.col("_i") != F.col("ordinal"), F.col("_r") != F.col("ordinal"), F.col("_e") != F.col("expectation")]
+    q = q.withColumn("_earlier", F.array_compact(F.array(*[F.when(c, F.col(n)) for c, n in zip(again, groups, strict=True)])))
+    twice = q.where(F.size("_earlier") > 0)
     own = lambda view: F.array(evidence(F.lit(view), F.col("id"))).cast(EVIDENCE)
     id = text("connectivity:", F.col("id"))
     found = finding(twice, "OC6509", "requirement", id, "requirement", text("Requirement ", F.col("id"), " repeats or contradicts an earlier one."), own("connectivity.default"))
-    q = q.join(twice.select("id"), "id", "left_anti")
+    # Neither a conflicting requirement nor the earlier one is judged.
+    void = twice.select(F.explode(F.concat("_earlier", F.array("ordinal"))).alias("ordinal")).distinct()
+    q = q.join(void, "ordinal", "left_anti").drop("_earlier", "_e", *groups)
     ends = f["endpoints"].select(F.col("native_name").alias("base"), "bit_index", F.coalesce("ordinal", "bit_index", F.lit(0)).alias("ordinal"), F.when(F.col("bit_index").isNotNull(), F.concat("native_name", F.lit("["), F.col("bit_index").cast("string"), F.lit("]"))).otherwise(F.col("native_name")).alias("key")).distinct()
 
     def side(name: str) -> DataFrame:
