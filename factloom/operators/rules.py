@@ -356,7 +356,7 @@ def functions(f: Facts) -> DataFrame:
 
 def package_rules(f: Facts) -> DataFrame:
     """OC5001 to OC5006 over pin mappings: package rows are those of CSV views, all others are physical."""
-    m = f["pin_mappings"].withColumn("row", F.monotonically_increasing_id())
+    m = cut(f["pin_mappings"].withColumn("row", F.monotonically_increasing_id()))  # row numbers must stay as they are
     rows, physical = m.where(names.view_kind(F.col("kind")) == "csv"), m.where((names.view_kind(F.col("kind")) != "csv") & (F.col("die_pad") != ""))
     blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
     used = ~F.upper(F.coalesce("signal", F.lit("NC"))).isin(*NO_CONNECT) & ~blank("signal")
@@ -416,6 +416,7 @@ def references(f: Facts) -> DataFrame:
     scope = F.when(F.coalesce("scope", F.lit("")) != "", F.col("scope"))
     full = F.when(scope.isNull(), names.variants(F.col("native_name"))).otherwise(F.array_distinct(F.flatten(F.transform(names.variants(scope), lambda s: F.flatten(F.transform(names.variants(F.col("native_name")), lambda v: F.when(v.startswith(F.concat(s, F.lit("/"))) | v.startswith(F.concat(s, F.lit("."))) | (v == s), F.array(v)).otherwise(F.array(F.concat(s, F.lit("/"), v), F.concat(s, F.lit("."), v)))))))))
     r = r.withColumn("variants", full).withColumn("mode", F.when(F.col("match_mode") == "regexp", "regexp").when((F.col("match_mode") == "glob") | F.col("native_name").rlike(r"[*?]"), "glob").otherwise("exact"))
+    r = cut(r)  # ref_id must stay as it is
     fold = lambda c: F.when(F.coalesce("nocase", F.lit(False)), F.lower(c)).otherwise(c)
     exact = r.where("mode = 'exact'").withColumn("v", F.explode("variants"))
     hit = exact.where(~F.coalesce("nocase", F.lit(False))).join(index.withColumnRenamed("variant", "v"), ["object_kind", "in_view", "v"], "left_semi").select("ref_id")

@@ -14,6 +14,7 @@ from factloom.functions import names
 from factloom.model import EVIDENCE, SEVERITIES, catalog
 from factloom.operators import generic
 from factloom.operators.rules import Facts, all_findings
+from factloom.operators.shared import cut
 
 SORT = ("rank", "code", "object_id", "views", "source", "line", "column", "message")
 
@@ -47,7 +48,7 @@ def waiver_matches():
 
 def waived(diagnostics: DataFrame, waivers: DataFrame, today: date, report_unmatched: bool = True) -> DataFrame:
     """Adds ``waiver`` (the first live one that matches; fatal findings have none) and the waivers' own findings."""
-    d = diagnostics.withColumn("_id", F.monotonically_increasing_id())
+    d = cut(diagnostics.withColumn("_id", F.monotonically_increasing_id()))  # joined by _id, which must stay as it is
     w = waivers.select("waiver_index", F.col("code").alias("w_code"), "object_pattern", "property_pattern", F.col("fingerprint").alias("w_fingerprint"), F.col("views").alias("w_views"), "reason", "expires")
     old = F.coalesce(F.col("expires") < F.lit(today), F.lit(False))
     live = w.where(~old)
