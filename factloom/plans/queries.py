@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 from factloom.functions import bits, boolean, names
 from factloom.model import EVIDENCE, catalog, empty
-from factloom.operators import generic, graph, review, rules, trace
+from factloom.operators import formal, generic, graph, review, rules, sequential, trace
 from factloom.operators.rules import Facts, Policy
 
 from . import check as checks
@@ -440,6 +440,35 @@ def replay_errors(spark, sf):
     return trace.replay_errors(f, "o", "c", {"q": F.when(F.col("en"), (F.col("q") + 1) % 4).otherwise(F.col("q"))}).select("o", F.col("c").cast("long").alias("c"))
 
 
+#: Two expressions under a guard, and what they are in SQL.
+OBLIGATIONS = (
+    ("a & b", "a", "b", "ab", "a AND b", "a", "b"),
+    ("a ^ b", "a | b", "!(a & b)", "ab", "a <> b", "a OR b", "NOT (a AND b)"),
+    ("a ^ b", "a | b", "c", "abc", "a <> b", "a OR b", "c"),
+    ("a", "b", "a & !a", "ab", "a", "b", "a AND NOT a"),
+    ("a b | c d", "(a | c) & (b | d)", "a ^ d", "abcd", "a AND b OR c AND d", "(a OR c) AND (b OR d)", "a <> d"),
+)
+
+
+def _obliged(k: int, names: str, left: str, right: str, guard: str) -> str:
+    of = ", ".join(f"(i >> {len(names) - 1 - p}) & 1 = 1 AS {n}" for p, n in enumerate(names))
+    return f"SELECT '{k}' AS id, CASE WHEN count(*) FILTER ({guard}) = 0 THEN 'vacuous' WHEN count(*) FILTER (({guard}) AND ({left}) <> ({right})) > 0 THEN 'different' ELSE 'equivalent' END AS verdict FROM (SELECT {of} FROM range({2 ** len(names)}) AS t(i))"
+
+
+@query(" UNION ALL ".join(_obliged(k, *e[3:]) for k, e in enumerate(OBLIGATIONS)))
+def guarded_obligations(spark, sf):
+    rows = spark.createDataFrame([(str(k), *e[:3]) for k, e in enumerate(OBLIGATIONS)], "id string, left string, right string, assume string")
+    return formal.run_obligations(rows).select("id", "verdict")
+
+
+@query("""SELECT user_id, event_id, (coalesce(sum((event_type = 'click')::INT) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 8)::BIGINT AS n FROM events""")
+def simulated_counter(spark, sf):
+    """A counter of clicks that wraps after seven, run over every user's events."""
+    c = sequential.Circuit({"en": 1}, {"n": (3, 0, "nxt")}, [("inc", "add", ("n", 1), 3), ("nxt", "mux", ("en", "inc", "n"), 3)])
+    e = table(spark, sf, "events").select("user_id", "event_id", (F.col("event_type") == "click").cast("int").alias("en"))
+    return sequential.simulate(e, c, "user_id", "event_id", ["n"])
+
+
 # ---------------------------------------------------------------- reviews, waivers, severities
 
 
