@@ -288,13 +288,32 @@ def similarity(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, a.casefold(), b.casefold()).ratio() for a, b in zip(left, right, strict=True)])
 
 
+@F.pandas_udf(T.StringType())
+def folded(name: pd.Series) -> pd.Series:
+    return name.str.casefold()
+
+
 def similar(left: DataFrame, right: DataFrame, on: list[str], least: float) -> DataFrame:
-    """Pairs of names (l_name < r_name) at or above ``least``: joined by length, as a ratio bounds the lengths' quotient."""
-    share = least / (2 - least)
-    n = F.length("l_name")
-    l = left.withColumn("_n", F.explode(F.sequence(F.ceil(n * share).cast("int"), F.floor(n / share).cast("int"))))
-    pairs = l.join(right.withColumn("_n", F.length("r_name")), [*on, "_n"]).where((F.col("l_name") < F.col("r_name")) & (F.col("l_kind") != F.col("r_kind"))).drop("_n")
-    return pairs.withColumn("score", similarity("l_name", "r_name")).where(F.col("score") >= least)
+    """Pairs of names (l_name < r_name, kinds differ) at or above ``least``, by an equality join on pieces.
+
+    A ratio of t leaves at most (1 - t) of both names' characters unmatched. Each of those, or each place
+    where the other name has more, breaks one piece at most; so if the left name is cut into one piece more
+    than there can be breaks, some piece stands whole in the right name.
+    """
+    widest = (2 - least) / least  # of the longer name's length to the shorter one's
+    breaks = lambda n: F.floor(n * (1 + widest) * (1 - least) + 1e-9).cast("int")
+    size = lambda n: F.greatest(F.lit(1), F.floor(n / (breaks(n) + 1)).cast("int"))
+    cuts = lambda s, q, starts: F.array_distinct(F.transform(starts, lambda k: s.substr(k, q)))
+    l = left.withColumn("_f", folded("l_name")).where("_f != ''").withColumn("_q", size(F.length("_f")))
+    l = l.withColumn("_piece", F.explode(cuts(F.col("_f"), F.col("_q"), F.sequence(F.lit(1), F.length("_f") - F.col("_q") + 1, F.col("_q")))))
+    r = right.withColumn("_g", folded("r_name")).where("_g != ''").withColumn("_n", F.length("_g"))
+    # The sizes that pieces of names of a fitting length can have.
+    fitting = F.array_distinct(F.transform(F.sequence(F.greatest(F.lit(1), F.ceil(F.col("_n") / widest - 1e-9).cast("int")), F.floor(F.col("_n") * widest + 1e-9).cast("int")), size))
+    r = r.withColumn("_q", F.explode(fitting)).where("_q <= _n")
+    r = r.withColumn("_piece", F.explode(cuts(F.col("_g"), F.col("_q"), F.sequence(F.lit(1), F.col("_n") - F.col("_q") + 1))))
+    hits = l.join(r, [*on, "_q", "_piece"]).where((F.col("l_name") < F.col("r_name")) & (F.col("l_kind") != F.col("r_kind")))
+    hits = hits.where(2 * F.least(F.length("_f"), F.length("_g")) >= least * (F.length("_f") + F.length("_g")) - 1e-9).drop("_q", "_piece", "_f", "_g", "_n").distinct()
+    return hits.withColumn("score", similarity("l_name", "r_name")).where(F.col("score") >= least)
 
 
 def likely_names(f: Facts) -> DataFrame:

@@ -222,13 +222,14 @@ def test_safe_patterns(pattern, good):
     assert (names.safe_regexp(pattern) is not None) == good
 
 
-def test_similar_names_lose_no_pair(spark):
-    rnd = random.Random(2)
+@pytest.mark.parametrize("seed,least", [(2, 0.9), (3, 0.92), (4, 0.75)])
+def test_similar_names_lose_no_pair(spark, seed, least):
+    rnd = random.Random(seed)
     words = ["".join(rnd.choice("abcd_") for _ in range(rnd.randrange(4, 14))) for _ in range(60)]
-    words = sorted({*words, *(w + "x" for w in words[:30])})
+    words = sorted({*words, *(w + "x" for w in words[:30]), *(w[:3] + "Z" + w[4:].upper() for w in words[:20]), *(w[1:] for w in words[30:]), "Straße_x", "strasse_x"})
     side = lambda s: spark.createDataFrame([(w, k % 2) for k, w in enumerate(words)], f"{s}_name string, {s}_kind int")
-    got = {(r.l_name, r.r_name) for r in rules.similar(side("l"), side("r"), [], 0.9).collect()}
-    assert got == {(a, b) for k, a in enumerate(words) for j, b in enumerate(words) if a < b and k % 2 != j % 2 and SequenceMatcher(None, a, b).ratio() >= 0.9}
+    got = {(r.l_name, r.r_name) for r in rules.similar(side("l"), side("r"), [], least).collect()}
+    assert got == {(a, b) for k, a in enumerate(words) for j, b in enumerate(words) if a < b and k % 2 != j % 2 and SequenceMatcher(None, a.casefold(), b.casefold()).ratio() >= least}
 
 
 def test_check_with_waivers_and_exit_codes(spark):
