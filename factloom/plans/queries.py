@@ -263,6 +263,22 @@ def package_rules(spark, sf):
     return found(rules.package_rules(Facts(spark, {"views": views(spark, "csv.package", "def.chip"), "pin_mappings": rows.union(physical)})))
 
 
+@query("""WITH p AS (SELECT DISTINCT l_partkey AS pad, l_suppkey AS ball, l_linenumber AS sig FROM lineitem),
+    x AS (SELECT 'OC5003' AS code, 'package-ball:b' || ball AS object_id, count(*) AS n_evidence FROM p GROUP BY ball HAVING count(*) > 1
+        UNION ALL SELECT 'OC5004', 'die-pad:d' || pad, count(*) FROM p GROUP BY pad HAVING count(DISTINCT ball) > 1
+        UNION ALL SELECT 'OC5001', 'die-pad:d' || pad, 1 FROM p WHERE pad % 4 = 3
+        UNION ALL SELECT 'OC5005', 'die-pad:d' || pad, 1 FROM p WHERE pad % 4 <> 3 AND sig <> 4 AND sig <> pad % 4 + 1)
+    SELECT code, object_id, n_evidence::BIGINT AS n_evidence FROM x""")
+def package_rules_whole(spark, sf):
+    """Every line item: its part as the pad, its supplier as the ball, its line number as the signal (4: not connected)."""
+    d = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("pad"), F.col("l_suppkey").alias("ball"), F.col("l_linenumber").alias("sig")).distinct()
+    name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    rows = family(d, "pin_mappings", view=F.lit("csv.package"), kind=F.lit("csv"), die_pad=name("d", "pad"), package_ball=name("b", "ball"), signal=F.when(F.col("sig") == 4, "NC").otherwise(name("g", "sig")))
+    pads = d.select("pad").distinct().where("pad % 4 != 3")
+    physical = family(pads, "pin_mappings", view=F.lit("def.chip"), kind=F.lit("def"), die_pad=name("d", "pad"), signal=F.concat(F.lit("g"), (F.col("pad") % 4 + 1).cast("string")))
+    return found(rules.package_rules(Facts(spark, {"views": views(spark, "csv.package", "def.chip"), "pin_mappings": rows.union(physical)})))
+
+
 @query("""WITH e AS (SELECT event_type AS n, user_id % 5 AS v, 1.0 * (length(event_type) + CASE WHEN user_id % 5 = 3 AND event_type LIKE '%c%' THEN 1 ELSE 0 END) AS p FROM events),
     d AS (SELECT DISTINCT n, v, p FROM e) SELECT 'OC6002' AS code, 'clock:' || n AS object_id, count(*) AS n_evidence FROM d GROUP BY n HAVING count(DISTINCT p) > 1""")
 def clock_definitions(spark, sf):
