@@ -307,9 +307,9 @@ def interval_overlaps(spark, sf):
     return generic.overlaps(f, ["k"], "first", "last", ["name", "ln"]).select("k", "name", "ln", "active_last")
 
 
-def register_facts(spark, sf):
+def register_facts(spark, sf, orders: str = "o_orderkey % 4 < 2"):
     """Orders as registers of two maps: name by customer, scope by priority; fields from line items."""
-    o = table(spark, sf, "orders").where("o_orderkey % 4 < 2")
+    o = table(spark, sf, "orders").where(orders)
     li = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_quantity"))).alias("f"))
     j = o.join(li, o["o_orderkey"] == li["l_orderkey"])
     k = F.col("o_orderkey")
@@ -334,6 +334,13 @@ def register_rules(spark, sf):
     return d.groupBy("code", "object_id").agg(F.count("*").alias("n"))
 
 
+@query(ORACLE["register_rules"].replace("o_orderkey % 4 < 2 AND ", ""))
+def register_rules_whole(spark, sf):
+    """The same over every order."""
+    d = rules.register_rules(register_facts(spark, sf, "true"))
+    return d.groupBy("code", "object_id").agg(F.count("*").alias("n"))
+
+
 @query("""WITH s AS (SELECT o_custkey AS k, o_orderkey % 2 AS v, count(DISTINCT o_orderpriority) AS n FROM orders WHERE o_orderstatus <> 'P' GROUP BY ALL), a AS (SELECT DISTINCT k FROM s WHERE n > 1),
     u AS (SELECT o_custkey AS k, count(*) AS n FROM orders WHERE o_orderstatus = 'P' GROUP BY ALL)
     SELECT 'register:c/r' || k AS object_id, u.n AS unscoped FROM a JOIN u USING (k)""")
