@@ -13,14 +13,23 @@ from pyspark.sql import functions as F
 from .shared import cut
 
 STATE = ["id", "node", "passed", "parity", "uncertain"]
+#: The reference's bound of one search from a source to a sink.
+MAX_STATES = 500_000
 
 
-def reach(edges: DataFrame, starts: DataFrame, with_uncertain: bool = False, max_states: int = 500_000, every: int = 4) -> tuple[DataFrame, bool]:
-    """States that can be reached: id, node, passed, parity, uncertain, depth, parent; and whether the bound was hit.
+def reach(edges: DataFrame, starts: DataFrame, with_uncertain: bool = False, max_states: int = MAX_STATES, every: int = 4) -> tuple[DataFrame, bool]:
+    """The states of ``search``, and whether any requirement hit the bound."""
+    states, stopped = search(edges, starts, with_uncertain, max_states, every)
+    return states, not stopped.isEmpty()
+
+
+def search(edges: DataFrame, starts: DataFrame, with_uncertain: bool = False, max_states: int = MAX_STATES, every: int = 4) -> tuple[DataFrame, DataFrame]:
+    """States that can be reached: id, node, passed, parity, uncertain, depth, parent; and the ids that hit the bound.
 
     ``edges``: source, sink, inverted (null: polarity not known), status. ``starts``: id, node, through
     (ordered nodes to pass), exclude. Without ``with_uncertain`` only known edges with a known polarity are
     walked. ``parent`` is the smallest one by name of the round, so witnesses are shortest and repeatable.
+    ``max_states`` bounds each id on its own: one beyond it goes no further, the others are searched to the end.
     """
     sure = (F.coalesce("status", F.lit("known")) == "known") & F.col("inverted").isNotNull()
     e = edges.select("source", "sink", F.coalesce(F.col("inverted").cast("int"), F.lit(0)).alias("flip"), (~sure).alias("doubt"))
@@ -35,7 +44,8 @@ def reach(edges: DataFrame, starts: DataFrame, with_uncertain: bool = False, max
     front = s.select("id", "node", step_passed(F.col("node"), F.lit(0), F.col("through")).alias("passed"), F.lit(0).alias("parity"), F.lit(False).alias("uncertain"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent"))
     rules = starts.select("id", "through", "exclude").dropDuplicates(["id"])
     front = cut(front.dropDuplicates(STATE))
-    seen, total, depth, waiting = front, front.count(), 0, []
+    tally = lambda df: df.groupBy("id").agg(F.count("*").alias("n"))
+    seen, total, depth, waiting, counts, stopped = front, front.count(), 0, [], None, front.select("id").limit(0)
     while True:
         depth += 1
         step = front.join(e, F.col("node") == F.col("source")).join(rules, "id").where(~F.coalesce(F.array_contains("exclude", F.col("sink")), F.lit(False)))
@@ -45,36 +55,39 @@ def reach(edges: DataFrame, starts: DataFrame, with_uncertain: bool = False, max
         front = cut(front)
         n = front.count()
         if not n:
-            return seen, False
+            return seen, stopped
         total += n
         waiting.append(front)
         seen = seen.union(front)
         if len(waiting) >= every:
             seen, waiting = cut(seen), []
-        if total > max_states:
-            return seen, True
+        if total > max_states:  # only now can an id have more
+            counts = cut(tally(seen) if counts is None else counts.union(tally(front)).groupBy("id").agg(F.sum("n").alias("n")))
+            stopped = counts.where(F.col("n") > max_states).select("id")
+            front = front.join(stopped, "id", "left_anti")
 
 
-def judged(edges: DataFrame, requirements: DataFrame, complete: bool = True, max_states: int = 500_000) -> DataFrame:
+def judged(edges: DataFrame, requirements: DataFrame, complete: bool = True, max_states: int = MAX_STATES) -> DataFrame:
     """A verdict for each requirement on single nodes: id, verdict, path_length.
 
     ``requirements``: id, source, sink, expectation (reachable, unreachable), transform (any, identity:
     even inversions, inverted: odd), through, exclude. Verdicts: pass, missing, forbidden, polarity,
     inconclusive. An incomplete graph or an uncertain edge never makes a pass of an unreachable one, nor a
-    failure of a reachable one.
+    failure of a reachable one; nor does a search beyond ``max_states``, of its own requirement only.
     """
     starts = requirements.select("id", F.col("source").alias("node"), "through", "exclude")
     wanted = requirements.select("id", "sink", "expectation", "transform", F.size(F.coalesce("through", F.array().cast("array<string>"))).alias("need"))
-    sure, cut_sure = reach(edges, starts, False, max_states)
-    maybe, cut_maybe = reach(edges, starts, True, max_states)
+    sure, cut_sure = search(edges, starts, False, max_states)
+    maybe, cut_maybe = search(edges, starts, True, max_states)
+    stopped = cut_sure.union(cut_maybe).distinct().withColumn("stopped", F.lit(True))
 
     def hits(states: DataFrame, name: str) -> DataFrame:
         at = states.join(wanted, ["id"]).where((F.col("node") == F.col("sink")) & (F.col("passed") >= F.col("need")))
         fits = (F.col("transform") == "any") | (F.col("parity") == F.when(F.col("transform") == "inverted", 1).otherwise(0))
         return at.groupBy("id").agg(F.min(F.when(fits, F.col("depth"))).alias(name), F.min(F.when(~fits, F.col("depth"))).alias(f"{name}_other"))
 
-    j = wanted.join(hits(sure, "sure"), "id", "left").join(hits(maybe, "maybe"), "id", "left")
-    open_end = F.lit(not complete or cut_sure or cut_maybe)
+    j = wanted.join(hits(sure, "sure"), "id", "left").join(hits(maybe, "maybe"), "id", "left").join(stopped, "id", "left")
+    open_end = F.lit(not complete) | F.col("stopped").isNotNull()
     polar = F.col("transform") != "any"
     doubt = F.col("maybe").isNotNull() | open_end
     verdict = F.when(

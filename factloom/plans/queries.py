@@ -381,7 +381,7 @@ def reachable_with_parity(spark, sf):
 def connectivity_verdicts(spark, sf):
     k = F.col("c_custkey")
     q = table(spark, sf, "customer").select(k.cast("string").alias("id"), F.lit("0").alias("source"), k.cast("string").alias("sink"), F.when(k % 3 == 0, "unreachable").otherwise("reachable").alias("expectation"), F.when(k % 3 == 2, "identity").otherwise("any").alias("transform"), F.when(k % 3 == 1, F.array(F.lit("2"))).otherwise(F.array().cast("array<string>")).alias("through"), F.array().cast("array<string>").alias("exclude"))
-    return graph.judged(tree(spark, sf), q, max_states=1 << 40).select("id", "verdict")
+    return graph.judged(tree(spark, sf), q).select("id", "verdict")
 
 
 @query(f"WITH {TREE} SELECT 'r' AS id, t::VARCHAR AS node FROM (SELECT t FROM e WHERE t NOT IN (SELECT s FROM e) AND NOT EXISTS (SELECT 1 FROM m WHERE t > m)) ORDER BY node LIMIT 32")

@@ -4,6 +4,7 @@ import os
 
 import pytest
 
+from factloom.operators import graph
 from factloom.plans import queries as Q
 
 SF = "/root/testdata/sf0.001"
@@ -24,3 +25,14 @@ def test_register_rules_see_every_order(spark):
     orders = spark.read.parquet(f"{SF}/orders.parquet").join(spark.read.parquet(f"{SF}/lineitem.parquet").selectExpr("l_orderkey AS o_orderkey"), "o_orderkey", "left_semi")
     want = {f"register:chip/r{r.o_orderkey}" for r in orders.where("o_orderkey % 9 = 0").collect()}
     assert want and got == want and "o_orderkey % 4" not in Q.ORACLE["register_rules_whole"]
+
+
+def test_the_state_bound_is_each_requirements_own(spark):
+    """Long chains stop; short ones beside them, together beyond the bound, are judged."""
+    edges = [(f"{c}{k}", f"{c}{k + 1}", False, "known") for c, n in (("l", 30), *[(f"s{i}_", 4) for i in range(9)]) for k in range(n)]
+    df = spark.createDataFrame(edges, "source string, sink string, inverted boolean, status string")
+    req = lambda id, a, b, e="reachable", t="any": (id, a, b, e, t, [], [])
+    reqs = [req("far", "l0", "l30"), req("near", "l0", "l3"), *[req(f"ok{i}", f"s{i}_0", f"s{i}_4") for i in range(5)], req("miss", "s5_0", "l0"), req("no", "s6_0", "s6_4", "unreachable"), req("apart", "s7_0", "l0", "unreachable"), req("odd", "s8_0", "s8_4", t="inverted")]
+    q = spark.createDataFrame(reqs, "id string, source string, sink string, expectation string, transform string, through array<string>, exclude array<string>")
+    got = {r.id: r.verdict for r in graph.judged(df, q, max_states=10).collect()}
+    assert got == {"far": "inconclusive", "near": "pass", **{f"ok{i}": "pass" for i in range(5)}, "miss": "missing", "no": "forbidden", "apart": "pass", "odd": "polarity"}
