@@ -287,10 +287,18 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", n:
 
 
 def keep_one_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` whose id names their component, one for each component, with all their columns."""
-    first = near_duplicates(docs, id, text, **options).where(F.col(id).eqNullSafe(F.col("component_id"))).select(key_of(id).alias("_key"))
-    rows = docs.select(F.struct("*").alias("_row"), key_of(id).alias("_key"))
-    return rows.join(first.hint("merge"), "_key", "left_semi").dropDuplicates(["_key"]).select("_row.*")
+    """One row of ``docs`` for each component, with all its columns: that whose id names the component.
+
+    Ids may be null or repeated: a row goes by id and text, and of a component's texts under its id that of
+    the smallest MD5 stays. Rows alike in both leave one, the smallest by its other columns as JSON.
+    """
+    digest = F.md5(text_of(text))
+    mark = F.struct(F.col(id).isNull().alias("none"), F.col(id).alias("id"), digest.alias("digest"))
+    found = near_duplicates(docs.select(mark.alias(id), text), id, text, **options)
+    first = found.where(F.col(id).eqNullSafe(F.col("component_id"))).select(F.concat("component_id.digest", key_of("component_id.id")).alias("_key"))
+    others = F.to_json(F.struct(F.col(text).isNull().alias("_null"), *[F.col(f"`{c}`") for c in docs.columns if c != text]))
+    rows = docs.select(F.struct("*").alias("_row"), F.concat(digest, key_of(id)).alias("_key"), others.alias("_tie"))
+    return rows.join(first.hint("merge"), "_key", "left_semi").groupBy("_key").agg(F.min_by("_row", "_tie").alias("_row")).select("_row.*")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
