@@ -1,16 +1,22 @@
 """HTML extraction by tag-path ratios.
 
 A page's blocks are grouped by their path of tags from the root. For each path the text length and the
-punctuation are added up and set against its number of tags and its link text; the ratios are smoothed
-over neighbouring paths in page order, fused, and compared with a threshold from the page itself. The
-container under which the chosen paths hold most text is the article: its blocks, headings and short
-paragraphs included, are returned, but for paths that are boilerplate by their tags, roles or class names.
+punctuation are added up and set against its number of tags; the ratios are smoothed over the paths beside
+it in its container and with the container's own, and fused with each other and with the share of link
+text. What a path's tags, roles and class names say is a feature of the same score: parts that are
+boilerplate by their element or role count against all paths inside, class names little or, where they
+leave no doubt, much; an article or main element counts for its paths by its share of the page's text.
+Paths whose score reaches the threshold, set from the page's own best standing, are content; their blocks
+are returned whole and in page order.
+
+Paths are interned as (parent path, name), so a page's memory grows with its size, not with its depth.
 """
 
 from __future__ import annotations
 
 import html
 import re
+import sys
 import unicodedata
 from collections.abc import Iterator
 
@@ -23,187 +29,258 @@ from .common import table, text_of
 
 # Element classes of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe noembed noframes xmp svg math select option datalist object audio video canvas".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr".split())
+#: Content is text up to the end tag; only xmp's is shown.
+RAW = frozenset("script style textarea title iframe noembed noframes xmp annotation".split())
+#: Never shown, or part of a form control.
+DEAD = frozenset("head template select datalist option optgroup object audio video canvas defs metadata desc".split())
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q ruby rb rp rt rtc s samp small span strike strong sub sup time tt u var wbr "
+    "math mrow mi mn mo ms mtext mspace msup msub msubsup mfrac msqrt mroot mover munder munderover mfenced mstyle mpadded mphantom menclose mtable mtr mtd semantics "
+    "svg g path circle rect line polyline polygon ellipse use text tspan textpath symbol image marker lineargradient radialgradient stop".split()
+)
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split())
 CLOSES_OWN = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
 SCOPES = frozenset("html body table td th ul ol dl article section main div aside nav form button".split())
-BOILERPLATE = frozenset("nav header footer aside form menu button dialog fieldset input search".split())
+BOILERPLATE = frozenset("nav header footer aside menu button dialog fieldset input search".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar status".split())
-NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|adsense|adbox|banner\w*|sponsor\w*|promo\w*|comments?|commentlist|disqus|respons\w*|replies|reply|sidebar\w*|side|aside|nav\w*|menu\w*|breadcrumbs?|foot|footer\w*|header|masthead|"
-    r"cookies?|consent|gdpr|notice\w*|popup|modal|overlay|newsletter|subscri\w*|signup|share|sharing|social|related|recommend\w*|widget\w*|toolbar|pagination|pager|login|search\w*|form|copyright|legal|disclaimer|skip\w*|tags?|hidden)(?=$|[\s_-])",
-    re.I,
-)
+TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr tbody table pre blockquote figure figcaption html body article main".split())
+# Words of class names and ids that leave no doubt anywhere, in containers of text, and hardly say anything.
+ADVERTS = frozenset("ad ads adv advert adverts advertisement advertisements advertising adsense adbox adslot sponsor sponsored sponsors promo promoted banner disqus cookie cookies consent gdpr".split())
+PARTS = frozenset("comment comments commentlist respond replies sidebar nav navbar navigation menu breadcrumb breadcrumbs footer masthead notice notices popup modal overlay newsletter subscribe signup share sharing pagination pager login skip toolbar".split())
+HINTS = frozenset("aside side header response responses reply related recommended social widget widgets search form copyright legal disclaimer tags hidden foot".split())
+#: Names like page-with-sidebar are about the page's layout.
+LAYOUT = frozenset("with has no without wrapper wrap layout page container main content".split())
 CONTAINERS = frozenset("article main section div td body".split())
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)|[^<]+|<", re.S)
-ATTRIBUTE = re.compile(r"([^\s=/>\"']+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
-RUN = re.compile(r"\s+")
 
+AGAINST, HINT, LEAST = 1.0, 0.15, 0.4
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*+)([^>]*+)(?:>|\Z)|[^<]++|<", re.S)
+ATTRIBUTE = re.compile(r"([^\s=/>\"']++)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++))|(?<![^\s\"'])(hidden)(?=[\s/]|\Z)")
+RUN = re.compile(r"\s+")
+WORDS = re.compile(r"[a-z]+")
+#: Whether a code point is punctuation.
+MARKS = np.fromiter((unicodedata.category(chr(c))[0] == "P" for c in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
 
-class Node:
-    __slots__ = ("bad", "key", "parent", "seen", "tag")
 
-    def __init__(self, tag: str, key: str, parent: Node | None, bad: bool):
-        self.tag, self.key, self.parent, self.bad, self.seen = tag, key, parent, bad, 1
+def attributes(source: str) -> dict[str, str]:
+    """Names in lower case with their values; of those without one only ``hidden`` matters."""
+    return {(m[0] or m[4]).lower(): html.unescape(m[1] or m[2] or m[3]) for m in ATTRIBUTE.findall(source)} if source.strip(" /\n") else {}
 
 
-def attributes(source: str) -> dict[str, str]:
-    return {m[0].lower(): html.unescape(m[1] or m[2] or m[3]) for m in ATTRIBUTE.findall(source)}
-
-
-def boilerplate(tag: str, a: dict[str, str], within: Node) -> bool:
-    if tag == "header":  # an article's own header holds its title
-        while within is not None:
-            if within.tag in ("article", "main"):
-                return False
-            within = within.parent
-        return True
-    if tag in BOILERPLATE or a.get("role", "").lower() in ROLES or "hidden" in a or a.get("aria-hidden") == "true":
-        return True
-    if re.search(r"display\s*:\s*none", a.get("style", "")):
-        return True
-    return tag not in ("html", "body", "article", "main") and bool(NAMES.search(" ".join((a.get("class", ""), a.get("id", "")))))
-
-
-def blocks(page: str) -> tuple[list[tuple[Node, str, int]], dict[str, int]]:
-    """(path node, text, characters in links) of every block in page order, and how often each path begins."""
-    root = Node("", "", None, False)
-    stack: list[Node] = [root]
-    counts: dict[str, int] = {}
-    out: list[tuple[Node, str, int]] = []
-    held: list[str] = []
-    linked, links = 0, 0
-
-    def flush():
-        nonlocal linked
-        text = RUN.sub(" ", "".join(held)).strip()
-        if text:
-            out.append((stack[-1], text, linked))
-        held.clear()
-        linked = 0
-
-    skip, at, end = None, 0, len(page)
-    while at < end:
-        if skip:  # the content of raw elements ends at their own end tag only
-            m = re.compile(rf"</{re.escape(skip)}(?=[\s/>])[^>]*>", re.I).search(page, at)
-            at, skip = (m.end() if m else end), None
-            continue
-        m = TOKEN.match(page, at)
-        at = m.end()
-        tag = (m[2] or m[5] or "").lower()
-        if not tag:
-            t = m[0]
-            if t[0] != "<" or t == "<":
-                t = html.unescape(t)
-                held.append(t)
-                linked += len(t) if links else 0
-            continue
-        closing = bool(m[1] or m[4])
-        if tag in INLINE:
-            if tag == "a":
-                links = 0 if closing else 1
-            elif tag == "br":
-                held.append(" ")
-            elif tag == "rp":
-                skip = None if closing else tag
-            continue
-        if tag in RAW:
-            if not closing and not (m[3] or m[6] or "").rstrip().endswith("/"):
-                if tag not in ("svg", "math", "title"):
-                    held.append(" ") if tag in ("select", "textarea") else None
-                skip = tag
+def named(tag: str, names: str) -> float:
+    """What an element's class names and id count against it."""
+    worst = 0.0
+    for name in names.lower().split():
+        words = set(WORDS.findall(name))
+        if words & LAYOUT:
             continue
+        if words & ADVERTS or (words & PARTS and tag not in TEXTUAL):
+            return AGAINST
+        if words & HINTS or words & PARTS:
+            worst = HINT
+    return worst
+
+
+class Page:
+    """The blocks of a page and, for each path of tags, its counts and features."""
+
+    def __init__(self, page: str):
+        #: (path, text, characters in links), in page order.
+        self.blocks: list[tuple[int, str, int]] = []
+        self.ids: dict[tuple[int, str], int] = {}
+        self.parent, self.tags, self.tag = [-1], [0], [""]
+        #: What counts against a path, the nearest container, the article around it (or -1), whether it is ever shown, a form around it.
+        self.against, self.container, self.article, self.dead, self.form = [0.0], [0], [-1], [False], [-1]
+        self.read(page)
+
+    def path(self, parent: int, tag: str, a: dict[str, str]) -> int:
+        name = f"{tag}.{a.get('class', '')}#{a.get('id', '') if tag in CONTAINERS else ''}@{a.get('role', '')}{'!' if self.unseen(a) else ''}"
+        k = self.ids.get((parent, name))
+        if k is None:
+            k = self.ids[parent, name] = len(self.parent)
+            self.parent.append(parent)
+            self.tags.append(0)
+            self.tag.append(tag)
+            inside = self.article[parent] >= 0
+            role = a.get("role", "").lower()
+            own = named(tag, f"{a.get('class', '')} {a.get('id', '')}") if tag not in ("html", "body", "article", "main") or inside else 0.0
+            if (tag in BOILERPLATE and not (tag == "header" and inside)) or role in ROLES or self.unseen(a):
+                own = AGAINST
+            self.against.append(self.against[parent] + own)
+            self.container.append(k if tag in CONTAINERS else self.container[parent])
+            self.article.append(self.article[parent] if inside else k if tag in ("article", "main") or role in ("article", "main") else -1)
+            self.dead.append(self.dead[parent] or tag in DEAD)
+            self.form.append(self.form[parent] if self.form[parent] >= 0 else k if tag == "form" else -1)
+        self.tags[k] += 1
+        return k
+
+    @staticmethod
+    def unseen(a: dict[str, str]) -> bool:
+        return "hidden" in a or a.get("aria-hidden") == "true" or bool(re.search(r"display\s*+:\s*+none", a.get("style", "")))
+
+    def read(self, page: str) -> None:
+        stack, tags = [0], [""]  # open paths and their tags
+        places: dict[str, list[int]] = {}  # where in the stack each tag is open
+        scopes = [0]
+        held: list[str] = []
+        linked, link, silent = 0, 0, False  # link: the stack's length where a link is open; silent: inside rp
+
+        def flush():
+            nonlocal linked
+            if held:
+                text = RUN.sub(" ", "".join(held)).strip()
+                if text and not self.dead[stack[-1]]:
+                    self.blocks.append((stack[-1], text, linked))
+                held.clear()
+            linked = 0
+
+        def close(k: int):
+            nonlocal link
+            for tag in tags[k:]:
+                places[tag].pop()
+            del stack[k:], tags[k:]
+            while scopes[-1] >= k:
+                scopes.pop()
+            if link > k:
+                link = 0
+
+        def close_any(ends) -> None:
+            """Close open elements of ``ends``, each as far as no other scope is open inside it."""
+            while True:
+                k = max((places[t][-1] for t in ends if places.get(t)), default=0)
+                if not k or scopes[-1] > k:
+                    return
+                close(k)
+
+        at, end = 0, len(page)
+        while at < end:
+            m = TOKEN.match(page, at)
+            at = m.end()
+            tag = (m[2] or m[5] or "").lower()
+            if not tag:
+                t = m[0]
+                if (t[0] != "<" or t == "<") and not silent:
+                    t = html.unescape(t)
+                    held.append(t)
+                    linked += len(t) if link else 0
+                elif t.startswith("<![CDATA["):
+                    held.append(t[9:-3] if t.endswith("]]>") else t[9:])
+                continue
+            closing, rest = bool(m[1] or m[4]), m[3] or m[6] or ""
+            silent = tag == "rp" and not closing
+            if tag in RAW:
+                if not closing and not rest.endswith("/"):
+                    stop = re.compile(rf"</{tag}(?=[\s/>])[^>]*+>|\Z", re.I).search(page, at)
+                    if tag == "xmp":
+                        flush()
+                        held.append(page[at : stop.start()])
+                        flush()
+                    at = stop.end()
+                continue
+            if tag in INLINE:
+                if tag == "a":
+                    link = 0 if closing else len(stack)
+                elif tag == "br":
+                    held.append(" ")
+                continue
+            flush()
+            if closing:
+                if places.get(tag) and not (tag == "p" and scopes[-1] > places[tag][-1]):
+                    close(places[tag][-1])
+                continue
+            if tag in CLOSES_OWN:
+                close_any(CLOSES_OWN[tag])
+            if tag in CLOSES_P:
+                close_any(("p",))
+            if tag in VOID or tag in ("html", "body", "head") and places.get(tag):
+                continue
+            if tag == "body" and places.get("head"):
+                close(places["head"][-1])
+            k = self.path(stack[-1], tag, attributes(rest))
+            places.setdefault(tag, []).append(len(stack))
+            if tag in SCOPES:
+                scopes.append(len(stack))
+            stack.append(k)
+            tags.append(tag)
         flush()
-        links = 0
-        if closing:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
-                if tag == "p" and stack[k].tag in SCOPES:
-                    break
-            continue
-        ends = CLOSES_OWN.get(tag, set()) | ({"p"} if tag in CLOSES_P else set())
-        if ends:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in ends:
-                    del stack[k:]
-                elif stack[k].tag in SCOPES:
-                    break
-        if tag in VOID:
-            continue
-        a = attributes(m[3] or m[6] or "")
-        parent = stack[-1]
-        if tag in ("html", "body", "head") and any(n.tag == tag for n in stack):
-            continue
-        if tag == "body":
-            stack[:] = [n for n in stack if n.tag != "head"]
-            parent = stack[-1]
-        name = tag + "".join("." + c for c in sorted(a.get("class", "").lower().split())) + (f"#{a['id']}" if a.get("id") and tag in CONTAINERS else "")
-        node = Node(tag, f"{parent.key}/{name}", parent, parent.bad or tag == "head" or boilerplate(tag, a, parent))
-        counts[node.key] = counts.get(node.key, 0) + 1
-        stack.append(node)
-    flush()
-    return out, counts
 
 
 def smoothed(x: np.ndarray) -> np.ndarray:
-    """A Gaussian over three neighbouring paths each way; the ends count as their own neighbours."""
+    """A Gaussian over three neighbours each way; the ends count as their own neighbours."""
     w = np.exp(-0.5 * np.arange(-3, 4) ** 2)
     return np.convolve(np.pad(x, 3, mode="edge"), w / w.sum(), "valid")
 
 
+def fused(chars: np.ndarray, links: np.ndarray, marks: np.ndarray, tags: np.ndarray) -> np.ndarray:
+    """Text and punctuation for each tag, less for what is in links."""
+    tags = np.maximum(tags, 1)
+    own = 1 - links / np.maximum(chars, 1)
+    return (np.log1p(chars / tags) + np.log1p(marks / tags)) * own
+
+
+def standing(page: Page, paths: np.ndarray, chars: np.ndarray) -> np.ndarray:
+    """What tags, roles and names say of each path: an article's share of the text for it, the rest against it."""
+    against, article, form = (np.array(x)[paths] for x in (page.against, page.article, page.form))
+    free = against < AGAINST
+    total = max(1.0, chars[free].sum())
+    out = -against
+    inside = article >= 0
+    out[inside] += min(1.0, 4 * chars[free & inside].sum() / total)
+    # A form around most of the page is the page.
+    for f in np.unique(form[form >= 0]).tolist():
+        if chars[free & (form == f)].sum() < 0.5 * total:
+            out[form == f] -= AGAINST
+    return out
+
+
+def content(page: Page) -> set[int]:
+    """The paths whose score reaches the threshold."""
+    sums: dict[int, list[float]] = {}
+    for k, text, linked in page.blocks:
+        p = sums.setdefault(k, [0.0, 0.0, 0.0])
+        p[0] += len(text)
+        p[1] += linked
+        p[2] += MARKS[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)].sum()
+    if not sums:
+        return set()
+    paths = np.array(list(sums))
+    chars, links, marks = np.array(list(sums.values())).T
+    stands = standing(page, paths, chars)
+    base = stands.max()
+    if base <= -AGAINST:
+        return set()
+    tags = np.array(page.tags, float)
+    ratio = fused(chars, links, marks, tags[paths])
+    # Smooth over the paths of one container, in page order, and with the container's ratio.
+    whole = np.zeros((4, len(tags)))
+    whole[0][paths], whole[1][paths], whole[2][paths], whole[3] = chars, links, marks, tags
+    near = np.array(page.container)
+    inner = np.zeros((4, len(tags)))
+    np.add.at(inner, (slice(None), near), whole)
+    around = fused(*inner)[near[paths]]
+    order = np.argsort(near[paths], kind="stable")
+    ratio = np.concatenate([0.5 * r + 0.5 * smoothed(r) for r in np.split(ratio[order], np.flatnonzero(np.diff(near[paths][order])) + 1)])[np.argsort(order)]
+    best = stands >= base - 0.5
+    top = max(1e-9, ratio[best].max())
+    # In an article the article is the container.
+    around = np.where(np.array(page.article)[paths] >= 0, top, np.minimum(around, top))
+    score = stands + 0.5 * np.minimum(ratio / top, 1) + 0.5 * around / top
+    return set(paths[score >= base + LEAST - 1e-9].tolist())
+
+
 def main_text(page: str) -> str:
     """The article's text: blocks in page order joined by one space; empty if nothing passes."""
-    found, counts = blocks(page)
-    paths: dict[str, list[float]] = {}
-    for node, text, linked in found:
-        if not node.bad:
-            p = paths.setdefault(node.key, [0.0, 0.0, 0.0])
-            p[0] += len(text)
-            p[1] += sum(unicodedata.category(c)[0] == "P" for c in text)
-            p[2] += linked
-    if not paths:
-        return ""
-    keys = list(paths)
-    chars, marks, links = np.array([paths[k] for k in keys]).T
-    tags = np.array([counts.get(k, 1) for k in keys])
-    density = smoothed(chars / tags) * 0.5 + 0.5 * chars / tags
-    points = smoothed(marks / tags) * 0.5 + 0.5 * marks / tags
-    fused = density * (1 + points) * (1 - links / np.maximum(chars, 1)) * np.sqrt(tags)
-    limit = 0.5 * fused.std() if len(fused) > 1 else 0.0
-    chosen = {k for k, f in zip(keys, fused, strict=True) if f >= min(limit, fused.max())}
-    # The nearest container of each chosen block, up to an article or main element if there is one.
-    weight: dict[str, float] = {}
-    best: dict[str, str] = {}
-    for node, text, linked in found:
-        if node.key in chosen and not node.bad:
-            at, near, far = node, None, None
-            while at is not None:
-                if at.tag in CONTAINERS and near is None:
-                    near = at
-                if at.tag in ("article", "main"):
-                    far = at
-                at = at.parent
-            key = (far or near or node).key
-            best[node.key] = key
-            weight[key] = weight.get(key, 0.0) + len(text) - linked
-    top = max(weight, key=lambda k: weight[k])
-    inside = {top} | {k for k in weight if weight[k] >= 0.5 * weight[top] and "/article" in top and "/article" in k}
-    # A container beside or around it that holds chosen text belongs to it too, unless an article is marked.
-    if not re.search(r"/(?:article|main)(?=[./#]|$)", top):
-        inside |= {k for k in weight if weight[k] >= 0.2 * weight[top]}
-    under = tuple(k + "/" for k in inside)
-    return " ".join(t for node, t, _ in found if not node.bad and (node.key in inside or node.key.startswith(under)))
+    read = Page(page)
+    chosen = content(read)
+    return " ".join(t for k, t, _ in read.blocks if k in chosen)
 
 
 def extract(pages: DataFrame, id: str = "page_id", page: str = "html", keep: tuple[str, ...] = ("url",)) -> DataFrame:
     """(id, kept columns, text, n_chars) of every row.
 
     Null or empty pages and pages without text give an empty text; broken markup is read as browsers do
-    where that decides the blocks. Nothing is cut. Repeated rows are extracted alike; an empty table gives
-    no rows; other columns are ignored.
+    where that decides the blocks. Content that browsers don't show (templates, fallbacks of media) and
+    form controls are no text; formulas, drawings' labels and ``noscript`` are. Nothing is cut. Repeated
+    rows are extracted alike; an empty table gives no rows; other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,4 +298,11 @@ def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op6_html": op6_html}
-ORACLE: dict[str, str] = {}
+#: SQL for pages that mark their article, without nesting and without boilerplate inside, as the tables' pages do.
+ORACLE = {
+    "op6_html": r"""
+        WITH a AS (SELECT page_id, url, regexp_replace(regexp_extract(coalesce(html, ''), '<article>((?s:.*))</article>', 1), '</?b>', '', 'g') AS h FROM pages),
+        t AS (SELECT page_id, url, regexp_replace(replace(replace(replace(regexp_replace(h, '<[^>]*>', ' ', 'g'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;?', '&', 'g') AS t FROM a),
+        s AS (SELECT page_id, url, trim(regexp_replace(t, '\s+', ' ', 'g')) AS text FROM t)
+        SELECT page_id, url, text, length(text) AS n_chars FROM s"""
+}
