@@ -82,6 +82,61 @@ def test_small_pages(page, text):
     assert html_text.main_text(page) == text
 
 
+PARAGRAPH = "<p>The value is five, and more text follows here.</p>"
+
+
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        (f"<article>{PARAGRAPH}<p class='legal'>Legal words.<p class='response'>A response.<ul class='tags'><li>one, two</ul></article>", "The value is five, and more text follows here. Legal words. A response. one, two"),
+        ("<article><p>The value <math><mi>x</mi></math> is <svg><path d=''/></svg>five<noscript>, shown</noscript></article>", "The value x is five , shown"),
+        (f"<div>{'Two words, and more. ' * 100}</div><div class=outro>{'A short closing, with words. ' * 10}</div>", ("Two words, and more. " * 100 + "A short closing, with words. " * 10).strip()),
+        ("<div><a href=x>Home</a> <a>About</a> <a>News</a></div><div class=c><h1>Title</h1>" + PARAGRAPH * 9 + "</div>", "Title " + " ".join(["The value is five, and more text follows here."] * 9)),
+        (f"<body><form>{PARAGRAPH * 4}</form></body>", " ".join(["The value is five, and more text follows here."] * 4)),
+        (f"<div class='page-with-sidebar'>{PARAGRAPH}</div><div class='left-sidebar'>{PARAGRAPH}</div>", "The value is five, and more text follows here."),
+        (f"<article>{PARAGRAPH}<section id=comments><article class=comment>{PARAGRAPH * 50}</article></section></article>", "The value is five, and more text follows here."),
+        ("<p>a<rp>(<b>y</b></p><p><ruby>k<rp>(</rp><rt>r</rt><rp>)</rp></ruby></p>", "ay kr"),
+        ("<article><p>a</p><select><option>x<option>y</select><video>no</video><template><p>t</template><xmp><b></xmp></article>", "a <b>"),
+        (f"<article>{PARAGRAPH}<div hidden>x, y.</div><div style='display: none'>x, y.</div><p class=ad>Buy.</p></article>", "The value is five, and more text follows here."),
+    ],
+)
+def test_what_counts_as_the_article(page, text):
+    assert html_text.main_text(page) == text
+
+
+def test_deep_and_broken_pages_are_linear():
+    import tracemalloc
+
+    tracemalloc.start()
+    assert html_text.main_text("<div>" * 100_000 + "x") == "x"
+    assert tracemalloc.get_traced_memory()[1] < 100e6
+    tracemalloc.stop()
+    for broken in ("<foo>" * 30_000 + "</x>" * 30_000, "<p><table>" + "<foo>" * 30_000 + "<hr>" * 30_000, '<a "' * 30_000, "<x y=" * 30_000, "<ul><li>" * 20_000, "<!--" * 30_000):
+        assert html_text.main_text(broken) == ""
+
+
+def test_recall_on_generated_pages():
+    """Layouts that are nowhere in the tables: words of the article kept and other words left out, 0.95 or more each."""
+    rnd = random.Random(3)
+    sentence = lambda tag: " ".join(f"{tag}{rnd.randrange(999)}" for _ in range(rnd.randrange(5, 20))) + rnd.choice((".", ", more.", "!"))
+    para = lambda tag: " ".join(sentence(tag) for _ in range(rnd.randrange(1, 6)))
+    kept = wanted = wrong = total = 0
+    for _ in range(150):
+        body = "".join(rnd.choice(("<p>{}</p>", "<p>{}", "<h2>{}</h2>", "<ul><li>{}<li>more</ul>", "<blockquote>{}</blockquote>", "<p>{} <a href=z>link</a></p>", "<p class=legal>{}</p>", "<pre>{}</pre>")).format(para("art")) for _ in range(rnd.randrange(3, 14)))
+        links = "".join(f"<li><a href=/{k}>{sentence('nav')[:20]}</a></li>" for k in range(8))
+        box = rnd.choice(("<article>{}</article>", "<main><div>{}</div></main>", "<div class=content>{}</div>", "<div id=story><section>{}</section></div>", "<table><tr><td>{}</td></tr></table>"))
+        page = "<html><body>" + rnd.choice((f"<nav><ul>{links}</ul></nav>", f"<div><ul>{links}</ul></div>", f"<div class=menu>{links}</div>"))
+        page += rnd.choice(("", f"<div class='cookie-notice'>{para('box')}</div>", f"<header><h1>{sentence('box')}</h1></header>")) + box.format(body)
+        page += rnd.choice(("", f"<div id=comments><p>{para('box')}</p><p>{para('box')}</p></div>", f"<aside>{para('box')}</aside>", f"<div class='ad'>{para('box')}</div>", f"<div class='sidebar'><p>{para('box')}</p></div>"))
+        page += rnd.choice(("", f"<footer>{sentence('box')}</footer>", f"<form>{sentence('box')}<input name=q></form>")) + "</body></html>"
+        got = html_text.main_text(page)
+        wanted += len(re.findall(r"\bart\d", page))
+        kept += len(re.findall(r"\bart\d", got))
+        total += len(re.findall(r"\b(?:nav|box)\d", page))
+        wrong += len(re.findall(r"\b(?:nav|box)\d", got))
+    assert kept / wanted >= 0.95 and wrong / total <= 0.05
+
+
 def test_extract_rows(spark):
     df = spark.createDataFrame([(1, "u", None, "t"), (2, None, "<article><p>" + "long text, of words. " * 20000 + "</article>", "t"), (2, None, "<p>x", "t")], "page_id long, url string, html string, text string")
     got = sorted((r.page_id, r.n_chars, len(r.text)) for r in html_text.extract(df).collect())
@@ -133,6 +188,61 @@ def test_contexts_find_unseen_identifiers(spark):
     assert all(set(map(tuple, r.base)) <= set(map(tuple, r.spans)) for r in out)
 
 
+def test_neighbours_are_whole_words_however_long(spark):
+    """A long word in front, or far away, makes the same pattern at a seed and at an unseen number."""
+    for word, gap in (("x" * 60, " "), ("y" * 150, " "), ("z" * 12_000, " "), ("call", " " * 300)):
+        rows = [(k, f"start of it {word} at{gap}+1 437 555 01{k:02d} today", None) for k in range(5)] + [(9, f"start of it {word} at{gap}555-0199-7 today", None)]
+        got = {r.doc_id: [s.kind for s in r.spans] for r in pii.personal_data(docs(spark, rows)).collect()}
+        assert got[9] == ["phone"], (len(word), len(gap))
+
+
+def test_rounds_go_on_until_nothing_is_new(spark):
+    """A chain: each pattern becomes sure only by tokens that the one before it has made known."""
+    edges = [("p0", f"s{k}", "phone") for k in range(3)]
+    for level in range(7):
+        for k in range(3):
+            edges += [(f"p{level}", f"t{level}-{k}", None), (f"p{level + 1}", f"t{level}-{k}", None)]
+    edges += [("p0", f"s{k}", "phone") for k in range(3, 9)]
+    df = spark.createDataFrame(edges, "pattern string, token string, kind string")
+    assert {r.token for r in pii.discovered(df, sure_token=0.5, sure_pattern=0.5).collect()} == {f"t{level}-{k}" for level in range(7) for k in range(3)}
+
+
+def test_recall_of_unseen_identifiers(spark):
+    """Forms that no base pattern knows, in contexts that known ones share: 0.9 or more found whole, few numbers taken wrongly."""
+    rnd = random.Random(12)
+    number = lambda n: "".join(rnd.choice("0123456789") for _ in range(n))
+    name = lambda: "".join(rnd.choice("abcdefgh") for _ in range(6))
+
+    def card(right: bool) -> str:
+        while True:
+            d = number(16)
+            if luhn(d) == right:
+                return " ".join(d[k : k + 4] for k in range(0, 16, 4))
+
+    known = {"phone": lambda: f"+1 ({number(3)}) {number(3)}-{number(4)}", "email": lambda: f"{name()}@{name()}.com", "card": lambda: card(True), "ip": lambda: ".".join(str(rnd.randrange(256)) for _ in range(4))}
+    unseen = {"phone": lambda: rnd.choice((f"({number(3)}) {number(3)}-{number(4)}", f"{number(3)} {number(3)} {number(4)}", f"{number(3)}-{number(4)}")), "email": lambda: f"{name()} at {name()} dot org", "card": lambda: card(False), "ip": lambda: f"{rnd.randrange(256, 999)}.{number(2)}.{number(2)}.{number(2)}"}
+    before = {"phone": ("please call us", "phone number is", "ring me on"), "email": ("write mail to", "my address is"), "card": ("paid by card", "card number is"), "ip": ("came from host", "logged in from")}
+    rows, want = [], {}
+    for k in range(400):
+        kind = rnd.choice(list(known))
+        new = k % 5 == 0
+        lead = f"{name()} {name()} {rnd.choice(before[kind])} "
+        value = (unseen if new else known)[kind]()
+        rows.append((k, f"{lead}{value}, {name()} said. {name()} in {number(4)} there were {number(5)} {name()}", None))
+        if new:
+            want[k] = (len(lead), len(lead) + len(value), kind)
+    got = {r.doc_id: [(s.start, s.end, s.kind) for s in r.spans if s not in r.base] for r in pii.personal_data(docs(spark, rows)).collect()}
+    caught = sum(w in got[k] for k, w in want.items())
+    wrong = sum(len([s for s in x if s != want.get(k)]) for k, x in got.items())
+    missed = [(rows[k][1], w, got[k]) for k, w in want.items() if w not in got[k]]
+    assert caught / len(want) >= 0.9 and wrong <= 0.05 * len(rows), (caught, len(want), wrong, missed[:12])
+
+
+def test_null_and_repeated_ids(spark):
+    df = docs(spark, [(None, "a@b.cd", None), (None, "1.2.3.4", None), (1, "x", None), (1, "a@b.cd", None)]).withColumnRenamed("doc_id", "base_id")
+    assert sorted((str(r.base_id), len(r.spans)) for r in pii.personal_data(df, "base_id").collect()) == [("1", 0), ("1", 1), ("None", 1), ("None", 1)]
+
+
 # ---------------------------------------------------------------- licences
 
 
@@ -144,26 +254,64 @@ def test_licences(spark):
         (4, "Licensed under CC BY-NC 4.0.\nLicensed under CC BY 4.0.", None), (5, "nothing of the kind", None), (6, None, None), (7, "Licensed under the Strange License, Version 9.", None), (2, "Released under the MIT License.", None),
     ]
     got = sorted((r.doc_id, r.paragraph, r.license) for r in licenses.scan(docs(spark, rows)).collect())
-    assert got == [(1, 1, "MIT"), (2, 0, "MIT"), (2, 0, "MIT"), (3, 0, "unknown"), (4, 0, "CC-BY-NC-4.0"), (4, 1, "CC-BY-4.0"), (7, 0, "unknown")]
+    assert got == [(1, 1, "MIT"), (2, 0, "MIT"), (2, 0, "MIT"), (3, 0, "unknown"), (4, 0, "CC-BY-NC-4.0"), (4, 1, "CC-BY-4.0"), (7, 0, "unknown")], got
     assert licenses.scan(docs(spark, [])).count() == 0
 
 
-def test_scores_equal_a_plain_classifier(spark):
-    classes, weights, bias = licenses.model()
-    texts = [t for _, t in licenses.NOTICES] + list(licenses.OTHERS)
-    rows = [(k, t.replace("\n", " ").replace(". ", " "), None) for k, t in enumerate(texts)]
-    got = {r.doc_id: (r.license, r.probability) for r in licenses.scan(docs(spark, rows)).collect()}
+def plain(text):
+    """The classifier and its confirmation in plain Python: (license, probability)."""
     import numpy as np
 
+    classes, weights, bias = licenses.model()
+    w = licenses.tokens(text)
+    held = {g for n in range(1, licenses.WORDS + 1) for g in licenses.grams(w, n)}
+    known = [g for g in held if g in weights]
+    z = np.array(bias) + sum((np.array(weights[g]) for g in known), np.zeros(len(classes))) / np.sqrt(max(1, len(known)))
+    p = np.exp(z - z.max())
+    p /= p.sum()
+    guess = classes[int(p.argmax())]
+    share = max((len(s & held) / len(s) for f, t in licenses.templates() if f == guess for s in [licenses.shingles(licenses.tokens(t))]), default=0)
+    return guess if guess != licenses.UNKNOWN and p.max() >= 0.5 and share >= 0.8 else licenses.UNKNOWN, float(p.max())
+
+
+#: Wordings and sentences of which none is trained on.
+SAID = ("You may use this under the {}.", "The code is offered under {}.", "Copyright 2020 X. Licensed under {}, see COPYING.", "This package is {} licensed.", "Published under the terms of {}.", "The files here fall under the {}.")
+GRANT_NOTHING = (
+    "He works at MIT.", "MIT published a paper on lakes.", "The Apache tribe lives in the south.", "They drove to the sea without a license.", "The eclipse was seen by many people.", "A boost in sales of software was reported.",
+    "Copyright 2001 The Example Press.", "Permission to land was refused.", "The warranty of the car has ended.", "Public domain books are read by many.", "Her driving licence is valid until May.", "The general public may enter the hall.",
+    "All rights are reserved by the museum.", "The licence of the casino was not renewed.", "The license server is down this week.", "Zlib is used to compress the files.", "The redistribution of seats took a year.",
+    "No part of this book may be copied without permission.", "An apache is a kind of dancer in old films.", "The software was sold for a small fee.",
+)
+
+
+def test_recall_of_wordings_that_were_not_trained_on():
+    found = [(f, plain(m.format(n))[0]) for f, names in licenses.NAMES.items() for n in names for m in SAID]
+    assert sum(f == x for f, x in found) / len(found) >= 0.9
+    assert all(plain(t)[0] == f for f, t in licenses.NOTICES)
+    cut = [(f, plain(" ".join(t.split()[: -max(1, len(t.split()) // 10)]))[0]) for f, t in licenses.NOTICES if len(t.split()) > 20]
+    assert sum(f == x for f, x in cut) / len(cut) >= 0.9
+    assert sum(plain(t)[0] == "unknown" for t in GRANT_NOTHING) / len(GRANT_NOTHING) >= 0.9
+
+
+def test_the_cue_loses_no_template():
+    """More than a fifth of every template's shingles hold a licence word, so a paragraph without one confirms none."""
+    for _, t in licenses.templates():
+        at = [m.span() for m in licenses.TOKEN.finditer(t)]
+        n = min(licenses.WORDS, len(at))
+        held = [t[at[k][0] : at[k + n - 1][1]] for k in range(len(at) - n + 1)]
+        assert sum(bool(re.search(licenses.CUE, x)) for x in held) > 0.2 * len(held), t
+
+
+def test_scores_equal_a_plain_classifier(spark):
+    texts = [t for _, t in licenses.NOTICES] + list(licenses.OTHERS) + [m.format(n) for names in licenses.NAMES.values() for n in names[:1] for m in SAID] + list(GRANT_NOTHING)
+    rows = [(k, t, None) for k, t in enumerate(texts)] + [(9999, "software word " * 2500 + "released under the MIT License", None)]
+    got = {r.doc_id: (r.license, r.probability) for r in licenses.scan(docs(spark, rows)).collect()}
     for k, t, _ in rows:
         if not re.search(licenses.CUE, t):
-            assert k not in got
-            continue
-        w = licenses.tokens(t)
-        z = np.array(bias) + sum((np.array(weights[g]) for n in licenses.GRAMS for g in licenses.grams(w, n) if g in weights), np.zeros(len(classes)))
-        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
-        assert got[k][1] == pytest.approx(p.max())
-        assert got[k][0] == (licenses.NOTICES[k][0] if k < len(licenses.NOTICES) else "unknown")
+            assert k not in got and plain(t)[0] == "unknown"
+        else:
+            label, p = plain(t)
+            assert got[k][1] == pytest.approx(p) and got[k][0] == label, t[:200]
 
 
 # ---------------------------------------------------------------- toxicity
