@@ -137,7 +137,11 @@ SHORT = ("MIT", "ISC", "BSD", "Apache", "Eclipse", "Mozilla", "Boost", "Zlib", "
 #: Frames in which a short name is something else.
 FRAMES = ("He went to {}.", "She studied at {} for a year.", "The {} team won the prize.", "We met people from {} in spring.", "{} has a new building with a license to sell beer.", "The licence of {} in the city was renewed.", "My {} degree.", "{} is near the river.")
 #: A paragraph without any of these confirms no template: enough of each one's shingles hold one (tested).
-CUE = r"(?i:licen[cs]|copyright|permission|permitted|redistribut|public domain|warrant|spdx|gnu\b|gpl|apache|\basl\b|mozilla|\bmpl\b|eclipse|\bepl\b|\bbsd\b|creative commons|\bcc0|\bcc[ -]by|zlib|\bbsl\b|boost software|wtfpl|misrepresented|free to copy|compiled binary|commercial or non|compile, sell|held liable|shall the (?:authors?|copyright)|without any express|software|free of charge|liable|consequential|negligence|you want to public|plainly marked|damages)|\b(?:MIT|ISC|Expat)\b"
+CUE = (
+    r"(?<![A-Za-z0-9])(?:(?i:l(?:icen[cs]|gpl|iable|esser general)|c(?:opyright|c0|c[ -]by|reative commons|ompile(?:, sell|d binary)|ommercial or non|onsequential)|p(?:ermission|ermitted|ublic domain|lainly marked)|re(?:licen[cs]|distribut)"
+    r"|w(?:arrant|tfpl|ithout any express)|s(?:pdx|oftware|ublicen[cs]|hall the (?:authors?|copyright))|g(?:nu\b|pl)|a(?:pache|sl\b|gpl|ffero)|m(?:ozilla|pl\b|isrepresented)|e(?:clipse|pl\b)|b(?:sd\b|sl\b|oost software)|zlib|free (?:to copy|of charge)"
+    r"|held liable|un(?:licen[cs]|encumbered)|negligence|you want to public|damages)|(?:MIT|ISC|Expat)\b)"
+)
 #: A paragraph ends at a line end after a sentence or at an empty line; other line ends only wrap.
 BREAK = r"(?<=[.!?:;])[\x20\t\r]*\n|\n[\x20\t\r]*\n"
 TOKEN = re.compile(r"[^\W_]+(?:[.+-][^\W_]+)*")
