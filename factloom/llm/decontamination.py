@@ -101,10 +101,9 @@ def contained(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: str =
     schema = f"`{id}` {docs.schema[id].dataType.simpleString()}, `{item_id}` {items.schema[item_id].dataType.simpleString()}, n_shingles long, n_shared long, containment double"
     out = None
     for block in blocks(items, item_id, item_text, **bounds):
-        sent = spark.sparkContext.broadcast(Index(block, n, least))
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            index, hashes = sent.value, Hashes()
+        # Captured, not broadcast: functions travel by value, a broadcast's classes would not.
+        def run(batches: Iterator[pa.RecordBatch], index=Index(block, n, least)) -> Iterator[pa.RecordBatch]:
+            hashes = Hashes()
             for batch in batches:
                 rows = [(d, index.ids[i], len(index.shingles[i]), k) for d, t in zip(batch.column(0), batch.column(1), strict=True) for i, k in index.search(t.as_py(), hashes)]
                 cols = list(zip(*rows, strict=True)) or [[]] * 4
@@ -121,12 +120,11 @@ def contained(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: str =
 
 def without_items(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = WORDS, least: float = LEAST, **bounds) -> DataFrame:
     """The rows of ``docs``, all columns, that hold no item: nothing is shuffled. The rules of ``contained`` hold."""
-    spark, at = docs.sparkSession, docs.columns.index(text)
+    at = docs.columns.index(text)
     for block in blocks(items, item_id, item_text, **bounds):
-        sent = spark.sparkContext.broadcast(Index(block, n, least))
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            index, hashes = sent.value, Hashes()
+        def run(batches: Iterator[pa.RecordBatch], index=Index(block, n, least)) -> Iterator[pa.RecordBatch]:
+            hashes = Hashes()
             for batch in batches:
                 yield batch.filter(pa.array([not index.search(t.as_py() or "", hashes) for t in batch.column(at)], pa.bool_()))
 
@@ -138,13 +136,15 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-SHINGLES = r"""SELECT DISTINCT id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s
-    FROM (SELECT {id} AS id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+') AS w FROM {table}) WHERE len(w) > 4"""
 ORACLE = {
-    "op9_decontamination": f"""
-        WITH d AS ({SHINGLES.format(id="doc_id", table="documents")}), b AS ({SHINGLES.format(id="item_id", table="benchmark")}),
+    "op9_decontamination": r"""
+        WITH words AS (SELECT 'd' AS side, doc_id AS id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM documents
+            UNION ALL SELECT 'b', item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') FROM benchmark),
+        items AS (SELECT id, w, least(5, len(w)) AS k FROM words WHERE side = 'b' AND len(w) > 0),
+        b AS (SELECT DISTINCT id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS s FROM items),
+        d AS (SELECT DISTINCT id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS s FROM words, (SELECT DISTINCT k FROM items) WHERE side = 'd' AND len(w) >= k),
         n AS (SELECT id, count(*) AS n_shingles FROM b GROUP BY id)
         SELECT d.id AS doc_id, b.id AS item_id, any_value(n_shingles) AS n_shingles, count(*) AS n_shared, count(*) / any_value(n_shingles) AS containment
-        FROM b JOIN d USING (s) JOIN n ON n.id = b.id GROUP BY d.id, b.id HAVING count(*) >= 0.8 * any_value(n_shingles) - 1e-9"""
+        FROM b JOIN d USING (k, s) JOIN n ON n.id = b.id GROUP BY d.id, b.id HAVING count(*) >= 0.8 * any_value(n_shingles) - 1e-9"""
 }
 QUERIES = {"op9_decontamination": op9_decontamination}
