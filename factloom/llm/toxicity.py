@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 
 from .common import table, text_of
 
+#: The sample's bounds: labelled documents of each class, and characters of all together.
 MOST = 1500
+MOST_CHARS = 60_000_000
 CUE = 25.0
 FEATURES = 4000
 CHUNK = 128
@@ -32,6 +34,12 @@ TOKEN = re.compile(r"[^\W\d_]+")
 BEGINNINGS = (4, 5, 6)
 
 
+def tokens_of(text: str) -> list[str]:
+    """Words in lower case; word k is that of the k-th match in the text itself, also where lowering changes lengths."""
+    low = text.lower()
+    return TOKEN.findall(low) if len(low) == len(text) else [t.lower() for t in TOKEN.findall(text)]
+
+
 def features(token: str) -> list[str]:
     return [token, *(f"{token[:k]}*" for k in BEGINNINGS if len(token) > k)]
 
@@ -132,7 +140,7 @@ class Model:
 
 def fit(rows: list[tuple[str, int]], share: float) -> Model:
     """``rows``: (text, label) in a fixed order; every fourth one is kept for the score. ``share``: of label 1 among all labels."""
-    texts = [TOKEN.findall(t.lower()) for t, _ in rows]
+    texts = [tokens_of(t) for t, _ in rows]
     labels = [y for _, y in rows]
     seen, of = {0: Counter(), 1: Counter()}, Counter(y for k, y in enumerate(labels) if k % 4)
     for k, (tokens, y) in enumerate(zip(texts, labels, strict=True)):
@@ -209,8 +217,12 @@ def fit(rows: list[tuple[str, int]], share: float) -> Model:
     return model
 
 
-def sample(docs: DataFrame, labels: DataFrame, id: str, text: str, label: str, most: int = MOST) -> tuple[list[tuple[str, int]], float]:
-    """At most ``most`` labelled texts of each class, and the share of label 1. Null labels don't count."""
+def sample(docs: DataFrame, labels: DataFrame, id: str, text: str, label: str, most: int = MOST, chars: int = MOST_CHARS) -> tuple[list[tuple[str, int]], float]:
+    """At most ``most`` labelled texts of each class and ``chars`` characters, and the share of label 1.
+
+    Null labels don't count. Of an id that comes repeatedly the text with the smallest hash is taken, whole;
+    texts that would exceed the characters are left out in the order of the ids' hashes.
+    """
     spark = docs.sparkSession
     own = labels.where(F.col(label).isin(0, 1) & F.col(id).isNotNull()).select(F.col(id).alias("_id"), F.col(label).cast("int").alias("_y"))
     counts = {r[0]: r[1] for r in own.groupBy("_y").count().collect()}
@@ -218,8 +230,16 @@ def sample(docs: DataFrame, labels: DataFrame, id: str, text: str, label: str, m
     if not chosen:
         return [], 0.0
     few = F.broadcast(spark.createDataFrame(chosen, own.schema))  # 2 * most rows
-    rows = docs.select(F.col(id).alias("_id"), text_of(text).alias("_t")).join(few, "_id").select("_id", "_t", "_y").collect()
-    rows = sorted(set(map(tuple, rows)), key=lambda r: (hash_of(r[0]), r[1]))
+    found = docs.select(F.col(id).alias("_id"), text_of(text).alias("_t")).join(few, "_id").withColumns({"_h": F.xxhash64("_t"), "_n": F.length("_t")})
+    first = found.groupBy("_id", "_y").agg(F.min(F.struct("_h", "_n")).alias("m")).select("_id", "_y", "m.*").collect()  # 2 * most rows or, under repeated labels, twice that
+    left, kept = chars, []
+    for r in sorted(first, key=lambda r: (hash_of(r["_id"]), r["_y"])):
+        if r["_n"] <= left:
+            left -= r["_n"]
+            kept.append((r["_id"], r["_y"], r["_h"]))
+    chosen = F.broadcast(spark.createDataFrame(kept, f"_id {own.schema['_id'].dataType.simpleString()}, _y int, _h long"))
+    rows = found.join(chosen, ["_id", "_y", "_h"]).groupBy("_id", "_y").agg(F.first("_t").alias("_t")).select("_id", "_t", "_y").collect()
+    rows = sorted(map(tuple, rows), key=lambda r: (hash_of(r[0]), r[2], r[1]))
     return [(t, y) for _, t, y in rows], counts.get(1, 0) / max(1, sum(counts.values()))
 
 
@@ -241,7 +261,6 @@ def scorer(model: Model, text_at: int) -> Callable[[pa.RecordBatch], tuple[list[
             for (t, _), p in zip(held, model.marginals([x for _, x in held]), strict=True):
                 scores.append(model.score(p))
                 hot = set(np.flatnonzero(p >= 0.5).tolist()) if len(p) else ()
-                # lower() may change a text's length; offsets are those of the text itself where it does not.
                 spans.append(",".join(f"{m.start()}:{m.end()}" for k, m in enumerate(TOKEN.finditer(t)) if k in hot) if hot else "")
             held.clear()
             if len(model.types) > 100_000:
@@ -249,8 +268,8 @@ def scorer(model: Model, text_at: int) -> Callable[[pa.RecordBatch], tuple[list[
 
         total = 0
         for t in batch.column(text_at):
-            t = (t.as_py() or "").lower()
-            x = model.ids(TOKEN.findall(t))
+            t = t.as_py() or ""
+            x = model.ids(tokens_of(t))
             held.append((t, x))
             total += len(x)
             if total >= TOKENS or len(model.types) > 100_000:
@@ -270,10 +289,10 @@ def score(docs: DataFrame, labels: DataFrame, train: Column, id: str = "doc_id",
     gives no rows; other columns are ignored.
     """
     rows, share = sample(docs, labels.where(train), id, text, label, most)
-    sent = docs.sparkSession.sparkContext.broadcast(fit(rows, share))
+    model = fit(rows, share)  # captured: it travels by value
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = scorer(sent.value, 1)
+        of = scorer(model, 1)
         for batch in batches:
             scores, spans = of(batch)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(spans, pa.string())], [id, "score", "spans"])
@@ -285,10 +304,10 @@ def score(docs: DataFrame, labels: DataFrame, train: Column, id: str = "doc_id",
 def without_toxic(docs: DataFrame, corpus: DataFrame, labels: DataFrame, train: Column, id: str = "doc_id", text: str = "text", label: str = "toxic", least: float = 0.5, most: int = MOST) -> DataFrame:
     """The rows of ``docs``, all columns, whose score is below ``least``; the model is learnt from ``corpus``."""
     rows, share = sample(corpus, labels.where(train), id, text, label, most)
-    sent, at = docs.sparkSession.sparkContext.broadcast(fit(rows, share)), docs.columns.index(text)
+    model, at = fit(rows, share), docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = scorer(sent.value, at)
+        of = scorer(model, at)
         for batch in batches:
             yield batch.filter(pa.array([s < least for s in of(batch)[0]], pa.bool_()))
 
@@ -296,7 +315,8 @@ def without_toxic(docs: DataFrame, corpus: DataFrame, labels: DataFrame, train:
 
 
 def held_out(id: str = "doc_id") -> Column:
-    return F.crc32(F.col(id).cast("string")) % 5 == 0
+    """Whether a row is kept from learning; a null id is not, as it has no label."""
+    return F.coalesce(F.crc32(F.col(id).cast("string")) % 5 == 0, F.lit(False))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
