@@ -93,11 +93,11 @@ def mix(docs: DataFrame, members: Column, id: str = "doc_id", text: str = "text"
 
     ``members`` is an array of sources. Documents are taken whole but for the
     last one of a flow, which gives its first words: a flow is met to the word. Size is the number of words; a null text has none; a null
-    source is a source of its own. Repeated rows are separate documents in the order; ties are ordered by
-    id. Without words everything is 0; an empty table gives no rows.
+    source is a source of its own; null or empty ``members`` are no source, and the mix takes nothing of them. Repeated
+    rows are separate documents in the order; ties are ordered by id and size. Without words everything is 0; an empty table gives no rows.
     """
     order = F.xxhash64(F.col(id).cast("string"), F.lit(seed))
-    sizes = docs.select(F.col(id), F.array_sort(F.array_distinct(members)).alias("members"), F.regexp_count(text_of(text), F.lit(WORD)).cast("long").alias("size"), order.alias("_h"))
+    sizes = docs.select(F.col(id), F.array_sort(F.array_distinct(F.coalesce(members, F.array().cast("array<string>")))).alias("members"), F.regexp_count(text_of(text), F.lit(WORD)).cast("long").alias("size"), order.alias("_h"))
     sizes = checkpointed(sizes.withColumn("_bucket", F.shiftrightunsigned("_h", 64 - BUCKET_BITS)))
     sums = sizes.groupBy("members", "_bucket").agg(F.sum("size").alias("n"))
     w = Window.partitionBy("members").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -121,7 +121,7 @@ def mix(docs: DataFrame, members: Column, id: str = "doc_id", text: str = "text"
     both = sizes.join(F.broadcast(plan), "members")
     whole = sum((F.when(F.col("_bucket") < F.col("ends")[k], F.col("size")).otherwise(0) for k in range(repeats)), F.lit(0))
     on_end = F.array_contains("ends", F.col("_bucket"))
-    w = Window.partitionBy("members", "_bucket").orderBy("_h", id).rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy("members", "_bucket").orderBy("_h", id, "size").rowsBetween(Window.unboundedPreceding, -1)
     last = both.where(on_end).withColumn("_run", F.coalesce(F.sum("size").over(w), F.lit(0)))
     left = [F.col("quotas")[k] - F.col("before")[k] - F.col("_run") for k in range(repeats)]
     part = sum((F.when(F.col("_bucket") == F.col("ends")[k], F.greatest(F.lit(0), F.least("size", left[k]))).otherwise(0) for k in range(repeats)), F.lit(0))
