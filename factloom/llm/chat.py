@@ -77,6 +77,11 @@ def fingerprint(columns: set[str], mappings=MAPPINGS) -> Column:
     return F.xxhash64(F.concat_ws("\n", *[F.when(_present(p), F.lit(p)) for p in _known(columns, mappings)]))
 
 
+def _variants(m: Mapping, paths: tuple[str, ...]) -> list[tuple[str, ...]]:
+    """A list whose elements lack one of the two fields everywhere still is that list."""
+    return [paths] if not m.each else [tuple(sorted({*paths} - {*gone})) for gone in ((), *[(p,) for p in m.paths])]
+
+
 def _turns(m: Mapping, layout: tuple[str, ...]) -> Column:
     text = lambda c: F.coalesce(c, F.lit("")).alias("text")
     system = [F.array(F.struct(F.lit("system").alias("role"), text(F.col("system"))))] if "system" in layout and m.each else []
@@ -92,30 +97,36 @@ def _turns(m: Mapping, layout: tuple[str, ...]) -> Column:
 def canonical(records: DataFrame, mappings=MAPPINGS) -> DataFrame:
     """Adds ``layout`` (the mapping's name) and ``turns``; both are null where no mapping has the fingerprint.
 
-    Null texts and roles become empty; list elements keep their order; an empty list has no paths, so no
-    mapping. Other columns stay; an empty table stays empty.
+    A record that has more known paths than one mapping names goes by the first mapping, in their order,
+    that has the fingerprint of its own paths in it: the other fields are beside the conversation. Null
+    texts and roles become empty; list elements keep their order; an empty list has no paths, so no
+    mapping. Columns called ``layout`` or ``turns`` that no mapping reads are replaced; the others stay; an
+    empty table stays empty.
     """
     columns = set(records.columns)
-    mark, layout, turns = fingerprint(columns, mappings), None, None
     known = set(_known(columns, mappings))
-    for m in mappings:
-        for paths in m.layouts():
-            # A list whose elements lack one of the two fields everywhere still is that list.
-            variants = [paths] if not m.each else [tuple(sorted({*paths} - {*gone})) for gone in ((), *[(p,) for p in m.paths])]
-            for v in variants:
-                if {*paths} <= known:
-                    here = F.col("_mark") == F.xxhash64(F.lit("\n".join(v)))
-                    layout = F.when(here, m.name) if layout is None else layout.when(here, m.name)
-                    turns = F.when(here, _turns(m, paths)) if turns is None else turns.when(here, _turns(m, paths))
-    out = records.withColumn("_mark", mark)
-    if layout is None:
-        return out.withColumns({"layout": F.lit(None).cast("string"), "turns": F.lit(None).cast(TURNS)}).drop("_mark")
-    return out.withColumns({"layout": layout, "turns": turns}).drop("_mark")
+    told = []  # (whether a record has it, name, turns): the whole fingerprint first, then each mapping's own
+    whole = fingerprint(columns, mappings)
+    for own in (False, True):
+        for m in mappings:
+            mark = fingerprint(columns, (m,)) if own else whole
+            told += [(mark == F.xxhash64(F.lit("\n".join(v))), m.name, _turns(m, paths)) for paths in m.layouts() if {*paths} <= known for v in _variants(m, paths)]
+    layout, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
+    for here, name, made in reversed(told):
+        layout, turns = F.when(here, name).otherwise(layout), F.when(here, made).otherwise(turns)
+    return records.withColumns({"layout": layout, "turns": turns})
 
 
 def from_json(records: DataFrame, column: str) -> DataFrame:
-    """Heterogeneous JSON texts as the columns that ``canonical`` reads; other columns stay."""
-    return records.withColumn("_r", F.from_json(column, SCHEMA)).select(*[c for c in records.columns], "_r.*")
+    """Heterogeneous JSON texts as the columns that ``canonical`` reads.
+
+    Other columns stay, but for those called like a field of the JSON, which gives way to it. Texts that are
+    no JSON object have no fields.
+    """
+    spark = records.sparkSession
+    fields = spark.createDataFrame([], SCHEMA).columns
+    own = [F.col(f"`{c}`") for c in records.columns if c not in fields]
+    return records.select(*own, F.from_json(F.col(f"`{column}`"), SCHEMA).alias("_json")).select(*own, *[F.col("_json")[f].alias(f) for f in fields])
 
 
 def escaped(text: Column) -> Column:
@@ -127,14 +138,18 @@ def unescaped(text: Column) -> Column:
 
 
 def formatted(records: DataFrame) -> DataFrame:
-    """Adds ``formatted`` and ``loss`` (start and end, code points, of each assistant text in it) from ``turns``; null turns are none."""
+    """Adds ``formatted`` and ``loss`` (start and end, code points, of each assistant text in it) from ``turns``.
+
+    A record without a mapping (null turns) has neither: both are null, so it can be told from one without turns.
+    """
     parts = F.transform(F.coalesce("turns", F.array().cast(TURNS)), lambda t: F.struct(t["role"].alias("role"), F.concat(F.lit(START), escaped(t["role"]), F.lit(SEP)).alias("head"), escaped(t["text"]).alias("body")))
     step = lambda acc, t: F.struct(
         (acc["at"] + F.length(t["head"]) + F.length(t["body"]) + len(END)).alias("at"),
         F.when(t["role"] == "assistant", F.concat(acc["loss"], F.array(F.struct((acc["at"] + F.length(t["head"])).alias("start"), (acc["at"] + F.length(t["head"]) + F.length(t["body"])).alias("end"))))).otherwise(acc["loss"]).alias("loss"),
     )
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("loss"))
-    return records.withColumn("_parts", parts).withColumns({"formatted": F.array_join(F.transform("_parts", lambda t: F.concat(t["head"], t["body"], F.lit(END))), ""), "loss": F.aggregate("_parts", zero, step)["loss"]}).drop("_parts")
+    some = F.col("turns").isNotNull()
+    return records.withColumns({"formatted": F.when(some, F.array_join(F.transform(parts, lambda t: F.concat(t["head"], t["body"], F.lit(END))), "")), "loss": F.when(some, F.aggregate(parts, zero, step)["loss"])})
 
 
 def read_back(text: Column) -> Column:
@@ -151,7 +166,10 @@ def masked(text: Column, loss: Column) -> Column:
 
 
 def gathered(rows: DataFrame, id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """One record for each conversation with a ``messages`` list, ordered by turn (null first), then role and text."""
+    """One record for each conversation with a ``messages`` list, ordered by turn (null first), then role and text.
+
+    A conversation is one record, so it has to fit in one row of an executor; conversations are dealt out by id.
+    """
     own = F.struct(F.col(turn).alias("turn"), F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("content"))
     return rows.groupBy(id).agg(F.transform(F.sort_array(F.collect_list(own)), lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))).alias("messages"))
 
