@@ -29,7 +29,7 @@ WINDOW = 20
 GRAM = 6
 #: log2 of the Bloom filter's bits: 16 MB for the driver and each Python worker, at any input size.
 BLOOM_BITS = 27
-#: A hash with more segments than this and more than 1/2000 of all is spread window by window.
+#: A hash with more segments than this is spread window by window.
 COMMON = 50_000
 PIECE = 31
 CHUNK_WORDS = 400_000
@@ -132,15 +132,6 @@ def repeats(segments: list[bytes], docs: np.ndarray, starts: np.ndarray, window:
     return masks
 
 
-def sliding(best, x: np.ndarray, span: int) -> np.ndarray:
-    """``best`` (minimum or maximum) of every ``span`` consecutive elements."""
-    width, out = 1, x
-    while width * 2 <= span:
-        out = best(out[:-width], out[width:])
-        width *= 2
-    return best(out[: len(out) - (span - width)], out[span - width :])
-
-
 class Windows:
     """All windows of the texts of an Arrow binary array, and for each its mark: the smallest hash of its grams."""
 
@@ -230,12 +221,12 @@ def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int =
     """One row per document: id, n_words, n_removed, kept_sha256, kept (the words that stay, joined by a space).
 
     A word goes if a window over it also starts earlier (smaller id, or same document and earlier). Null
-    and empty texts have no words; texts shorter than a window keep all. Null ids come after all others;
+    and empty texts have no words; texts shorter than a window keep all. Ids are ordered as integers; null
+    ids and those that are none come after all others;
     rows with one id are the same place: none removes from the other. An empty table gives no rows;
     other columns are ignored. Windows have up to 31 words.
     """
-    spark = docs.sparkSession
-    base = docs.select(F.coalesce(F.col(id).cast("long"), F.lit(2**63 - 1)).alias("_o"), F.xxhash64(text_of(text)).alias("_h"), text_of(text).alias("_t"))
+    base = docs.select(F.coalesce(F.expr(f"try_cast(`{id}` AS BIGINT)"), F.lit(2**63 - 1)).alias("_o"), F.xxhash64(text_of(text)).alias("_h"), F.col(id).alias("_id"), text_of(text).alias("_t"))
 
     def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -250,18 +241,18 @@ def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int =
     found = cells.toArrow()  # one row for each 64-bit cell of the filter at most
     bits = np.zeros(1 << (BLOOM_BITS - 6), np.uint64)
     bits[found["cell"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
-    common: list[int] = []
+    common = np.empty(0, np.int64)
     if found["most"].null_count < len(found):
-        total = counts.agg(F.sum("n")).first()[0]
-        common = [r[0] for r in counts.where(F.col("n") > max(COMMON, total // 2000)).select("mark").collect()]  # 2000 at most
-    sent = spark.sparkContext.broadcast(Filter(bits, np.array(common, np.int64).view(np.uint64)))
+        common = counts.where(F.col("n") > COMMON).select("mark").toArrow()["mark"].to_numpy()  # 8 bytes for COMMON places at least
+    # Captured, not broadcast: functions travel by value, a broadcast's classes would not.
+    kept = Filter(bits, np.array(common, np.int64).view(np.uint64))
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 ids = part.column(0).to_pylist()
                 own: dict[tuple[int, bytes], list] = {}
-                for key, row, place, _, segment in Windows(part.column(1).cast(pa.binary()), window).segments(sent.value):
+                for key, row, place, _, segment in Windows(part.column(1).cast(pa.binary()), window).segments(kept):
                     seen = own.setdefault((row, segment), [key, place, 0])
                     seen[1], seen[2] = min(seen[1], place), seen[2] + 1
                 yield segment_batch([(key, segment, ids[row], place, n) for (row, segment), (key, place, n) in own.items()])
@@ -271,7 +262,7 @@ def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int =
         return pa.RecordBatch.from_arrays([signed(key), pa.array(segment, pa.binary()), pa.array(o, pa.int64()), pa.array(start, pa.int64()), pa.array(n, pa.int64())], ["key", "segment", "o", "start", "n"])
 
     distinct = base.select("_o", "_t").mapInArrow(texts, "key long, segment binary, o long, start long, n long")
-    distinct = distinct.groupBy("key", "segment").agg(F.min("o").alias("o"), F.min_by("start", "o").alias("start"), F.sum("n").alias("n"))
+    distinct = distinct.groupBy("key", "segment").agg(F.min(F.struct("o", "start")).alias("first"), F.sum("n").alias("n")).select("key", "segment", "first.*", "n")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, words = [], 0
@@ -287,12 +278,12 @@ def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int =
             held.append(batch)
             words += batch.num_rows * (window + 7)
             if words >= CHUNK_WORDS:
-                whole = pa.Table.from_batches(held)
-                keys = whole["key"].to_numpy()
-                cut = int(np.searchsorted(keys, keys[-1]))  # the last key's segments may go on
-                if cut:
-                    yield done(whole.slice(0, cut))
-                    held, words = whole.slice(cut).to_batches(), (len(keys) - cut) * (window + 7)
+                # The last key's segments may go on; where it begins is sought in this batch, and before it only if it fills the batch.
+                keys = batch.column(0).to_numpy()
+                cut = int(np.searchsorted(keys, keys[-1]))
+                if cut or len(held) > 1 and held[-2].column(0)[-1].as_py() != keys[-1]:
+                    yield done(pa.Table.from_batches([*held[:-1], batch.slice(0, cut)]))
+                    held, words = [batch.slice(cut)], (len(keys) - cut) * (window + 7)
         if held:
             yield done(pa.Table.from_batches(held))
 
@@ -302,7 +293,7 @@ def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int =
         for batch in batches:
             for part in slices(batch):
                 ids, hs = part.column(0).to_pylist(), part.column(1).to_pylist()
-                found = Windows(part.column(2).cast(pa.binary()), window).segments(sent.value)
+                found = Windows(part.column(2).cast(pa.binary()), window).segments(kept)
                 yield member_batch([(xxhash.xxh3_128_digest(x), ids[row], hs[row], place, n) for _, row, place, n, x in found])
 
     def member_batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -333,11 +324,11 @@ def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int =
                     kept.append(b" ".join(words))
                 texts = pa.array(kept, pa.binary()).cast(pa.string())
                 shas = pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), shas, texts], ["_o", "n_words", "n_removed", "kept_sha256", "kept"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), shas, texts], ["_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
-    both = base.join(by_doc.hint("merge"), ["_o", "_h"], "left").select("_o", "_t", "starts", "masks")
-    out = both.mapInArrow(cut, "_o long, n_words long, n_removed long, kept_sha256 string, kept string")
-    return out.select(F.nullif(F.col("_o"), F.lit(2**63 - 1)).alias(id), "n_words", "n_removed", "kept_sha256", "kept")
+    both = base.join(by_doc.hint("merge"), ["_o", "_h"], "left").select("_id", "_t", "starts", "masks")
+    out = both.mapInArrow(cut, f"_id {docs.schema[id].dataType.simpleString()}, n_words long, n_removed long, kept_sha256 string, kept string")
+    return out.select(F.col("_id").alias(id), "n_words", "n_removed", "kept_sha256", "kept")
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
