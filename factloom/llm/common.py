@@ -18,12 +18,15 @@ WORD = rf"[^{SPACE}]+"
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder of this session, which all executors share.
 
-    It is the one that ``spark.checkpoint.dir`` names; only where that is unset (tests on one machine) is a
-    temporary one made.
+    It is the one that ``spark.checkpoint.dir`` names; only where that is unset and all runs on one machine
+    is a temporary one made. On a cluster an unset one is an error.
     """
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -141,17 +144,17 @@ def shingle_hashes(words: list[bytes], n: int, seed: int) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, map(b" ".join, runs), repeat(seed)), np.uint64, count)
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root): root is the smallest node that can be reached; one row for each node on an edge.
 
     Alternating large-star and small-star steps. Edges stay as many as nodes or fewer, a hub's edges are
     minimised before the shuffle, and joins on a hub are left to the adaptive skew join. Lineage is cut
-    every round. Null ends are ignored.
+    every round; rounds go on until one changes nothing, some log(n) squared of them. Null ends are ignored.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct()
     e = checkpointed(e)
     before = None
-    for _ in range(rounds):
+    while not e.isEmpty():
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
@@ -162,7 +165,5 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
         if now == before:
             break
         before = now
-    else:
-        raise RuntimeError("components did not settle")
     roots = e.select(F.col("v").alias("node")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots.select("node", F.col("node").alias("root")))
