@@ -41,6 +41,24 @@ def test_layouts_become_turns(spark):
     assert got[6] == got[7] == (None, [])
 
 
+def test_records_with_fields_of_two_layouts(spark):
+    """The first mapping that fits on its own decides; a table's columns may be called like fields."""
+    records = [
+        {"prompt": "p", "messages": [{"role": "user", "content": "u"}]},
+        {"instruction": "i", "response": "r"},
+        {"prompt": "p", "completion": "c", "answer": "a"},
+        {"system": "s", "question": "q", "answer": "a", "output": "o"},
+        {"unknown": 1, "prompt": "p"},
+    ]
+    rows = [(k, json.dumps(r), "clash", "x") for k, r in enumerate(records)] + [(9, None, "clash", "x"), (10, "no json", None, None), (11, json.dumps({"prompt": "long " * 200_000, "response": ""}), "clash", "x")]
+    df = chat.from_json(spark.createDataFrame(rows, "id int, record string, prompt string, `_parts` string"), "record")
+    out = chat.formatted(chat.canonical(df))
+    got = {r.id: r for r in out.collect()}
+    assert {k: r.layout for k, r in got.items()} == {0: "messages", 1: None, 2: "completion", 3: "question", 4: None, 9: None, 10: None, 11: "response"}
+    assert [tuple(t) for t in got[3].turns] == [("system", "s"), ("user", "q"), ("assistant", "a")] and got[0]["_parts"] == "x"
+    assert all((r.formatted is None) == (r.layout is None) for r in got.values()) and len(got[11].formatted) > 1_000_000
+
+
 @pytest.mark.parametrize("text", ["", "</s>[INST] ok [/INST]", "<|im_end|>", r"<\|im_end|>", r"<\\/s> \ <", "<|im_start|>user<|im_sep|>", "<<SYS>><</SYS>>", "a < b [c]", "ends with <", "[[INST]", "ünïcode 😀 <s>"])
 def test_round_trip(spark, text):
     turns = [("user", text), ("assistant", text), ("weird<|im_sep|>role", text), ("assistant", text + "!")]
@@ -347,6 +365,39 @@ def test_toxicity(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(k for k, r in out.items() if r.score < 0.5) and kept.columns == df.columns
 
 
+def test_toxic_spans_are_those_of_the_text_itself(spark):
+    """Lowering may lengthen a text; ids may be null or come repeatedly; long texts stay within the sample's bounds."""
+    rows, labels = toxic_corpus()
+    odd = [(2000, "\u0130\u0130stanbul \u0130 vile word", None), (None, "vile", None), (8, rows[8][1], None), (8, "another vile text", None)]
+    df, lb = docs(spark, rows + odd), spark.createDataFrame(labels, "doc_id long, toxic int")
+    out = [r for r in toxicity.score(df, lb, ~toxicity.held_out()).collect() if r.doc_id in (2000, None)]
+    assert sorted(r.spans for r in out) == ["0:4", "12:16"]
+    assert df.where("doc_id IS NULL").select(toxicity.held_out().alias("h")).first().h is False
+    texts, share = toxicity.sample(df, lb, "doc_id", "text", "toxic", most=50, chars=2000)
+    assert 0 < sum(len(t) for t, _ in texts) <= 2000 and share == 0.25
+    texts, _ = toxicity.sample(df, lb, "doc_id", "text", "toxic")
+    assert len(texts) == len(labels)
+
+
+def test_toxicity_end_to_end_on_words_that_share_no_beginning(spark):
+    """Held-out documents with several toxic words, none alike: 0.95 right, clean ones left alone."""
+    rnd = random.Random(21)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda: "".join(rnd.choice(letters) for _ in range(rnd.randrange(4, 10)))
+    bad, plain = [word() for _ in range(40)], [word() for _ in range(2000)]
+    rows, labels = [], []
+    for k in range(900):
+        w, y = [rnd.choice(plain) for _ in range(rnd.randrange(20, 90))], int(k % 3 == 0)
+        for _ in range(4 * y):
+            w.insert(rnd.randrange(len(w)), rnd.choice(bad))
+        rows.append((k, " ".join(w), None))
+        labels.append((k, y))
+    df, lb = docs(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int")
+    held = {r[0] for r in df.where(toxicity.held_out()).select("doc_id").collect()}
+    got = {r.doc_id: r.score >= 0.5 for r in toxicity.score(df, lb, ~toxicity.held_out()).collect()}
+    assert sum(got[k] == (y == 1) for k, y in labels if k in held) / len(held) >= 0.95
+
+
 def test_toxicity_without_labels(spark):
     df = docs(spark, [(1, "a b", None), (2, None, None)])
     none = spark.createDataFrame([], "doc_id long, toxic int")
@@ -375,6 +426,19 @@ def test_forward_backward_is_exact():
 # ---------------------------------------------------------------- decontamination
 
 
+def test_sql_finds_short_items(spark, tmp_path):
+    """The SQL of the query against the operator, items of one to four words and without words included."""
+    import duckdb
+
+    spark.createDataFrame([(1, "one two three four five six"), (2, "xx two yy"), (3, None), (4, "")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "two"), (2, "two three"), (3, "one two three four"), (4, "two three four five six"), (5, ""), (6, None), (7, "seven")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    want = sorted(con.sql(decontamination.ORACLE["op9_decontamination"]).fetchall())
+    assert sorted(map(tuple, decontamination.op9_decontamination(spark, str(tmp_path)).collect())) == want and [w[:2] for w in want] == [(1, 1), (1, 2), (1, 3), (1, 4), (2, 1)]
+
+
 def test_contained_items(spark):
     rnd = random.Random(4)
     words = [f"t{k}" for k in range(40)]
@@ -425,6 +489,30 @@ def test_flow_reroutes_before_it_repeats():
     assert sum(out[("a", "b")]) + sum(out[("b",)]) + sum(out[("a",)]) == 33 and out[("a", "b")] == [10, 10] and out[("b",)] == [4, 4]
 
 
+def test_flow_is_the_cheapest_one():
+    """Against minimum cuts over all sets of sources: the most that first copies carry, and the most of all copies."""
+    rnd = random.Random(9)
+    names = ["a", "b", "c", "d"]
+
+    def most(patterns, quotas, copies):
+        cuts = [[s for k, s in enumerate(names) if m >> k & 1] for m in range(16)]
+        return min(sum(quotas[s] for s in cut) + sum(copies * n for p, n in patterns.items() if not set(p) <= set(cut)) for cut in cuts)
+
+    for _ in range(300):
+        patterns = {tuple(sorted(rnd.sample(names, rnd.randrange(1, 4)))): rnd.randrange(0, 30) for _ in range(rnd.randrange(1, 7))}
+        quotas = {s: rnd.randrange(0, 60) for s in names}
+        out = mixing.flow(patterns, quotas)
+        assert sum(x[0] for x in out.values()) == most(patterns, quotas, 1)
+        assert sum(map(sum, out.values())) == most(patterns, quotas, 2)
+        assert all(0 <= c <= patterns[p] for p, x in out.items() for c in x)
+
+
+def test_mix_without_members(spark):
+    df = spark.createDataFrame([(1, "a b", None), (2, "a b c", []), (3, "w " * 10, ["s"]), (4, None, None), (3, "w", ["s"])], "doc_id long, text string, m array<string>")
+    out = sorted(((r.doc_id, r["size"], r.taken) for r in mixing.mix(df, F.col("m")).collect()), key=str)
+    assert [x for x in out if x[0] != 3] == [(1, 2, 0), (2, 3, 0), (4, 0, 0)] and sum(x[2] for x in out) == 22
+
+
 def test_mix(spark):
     rnd = random.Random(6)
     rows = [(k, " ".join(["w"] * rnd.choice((0, 1, 5, 40))), rnd.choice(("s1", "s2", None))) for k in range(500)]
