@@ -7,12 +7,16 @@ probed and each candidate is verified. Inside a bucket only a spanning forest of
 written, never all pairs of a group of copies. Links become components; a component's name is its
 smallest id.
 
-The statistics are of fixed size: 64 x 64 bit pairs and 2 x parts histograms of at most 2**11 values.
-``parts`` is 3, good for 10**5 to 10**8 distinct fingerprints; fewer, wider parts suit more.
+The statistics are of fixed size: 64 x 64 bit pairs and 2 x parts histograms of at most 2**16 values. The
+number of parts follows from the number of fingerprints: wider parts cost more probes and give fewer
+candidates. A bucket with more rows than ``SPLIT`` is dealt out again: two of its fingerprints within the
+distance agree in one of distance + 1 groups of the other bits at least, so each row goes to the bucket's
+parts by each group's value, and no link is lost. The same is done in memory with what a task compares.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -27,7 +31,10 @@ BITS = 64
 WORDS = 4
 SEED = 42
 DISTANCE = 4
-PARTS = 3
+#: Buckets with more indexed rows are split between tasks.
+SPLIT = 20_000
+#: Rows that the search of a large bucket takes before the rest is dealt out.
+STEPS = 128
 #: Buckets of at most so many rows are compared whole, larger ones by a search that drops what is linked.
 SMALL = 64
 
@@ -58,7 +65,7 @@ def bits_of(fps: np.ndarray) -> np.ndarray:
     return np.unpackbits(fps.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
 
 
-def parted(corr: np.ndarray, parts: int = PARTS) -> list[list[int]]:
+def parted(corr: np.ndarray, parts: int) -> list[list[int]]:
     """Bits in parts of near-equal width: each part grows from the most correlated free pair by the bit that agrees most."""
     corr = np.abs(corr) * (1 - np.eye(BITS))
     free, out = set(range(BITS)), []
@@ -77,6 +84,21 @@ def parted(corr: np.ndarray, parts: int = PARTS) -> list[list[int]]:
     return out
 
 
+def best_parts(n: int, most: int = DISTANCE) -> int:
+    """The number of parts that costs least for n evenly spread fingerprints: probes and candidates of each.
+
+    Each part but those that take the rest gets a threshold of 0; parts as wide as BITS / parts.
+    """
+
+    def cost(parts: int) -> float:
+        width, left = BITS // parts, most - parts + 1
+        each = [left // parts + (k < left % parts) for k in range(parts)]
+        balls = [sum(math.comb(width, r) for r in range(t + 1)) for t in each]
+        return sum(balls) * (1 + n / 2.0**width)
+
+    return min(range(2, most + 1), key=cost)
+
+
 def values(bits: np.ndarray, at: list[int]) -> np.ndarray:
     return bits[:, at].astype(np.int64) @ (1 << np.arange(len(at), dtype=np.int64))
 
@@ -140,12 +162,12 @@ class Plan:
         return out
 
     def probes(self, fps: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(bucket, fingerprint, 1 for an indexed row and 0 for a probe)."""
+        """(bucket, fingerprint, kind): 0 for a probe, 1 for an indexed row that is one too, 2 for one that its threshold keeps from probing."""
         bits = bits_of(fps)
         limits = self.thresholds(bits)
         for p, group in enumerate(self.groups):
             own = values(bits, group) | (p << 56)
-            yield own, fps, np.ones(len(fps), np.int8)
+            yield own, fps, np.where(limits[:, p] >= 0, 1, 2).astype(np.int8)
             for k in range(1, self.most + 1):
                 if k < len(self.flips[p]) and len(at := np.flatnonzero(limits[:, p] >= k)):
                     step = max(1, 1_000_000 // len(self.flips[p][k]))
@@ -159,49 +181,83 @@ def distance(a, b) -> np.ndarray:
     return np.bitwise_count(a ^ b)
 
 
-def forest(index: np.ndarray, probes: np.ndarray, most: int) -> list[np.ndarray]:
-    """Links of one bucket, only as many as tell its components: what has been linked is not compared again."""
-    out, free_i, free_p = [], index, probes
-    while len(free_i):
-        stack, free_i = [(free_i[0], True)], free_i[1:]
-        while stack and (len(free_i) or len(free_p)):
-            at, indexed = stack.pop()
-            near = distance(free_i, at) <= most
-            found = free_i[near]
-            free_i = free_i[~near]
-            stack += [(x, True) for x in found]
-            if indexed:
-                near = distance(free_p, at) <= most
-                more = free_p[near]
-                free_p = free_p[~near]
-                stack += [(x, False) for x in more]
-                found = np.concatenate([found, more])
-            if len(found):
-                out.append(np.stack([np.full(len(found), at), found]))
+def by_groups(fps: np.ndarray, most: int, depth: int = 0) -> Iterator[np.ndarray]:
+    """Values by each of most + 1 groups of bits; fingerprints within the distance agree in one at least.
+
+    Each depth deals the bits to the groups in another way. A value tells its group and depth.
+    """
+    order = np.random.default_rng(depth).permutation(BITS)
+    bits = bits_of(fps)
+    for g in range(most + 1):
+        yield values(bits, sorted(order[g :: most + 1].tolist())) | (g << 56)
+
+
+def linked(index: np.ndarray, probes: np.ndarray, most: int, depth: int = 0) -> list[np.ndarray]:
+    """Links of one large bucket that tell its components.
+
+    A search that drops what is linked settles dense buckets in a few steps; what it leaves of a sparse one
+    is dealt out by groups of bits, in which only few rows meet.
+    """
+    out, index, probes = forest(index, probes, most, None if depth > 8 else STEPS)
+    if len(index):
+        flags = np.r_[np.ones(len(index), np.int8), np.zeros(len(probes), np.int8)]
+        fps = np.concatenate([index, probes])
+        for key in by_groups(fps, most, depth):
+            order = np.lexsort((-flags, key))
+            out.append(bucket_links(key[order], fps[order], flags[order], most, depth + 1))
     return out
 
 
-def bucket_links(key: np.ndarray, fp: np.ndarray, indexed: np.ndarray, most: int) -> np.ndarray:
-    """Links (2 x n) in whole buckets, sorted by bucket with indexed rows first."""
+def forest(index: np.ndarray, probes: np.ndarray, most: int, steps: int | None = None) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Links of one bucket, only as many as tell its components: what has been linked is not compared again.
+
+    Also the indexed rows and probes that are still to be compared after ``steps``.
+    """
+    out, free_i, free_p, stack, done = [], index, probes, [], 0
+    while len(free_i) or stack:
+        if done == steps:
+            again = [np.array([x for x, indexed in stack if indexed == kind], np.uint64) for kind in (True, False)]
+            return out, np.concatenate([free_i, again[0]]), np.concatenate([free_p, again[1]])
+        if not stack:
+            stack, free_i = [(free_i[0], True)], free_i[1:]
+        done += 1
+        at, indexed = stack.pop()
+        near = distance(free_i, at) <= most
+        found = free_i[near]
+        free_i = free_i[~near]
+        stack += [(x, True) for x in found]
+        if indexed:
+            near = distance(free_p, at) <= most
+            more = free_p[near]
+            free_p = free_p[~near]
+            stack += [(x, False) for x in more]
+            found = np.concatenate([found, more])
+        if len(found):
+            out.append(np.stack([np.full(len(found), at), found]))
+    return out, free_i, np.empty(0, np.uint64)
+
+
+def bucket_links(key: np.ndarray, fp: np.ndarray, indexed: np.ndarray, most: int, depth: int = 0) -> np.ndarray:
+    """Links (2 x n) in whole buckets, sorted by bucket with indexed rows first; those without any probe need none."""
     if not len(key):
         return np.empty((2, 0), np.uint64)
     starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     sizes = np.diff(np.r_[starts, len(key)])
-    use = (indexed[starts] == 1) & (sizes > 1)
+    use = (indexed[starts] >= 1) & (sizes > 1) & (indexed[starts + sizes - 1] < 2)
     out = []
     for s, n in zip(starts[use & (sizes > SMALL)], sizes[use & (sizes > SMALL)], strict=True):
         rows, flags = fp[s : s + n], indexed[s : s + n]
-        out += forest(np.unique(rows[flags == 1]), np.unique(rows[flags == 0]), most)
+        out += linked(np.unique(rows[flags >= 1]), np.unique(rows[flags == 0]), most, depth)
     small = np.repeat(use & (sizes <= SMALL), sizes)
     key, fp, indexed = key[small], fp[small], indexed[small]
     for shift in range(1, int(sizes[use & (sizes <= SMALL)].max(initial=0))):
-        at = np.flatnonzero((key[:-shift] == key[shift:]) & (indexed[:-shift] == 1))
+        at = np.flatnonzero((key[:-shift] == key[shift:]) & (indexed[:-shift] >= 1))
         at = at[(distance(fp[at], fp[at + shift]) <= most) & (fp[at] != fp[at + shift])]
         out.append(np.stack([fp[at], fp[at + shift]]))
     return np.concatenate(out, axis=1) if out else np.empty((2, 0), np.uint64)
 
 
-def links(fps: DataFrame, most: int = DISTANCE, parts: int = PARTS) -> DataFrame:
+def links(fps: DataFrame, most: int = DISTANCE, parts: int | None = None, split: int = SPLIT) -> DataFrame:
     """(a, b): links that connect exactly the fingerprints (column fp, distinct) within ``most`` differing bits."""
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,6 +269,7 @@ def links(fps: DataFrame, most: int = DISTANCE, parts: int = PARTS) -> DataFrame
         yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(both[i, j].astype(np.int64))], ["i", "j", "n"])
 
     n = fps.count()
+    parts = best_parts(n, most) if parts is None else parts
     counts = np.zeros((BITS, BITS))
     for i, j, c in fps.select("fp").mapInArrow(pairs, "i int, j int, n long").groupBy("i", "j").agg(F.sum("n")).collect():
         counts[i, j] = counts[j, i] = c
@@ -237,10 +294,31 @@ def links(fps: DataFrame, most: int = DISTANCE, parts: int = PARTS) -> DataFrame
         held[k][v] = c
     plan = Plan(groups, held, most)
 
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = bits_of(batch.column(0).to_numpy().view(np.uint64))
+            for p, g in enumerate(groups):
+                key, count = np.unique(values(bits, g) | (p << 56), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(count)], ["key", "n"])
+
+    # 8 bytes for each ``split`` fingerprints and part at most.
+    hot = np.sort(fps.select("fp").mapInArrow(own, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > split).select("key").toArrow()["key"].to_numpy())
+
+    def dealt(key: np.ndarray, fp: np.ndarray, indexed: np.ndarray) -> Iterator[tuple]:
+        """Rows of hot buckets go to parts of them, the others stay."""
+        at = np.searchsorted(hot, key)
+        is_hot = (hot[np.minimum(at, len(hot) - 1)] == key) if len(hot) else np.zeros(len(key), bool)
+        yield key[~is_hot], fp[~is_hot], indexed[~is_hot]
+        if is_hot.any():
+            for value in by_groups(fp[is_hot], most, 99):
+                mixed = (key[is_hot].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (value.view(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+                yield mixed.view(np.int64) | np.int64(-(2**63)), fp[is_hot], indexed[is_hot]
+
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, fp, indexed in plan.probes(batch.column(0).to_numpy().view(np.uint64)):
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp.view(np.int64)), pa.array(indexed)], ["key", "fp", "indexed"])
+            for row in plan.probes(batch.column(0).to_numpy().view(np.uint64)):
+                for key, fp, indexed in dealt(*row):
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp.view(np.int64)), pa.array(indexed)], ["key", "fp", "indexed"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -269,7 +347,7 @@ def links(fps: DataFrame, most: int = DISTANCE, parts: int = PARTS) -> DataFrame
     return probes.repartition("key").sortWithinPartitions("key", F.desc("indexed")).mapInArrow(verify, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", n: int = WORDS, seed: int = SEED, most: int = DISTANCE, parts: int = PARTS) -> DataFrame:
+def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", n: int = WORDS, seed: int = SEED, most: int = DISTANCE, parts: int | None = None, split: int = SPLIT) -> DataFrame:
     """One row per document: id, fingerprint (16 hex digits), component_id.
 
     Null and wordless texts have fingerprint zero and link like any other. Repeated rows are returned as
@@ -278,7 +356,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", n:
     """
     prints = checkpointed(fingerprints(docs, id, text, n, seed))
     distinct = checkpointed(prints.groupBy("fp").agg(F.min(id).alias("low")))
-    roots = connected_components(links(distinct, most, parts))
+    roots = connected_components(links(distinct, most, parts, split))
     named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     names = named.groupBy("root").agg(F.min("low").alias("component_id"))
     of = named.select("fp", "root").join(names, "root").select("fp", "component_id")
