@@ -301,7 +301,7 @@ def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int =
         kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["digest", "_o", "_h", "start", "windows"])
 
-    every = base.mapInArrow(members, "digest binary, _o long, _h long, start long, windows long")
+    every = base.select("_o", "_h", "_t").mapInArrow(members, "digest binary, _o long, _h long, start long, windows long")
     same = (F.col("_o") == F.col("first_o")) & (F.col("start") == F.col("first_start"))
     gone = every.join(judged.hint("merge"), "digest").select("_o", "_h", "start", F.when(same, F.col("mask")).otherwise(F.expr("shiftleft(1L, cast(windows AS int)) - 1")).alias("mask")).where("mask != 0")
     by_doc = gone.groupBy("_o", "_h").agg(F.collect_list("start").alias("starts"), F.collect_list("mask").alias("masks"))

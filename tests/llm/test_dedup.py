@@ -163,3 +163,53 @@ def test_fm_index_counts():
 @pytest.mark.parametrize("op", [E.exact_dedup, E.keep_first_copies, S.near_duplicates, S.keep_one_of_each, D.dedup])
 def test_empty_table(spark, op):
     assert op(frame(spark, [])).count() == 0
+
+
+def plain_components(links, nodes):
+    parent = {x: x for x in nodes}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        parent[root(a)] = root(b)
+    groups = {}
+    for x in nodes:
+        groups.setdefault(root(x), set()).add(x)
+    return sorted(map(sorted, groups.values()))
+
+
+@pytest.mark.parametrize("width,n", [(43, 3000), (14, 1500), (20, 3000)])
+def test_large_buckets_lose_no_link(width, n):
+    """Sparse and dense buckets, dealt out by groups of bits, have the components that comparing all pairs gives."""
+    import numpy as np
+
+    rng = np.random.default_rng(width)
+    base = rng.integers(0, 2**width, n, dtype=np.uint64)
+    every = np.unique(np.r_[base, base[: n // 3] ^ (np.uint64(1) << rng.integers(0, width, n // 3).astype(np.uint64))])
+    mixed = rng.permutation(every)
+    index, probes = mixed[: len(mixed) * 3 // 4], mixed[len(mixed) * 3 // 4 :]
+    want = [(a, b) for a in index.tolist() for b in every[np.bitwise_count(every ^ np.uint64(a)) <= 4].tolist() if a != b]
+    got = [tuple(x) for part in S.linked(index, probes, 4) for x in part.T.tolist()]
+    assert all((a ^ b).bit_count() <= 4 for a, b in got)
+    assert plain_components(got, every.tolist()) == plain_components(want, every.tolist())
+
+
+def test_hot_buckets_are_dealt_out(spark):
+    """All fingerprints share 24 bits, so a part has one bucket, and it is dealt out to many tasks; links between planted pairs are all found."""
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(1)
+    base = np.unique(rng.integers(0, 2**40, 10_000, dtype=np.uint64))
+    near = base[:500] ^ (np.uint64(1) << rng.integers(0, 40, 500).astype(np.uint64))
+    every = np.unique(np.r_[base, near])
+    df = spark.createDataFrame(pd.DataFrame({"fp": every.view(np.int64)})).repartition(8)
+    found = S.links(df, parts=3, split=500).toArrow()
+    pairs = {frozenset(p) for p in zip(found["a"].to_pylist(), found["b"].to_pylist(), strict=True)}
+    roots = plain_components([tuple(p) for p in pairs], every.view(np.int64).tolist())
+    of = {x: k for k, g in enumerate(roots) for x in g}
+    assert all(of[int(a)] == of[int(b)] for a, b in zip(base[:500].view(np.int64), near.view(np.int64), strict=True))
+    assert all(((a ^ b) & (2**64 - 1)).bit_count() <= 4 for a, b in pairs)
