@@ -170,6 +170,7 @@ def plain_components(links, nodes):
 
     def root(x):
         while parent[x] != x:
+            parent[x] = parent[parent[x]]
             x = parent[x]
         return x
 
