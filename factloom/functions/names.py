@@ -59,19 +59,24 @@ def register_name(c: Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(decoded(c))), "_reg$", "")
 
 
+#: In order: a role, whole names, first words, words anywhere.
+ROLE_RULES = (
+    ("ground", GROUNDS, ("vss", "gnd"), ()),
+    ("power", POWERS, ("vdd", "vcc", "vpwr"), ()),
+    ("clock", (), (), ("clk", "clock")),
+    ("reset", (), (), ("rst", "reset", "rstn", "resetn")),
+)
+
+
 def role_from_name(c: Column) -> Column:
-    """A hint only: callers mark it as tainted."""
-    name = F.translate(F.lower(F.trim(F.translate(c, "\\", " "))), "-", "_")
-    parts = F.split(F.translate(name, "/", "_"), "_+")
-    first = F.get(F.filter(parts, lambda p: p != ""), F.lit(0))
-    some = lambda *words: F.arrays_overlap(parts, F.array(*map(F.lit, words)))
-    return (
-        F.when(name.isin(*GROUNDS) | first.isin("vss", "gnd"), "ground")
-        .when(name.isin(*POWERS) | first.isin("vdd", "vcc", "vpwr"), "power")
-        .when(some("clk", "clock"), "clock")
-        .when(some("rst", "reset", "rstn", "resetn"), "reset")
-        .otherwise("unknown")
-    )
+    """The first role whose rule a name fits; a hint only: callers mark it as tainted."""
+    name = F.lower(F.trim(F.translate(c, "\\-", " _")))
+    words = F.filter(F.split(name, "[_/]+"), lambda w: w != "")
+    out = F.lit("unknown")
+    for role, whole, first, anywhere in reversed(ROLE_RULES):
+        fits = name.isin(*whole) | F.coalesce(F.get(words, F.lit(0)).isin(*first), F.lit(False)) | F.exists(words, lambda w, some=anywhere: w.isin(*some))
+        out = F.when(fits, role).otherwise(out)
+    return out
 
 
 def variants(name: Column, scope: Column | None = None) -> Column:

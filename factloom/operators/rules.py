@@ -625,8 +625,19 @@ NEEDS = {functions: "functions", package_rules: "pin_mappings", references: "obj
 
 def all_findings(f: Facts, checkers: tuple = ()) -> DataFrame:
     """Every rule's findings; ``checkers`` are further rules of the user, given the facts."""
-    out = [rule(f) for rule in (*ALL, *checkers) if NEEDS.get(rule, "views") in f.tables]
-    return reduce(DataFrame.unionByName, out, f.spark.createDataFrame([], FINDING))
+    out = [rule(f) for rule in ALL if NEEDS.get(rule, "views") in f.tables]
+    return reduce(DataFrame.unionByName, out + [checked(f, c) for c in checkers], f.spark.createDataFrame([], FINDING))
+
+
+def checked(f: Facts, checker) -> DataFrame:
+    """A user's rule; OC9002 in place of its findings if it raises, also where Spark runs it, or gives no findings."""
+    name = getattr(checker, "__name__", type(checker).__name__)
+    none = f.spark.createDataFrame([], FINDING)
+    try:
+        return cut(none.unionByName(checker(f)))
+    except Exception as e:  # fail closed: one checker never ends the check
+        told = f.spark.createDataFrame([(name, f"{type(e).__name__}: {e}"[:500])], "n string, m string")
+        return finding(told, "OC9002", "checker", text("checker:", F.col("n")), "plugin", text("The checker ", F.col("n"), " failed: ", F.col("m")))
 
 
 assert set(NEEDS.values()) <= set(SCHEMAS)

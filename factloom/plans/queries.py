@@ -248,28 +248,13 @@ def duplicate_components(spark, sf):
 # ---------------------------------------------------------------- package, clocks, interfaces, registers
 
 
-@query("""WITH d AS (SELECT DISTINCT l_partkey % 40 AS pad, l_suppkey AS ball, l_linenumber % 4 AS sig FROM lineitem WHERE l_orderkey % 50 = 1),
-    p AS (SELECT pad, ball, sig FROM d), x AS (SELECT 'OC5003' AS code, 'package-ball:b' || ball AS object_id, count(*) AS n_evidence FROM p GROUP BY ball HAVING count(*) > 1
-        UNION ALL SELECT 'OC5004', 'die-pad:d' || pad, count(*) FROM p GROUP BY pad HAVING count(DISTINCT ball) > 1
-        UNION ALL SELECT 'OC5001', 'die-pad:d' || pad, 1 FROM p WHERE pad % 4 = 3
-        UNION ALL SELECT 'OC5005', 'die-pad:d' || pad, 1 FROM p WHERE pad % 4 <> 3 AND sig <> 0 AND sig <> pad % 4)
-    SELECT code, object_id, n_evidence::BIGINT AS n_evidence FROM x""")
-def package_rules(spark, sf):
-    d = table(spark, sf, "lineitem").where("l_orderkey % 50 = 1").select((F.col("l_partkey") % 40).alias("pad"), F.col("l_suppkey").alias("ball"), (F.col("l_linenumber") % 4).alias("sig")).distinct()
-    name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
-    rows = family(d, "pin_mappings", view=F.lit("csv.package"), kind=F.lit("csv"), die_pad=name("d", "pad"), package_ball=name("b", "ball"), signal=F.when(F.col("sig") == 0, "NC").otherwise(name("g", "sig")))
-    pads = spark.range(40).select(F.col("id").alias("pad")).where("pad % 4 != 3")
-    physical = family(pads, "pin_mappings", view=F.lit("def.chip"), kind=F.lit("def"), die_pad=name("d", "pad"), signal=F.concat(F.lit("g"), (F.col("pad") % 4).cast("string")))
-    return found(rules.package_rules(Facts(spark, {"views": views(spark, "csv.package", "def.chip"), "pin_mappings": rows.union(physical)})))
-
-
 @query("""WITH p AS (SELECT DISTINCT l_partkey AS pad, l_suppkey AS ball, l_linenumber AS sig FROM lineitem),
     x AS (SELECT 'OC5003' AS code, 'package-ball:b' || ball AS object_id, count(*) AS n_evidence FROM p GROUP BY ball HAVING count(*) > 1
         UNION ALL SELECT 'OC5004', 'die-pad:d' || pad, count(*) FROM p GROUP BY pad HAVING count(DISTINCT ball) > 1
         UNION ALL SELECT 'OC5001', 'die-pad:d' || pad, 1 FROM p WHERE pad % 4 = 3
         UNION ALL SELECT 'OC5005', 'die-pad:d' || pad, 1 FROM p WHERE pad % 4 <> 3 AND sig <> 4 AND sig <> pad % 4 + 1)
     SELECT code, object_id, n_evidence::BIGINT AS n_evidence FROM x""")
-def package_rules_whole(spark, sf):
+def package_rules(spark, sf):
     """Every line item: its part as the pad, its supplier as the ball, its line number as the signal (4: not connected)."""
     d = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("pad"), F.col("l_suppkey").alias("ball"), F.col("l_linenumber").alias("sig")).distinct()
     name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
@@ -307,9 +292,9 @@ def interval_overlaps(spark, sf):
     return generic.overlaps(f, ["k"], "first", "last", ["name", "ln"]).select("k", "name", "ln", "active_last")
 
 
-def register_facts(spark, sf, orders: str = "o_orderkey % 4 < 2"):
+def register_facts(spark, sf):
     """Orders as registers of two maps: name by customer, scope by priority; fields from line items."""
-    o = table(spark, sf, "orders").where(orders)
+    o = table(spark, sf, "orders")
     li = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_quantity"))).alias("f"))
     j = o.join(li, o["o_orderkey"] == li["l_orderkey"])
     k = F.col("o_orderkey")
@@ -322,7 +307,7 @@ def register_facts(spark, sf, orders: str = "o_orderkey % 4 < 2"):
 
 
 @query("""WITH li AS (SELECT DISTINCT l_orderkey AS k, l_linenumber AS n FROM lineitem), dup AS (SELECT l_orderkey AS k, l_linenumber AS n, count(*) AS c FROM lineitem GROUP BY ALL),
-    o AS (SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 4 < 2 AND o_orderkey IN (SELECT k FROM li)), b AS (SELECT k FROM o WHERE k % 9 <> 0),
+    o AS (SELECT o_orderkey AS k FROM orders WHERE o_orderkey IN (SELECT k FROM li)), b AS (SELECT k FROM o WHERE k % 9 <> 0),
     x AS (SELECT 'OC6301' AS code, k, NULL AS n FROM o WHERE k % 9 = 0 UNION ALL SELECT 'OC6302', k, NULL FROM b WHERE k % 16 = 1 UNION ALL SELECT 'OC6303', k, NULL FROM b WHERE k % 32 = 1
         UNION ALL SELECT 'OC6306', k, NULL FROM b WHERE k % 20 = 0 UNION ALL SELECT 'OC6304', k, 1 FROM b JOIN li USING (k) WHERE k % 24 = 0 AND n = 1
         UNION ALL SELECT 'OC6307', k, n FROM o JOIN dup USING (k) WHERE c > 1 UNION ALL SELECT 'OC6307', k, n FROM b JOIN dup USING (k) WHERE c > 1 AND NOT (k % 24 = 0 AND n = 1)
@@ -334,13 +319,6 @@ def register_rules(spark, sf):
     return d.groupBy("code", "object_id").agg(F.count("*").alias("n"))
 
 
-@query(ORACLE["register_rules"].replace("o_orderkey % 4 < 2 AND ", ""))
-def register_rules_whole(spark, sf):
-    """The same over every order."""
-    d = rules.register_rules(register_facts(spark, sf, "true"))
-    return d.groupBy("code", "object_id").agg(F.count("*").alias("n"))
-
-
 @query("""WITH s AS (SELECT o_custkey AS k, o_orderkey % 2 AS v, count(DISTINCT o_orderpriority) AS n FROM orders WHERE o_orderstatus <> 'P' GROUP BY ALL), a AS (SELECT DISTINCT k FROM s WHERE n > 1),
     u AS (SELECT o_custkey AS k, count(*) AS n FROM orders WHERE o_orderstatus = 'P' GROUP BY ALL)
     SELECT 'register:c/r' || k AS object_id, u.n AS unscoped FROM a JOIN u USING (k)""")

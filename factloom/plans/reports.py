@@ -81,15 +81,17 @@ def render_html(diagnostics: DataFrame, title: str = "Findings") -> str:
 
 def publish(path: str, text: str, overwrite: bool = True) -> None:
     """Write a report so that readers see the old file or the whole new one. A driver-side file."""
-    if not overwrite and os.path.exists(path):
-        raise FileExistsError(path)
     handle, temp = tempfile.mkstemp(dir=os.path.dirname(os.path.abspath(path)), prefix=".report-")
     try:
         with os.fdopen(handle, "w", encoding="utf-8") as f:
             f.write(text)
             f.flush()
             os.fsync(f.fileno())
-        os.replace(temp, path)
+        if overwrite:
+            os.replace(temp, path)
+        else:  # a link fails where there is a file already, at whatever moment it came
+            os.link(temp, path)
+            os.unlink(temp)
     except BaseException:
         os.unlink(temp)
         raise

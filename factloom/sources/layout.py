@@ -9,6 +9,9 @@ from .reader import problem
 # Record types of the stream format.
 BGNSTR, STRNAME, ENDSTR, TEXT, SREF, AREF, LAYER, TEXTTYPE, STRING, SNAME, ENDEL, ENDLIB, HEADER = 0x05, 0x06, 0x07, 0x0C, 0x0A, 0x0B, 0x0D, 0x16, 0x19, 0x12, 0x11, 0x04, 0x00
 
+#: All record types that the format defines.
+KNOWN = frozenset(range(0x00, 0x3C))
+
 
 def real8(b: bytes) -> float:
     """Excess-64 base-16 number."""
@@ -35,7 +38,7 @@ def parse_gds(files, view, kind, options):
     layers, types, tops = (options.get(k) for k in ("pin_text_layers", "pin_text_types", "top_cells"))
     wanted = lambda x: (layers or types) and (not layers or x.get("layer") in layers) and (not types or x.get("type") in types)
     for path, data in files:
-        cell, element, seen = None, None, set()
+        cell, element, seen, odd = None, None, set(), set()
         try:
             for at, t, body in records(data):
                 name = body.rstrip(b"\0").decode("latin-1")
@@ -60,5 +63,8 @@ def parse_gds(files, view, kind, options):
                     element = None
                 elif t == ENDSTR:
                     cell = None
+                elif t not in KNOWN and t not in odd:
+                    odd.add(t)
+                    yield problem("OC1102", f"records of type {t} are not read", path, at, cell or "*")
         except (ValueError, struct.error) as e:
             yield problem("OC1101", str(e), path, 0, cell or "*")

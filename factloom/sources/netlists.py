@@ -68,10 +68,11 @@ def parse_def(files, view, kind, options):
     for path, data in files:
         body = re.sub(r"#[^\n]*", "", text(data))
         design, section, ports, ended = None, None, {}, False
-        line = 1
+        line, counted = 1, 0
         for m in re.finditer(r"\s*(?:END\s+\w+|[^;]*;)", body):
             words = m[0].split()
-            line = body.count("\n", 0, m.start()) + 1
+            line += body.count("\n", counted, m.start())
+            counted = m.start()
             if not words:
                 continue
             head = words[0].upper()
@@ -93,7 +94,7 @@ def parse_def(files, view, kind, options):
                 if bit:
                     a, b = int(bit[2]), int(bit[3] or bit[2])
                     p["bits"] += range(a, b - 1, -1) if a >= b else range(a, b + 1)
-            elif head == "-" and section == "NETS" and len(words) > 1:
+            elif head == "-" and section in ("NETS", "SPECIALNETS") and len(words) > 1:
                 yield "objects", {"object_kind": "net", "relation": "reference", "native_name": words[1], "ordinal": line}
                 for inst, pin in re.findall(r"\(\s*(\S+)\s+(\S+)[^)]*\)", m[0]):
                     if inst == "PIN":

@@ -21,7 +21,7 @@ from factloom.model import SCHEMAS
 from factloom.operators.shared import cut
 
 Parser = Callable[[list[tuple[str, bytes]], str, str, dict], Iterable[tuple[str, dict]]]
-#: Bytes of one file; larger ones are refused, as a whole view must fit in a task.
+#: Bytes of one file; larger ones are refused before they are shuffled, as a whole view must fit in a task.
 LARGEST = 64 << 20
 
 # Formats, their other names, and the endings of their files.
@@ -83,9 +83,13 @@ def run_parser(parser: Parser, files: list[tuple[str, bytes]], view: str, kind:
     tainted: list[str] = []
     complete = True
     try:
-        big = [p for p, b in files if len(b) > LARGEST]
+        big = [p for p, b in files if b is None or len(b) > LARGEST]
         if big:
             raise ValueError(f"{big[0]} is larger than {LARGEST} bytes")
+        odd = [p for p, b in files if kind != "gds" and not _is_utf8(b)]
+        for p in odd:  # read as Latin-1, so no name of the view is sure
+            complete, tainted = False, ["*"]
+            yield "parser_diagnostics", {"view": view, "code": "OC1102", "scope": "*", "message": "the file is not UTF-8", "source": p, "line": 0, "column": 0}
         for family, row in parser(files, view, kind, options):
             if family == "parser_diagnostics":
                 complete = complete and row["code"] not in ("OC1101", "OC1104", "OC1102")
@@ -104,7 +108,7 @@ def observe(spark: SparkSession, sources: list[Source]) -> dict[str, DataFrame]:
     parts, lost = [], []
     for k, view, format, options, n, path in plan:
         try:
-            found = spark.read.format("binaryFile").load(path).select("path", "content", F.lit(k).alias("k"), F.lit(view).alias("view"), F.lit(format).alias("format"), F.lit(options).alias("options"), F.lit(n).alias("n"))
+            found = spark.read.format("binaryFile").load(path).select("path", F.when(F.col("length") <= LARGEST, F.col("content")).alias("content"), F.lit(k).alias("k"), F.lit(view).alias("view"), F.lit(format).alias("format"), F.lit(options).alias("options"), F.lit(n).alias("n"))
             found.schema  # noqa: B018  resolves the path
             parts.append(found)
         except Exception as e:
@@ -119,13 +123,14 @@ def observe(spark: SparkSession, sources: list[Source]) -> dict[str, DataFrame]:
         # A file that two patterns list is read once, at the first one's place; a pattern's files go by name.
         first = whole.groupBy("k", "view", "format", "options", "path").agg(F.min("n").alias("n"), F.first("content").alias("content"))
         views = first.groupBy("k", "view", "format", "options").agg(F.array_sort(F.collect_list(F.struct("n", "path", "content"))).alias("files"))
-        own = dict(_PLUGINS)
+        # Functions travel by value, so executors need not have this package.
+        own = {name: parser_of(name) for name in {p[2] for p in plan}}
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for r in batch.to_pylist():
-                    files = [(f["path"], bytes(f["content"])) for f in r["files"]]
-                    parser = own[r["format"]] if r["format"] in own else parser_of(r["format"])
+                    files = [(f["path"], None if f["content"] is None else bytes(f["content"])) for f in r["files"]]
+                    parser = own[r["format"]]
                     kind = FORMATS.get(r["format"], (r["view"].split(".")[0],))[0]
                     rows = [(family, json.dumps(row)) for family, row in run_parser(parser, files, r["view"], kind, json.loads(r["options"]))]
                     yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.string()), pa.array([x[1] for x in rows], pa.string())], ["family", "row"])
@@ -144,6 +149,14 @@ def observe(spark: SparkSession, sources: list[Source]) -> dict[str, DataFrame]:
     return out
 
 
+def _is_utf8(data: bytes) -> bool:
+    try:
+        data.decode("utf-8")
+    except UnicodeDecodeError:
+        return False
+    return True
+
+
 def text(data: bytes) -> str:
     """UTF-8 with or without its mark, else Latin-1."""
     try:

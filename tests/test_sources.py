@@ -69,6 +69,46 @@ def family(found, name):
     return [r for f, r in found if f == name]
 
 
+HIERARCHY = """module buf1(input a, output y); wire t; buf (t, a); assign y = t; endmodule
+module inv2 #(parameter W=2) (input [W-1:0] a, output [W-1:0] y); assign y = ~a; endmodule
+module top(input i, input [1:0] d, output o, output [1:0] q, output g, output z, inout p, inout r, output [2:0] j);
+ wire m; wire k;
+ buf1 u1 (.a(i), .y(m));
+ buf1 u2 (m, o);
+ inv2 #(.W(2)) u3 (.a({d[0], d[1]}), .y(q));
+ inv2 u5 (.a(d), .y(j));
+ and (g, i, m);
+ CELLX ux (.A(i), .B(z));
+ tran (p, r);
+ alias k = m;
+ assign j = {d, 1'b0};
+endmodule
+"""
+
+
+def test_the_graph_goes_through_instances_and_gates():
+    found = list(run_parser(parser_of("verilog"), [("t.sv", HIERARCHY.encode())], "rtl.a", "rtl", {}))
+    edges = {(e["source"], e["sink"]): (e["inverted"], e["status"]) for e in family(found, "edges")}
+    known = {(a, b) for (a, b), (_, status) in edges.items() if status == "known"}
+    want = "i u1/a;u1/a u1/t;u1/t u1/y;u1/y m;m u2/a;u2/y o;d[0] u3/a[1];d[1] u3/a[0];u3/y[1] q[1];p r;r p;k m;m k;d[1] j[2];d[0] j[1]"
+    assert {tuple(f"top/{x}" for x in pair.split()) for pair in want.split(";")} <= known
+    assert edges["top/u3/a[0]", "top/u3/y[0]"] == (True, "known")
+    # Gates, unknown cells and ports of another width are told, not left out.
+    assert all(edges[a, b][1] == "tainted" for a, b in (("top/i", "top/g"), ("top/i", "top/ux"), ("top/ux", "top/z"), ("top/u5/y[0]", "top/j[2]")))
+    assert not any("/d" in o["native_name"] for o in family(found, "objects")) and not any(a.startswith("buf1/") for a, _ in edges)
+
+
+def test_recursive_modules_and_missing_ports_end():
+    source = "module a(input x); b u (.x(x), .nope(x)); endmodule module b(input x); a v (.x(x)); endmodule"
+    found = list(run_parser(parser_of("verilog"), [("t.sv", source.encode())], "rtl.a", "rtl", {}))
+    assert not family(found, "views")[0]["complete"] and family(found, "edges")
+
+
+def test_files_that_are_not_utf8_taint_their_view():
+    found = list(run_parser(parser_of("verilog"), [("t.sv", b"module a(input x); // \xff\nendmodule")], "rtl.a", "rtl", {}))
+    assert family(found, "views")[0]["tainted_scopes"] == ["*"] and family(found, "ports")[0]["native_name"] == "x"
+
+
 def test_verilog():
     found = parsed("verilog", "top.sv")
     ports = {p["native_name"]: (p["direction"], p["width"], p["left"]) for p in family(found, "ports")}

@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
 def test_package_rules_see_every_line_item(spark):
-    got = {r.object_id: r.n_evidence for r in Q.QUERIES["package_rules_whole"](spark, SF).where("code = 'OC5003'").collect()}
+    got = {r.object_id: r.n_evidence for r in Q.QUERIES["package_rules"](spark, SF).where("code = 'OC5003'").collect()}
     lines = spark.read.parquet(f"{SF}/lineitem.parquet")
     rows = lines.select("l_suppkey", "l_partkey", "l_linenumber").distinct().groupBy("l_suppkey").count().where("count > 1").collect()
     assert rows and got == {f"package-ball:b{r.l_suppkey}": r["count"] for r in rows}
@@ -22,10 +22,10 @@ def test_package_rules_see_every_line_item(spark):
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
 def test_register_rules_see_every_order(spark):
     """Every ninth order has no register in the second view."""
-    got = {r.object_id for r in Q.QUERIES["register_rules_whole"](spark, SF).where("code = 'OC6301'").collect()}
+    got = {r.object_id for r in Q.QUERIES["register_rules"](spark, SF).where("code = 'OC6301'").collect()}
     orders = spark.read.parquet(f"{SF}/orders.parquet").join(spark.read.parquet(f"{SF}/lineitem.parquet").selectExpr("l_orderkey AS o_orderkey"), "o_orderkey", "left_semi")
     want = {f"register:chip/r{r.o_orderkey}" for r in orders.where("o_orderkey % 9 = 0").collect()}
-    assert want and got == want and "o_orderkey % 4" not in Q.ORACLE["register_rules_whole"]
+    assert want and got == want and "o_orderkey % 4" not in Q.ORACLE["register_rules"]
 
 
 def test_the_state_bound_is_each_requirements_own(spark):
