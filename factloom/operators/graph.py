@@ -9,10 +9,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .shared import cut
 
 STATE = ["id", "node", "passed", "parity", "uncertain"]
+#: Between the nodes of one waypoint, any of which will do.
+OR = "\u0002"
 #: The reference's bound of one search from a source to a sink.
 MAX_STATES = 500_000
 
@@ -27,8 +30,8 @@ def search(edges: DataFrame, starts: DataFrame, with_uncertain: bool = False, ma
     """States that can be reached: id, node, passed, parity, uncertain, depth, parent; and the ids that hit the bound.
 
     ``edges``: source, sink, inverted (null: polarity not known), status. ``starts``: id, node, through
-    (ordered nodes to pass), exclude. Without ``with_uncertain`` only known edges with a known polarity are
-    walked. ``parent`` is the smallest one by name of the round, so witnesses are shortest and repeatable.
+    (ordered waypoints to pass: a node or several joined by ``OR``), exclude. Without ``with_uncertain`` only known edges with a known polarity are
+    walked. ``parent`` is the smallest state of the round before, so witnesses are shortest and repeatable.
     ``max_states`` bounds each id on its own: one beyond it goes no further, the others are searched to the end.
     """
     sure = (F.coalesce("status", F.lit("known")) == "known") & F.col("inverted").isNotNull()
@@ -37,11 +40,11 @@ def search(edges: DataFrame, starts: DataFrame, with_uncertain: bool = False, ma
     e = e.groupBy("source", "sink", "flip").agg(F.min("doubt").alias("doubt"))
 
     def step_passed(node, passed, through):
-        """Waypoints count in order; one node may be several of them in a row."""
-        return F.when(F.get(through, passed) == node, passed + 1).otherwise(passed)
+        """Waypoints count in order, each of its nodes alike."""
+        return F.when(F.array_contains(F.split(F.get(through, passed), OR), node), passed + 1).otherwise(passed)
 
     s = starts.select("id", "node", "through", "exclude").where(~F.coalesce(F.array_contains("exclude", F.col("node")), F.lit(False)))
-    front = s.select("id", "node", step_passed(F.col("node"), F.lit(0), F.col("through")).alias("passed"), F.lit(0).alias("parity"), F.lit(False).alias("uncertain"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent"))
+    front = s.select("id", "node", step_passed(F.col("node"), F.lit(0), F.col("through")).alias("passed"), F.lit(0).alias("parity"), F.lit(False).alias("uncertain"), F.lit(0).alias("depth"), F.lit(None).cast("struct<node:string,passed:int,parity:int,uncertain:boolean>").alias("parent"))
     rules = starts.select("id", "through", "exclude").dropDuplicates(["id"])
     front = cut(front.dropDuplicates(STATE))
     tally = lambda df: df.groupBy("id").agg(F.count("*").alias("n"))
@@ -49,7 +52,7 @@ def search(edges: DataFrame, starts: DataFrame, with_uncertain: bool = False, ma
     while True:
         depth += 1
         step = front.join(e, F.col("node") == F.col("source")).join(rules, "id").where(~F.coalesce(F.array_contains("exclude", F.col("sink")), F.lit(False)))
-        step = step.select("id", F.col("sink").alias("_to"), step_passed(F.col("sink"), F.col("passed"), F.col("through")).alias("_passed"), ((F.col("parity") + F.col("flip")) % 2).alias("_parity"), (F.col("uncertain") | F.col("doubt")).alias("_uncertain"), F.col("node").alias("_from"))
+        step = step.select("id", F.col("sink").alias("_to"), step_passed(F.col("sink"), F.col("passed"), F.col("through")).alias("_passed"), ((F.col("parity") + F.col("flip")) % 2).alias("_parity"), (F.col("uncertain") | F.col("doubt")).alias("_uncertain"), F.struct("node", "passed", "parity", "uncertain").alias("_from"))
         found = step.groupBy("id", F.col("_to").alias("node"), F.col("_passed").alias("passed"), F.col("_parity").alias("parity"), F.col("_uncertain").alias("uncertain")).agg(F.min("_from").alias("parent"))
         front = found.join(seen.select(*STATE), STATE, "left_anti").select(*STATE, F.lit(depth).alias("depth"), "parent")
         front = cut(front)
@@ -67,16 +70,19 @@ def search(edges: DataFrame, starts: DataFrame, with_uncertain: bool = False, ma
             front = front.join(stopped, "id", "left_anti")
 
 
-def judged(edges: DataFrame, requirements: DataFrame, complete: bool = True, max_states: int = MAX_STATES) -> DataFrame:
+def judged(edges: DataFrame, requirements: DataFrame, complete: bool = True, max_states: int = MAX_STATES, proofs: bool = False) -> DataFrame:
     """A verdict for each requirement on single nodes: id, verdict, path_length.
 
     ``requirements``: id, source, sink, expectation (reachable, unreachable), transform (any, identity:
     even inversions, inverted: odd), through, exclude. Verdicts: pass, missing, forbidden, polarity,
     inconclusive. An incomplete graph or an uncertain edge never makes a pass of an unreachable one, nor a
-    failure of a reachable one; nor does a search beyond ``max_states``, of its own requirement only.
+    failure of a reachable one; nor does a search beyond ``max_states``, of its own requirement only. A column
+    ``open`` tells of single requirements that their graph is incomplete. With ``proofs`` there is a column
+    ``proof``: the shortest path of a forbidden or inverted one, the first ends of what a missing one reaches.
     """
     starts = requirements.select("id", F.col("source").alias("node"), "through", "exclude")
-    wanted = requirements.select("id", "sink", "expectation", "transform", F.size(F.coalesce("through", F.array().cast("array<string>"))).alias("need"))
+    own = F.col("open") if "open" in requirements.columns else F.lit(False)
+    wanted = requirements.select("id", "sink", "expectation", "transform", own.alias("open"), F.size(F.coalesce("through", F.array().cast("array<string>"))).alias("need"))
     sure, cut_sure = search(edges, starts, False, max_states)
     maybe, cut_maybe = search(edges, starts, True, max_states)
     stopped = cut_sure.union(cut_maybe).distinct().withColumn("stopped", F.lit(True))
@@ -87,7 +93,7 @@ def judged(edges: DataFrame, requirements: DataFrame, complete: bool = True, max
         return at.groupBy("id").agg(F.min(F.when(fits, F.col("depth"))).alias(name), F.min(F.when(~fits, F.col("depth"))).alias(f"{name}_other"))
 
     j = wanted.join(hits(sure, "sure"), "id", "left").join(hits(maybe, "maybe"), "id", "left").join(stopped, "id", "left")
-    open_end = F.lit(not complete) | F.col("stopped").isNotNull()
+    open_end = F.lit(not complete) | F.col("open") | F.col("stopped").isNotNull()
     polar = F.col("transform") != "any"
     doubt = F.col("maybe").isNotNull() | open_end
     verdict = F.when(
@@ -99,9 +105,34 @@ def judged(edges: DataFrame, requirements: DataFrame, complete: bool = True, max
         .when(doubt | F.col("maybe_other").isNotNull(), "inconclusive")
         .otherwise("missing")
     )
-    return j.select("id", verdict.alias("verdict"), F.col("sure").alias("path_length"))
+    out = j.select("id", verdict.alias("verdict"), F.col("sure").alias("path_length"))
+    if not proofs:
+        return out
+    out = cut(out)
+    at = sure.join(out.where("verdict IN ('forbidden', 'polarity')").select("id"), "id", "left_semi").join(wanted, "id").where((F.col("node") == F.col("sink")) & (F.col("passed") >= F.col("need")))
+    first = at.groupBy("id").agg(F.min(F.struct("depth", "node", "passed", "parity", "uncertain")).alias("m")).select("id", "m.*")
+    paths = witnesses(sure, first).select("id", F.col("path").alias("proof"))
+    ends = frontier_cut(sure.join(out.where("verdict = 'missing'").select("id"), "id", "left_semi"), edges).groupBy("id").agg(F.array_sort(F.collect_list("node")).alias("proof"))
+    return out.join(paths.union(ends), "id", "left")
 
 
 def frontier_cut(states: DataFrame, edges: DataFrame, most: int = 32) -> DataFrame:
-    """The first ``most`` reached nodes, by name, that no edge leaves: where a missing path ends. A report's top k."""
-    return states.select("id", "node").distinct().join(edges.select(F.col("source").alias("node")), "node", "left_anti").orderBy("id", "node").limit(most)
+    """The first ``most`` reached nodes of each id, by name, that no edge leaves: where a missing path ends. A report's top k."""
+    ends = states.select("id", "node").distinct().join(edges.select(F.col("source").alias("node")), "node", "left_anti")
+    return ends.withColumn("_k", F.row_number().over(Window.partitionBy("id").orderBy("node"))).where(F.col("_k") <= most).drop("_k")
+
+
+def witnesses(states: DataFrame, ends: DataFrame) -> DataFrame:
+    """(id, path): the nodes from the start to each end, a state (id, node, passed, parity, uncertain).
+
+    Parents are followed for all ids at once, one join for each step back.
+    """
+    up = states.select("id", F.struct(*STATE[1:]).alias("at"), "parent")
+    at, done = cut(ends.select("id", F.struct(*STATE[1:]).alias("at"), F.array().cast("array<string>").alias("path"))), None
+    while True:
+        at = cut(at.join(up, ["id", "at"]).select("id", F.col("parent").alias("at"), F.concat(F.array("at.node"), "path").alias("path")))
+        ended = at.where("at IS NULL").select("id", "path")
+        done = ended if done is None else done.union(ended)
+        at = at.where("at IS NOT NULL")
+        if at.isEmpty():
+            return done

@@ -554,10 +554,13 @@ def field_rules(f: Facts, known: DataFrame, reg: list[str]) -> DataFrame:
 
 
 def connectivity_rules(f: Facts) -> DataFrame:
-    """OC6501 to OC6509: requirements on whole selectors, bit by bit.
+    """OC6501 and OC6503 to OC6509: requirements on whole selectors, bit by bit, in each view that has endpoints.
 
     Endpoints of both sides are paired by position (identity), from the other end (reverse) or all with all
-    of one requirement (any); a requirement's verdict is its worst pair's.
+    of one requirement (any); a requirement's verdict is its worst pair's. Waypoints and exclusions are
+    selectors too: any bit of a waypoint will do, every bit of an exclusion counts. A missing pair whose
+    source reaches another bit of the sink is OC6507. Views are judged apart, and only a view that is itself
+    wholly tainted leaves its verdicts open. Names are matched exactly, so none is ambiguous (OC6502).
     """
     q = f["requirements"]
     same = ["source", "sink", F.coalesce("through", F.array().cast("array<string>")), F.coalesce("exclude", F.array().cast("array<string>"))]
@@ -572,39 +575,74 @@ def connectivity_rules(f: Facts) -> DataFrame:
     # Neither a conflicting requirement nor the earlier one is judged.
     void = twice.select(F.explode(F.concat("_earlier", F.array("ordinal"))).alias("ordinal")).distinct()
     q = q.join(void, "ordinal", "left_anti").drop("_earlier", "_e", *groups)
-    ends = f["endpoints"].select(F.col("native_name").alias("base"), "bit_index", F.coalesce("ordinal", "bit_index", F.lit(0)).alias("ordinal"), F.when(F.col("bit_index").isNotNull(), F.concat("native_name", F.lit("["), F.col("bit_index").cast("string"), F.lit("]"))).otherwise(F.col("native_name")).alias("key")).distinct()
-
-    def side(name: str) -> DataFrame:
+    own_view = lambda: F.array(evidence("view", F.col("id"))).cast(EVIDENCE)
+    indexed = F.when(F.col("bit_index").isNotNull(), F.concat("native_name", F.lit("["), F.col("bit_index").cast("string"), F.lit("]"))).otherwise(F.col("native_name"))
+    ends = f["endpoints"].select("view", F.col("native_name").alias("base"), "bit_index", indexed.alias("key")).distinct()
+    # A requirement in a view is one of its own; views are few.
+    seen = ends.select("view").distinct().join(f.whole_tainted.withColumn("open", F.lit(True)), "view", "left").fillna(False, ["open"])
+    q = cut(q.join(seen).withColumn("rid", F.concat_ws("\u0001", "view", "id")))
+    absent = f["requirements"].select("id", "ordinal").join(void, "ordinal", "left_anti").join(seen.select(F.lit(1).alias("_any")).limit(1), how="left_anti")
+    found = found.union(finding(absent, "OC6501", "requirement", id, "endpoint", text("Requirement ", F.col("id"), " has no view with endpoints."), own("connectivity.default")))
+
+    def matched(p: DataFrame) -> DataFrame:
+        """Rows with view and selector ``x`` by the bits that it names: key (null without any), sel, bit_index, a, b."""
         pattern = r"^(.+?)(?:\[(\*|[+-]?\d+|[+-]?\d+\s*:\s*[+-]?\d+)\])?$"
-        p = q.select("id", F.regexp_extract(name, pattern, 1).alias("base"), F.regexp_extract(name, pattern, 2).alias("sel"))
+        p = p.withColumns({"base": F.regexp_extract("x", pattern, 1), "sel": F.regexp_extract("x", pattern, 2)})
         lo, hi = (F.try_to_number(F.trim(F.substring_index("sel", ":", k)), F.lit("S999999999")).cast("int") for k in (1, -1))
-        hit = p.join(ends, "base", "left").withColumns({"a": lo, "b": hi})
-        inside = (F.col("sel").isin("", "*")) | F.col("bit_index").between(F.least("a", "b"), F.greatest("a", "b"))
-        hit = hit.where(F.col("key").isNull() | inside)
+        p = p.withColumns({"a": lo, "b": hi})
+        inside = F.col("e.sel").isin("", "*") | F.col("n.bit_index").between(F.least("e.a", "e.b"), F.greatest("e.a", "e.b"))
+        on = (F.col("e.view") == F.col("n.view")) & (F.col("e.base") == F.col("n.base")) & inside
+        return p.alias("e").join(ends.alias("n"), on, "left").select("e.*", "n.key", "n.bit_index")
+
+    def side(name: str) -> DataFrame:
+        hit = matched(q.select("rid", "view", F.col(name).alias("x")))
         down = F.col("a") > F.col("b")
-        order = F.row_number().over(Window.partitionBy("id").orderBy(F.when(F.coalesce(down, F.lit(True)), -F.coalesce("bit_index", F.lit(0))).otherwise(F.coalesce("bit_index", F.lit(0)))))
-        return hit.select("id", "key", order.alias("place"), F.when(F.col("sel").contains(":"), F.abs(F.col("a") - F.col("b")) + 1).when(F.col("sel").isin("", "*"), None).otherwise(1).alias("wanted"))
-
-    s, t = side("source"), side("sink")
-    sizes = [x.groupBy("id").agg(F.count("key").alias(f"{n}_n"), F.max("wanted").alias(f"{n}_w")) for x, n in ((s, "s"), (t, "t"))]
-    z = q.join(sizes[0], "id", "left").join(sizes[1], "id", "left").fillna(0, ["s_n", "t_n"])
-    none = (F.col("s_n") == 0) | (F.col("t_n") == 0) | (F.col("s_n") < F.coalesce("s_w", F.lit(0))) | (F.col("t_n") < F.coalesce("t_w", F.lit(0)))
-    lost = z.where(none)
-    found = found.union(finding(lost, "OC6501", "requirement", id, "endpoint", text("Requirement ", F.col("id"), " names endpoints that do not exist."), own("connectivity.default")))
+        order = F.row_number().over(Window.partitionBy("rid").orderBy(F.when(F.coalesce(down, F.lit(True)), -F.coalesce("bit_index", F.lit(0))).otherwise(F.coalesce("bit_index", F.lit(0)))))
+        return hit.select("rid", "key", order.alias("place"), F.when(F.col("sel").contains(":"), F.abs(F.col("a") - F.col("b")) + 1).when(F.col("sel").isin("", "*"), None).otherwise(1).alias("wanted"))
+
+    def listed(name: str) -> DataFrame:
+        """By requirement the nodes of each selector of a list, in order, and how many selectors name nothing."""
+        one = q.select("rid", "view", F.posexplode(name).alias("pos", "x"))
+        bits = matched(one).groupBy("rid", "pos").agg(F.array_sort(F.collect_set("key")).alias("keys"))
+        return bits.groupBy("rid").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "keys"))), lambda p: p["keys"]).alias(f"{name}_keys"), F.count_if(F.size("keys") == 0).alias(f"{name}_lost"))
+
+    s, t = cut(side("source")), cut(side("sink"))
+    sizes = [x.groupBy("rid").agg(F.count("key").alias(f"{n}_n"), F.max("wanted").alias(f"{n}_w")) for x, n in ((s, "s"), (t, "t"))]
+    z = q
+    for x in (*sizes, listed("through"), listed("exclude")):
+        z = z.join(x, "rid", "left")
+    z = cut(z.fillna(0, ["s_n", "t_n", "through_lost", "exclude_lost"]))
+    none = (F.col("s_n") == 0) | (F.col("t_n") == 0) | (F.col("s_n") < F.coalesce("s_w", F.lit(0))) | (F.col("t_n") < F.coalesce("t_w", F.lit(0))) | (F.col("through_lost") + F.col("exclude_lost") > 0)
+    found = found.union(finding(z.where(none), "OC6501", "requirement", id, "endpoint", text("Requirement ", F.col("id"), " names endpoints that do not exist in ", F.col("view"), "."), own_view()))
     mapped = F.coalesce("transform", F.lit("any")) != "any"
     uneven = z.where(~none & mapped & (F.col("s_n") != F.col("t_n")))
-    found = found.union(finding(uneven, "OC6506", "requirement", id, "width", text("Requirement ", F.col("id"), " has ", F.col("s_n").cast("string"), " sources and ", F.col("t_n").cast("string"), " sinks."), own("connectivity.default")))
+    found = found.union(finding(uneven, "OC6506", "requirement", id, "width", text("Requirement ", F.col("id"), " has ", F.col("s_n").cast("string"), " sources and ", F.col("t_n").cast("string"), " sinks."), own_view()))
     good = z.where(~none & ~(mapped & (F.col("s_n") != F.col("t_n"))))
-    pairs = good.join(s.select("id", F.col("key").alias("from"), F.col("place").alias("i")), "id").join(t.select("id", F.col("key").alias("to"), F.col("place").alias("j")), "id")
+    pairs = good.join(s.select("rid", F.col("key").alias("from"), F.col("place").alias("i")), "rid").join(t.select("rid", F.col("key").alias("to"), F.col("place").alias("j")), "rid")
     rev = F.col("transform") == "reverse"
-    pairs = pairs.where(~mapped | F.when(rev, F.col("i") + F.col("j") == F.col("s_n") + 1).otherwise(F.col("i") == F.col("j")))
-    single = pairs.select(F.concat_ws("\u0001", "id", "from", "to").alias("id"), F.col("from").alias("source"), F.col("to").alias("sink"), "expectation", F.when(F.col("transform") == "inverted", "inverted").when(mapped, "identity").otherwise("any").alias("transform"), "through", "exclude")
-    complete = f.whole_tainted.isEmpty()
-    verdict = graph.judged(f["edges"], single, complete).withColumn("id", F.substring_index("id", "\u0001", 1))
-    rank = F.element_at(F.create_map(*[F.lit(x) for x in ("pass", 0, "inconclusive", 1, "polarity", 2, "missing", 3, "forbidden", 4)]), F.col("verdict"))
-    worst = verdict.groupBy("id").agg(F.max_by("verdict", rank).alias("verdict"))
-    code = F.element_at(F.create_map(*[F.lit(x) for x in ("inconclusive", "OC6505", "polarity", "OC6508", "missing", "OC6503", "forbidden", "OC6504")]), F.col("verdict"))
-    return found.union(finding(worst.where("verdict != 'pass'"), code, "requirement", id, "connectivity", text("Requirement ", F.col("id"), ": ", F.col("verdict"), "."), own("connectivity.default")))
+    paired = pairs.where(~mapped | F.when(rev, F.col("i") + F.col("j") == F.col("s_n") + 1).otherwise(F.col("i") == F.col("j")))
+    # Nodes of different views are different nodes.
+    node = lambda c: F.concat(F.col("view"), F.lit("\u0003"), c)
+    waypoints = F.transform(F.coalesce("through_keys", F.array().cast("array<array<string>>")), lambda keys: F.array_join(F.transform(keys, node), graph.OR))
+    barred = F.transform(F.flatten(F.coalesce("exclude_keys", F.array().cast("array<array<string>>"))), node)
+    pid = F.concat_ws("\u0001", "rid", "from", "to").alias("id")
+    asked = lambda transform: [pid, node(F.col("from")).alias("source"), node(F.col("to")).alias("sink"), "expectation", transform.alias("transform"), waypoints.alias("through"), barred.alias("exclude"), "open"]
+    single = paired.select(*asked(F.when(F.col("transform") == "inverted", "inverted").when(mapped, "identity").otherwise("any")))
+    edges = f["edges"].select(node(F.col("source")).alias("source"), node(F.col("sink")).alias("sink"), "inverted", "status")
+    part = lambda k: F.get(F.split("id", "\u0001"), F.lit(k))
+    verdict = cut(graph.judged(edges, single, proofs=True).select(F.concat_ws("\u0001", part(0), part(1)).alias("rid"), part(2).alias("from"), "verdict", "proof"))
+    # Of mapped pairs that are missing: does the source reach another bit of the sink?
+    lost = verdict.where("verdict = 'missing'").select("rid", "from")
+    other = pairs.where(mapped & (F.col("expectation") == "reachable") & ~F.when(rev, F.col("i") + F.col("j") == F.col("s_n") + 1).otherwise(F.col("i") == F.col("j"))).join(lost, ["rid", "from"], "left_semi")
+    astray = graph.judged(edges, other.select(*asked(F.lit("any")))).where("verdict = 'pass'").select(F.concat_ws("\u0001", part(0), part(1)).alias("rid"), part(2).alias("from"), F.lit(True).alias("astray")).distinct()
+    verdict = verdict.join(astray, ["rid", "from"], "left").withColumn("verdict", F.when(F.col("astray"), "bits").otherwise(F.col("verdict")))
+    rank = F.element_at(F.create_map(*[F.lit(x) for x in ("pass", 0, "inconclusive", 1, "polarity", 2, "bits", 3, "missing", 4, "forbidden", 5)]), F.col("verdict"))
+    worst = verdict.groupBy("rid").agg(F.max(F.struct(rank.alias("rank"), "verdict", F.coalesce("proof", F.array().cast("array<string>")).alias("proof"))).alias("m"))
+    worst = worst.select(F.substring_index("rid", "\u0001", 1).alias("view"), F.substring_index("rid", "\u0001", -1).alias("id"), "m.verdict", "m.proof").where("verdict != 'pass'")
+    code = F.element_at(F.create_map(*[F.lit(x) for x in ("inconclusive", "OC6505", "polarity", "OC6508", "bits", "OC6507", "missing", "OC6503", "forbidden", "OC6504")]), F.col("verdict"))
+    # The witness of a path, or where what was reached ends, as evidence.
+    shown = F.concat(own_view(), F.transform("proof", lambda n: F.struct(F.col("view").alias("view"), F.substring_index(n, "\u0003", -1).alias("value"), F.lit(None).cast("string").alias("source"), F.lit(None).cast("int").alias("line"), F.lit(None).cast("int").alias("column")))).cast(EVIDENCE)
+    return found.union(finding(worst, code, "requirement", id, "connectivity", text("Requirement ", F.col("id"), " in ", F.col("view"), ": ", F.col("verdict"), "."), shown))
 
 
 def scope_taint(f: Facts) -> DataFrame:

@@ -178,6 +178,38 @@ def test_connectivity(spark):
     assert got == {"miss": "OC6503", "pol": "OC6505", "inv": "OC6505", "maybe": "OC6505", "no": "OC6504", "gone": "OC6501", "wide": "OC6506", "dup2": "OC6509", "against2": "OC6509"}
 
 
+def test_connectivity_by_view_with_vectors_witnesses_and_wrong_bits(spark):
+    end = lambda v, n, b=None: {"view": v, "native_name": n, "bit_index": b, "status": "known"}
+    edge = lambda v, a, b: {"view": v, "source": a, "sink": b, "inverted": False, "status": "known"}
+    count = iter(range(99))
+    req = lambda i, a, b, e="reachable", t="any", through=(), exclude=(): {"id": i, "source": a, "sink": b, "expectation": e, "transform": t, "through": list(through), "exclude": list(exclude), "ordinal": next(count)}
+    named = ("a", "m", "z")
+    f = facts(
+        spark, views=[view("rtl.one"), view("rtl.two"), view("rtl.open", False, ["*"]), view("lef.bad", False, ["*"])],
+        endpoints=[end(v, n, k) for v in ("rtl.one", "rtl.two", "rtl.open") for n in named for k in range(2)],
+        edges=[*[edge("rtl.one", f"a[{k}]", f"m[{k}]") for k in range(2)], *[edge("rtl.one", f"m[{k}]", f"z[{1 - k}]") for k in range(2)], edge("rtl.two", "a[0]", "m[0]")],
+        requirements=[req("crossed", "a", "z", t="reverse"), req("straight", "a", "z", t="identity"), req("via", "a[0]", "z[1]", through=["m"]), req("not", "a[1]", "z[0]", "unreachable"), req("around", "a[1]", "z[0]", "unreachable", exclude=["m[*]"]), req("nowhere", "a", "z", through=["q"])],
+    )
+    got = {}
+    for r in rules.connectivity_rules(f).collect():
+        got.setdefault(r.object_id.split(":")[1], {})[r.evidence[0].view] = (r.code, [e.value for e in r.evidence[1:]])
+    one, two, dark = ({k: x.get(v) for k, x in got.items()} for v in ("rtl.one", "rtl.two", "rtl.open"))
+    assert one == {"straight": ("OC6507", one["straight"][1]), "not": ("OC6504", ["a[1]", "m[1]", "z[0]"]), "nowhere": ("OC6501", []), "crossed": None, "via": None, "around": None}
+    assert {k: x and x[0] for k, x in two.items()} == {"crossed": "OC6503", "straight": "OC6503", "via": "OC6503", "nowhere": "OC6501", "not": None, "around": None}
+    assert two["via"][1] == ["m[0]"] and {k: x and x[0] for k, x in dark.items()} == {"crossed": "OC6505", "straight": "OC6505", "via": "OC6505", "not": "OC6505", "nowhere": "OC6501", "around": "OC6505"}
+
+
+def test_a_checker_that_raises_is_told(spark):
+    def bad(f):
+        raise KeyError("x")
+
+    def late(f):
+        return rules.finding(f["views"], F.raise_error(F.lit("late")).cast("string"), "x", F.lit("i"), None, F.lit("m"))
+
+    f = facts(spark, views=[view("rtl.one")])
+    assert sorted(codes(rules.all_findings(f, (bad, late)))) == [("OC9002", "checker:bad"), ("OC9002", "checker:late")]
+
+
 def test_reach_equals_a_search(spark):
     rnd = random.Random(1)
     edges = [(str(rnd.randrange(25)), str(rnd.randrange(25)), rnd.random() < 0.4, "known" if rnd.random() < 0.9 else "tainted") for _ in range(60)]
