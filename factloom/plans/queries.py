@@ -586,3 +586,85 @@ def similar_names(spark, sf):
     p = table(spark, sf, "part").select(F.lower("p_name").alias("n"), (F.col("p_partkey") % 2).alias("k")).distinct()
     sides = [p.select(F.col("n").alias(f"{s}_name"), F.col("k").alias(f"{s}_kind")) for s in "lr"]
     return rules.similar(*sides, [], 0.92).select("l_name", "r_name", F.round("score", 6).alias("score"))
+
+
+# ---------------------------------------------------------------- further rules on whole tables
+
+
+def part_ports(spark, sf, view: str, where: str = "true", **columns) -> DataFrame:
+    p = table(spark, sf, "part").where(where)
+    own = dict(view=F.lit(view), kind=F.lit(view.split(".")[0]), component=F.lit("top"), native_name=F.concat(F.lit("p"), "p_partkey"), status=F.lit("known"), direction=F.lit("input"), width=F.lit(1), source=F.lit(view), line=F.lit(1), column=F.lit(1))
+    return family(p, "ports", **own | columns)
+
+
+def one_top(spark, *named: str) -> DataFrame:
+    return family(spark.createDataFrame([(v,) for v in named], "v string"), "components", view=F.col("v"), kind=F.substring_index("v", ".", 1), native_name=F.lit("top"))
+
+
+@query("SELECT 'OC3103' AS code, 'component:top/port:p' || p_partkey AS object_id FROM part WHERE p_size % 10 = 0")
+def duplicate_pin_rules(spark, sf):
+    ports = part_ports(spark, sf, "rtl.a").union(part_ports(spark, sf, "rtl.a", "p_size % 10 = 0", line=F.lit(2)))
+    return rules.duplicate_pins(Facts(spark, {"views": views(spark, "rtl.a"), "components": one_top(spark, "rtl.a"), "ports": ports})).select("code", "object_id")
+
+
+@query("SELECT 'OC4106' AS code, 'component:top/port:p' || p_partkey AS object_id FROM part WHERE p_size % 4 = 1")
+def scalar_vector_rules(spark, sf):
+    a = part_ports(spark, sf, "rtl.a", explicit_scalar=F.lit(True))
+    b = part_ports(spark, sf, "lef.b", explicit_scalar=F.col("p_size") % 4 != 1, packed=F.when(F.col("p_size") % 4 == 1, F.array(F.struct(F.lit(0).alias("left"), F.lit(0).alias("right")))))
+    found = rules.port_conflicts(Facts(spark, {"views": views(spark, "rtl.a", "lef.b"), "components": one_top(spark, "rtl.a", "lef.b"), "ports": a.union(b)}))
+    return found.where("code = 'OC4106'").select("code", "object_id")
+
+
+@query("SELECT 'OC3102' AS code, 'component:top/port:p' || p_partkey AS object_id FROM part WHERE p_size % 6 = 0")
+def contract_pin_rules(spark, sf):
+    """Every sixth part is a pin that the frozen contract does not have."""
+    frozen = family(table(spark, sf, "part").where("p_size % 6 != 0"), "contract_ports", component=F.lit("top"), port=F.concat(F.lit("p"), "p_partkey"), direction=F.lit("input"), width=F.lit(1))
+    f = Facts(spark, {"views": views(spark, "rtl.a"), "components": one_top(spark, "rtl.a"), "ports": part_ports(spark, sf, "rtl.a"), "contract_ports": frozen})
+    return rules.pin_inventory(f).where("code = 'OC3102'").select("code", "object_id")
+
+
+@query("SELECT 'OC3002' AS code, 'component:s' || s_suppkey AS object_id FROM supplier WHERE s_suppkey % 4 = 1")
+def contract_component_rules(spark, sf):
+    s = table(spark, sf, "supplier")
+    name = F.concat(F.lit("s"), "s_suppkey")
+    frozen = family(s.where("s_suppkey % 4 != 1"), "contract_ports", component=name, port=F.lit("a"))
+    comps = family(s, "components", view=F.lit("rtl.a"), kind=F.lit("rtl"), native_name=name)
+    return rules.component_inventory(Facts(spark, {"views": views(spark, "rtl.a"), "components": comps, "contract_ports": frozen})).where("code = 'OC3002'").select("code", "object_id")
+
+
+@query("""SELECT CASE WHEN p_size % 3 = 1 THEN 'OC4301' ELSE 'OC4303' END AS code, 'component:c' || p_partkey || CASE WHEN p_size % 3 = 1 THEN '/port:y' ELSE '/port:y' END AS object_id FROM part WHERE p_size % 3 > 0""")
+def function_rules(spark, sf):
+    """A library and the RTL of each part: equal but for the order, different, or with a pin that nobody has."""
+    p, name = table(spark, sf, "part"), F.concat(F.lit("c"), "p_partkey")
+    size = F.col("p_size") % 3
+    expression = F.when(size == 2, "a & zz | a & !zz & b | a & !b").otherwise("a & b")
+    lib = family(p, "functions", view=F.lit("liberty.tt"), kind=F.lit("liberty"), component=name, output=F.lit("y"), expression=expression)
+    rtl = family(p, "functions", view=F.lit("rtl.a"), kind=F.lit("rtl"), component=name, output=F.lit("y"), expression=F.when(size == 0, "b & a").when(size == 1, "a | b").otherwise("a"))
+    comps = [family(p, "components", view=F.lit(v), kind=F.lit(v.split(".")[0]), native_name=name) for v in ("liberty.tt", "rtl.a")]
+    pins = p.withColumn("pin", F.explode(F.array(*map(F.lit, "aby"))))
+    ports = [family(pins, "ports", view=F.lit(v), kind=F.lit(v.split(".")[0]), component=name, native_name=F.col("pin"), status=F.lit("known")) for v in ("liberty.tt", "rtl.a")]
+    f = Facts(spark, {"views": views(spark, "liberty.tt", "rtl.a"), "components": comps[0].union(comps[1]), "ports": ports[0].union(ports[1]), "functions": lib.union(rtl)})
+    return rules.functions(f).select("code", "object_id")
+
+
+@query("""SELECT code, 'register:chip/r' || o_orderkey || '/field:f' AS object_id FROM orders, (VALUES ('OC6305', 5), ('OC6308', 3)) AS t(code, every) WHERE o_orderkey % every = 0""")
+def register_field_rules(spark, sf):
+    """Every fifth order's field lies elsewhere in the second view, every third one resets to something else."""
+    o, k = table(spark, sf, "orders"), F.col("o_orderkey")
+
+    def side(view: str, offset, reset):
+        f = F.array(F.struct(F.lit("F").alias("name"), offset.cast("int").alias("bit_offset"), F.lit(2).alias("bit_width"), F.lit("rw").alias("access"), reset.cast("decimal(38,0)").alias("reset"), F.lit("known").alias("status")))
+        return family(o, "registers", view=F.lit(view), kind=F.lit(view.split(".")[0]), component=F.lit("chip"), native_name=F.concat(F.lit("R"), k.cast("string")), memory_map=F.lit("m"), address_offset=k * 4, size_bits=F.lit(32), access=F.lit("rw"), status=F.lit("known"), ordinal=F.lit(1), fields=f)
+
+    a, b = side("ipxact.a", F.lit(0), F.lit(0)), side("systemrdl.b", F.when(k % 5 == 0, 4).otherwise(0), F.when(k % 3 == 0, 1).otherwise(0))
+    return rules.register_rules(Facts(spark, {"registers": a.union(b)})).select("code", "object_id")
+
+
+@query("""SELECT DISTINCT 'OC5002' AS code, 'package-ball:b' || s_suppkey AS object_id FROM supplier WHERE s_suppkey % 3 = 0""")
+def package_signal_rules(spark, sf):
+    """Balls by supplier, each with a signal of its own; the chip lacks every third one."""
+    s = table(spark, sf, "supplier")
+    rows = family(s, "pin_mappings", view=F.lit("csv.package"), kind=F.lit("csv"), die_pad=F.concat(F.lit("d"), "s_suppkey"), package_ball=F.concat(F.lit("b"), "s_suppkey"), signal=F.concat(F.lit("s"), "s_suppkey"), component=F.lit("top"))
+    ports = family(s.where("s_suppkey % 3 != 0"), "ports", view=F.lit("rtl.a"), kind=F.lit("rtl"), component=F.lit("top"), native_name=F.concat(F.lit("s"), "s_suppkey"), status=F.lit("known"), direction=F.lit("input"), width=F.lit(1))
+    f = Facts(spark, {"views": views(spark, "csv.package", "rtl.a"), "components": one_top(spark, "rtl.a"), "ports": ports, "pin_mappings": rows})
+    return rules.package_rules(f).where("code = 'OC5002'").select("code", "object_id")
