@@ -1,4 +1,4 @@
-"""The pipeline: every stage on all that the one before kept, against brute force."""
+"""The pipeline: every stage on all that the one before kept; near dedup and decontamination against plain Python, toxicity against its own scores."""
 
 import random
 import re
@@ -54,6 +54,55 @@ def test_stages(spark, folder):
     assert sorted(map(tuple, whole.collect()), key=str) == sorted(map(tuple, mixed.collect()), key=str)
 
 
+def test_near_dedup_and_decontamination_against_plain_python(spark, folder):
+    """The two stages' decisions from their definitions alone, and the folders that stay behind."""
+    import xxhash
+
+    docs, bench = (spark.read.parquet(f"{folder}/{n}.parquet") for n in ("documents", "benchmark"))
+    docs = spark.createDataFrame(exact_dedup.keep_first_copies(docs).collect(), docs.schema)
+    rows = {r.doc_id: r.text or "" for r in docs.collect()}
+
+    def fingerprint(text):
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+        h = [xxhash.xxh64_intdigest(" ".join(w[i : i + 4]).encode(), 42) for i in range(max(1, len(w) - 3))] if w else []
+        return sum(1 << b for b in range(64) if sum(x >> b & 1 for x in h) * 2 > len(h))
+
+    prints, root = {i: fingerprint(t) for i, t in rows.items()}, {i: i for i in rows}
+    changed = True
+    while changed:  # the smallest id that links reach
+        changed = False
+        for a in rows:
+            for b in rows:
+                if (prints[a] ^ prints[b]).bit_count() <= 4 and root[b] < root[a]:
+                    root[a], changed = root[b], True
+    near = P.near_dedup(spark, docs, folder)
+    assert {r.doc_id for r in near.collect()} == set(root.values())
+
+    def grams(text, n):
+        w = re.findall(r"\w+", text.lower())
+        return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
+
+    items = [grams(r.text, 5) for r in bench.collect()]
+    hit = {i for i, t in rows.items() if any(len(g & grams(t, 5)) >= 0.8 * len(g) for g in items)}
+    assert hit and {r.doc_id for r in P.decontamination(spark, docs, folder).collect()} == set(rows) - hit
+
+
+def test_stages_without_labels_or_items_and_with_null_ids(spark, folder, tmp_path):
+    """No labels: nothing is toxic; no items: nothing is dropped; rows with null ids go through all stages."""
+    for name, schema in (("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
+        spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    docs = spark.read.parquet(f"{folder}/documents.parquet").limit(20)
+    docs = spark.createDataFrame([*docs.collect(), (None, "a text without an id " * 3, None, None, None)], docs.schema)
+    assert P.toxicity(spark, docs, str(tmp_path)).count() == 21 and P.decontamination(spark, docs, str(tmp_path)).count() == 21
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    out = P.run(spark, str(tmp_path)).collect()
+    assert sum(r.doc_id is None for r in out) == 1
+    kept = spark.read.parquet(f"{tmp_path}/documents.parquet").withColumns({"_text": F.lit("t"), "score": F.lit(0), "spans": F.lit("s"), "size": F.lit(1), "members": F.lit("m"), "_bucket": F.lit(2), "item_id": F.lit(3)})
+    for stage in (P.toxicity, P.decontamination):
+        assert stage(spark, kept, str(tmp_path)).columns == kept.columns
+    assert P.mixing(spark, kept, str(tmp_path)).count() == 21
+
+
 def test_stages_take_empty_documents(spark, folder):
     none = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
     for _, stage in P.STAGES:
