@@ -61,16 +61,17 @@ class Project:
             raise ConfigError(str(e)) from e
         return cls(spark, config, str(Path(path).resolve().parent))
 
-    def facts(self, contract: DataFrame | None = None) -> Facts:
-        tables = observe(self.spark, self.sources) | self.extra
+    def facts(self, contract: DataFrame | None = None, cache: str | None = None) -> Facts:
+        tables = observe(self.spark, self.sources, cache) | self.extra
         if contract is None:
             tables.pop("contract_ports")
         else:
             tables["contract_ports"] = contract.select("component", "port", "direction", "role", "width")
         return Facts(self.spark, tables, self.policy)
 
-    def check(self, today: date | None = None, contract: DataFrame | None = None, checkers: tuple = ()) -> DataFrame:
-        return check(self.facts(contract), today, checkers)
+    def check(self, today: date | None = None, contract: DataFrame | None = None, checkers: tuple = (), cache: str | None = None) -> DataFrame:
+        """The diagnostics; views whose files have not changed are read from ``cache``, a shared folder, if one is given."""
+        return check(self.facts(contract, cache), today, checkers)
 
     def build_contract(self) -> DataFrame:
         return review.build_contract(self.facts())

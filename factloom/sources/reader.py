@@ -23,6 +23,8 @@ from factloom.operators.shared import cut
 Parser = Callable[[list[tuple[str, bytes]], str, str, dict], Iterable[tuple[str, dict]]]
 #: Bytes of one file; larger ones are refused before they are shuffled, as a whole view must fit in a task.
 LARGEST = 64 << 20
+#: Changes whenever a parser gives other rows for the same bytes.
+ROWS_VERSION = "2"
 
 # Formats, their other names, and the endings of their files.
 FORMATS = {
@@ -102,8 +104,35 @@ def run_parser(parser: Parser, files: list[tuple[str, bytes]], view: str, kind:
     yield "views", {"view": view, "kind": kind, "complete": complete, "tainted_scopes": sorted(set(tainted))}
 
 
-def observe(spark: SparkSession, sources: list[Source]) -> dict[str, DataFrame]:
-    """Every family's rows of all sources. Files that do not exist give OC1002, patterns without files OC1003."""
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def reused(spark: SparkSession, views: DataFrame, parsed: Callable[[DataFrame], DataFrame], cache: str) -> DataFrame:
+    """The parsed rows of views, those whose content has been parsed before read from the cache.
+
+    A view's key is the digest of its name, format, options and files (places, names, bytes) and of this
+    package's version of the rows. Views of plug-ins are parsed always: their code is not in the key. A
+    view is only in the cache once its write has succeeded.
+    """
+    content = F.transform("files", lambda f: F.concat_ws("\u0001", f["n"].cast("string"), f["path"], F.coalesce(F.sha2(f["content"], 256), F.lit("large"))))
+    key = F.sha2(F.concat_ws("\u0002", F.lit(ROWS_VERSION), "view", "format", "options", F.concat_ws("\u0003", content)), 256)
+    keyed = cut(views.withColumn("key", F.when(F.col("format").isin(*FORMATS), key)))
+    keys = [r[0] for r in keyed.where("key IS NOT NULL").select("key").distinct().collect()]  # one for each view
+    known = [k for k in keys if _exists(spark, f"{cache}/{k}/_SUCCESS")]
+    fresh = cut(parsed(keyed.where(F.col("key").isNull() | ~F.col("key").isin(*known))))
+    for k in set(keys) - set(known):
+        fresh.where(F.col("key") == k).select("family", "row").write.mode("overwrite").parquet(f"{cache}/{k}")
+    out = fresh.select("family", "row")
+    return out.union(spark.read.schema("family string, row string").parquet(*[f"{cache}/{k}" for k in known])) if known else out
+
+
+def observe(spark: SparkSession, sources: list[Source], cache: str | None = None) -> dict[str, DataFrame]:
+    """Every family's rows of all sources. Files that do not exist give OC1002, patterns without files OC1003.
+
+    ``cache`` is a shared folder in which parsed views are kept by their content.
+    """
     plan = [(k, s.view, format_of(s), json.dumps(s.options), n, p) for k, s in enumerate(sources) for n, p in enumerate(s.paths)]
     parts, lost = [], []
     for k, view, format, options, n, path in plan:
@@ -133,9 +162,10 @@ def observe(spark: SparkSession, sources: list[Source]) -> dict[str, DataFrame]:
                     parser = own[r["format"]]
                     kind = FORMATS.get(r["format"], (r["view"].split(".")[0],))[0]
                     rows = [(family, json.dumps(row)) for family, row in run_parser(parser, files, r["view"], kind, json.loads(r["options"]))]
-                    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.string()), pa.array([x[1] for x in rows], pa.string())], ["family", "row"])
+                    yield pa.RecordBatch.from_arrays([pa.array([r.get("key")] * len(rows), pa.string()), pa.array([x[0] for x in rows], pa.string()), pa.array([x[1] for x in rows], pa.string())], ["key", "family", "row"])
 
-        raw = cut(views.mapInArrow(run, "family string, row string"))
+        parsed = lambda df: df.mapInArrow(run, "key string, family string, row string")
+        raw = cut(parsed(views).select("family", "row")) if cache is None else reused(spark, views, parsed, cache)
     out = {}
     for family, schema in SCHEMAS.items():
         rows = spark.createDataFrame([], schema)

@@ -221,7 +221,7 @@ def test_project_from_files_to_reports(spark, project, tmp_path):
         assert want in got, (want, sorted(got, key=str))
     assert ("OC6001", "reference:sdc.u:port:lost") not in got  # that view is not whole
     # The missing netlist leaves other views' verdicts alone: the clock does not reach q[0] in the RTL, which is whole.
-    assert {(c, i) for c, i in got if c.startswith("OC65")} == {("OC6503", "connectivity:r3")}
+    assert {(c, i) for c, i in got if c.startswith("OC65")} == {("OC6503", "connectivity:r3"), ("OC6505", "connectivity:r2")}  # an unknown cell also drives n
     body = json.loads(reports.render_json(d, "chip"))
     assert body["exit_code"] == 2 == C.exit_code(d) and body["summary"]["waived"] == 1 and len(body["diagnostics"]) == d.count()
     sarif = json.loads(reports.render_sarif(d))["runs"][0]
@@ -235,6 +235,25 @@ def test_project_from_files_to_reports(spark, project, tmp_path):
     d.unpersist()
 
 
+def test_only_changed_views_are_parsed_again(spark, project, tmp_path):
+    """Reports are the same with a cache, cold or warm; a changed file is seen; the cache holds one entry for each content."""
+    said = lambda d: sorted((r.code, r.object_id, r.message, r.source, r.line) for r in d.collect())
+    cache, p = f"{tmp_path}/cache", Project.load(spark, str(project / "p.toml"))
+    p.sources = [s for s in p.sources if s.view.split(".")[0] in ("liberty", "lef", "csv")]
+    fresh = said(p.check(date(2026, 1, 1)))
+    assert said(p.check(date(2026, 1, 1), cache=cache)) == fresh
+    entries = {e.name for e in (tmp_path / "cache").iterdir()}
+    assert said(p.check(date(2026, 1, 1), cache=cache)) == fresh and {e.name for e in (tmp_path / "cache").iterdir()} == entries and len(entries) == 3
+    lef = project / "chip.lef"
+    before = lef.read_text()
+    lef.write_text(before.replace("USE GROUND", "USE POWER"))
+    try:
+        changed = said(p.check(date(2026, 1, 1), cache=cache))
+        assert changed != fresh and changed == said(p.check(date(2026, 1, 1))) and len(list((tmp_path / "cache").iterdir())) == 4
+    finally:
+        lef.write_text(before)
+
+
 def test_formats_plugins_and_errors(spark, project):
     assert format_of(Source("a.b", ["x.lib"])) == "liberty" and format_of(Source("a.b", ["x"], "SV")) == "verilog"
     for bad in (Source("a.b", ["x"]), Source("a.b", ["x.lib", "y.lef"]), Source("a.b", [], "nope")):
