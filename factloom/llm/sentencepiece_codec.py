@@ -230,10 +230,14 @@ class Vocabulary:
         """Encode units and remember them; with the library, compare each unit's ids with its own."""
         fresh = list(units)
         self.held += sum(map(len, fresh))
+        if self.cuts:  # units in a row are a normalised text, but for those that end in spaces
+            fresh.sort(key=lambda u: u.endswith(SPACE))
+        alone = next((k for k, u in enumerate(fresh) if u.endswith(SPACE) or not self.cuts), len(fresh))
         packed = self.encode_units(fresh)
-        step = CHECKED if self.cuts else 1
-        for k in range(0, len(fresh) if library is not None else 0, step):
-            # The units in a row are a normalised text; the library puts the prefix before it by itself.
+        k = step = 0
+        while library is not None and (k := k + step) < len(fresh):
+            step = min(CHECKED, alone - k) if k < alone else 1
+            # The library puts the prefix before a text by itself.
             theirs = library.encode("".join(fresh[k : k + step]).removeprefix(self.prefix))
             if np.array(theirs, "<u4").tobytes() != b"".join(packed[k : k + step]):
                 raise ValueError(f"the library gives other ids for one of {fresh[k : k + step]!r}")
