@@ -237,9 +237,10 @@ class Vocabulary:
         k = step = 0
         while library is not None and (k := k + step) < len(fresh):
             step = min(CHECKED, alone - k) if k < alone else 1
-            # The library puts the prefix before a text by itself.
-            theirs = library.encode("".join(fresh[k : k + step]).removeprefix(self.prefix))
-            if np.array(theirs, "<u4").tobytes() != b"".join(packed[k : k + step]):
+            # The library puts the prefix before a text by itself; a first unit keeps "▁" from being the whole text.
+            lead = [f"{SPACE}a"] if self.cuts else []
+            theirs = library.encode("".join(lead + fresh[k : k + step]).removeprefix(self.prefix))
+            if np.array(theirs, "<u4").tobytes() != b"".join(self.encode_units(lead) + packed[k : k + step]):
                 raise ValueError(f"the library gives other ids for one of {fresh[k : k + step]!r}")
         self.known.update(zip(fresh, packed, strict=True))
 
