@@ -5,7 +5,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("simhash", "pii", "chat", "exact_dedup", "substring_dedup", "html_text", "licenses", "mixing", "decontamination", "toxicity", "sentencepiece_codec", "collocations")
+MODULES = ("simhash", "pii", "chat", "exact_dedup", "substring_dedup", "html_text", "licenses", "mixing", "decontamination", "toxicity", "sentencepiece_codec", "collocations", "alignment")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
