@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Spellings of directions, roles, view kinds and accesses.
@@ -74,11 +74,20 @@ def role_from_name(c: Column) -> Column:
     words = F.filter(F.split(name, "[_/]+"), lambda w: w != "")
     out = F.lit("unknown")
     for role, whole, first, anywhere in reversed(ROLE_RULES):
-        fits = name.isin(*whole) | F.coalesce(F.get(words, F.lit(0)).isin(*first), F.lit(False)) | F.exists(words, lambda w, some=anywhere: w.isin(*some))
+        some = F.arrays_overlap(words, F.array(*map(F.lit, anywhere))) if anywhere else F.lit(False)
+        fits = name.isin(*whole) | F.coalesce(F.get(words, F.lit(0)).isin(*first), F.lit(False)) | some
         out = F.when(fits, role).otherwise(out)
     return out
 
 
+def hinted(ports: DataFrame) -> DataFrame:
+    """Ports whose source says no role get the one that their name hints at, tainted: it is shown, never judged."""
+    told, hint = role(F.col("role")) != "unknown", role_from_name(F.coalesce("native_name", F.lit("")))
+    states = F.map_concat(F.map_filter(F.coalesce("field_states", F.create_map().cast("map<string,string>")), lambda k, _: k != "role"), F.create_map(F.lit("role"), F.lit("tainted")))
+    use = ~told & (hint != "unknown")
+    return ports.withColumns({"role": F.when(use, hint).otherwise(F.col("role")), "field_states": F.when(use, states).otherwise(F.col("field_states"))})
+
+
 def variants(name: Column, scope: Column | None = None) -> Column:
     """All spellings of a hierarchical name: with / and with ., with and without its scope."""
     strip = lambda c: F.trim(F.trim(decoded(c)), F.lit("/"))

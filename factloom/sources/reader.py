@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.functions import names
 from factloom.model import SCHEMAS
 from factloom.operators.shared import cut
 
@@ -171,7 +172,7 @@ def observe(spark: SparkSession, sources: list[Source], cache: str | None = None
         rows = spark.createDataFrame([], schema)
         if raw is not None:
             rows = raw.where(F.col("family") == family).select(F.from_json("row", schema).alias("r")).select("r.*")
-        out[family] = rows
+        out[family] = names.hinted(rows) if family == "ports" else rows
     if lost:
         told = spark.createDataFrame([(c, v, "*", f"{p} has no file", p, 0, 0) for v, _, c, p in lost], SCHEMAS["parser_diagnostics"])
         out["parser_diagnostics"] = out["parser_diagnostics"].union(told)

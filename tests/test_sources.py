@@ -275,3 +275,12 @@ def test_changed_files(spark):
     before = spark.createDataFrame([("a", "x"), ("b", "4355a46b19d348dc2f57c046f8ef63d4538ebb936000f3c9ee954a27460dd865")], "path string, digest string")
     now = spark.createDataFrame([("a", b"1\n"), ("b", b"1\n"), ("c", b"")], "path string, content binary")
     assert sorted(r.path for r in changed_files(before, now).collect()) == ["a", "c"]
+
+
+def test_roles_from_names_are_shown_and_never_judged(spark):
+    from factloom.functions import names
+
+    rows = [("VSS_IO", None, None), ("vdd_core", "unknown", {"role": "known", "shape": "known"}), ("core_clk_i", "signal", None), ("resetn", "", None), ("payload", None, None), (None, None, None)]
+    df = spark.createDataFrame(rows, "native_name string, role string, field_states map<string,string>")
+    got = [(r.role, r.field_states) for r in names.hinted(df).collect()]
+    assert got == [("ground", {"role": "tainted"}), ("power", {"shape": "known", "role": "tainted"}), ("signal", None), ("reset", {"role": "tainted"}), (None, None), (None, None)]

@@ -4,7 +4,6 @@ import os
 
 import pytest
 
-from factloom.llm.simhash import keep_one_of_each, near_duplicates
 from factloom.operators import graph
 from factloom.plans import queries as Q
 
@@ -37,12 +36,3 @@ def test_the_state_bound_is_each_requirements_own(spark):
     q = spark.createDataFrame(reqs, "id string, source string, sink string, expectation string, transform string, through array<string>, exclude array<string>")
     got = {r.id: r.verdict for r in graph.judged(df, q, max_states=10).collect()}
     assert got == {"far": "inconclusive", "near": "pass", **{f"ok{i}": "pass" for i in range(5)}, "miss": "missing", "no": "forbidden", "apart": "pass", "odd": "polarity"}
-
-
-def test_each_component_keeps_a_row_under_null_and_repeated_ids(spark):
-    words = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
-    rows = [(None, words(0), 1), (None, words(1), 1), (None, words(1), 1), (7, words(2), 1), (7, words(3), 1), (7, words(3), 2), (3, words(4), 1), (9, words(4), 1), (9, words(5), 1), (None, words(5), 1)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, n int").repartition(3)
-    assert near_duplicates(docs).select("fingerprint").distinct().count() == 6
-    kept = sorted(((r.doc_id, r.text, r.n) for r in keep_one_of_each(docs).collect()), key=str)
-    assert kept == sorted([(None, words(0), 1), (None, words(1), 1), (7, words(2), 1), (7, words(3), 1), (3, words(4), 1), (9, words(5), 1)], key=str)
