@@ -214,3 +214,12 @@ def test_hot_buckets_are_dealt_out(spark):
     of = {x: k for k, g in enumerate(roots) for x in g}
     assert all(of[int(a)] == of[int(b)] for a, b in zip(base[:500].view(np.int64), near.view(np.int64), strict=True))
     assert all(((a ^ b) & (2**64 - 1)).bit_count() <= 4 for a, b in pairs)
+
+
+def test_each_component_keeps_a_row_under_null_and_repeated_ids(spark):
+    words = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    rows = [(None, words(0), 1), (None, words(1), 1), (None, words(1), 1), (7, words(2), 1), (7, words(3), 1), (7, words(3), 2), (3, words(4), 1), (9, words(4), 1), (9, words(5), 1), (None, words(5), 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n int").repartition(3)
+    assert S.near_duplicates(docs).select("fingerprint").distinct().count() == 6
+    kept = sorted(((r.doc_id, r.text, r.n) for r in S.keep_one_of_each(docs).collect()), key=str)
+    assert kept == sorted([(None, words(0), 1), (None, words(1), 1), (7, words(2), 1), (7, words(3), 1), (3, words(4), 1), (9, words(5), 1)], key=str)
