@@ -1,13 +1,14 @@
 """HTML extraction by tag-path ratios.
 
 A page's blocks are grouped by their path of tags from the root. For each path the text length and the
-punctuation are added up and set against its number of tags; the ratios are smoothed over the paths beside
-it in its container and with the container's own, and fused with each other and with the share of link
-text. What a path's tags, roles and class names say is a feature of the same score: parts that are
-boilerplate by their element or role count against all paths inside, class names little or, where they
-leave no doubt, much; an article or main element counts for its paths by its share of the page's text.
-Paths whose score reaches the threshold, set from the page's own best standing, are content; their blocks
-are returned whole and in page order.
+punctuation are added up and set against its number of tags; the fused ratios are smoothed over the paths
+beside it in page order and with the ratio of the container around it, and lessened by the share of link text.
+That gives a path up to 1. What its tags, roles and class names say moves the score by less: boilerplate by
+element, role or name counts against all paths inside, half as much within an article; an article or main
+element counts for its paths by its share of the page's text. The threshold comes from the page's scores: they
+are split where the variance between the two sides is largest, if the sides lie clearly apart; else all is
+content. So a name alone takes nothing away from a page whose other text is no better. The blocks of content
+paths are returned whole and in page order.
 
 Paths are interned as (parent path, name), so a page's memory grows with its size, not with its depth.
 """
@@ -15,6 +16,7 @@ Paths are interned as (parent path, name), so a page's memory grows with its siz
 from __future__ import annotations
 
 import html
+import math
 import re
 import sys
 import unicodedata
@@ -44,15 +46,19 @@ SCOPES = frozenset("html body table td th ul ol dl article section main div asid
 BOILERPLATE = frozenset("nav header footer aside menu button dialog fieldset input search".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar status".split())
 TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr tbody table pre blockquote figure figcaption html body article main".split())
-# Words of class names and ids that leave no doubt anywhere, in containers of text, and hardly say anything.
-ADVERTS = frozenset("ad ads adv advert adverts advertisement advertisements advertising adsense adbox adslot sponsor sponsored sponsors promo promoted banner disqus cookie cookies consent gdpr".split())
-PARTS = frozenset("comment comments commentlist respond replies sidebar nav navbar navigation menu breadcrumb breadcrumbs footer masthead notice notices popup modal overlay newsletter subscribe signup share sharing pagination pager login skip toolbar".split())
+# Words of class names and ids of adverts and notices, of other parts, of comments, and such as hardly say anything.
+ADVERTS = frozenset("ad ads adv advert adverts advertisement advertisements advertising adsense adbox adslot sponsor sponsored sponsors promo promoted banner cookie cookies consent gdpr".split())
+PARTS = frozenset("sidebar nav navbar navigation menu breadcrumb breadcrumbs footer masthead notice notices popup modal overlay newsletter subscribe signup share sharing pagination pager login skip toolbar".split())
+COMMENTS = frozenset("comment comments commentlist respond replies disqus".split())
 HINTS = frozenset("aside side header response responses reply related recommended social widget widgets search form copyright legal disclaimer tags hidden foot".split())
 #: Names like page-with-sidebar are about the page's layout.
 LAYOUT = frozenset("with has no without wrapper wrap layout page container main content".split())
 CONTAINERS = frozenset("article main section div td body".split())
 
-AGAINST, HINT, LEAST = 1.0, 0.15, 0.4
+#: What counts against a path: parts by element, role or name; comments; weak names. What an article counts for it.
+AGAINST, COMMENT, HINT, ARTICLE = 0.7, 0.9, 0.15, 0.5
+#: The least distance of the two sides' means; what a part needs on its own, its ratio set against that of plain prose.
+APART, ALONE, PROSE = 0.45, 0.2, math.log1p(100) + math.log1p(2)
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*+)([^>]*+)(?:>|\Z)|[^<]++|<", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/>\"']++)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++))|(?<![^\s\"'])(hidden)(?=[\s/]|\Z)")
 RUN = re.compile(r"\s+")
@@ -73,10 +79,12 @@ def named(tag: str, names: str) -> float:
         words = set(WORDS.findall(name))
         if words & LAYOUT:
             continue
+        if words & COMMENTS and tag not in TEXTUAL - {"article"}:
+            return COMMENT
         if words & ADVERTS or (words & PARTS and tag not in TEXTUAL):
-            return AGAINST
-        if words & HINTS or words & PARTS:
-            worst = HINT
+            worst = AGAINST
+        elif words & (HINTS | PARTS | COMMENTS):
+            worst = max(worst, HINT)
     return worst
 
 
@@ -88,8 +96,8 @@ class Page:
         self.blocks: list[tuple[int, str, int]] = []
         self.ids: dict[tuple[int, str], int] = {}
         self.parent, self.tags, self.tag = [-1], [0], [""]
-        #: What counts against a path, the nearest container, the article around it (or -1), whether it is ever shown, a form around it.
-        self.against, self.container, self.article, self.dead, self.form = [0.0], [0], [-1], [False], [-1]
+        #: What counts against a path, the container around it, the nearest one with itself, the article around it (or -1), whether it is never shown, a form around it.
+        self.against, self.container, self.inner, self.article, self.dead, self.form = [0.0], [0], [0], [-1], [False], [-1]
         self.read(page)
 
     def path(self, parent: int, tag: str, a: dict[str, str]) -> int:
@@ -103,12 +111,17 @@ class Page:
             inside = self.article[parent] >= 0
             role = a.get("role", "").lower()
             own = named(tag, f"{a.get('class', '')} {a.get('id', '')}") if tag not in ("html", "body", "article", "main") or inside else 0.0
-            if (tag in BOILERPLATE and not (tag == "header" and inside)) or role in ROLES or self.unseen(a):
-                own = AGAINST
-            self.against.append(self.against[parent] + own)
-            self.container.append(k if tag in CONTAINERS else self.container[parent])
+            if own == AGAINST and inside:
+                own /= 2
+            if (tag in BOILERPLATE and not (tag == "header" and inside)) or role in ROLES:
+                own = max(own, AGAINST if not inside or tag in ("nav", "footer", "aside") or role in ROLES else AGAINST / 2)
+            # Weak hints add up, a strong one covers what is inside it.
+            before = self.against[parent]
+            self.against.append(max(before, own) if max(before, own) > 2 * HINT else min(2 * HINT, before + own))
+            self.container.append(self.inner[parent])
+            self.inner.append(k if tag in CONTAINERS else self.inner[parent])
             self.article.append(self.article[parent] if inside else k if tag in ("article", "main") or role in ("article", "main") else -1)
-            self.dead.append(self.dead[parent] or tag in DEAD)
+            self.dead.append(self.dead[parent] or tag in DEAD or self.unseen(a))
             self.form.append(self.form[parent] if self.form[parent] >= 0 else k if tag == "form" else -1)
         self.tags[k] += 1
         return k
@@ -210,26 +223,56 @@ def smoothed(x: np.ndarray) -> np.ndarray:
     return np.convolve(np.pad(x, 3, mode="edge"), w / w.sum(), "valid")
 
 
-def fused(chars: np.ndarray, links: np.ndarray, marks: np.ndarray, tags: np.ndarray) -> np.ndarray:
-    """Text and punctuation for each tag, less for what is in links."""
+def fused(chars: np.ndarray, marks: np.ndarray, tags: np.ndarray) -> np.ndarray:
+    """Text and punctuation for each tag."""
     tags = np.maximum(tags, 1)
-    own = 1 - links / np.maximum(chars, 1)
-    return (np.log1p(chars / tags) + np.log1p(marks / tags)) * own
+    return np.log1p(chars / tags) + np.log1p(marks / tags)
 
 
-def standing(page: Page, paths: np.ndarray, chars: np.ndarray) -> np.ndarray:
-    """What tags, roles and names say of each path: an article's share of the text for it, the rest against it."""
+def ratios(page: Page, paths: np.ndarray, chars: np.ndarray, links: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """The smoothed and fused ratio of each path, 1 for what most of the page's text has."""
+    tags = np.array(page.tags, float)
+    own = fused(chars, marks, tags[paths])
+    plain = chars - links
+    top = max(1e-9, np.average(own, weights=plain) if plain.sum() else own.max())
+    # Of the container around a path: all that stands in it, itself included.
+    inner, sums = np.array(page.inner), np.zeros((3, len(tags)))
+    np.add.at(sums[0], inner[paths], plain)
+    np.add.at(sums[1], inner[paths], marks * plain / np.maximum(chars, 1))
+    np.add.at(sums[2], inner, tags)
+    for k in range(len(tags) - 1, 0, -1):  # what is in a container is in the one around it
+        if inner[k] == k:
+            sums[:, page.container[k]] += sums[:, k]
+    around = fused(*sums)[np.array(page.container)[paths]]
+    mixed = 0.5 * smoothed(np.minimum(own / top, 1)) + 0.5 * np.minimum(around / top, 1)
+    return mixed * (1 - links / np.maximum(chars, 1))
+
+
+def leaning(page: Page, paths: np.ndarray, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What tags, roles and names say against each path, and for it: an article by its share of the text."""
     against, article, form = (np.array(x)[paths] for x in (page.against, page.article, page.form))
-    free = against < AGAINST
-    total = max(1.0, chars[free].sum())
-    out = -against
     inside = article >= 0
-    out[inside] += min(1.0, 4 * chars[free & inside].sum() / total)
+    total = max(1.0, chars.sum())
     # A form around most of the page is the page.
     for f in np.unique(form[form >= 0]).tolist():
-        if chars[free & (form == f)].sum() < 0.5 * total:
-            out[form == f] -= AGAINST
-    return out
+        if chars[form == f].sum() < 0.5 * total:
+            against = np.where(form == f, np.maximum(against, np.where(inside, AGAINST / 2, AGAINST)), against)
+    free = against < AGAINST
+    share = 4 * chars[free & inside].sum() / max(1.0, chars[free].sum())
+    return against, np.where(inside, ARTICLE * min(1.0, share), 0.0)
+
+
+def threshold(scores: np.ndarray, weights: np.ndarray) -> float:
+    """Where the variance between what is above and below is largest; below all scores if the two are not clearly apart."""
+    order = np.argsort(scores)
+    x, w = scores[order], weights[order]
+    below, sums = np.cumsum(w)[:-1], np.cumsum(w * x)[:-1]
+    cuts = np.flatnonzero(np.diff(x) > 1e-9)
+    if not len(cuts):
+        return -np.inf
+    low, high = sums[cuts] / below[cuts], ((w * x).sum() - sums[cuts]) / (w.sum() - below[cuts])
+    best = int(np.argmax(below[cuts] * (w.sum() - below[cuts]) * (high - low) ** 2))
+    return (x[cuts[best]] + x[cuts[best] + 1]) / 2 if high[best] - low[best] >= APART else -np.inf
 
 
 def content(page: Page) -> set[int]:
@@ -244,27 +287,12 @@ def content(page: Page) -> set[int]:
         return set()
     paths = np.array(list(sums))
     chars, links, marks = np.array(list(sums.values())).T
-    stands = standing(page, paths, chars)
-    base = stands.max()
-    if base <= -AGAINST:
-        return set()
-    tags = np.array(page.tags, float)
-    ratio = fused(chars, links, marks, tags[paths])
-    # Smooth over the paths of one container, in page order, and with the container's ratio.
-    whole = np.zeros((4, len(tags)))
-    whole[0][paths], whole[1][paths], whole[2][paths], whole[3] = chars, links, marks, tags
-    near = np.array(page.container)
-    inner = np.zeros((4, len(tags)))
-    np.add.at(inner, (slice(None), near), whole)
-    around = fused(*inner)[near[paths]]
-    order = np.argsort(near[paths], kind="stable")
-    ratio = np.concatenate([0.5 * r + 0.5 * smoothed(r) for r in np.split(ratio[order], np.flatnonzero(np.diff(near[paths][order])) + 1)])[np.argsort(order)]
-    best = stands >= base - 0.5
-    top = max(1e-9, ratio[best].max())
-    # In an article the article is the container.
-    around = np.where(np.array(page.article)[paths] >= 0, top, np.minimum(around, top))
-    score = stands + 0.5 * np.minimum(ratio / top, 1) + 0.5 * around / top
-    return set(paths[score >= base + LEAST - 1e-9].tolist())
+    links = np.minimum(links, chars)
+    against, by_article = leaning(page, paths, chars)
+    score = ratios(page, paths, chars, links, marks) + by_article - against
+    plain = fused(chars - links, marks * (1 - links / np.maximum(chars, 1)), np.array(page.tags, float)[paths])
+    alone = (against == 0) | (np.minimum(plain / PROSE, 1) - against >= ALONE)
+    return set(paths[(score >= threshold(score, np.log1p(chars))) & alone].tolist())
 
 
 def main_text(page: str) -> str:
