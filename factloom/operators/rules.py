@@ -20,7 +20,7 @@ from pyspark.sql.window import Window
 from factloom.functions import boolean, names
 from factloom.model import EVIDENCE, FINDING, SCHEMAS, empty
 
-from . import generic, graph
+from . import generic, graph, patterns
 from .shared import cut
 
 NO_CONNECT = ("NC", "DNP", "N/C")
@@ -189,7 +189,9 @@ def _required_views(f: Facts) -> DataFrame:
     """(component, view) that participation and the policy ask for, less the optional ones."""
     every = f.components.select("component").distinct()
     views = f["views"].where(~names.view_kind(F.col("kind")).isin("sdc", "upf", "header"))
-    rules = every.join(f["participation"], names.glob(F.col("component"), F.col("entity_pattern")))
+    asked = f["participation"]
+    hits = patterns.matched(asked.select(F.col("entity_pattern").alias("pattern")), every.select(F.col("component").alias("name")), [])
+    rules = hits.select(F.col("pattern").alias("entity_pattern"), F.col("name").alias("component")).join(asked, "entity_pattern")
     pick = lambda c: rules.select("component", F.explode(c).alias("selector"))
     wanted = f.expanded(pick("required"), views).select("component", "view")
     if f.policy.strict_inventory:
@@ -436,14 +438,20 @@ def references(f: Facts) -> DataFrame:
     full = F.when(scope.isNull(), names.variants(F.col("native_name"))).otherwise(F.array_distinct(F.flatten(F.transform(names.variants(scope), lambda s: F.flatten(F.transform(names.variants(F.col("native_name")), lambda v: F.when(v.startswith(F.concat(s, F.lit("/"))) | v.startswith(F.concat(s, F.lit("."))) | (v == s), F.array(v)).otherwise(F.array(F.concat(s, F.lit("/"), v), F.concat(s, F.lit("."), v)))))))))
     r = r.withColumn("variants", full).withColumn("mode", F.when(F.col("match_mode") == "regexp", "regexp").when((F.col("match_mode") == "glob") | F.col("native_name").rlike(r"[*?]"), "glob").otherwise("exact"))
     r = cut(r)  # ref_id must stay as it is
-    fold = lambda c: F.when(F.coalesce("nocase", F.lit(False)), F.lower(c)).otherwise(c)
     exact = r.where("mode = 'exact'").withColumn("v", F.explode("variants"))
     hit = exact.where(~F.coalesce("nocase", F.lit(False))).join(index.withColumnRenamed("variant", "v"), ["object_kind", "in_view", "v"], "left_semi").select("ref_id")
     hit = hit.union(exact.where(F.col("nocase")).withColumn("v", F.lower("v")).join(index.withColumn("v", F.lower("variant")), ["object_kind", "in_view", "v"], "left_semi").select("ref_id"))
-    globs = r.where("mode = 'glob'").withColumn("v", F.explode("variants")).join(index, ["object_kind", "in_view"])
-    hit = hit.union(globs.where(names.glob(fold(F.col("variant")), fold(F.col("v")))).select("ref_id"))
-    regexps = r.where("mode = 'regexp'").withColumn("safe", _regexp_or_null("native_name"))
-    hit = hit.union(regexps.where("safe IS NOT NULL").join(index, ["object_kind", "in_view"]).where(F.regexp_like("variant", F.concat(F.when(F.col("nocase"), "(?i)").otherwise(""), "safe"))).select("ref_id"))
+    searched = index.withColumnRenamed("variant", "name")
+    on = ["object_kind", "in_view"]
+    globs = r.where("mode = 'glob'").withColumn("pattern", F.explode("variants")).withColumn("nocase", F.coalesce("nocase", F.lit(False)))
+    some = patterns.matched(globs.select(*on, "pattern", "nocase"), searched, on).select(*on, "pattern", "nocase").distinct()
+    hit = hit.union(globs.join(some, [*on, "pattern", "nocase"], "left_semi").select("ref_id"))
+    regexps = r.where("mode = 'regexp'").withColumn("pattern", F.col("native_name")).withColumn("nocase", F.coalesce("nocase", F.lit(False)))
+    judged = cut(regexps.select("pattern").distinct().withColumn("safe", _regexp_or_null("pattern")))  # each pattern once
+    regexps = regexps.join(judged, "pattern", "left")
+    safe = regexps.where("safe IS NOT NULL")
+    some = patterns.matched(safe.select(*on, "pattern", "nocase"), searched, on, "regexp").select(*on, "pattern", "nocase").distinct()
+    hit = hit.union(safe.join(some, [*on, "pattern", "nocase"], "left_semi").select("ref_id"))
     own = F.array(evidence("view", F.col("native_name"))).cast(EVIDENCE)
     id = text("reference:", F.col("view"), ":", F.col("object_kind"), ":", F.col("native_name"))
     unjudged = finding(regexps.where("safe IS NULL"), "OC1105", F.col("object_kind"), id, "reference", text(F.col("native_name"), " is not judged."), own)
@@ -469,15 +477,18 @@ def clock_rules(f: Facts) -> DataFrame:
     spelled = f.ports.select("component", "port", F.explode(F.array_union(names.variants(F.col("port"), F.col("component")), names.variants(F.col("native_name"), F.col("native_component")))).alias("v")).distinct()
     t = c.select("view", "native_name", F.posexplode("targets").alias("k", "target")).withColumn("v", F.explode(names.variants(F.col("target"))))
     exact = t.where(~F.col("target").rlike(r"[*?\[]")).join(spelled, "v").select("view", "native_name", "target", "component", "port")
-    globbed = t.where(F.col("target").rlike(r"[*?\[]")).withColumnRenamed("v", "g").join(spelled, names.glob(F.col("v"), F.col("g"))).select("view", "native_name", "target", "component", "port")
-    named = t.select("view", "native_name", "target").distinct().join(exact.union(globbed).distinct(), ["view", "native_name", "target"], "left").withColumn("to", F.coalesce(F.when(F.col("port").isNotNull(), F.concat("component", F.lit("/"), "port")), F.translate(names.decoded(F.col("target")), ".", "/")))
+    wild = t.where(F.col("target").rlike(r"[*?\[]")).withColumnRenamed("v", "pattern")
+    hits = patterns.matched(wild.select("pattern"), spelled.select(F.col("v").alias("name")), []).withColumnRenamed("name", "v")
+    globbed = wild.join(hits, "pattern").join(spelled, "v").select("view", "native_name", "target", "component", "port")
+    targets = cut(exact.union(globbed).distinct())
+    named = t.select("view", "native_name", "target").distinct().join(targets, ["view", "native_name", "target"], "left").withColumn("to", F.coalesce(F.when(F.col("port").isNotNull(), F.concat("component", F.lit("/"), "port")), F.translate(names.decoded(F.col("target")), ".", "/")))
     resolved = named.groupBy("view", "native_name").agg(F.array_join(F.array_sort(F.collect_set("to")), ",").alias("to"))
     j = c.join(resolved, ["view", "native_name"], "left").withColumns({"to": F.coalesce("to", F.lit("")), "wave": F.array_join(F.transform("waveform", lambda x: x.cast("string")), ",")})
     differ = generic.conflicts(j, ["native_name"], ["period", "wave", "source", "generated", "to"])
     own = j.groupBy("native_name").agg(gathered(evidence("view", F.concat_ws(" ", F.col("period").cast("string"), "wave", "to"))).alias("evidence"))
     found = finding(differ.join(own, "native_name"), "OC6002", "clock", text("clock:", F.col("native_name")), "clock_definition", text("Clock ", F.col("native_name"), " has conflicting definitions."), F.col("evidence"))
     roles = f.port_values.where("role IS NOT NULL AND view != 'contract.frozen'").groupBy("component", "port").agg(F.collect_set("role").alias("roles"))
-    wrong = exact.distinct().join(roles, ["component", "port"]).where(~F.array_contains("roles", "clock"))
+    wrong = targets.join(roles, ["component", "port"]).where(~F.array_contains("roles", "clock"))
     return found.union(finding(wrong, "OC6003", "port", port_id(), "role", text("Clock ", F.col("native_name"), " targets ", F.col("component"), "/", F.col("port"), ", which is ", F.array_join(F.array_sort("roles"), "/"), "."), F.array(evidence("view", F.col("target"))).cast(EVIDENCE)))
 
 
