@@ -641,11 +641,14 @@ def connectivity_rules(f: Facts) -> DataFrame:
     single = paired.select(*asked(F.when(F.col("transform") == "inverted", "inverted").when(mapped, "identity").otherwise("any")))
     edges = f["edges"].select(node(F.col("source")).alias("source"), node(F.col("sink")).alias("sink"), "inverted", "status")
     part = lambda k: F.get(F.split("id", "\u0001"), F.lit(k))
-    verdict = cut(graph.judged(edges, single, proofs=True).select(F.concat_ws("\u0001", part(0), part(1)).alias("rid"), part(2).alias("from"), "verdict", "proof"))
+    single = cut(single)
+    searched = graph.search(edges, single.withColumnRenamed("source", "node"), True)
+    verdict = cut(graph.judged(edges, single, proofs=True, found=searched).select(F.concat_ws("\u0001", part(0), part(1)).alias("rid"), part(2).alias("from"), "verdict", "proof"))
     # Of mapped pairs that are missing: does the source reach another bit of the sink?
     lost = verdict.where("verdict = 'missing'").select("rid", "from")
     other = pairs.where(mapped & (F.col("expectation") == "reachable") & ~F.when(rev, F.col("i") + F.col("j") == F.col("s_n") + 1).otherwise(F.col("i") == F.col("j"))).join(lost, ["rid", "from"], "left_semi")
-    astray = graph.judged(edges, other.select(*asked(F.lit("any")))).where("verdict = 'pass'").select(F.concat_ws("\u0001", part(0), part(1)).alias("rid"), part(2).alias("from"), F.lit(True).alias("astray")).distinct()
+    again = other.select(pid, "rid", "from").join(single.select(F.concat_ws("\u0001", part(0), part(1)).alias("rid"), part(2).alias("from"), F.col("id").alias("of")), ["rid", "from"])
+    astray = graph.judged(edges, other.select(*asked(F.lit("any"))), found=searched.like(again)).where("verdict = 'pass'").select(F.concat_ws("\u0001", part(0), part(1)).alias("rid"), part(2).alias("from"), F.lit(True).alias("astray")).distinct()
     verdict = verdict.join(astray, ["rid", "from"], "left").withColumn("verdict", F.when(F.col("astray"), "bits").otherwise(F.col("verdict")))
     rank = F.element_at(F.create_map(*[F.lit(x) for x in ("pass", 0, "inconclusive", 1, "polarity", 2, "bits", 3, "missing", 4, "forbidden", 5)]), F.col("verdict"))
     worst = verdict.groupBy("rid").agg(F.max(F.struct(rank.alias("rank"), "verdict", F.coalesce("proof", F.array().cast("array<string>")).alias("proof"))).alias("m"))

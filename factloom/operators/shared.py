@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -22,3 +24,11 @@ def cut(df: DataFrame) -> DataFrame:
     """The table read back from the shared folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def written(df: DataFrame, **measures) -> tuple[DataFrame, dict]:
+    """The table written to the shared folder in one job, and its number of rows ``n`` and other aggregates, observed as it was written."""
+    spark, seen = df.sparkSession, Observation()
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.observe(seen, F.count(F.lit(1)).alias("n"), *[c.alias(k) for k, c in measures.items()]).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), seen.get

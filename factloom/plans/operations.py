@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.operators import patterns
+from factloom.operators import order, patterns
 
-from .queries import table
+from .queries import TREE, table, tree
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -50,3 +50,31 @@ def pattern_index(spark: SparkSession, sf: str) -> DataFrame:
     p, n = order_patterns(spark, sf)
     hits = patterns.matched(p, n, []).groupBy("pattern").agg(F.count("*").alias("n_names"))
     return p.join(hits, "pattern").select("k", "pattern", "n_names")
+
+
+# ---------------------------------------------------------------- order
+
+
+@query(f"""WITH RECURSIVE {TREE}, w AS (SELECT s AS t, 0 AS layer FROM e WHERE s NOT IN (SELECT t FROM e) UNION SELECT e.t, layer + 1 FROM w JOIN e ON e.s = w.t)
+    SELECT t::VARCHAR AS node, max(layer)::BIGINT AS layer, NULL::VARCHAR AS cycle FROM w GROUP BY t""")
+def tree_layers(spark: SparkSession, sf: str) -> DataFrame:
+    return order.layers(tree(spark, sf))
+
+
+#: Each customer leads to others with larger keys; some lead 30 back and are led to from there, which makes cycles.
+GRAPH = """m AS (SELECT max(c_custkey) AS m FROM customer), k AS (SELECT c_custkey AS k FROM customer),
+    e AS (SELECT DISTINCT s, t FROM (SELECT k AS s, k + 1 + (k * 7) % 40 AS t FROM k UNION ALL SELECT k, k + 2 + (k * 13) % 90 FROM k WHERE k % 3 = 0
+        UNION ALL SELECT k, k - 30 FROM k WHERE k % 1131 = 120 UNION ALL SELECT k, k + 30 FROM k WHERE k % 1131 = 90), m WHERE t BETWEEN 1 AND m)"""
+
+
+@query(f"""WITH RECURSIVE {GRAPH}, r AS (SELECT s AS a, t AS b FROM e UNION SELECT r.a, e.t FROM r JOIN e ON e.s = r.b WHERE abs(e.t - r.a) <= 100),
+    c AS (SELECT r.a, least(r.a, min(r.b)) AS cycle FROM r JOIN r q ON q.a = r.b AND q.b = r.a GROUP BY r.a),
+    behind AS (SELECT a AS k FROM c UNION SELECT e.t FROM behind JOIN e ON e.s = behind.k),
+    w AS (SELECT k, 0 AS layer FROM k WHERE k NOT IN (SELECT t FROM e) UNION SELECT e.t, layer + 1 FROM w JOIN e ON e.s = w.k WHERE e.t NOT IN (SELECT k FROM behind))
+    SELECT k.k AS node, CASE WHEN k.k IN (SELECT k FROM behind) THEN NULL ELSE max(w.layer)::BIGINT END AS layer, any_value(c.cycle) AS cycle FROM k LEFT JOIN w ON w.k = k.k LEFT JOIN c ON c.a = k.k GROUP BY k.k""")
+def graph_layers(spark: SparkSession, sf: str) -> DataFrame:
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("k"))
+    k = F.col("k")
+    to = F.array(k + 1 + (k * 7) % 40, F.when(k % 3 == 0, k + 2 + (k * 13) % 90), F.when(k % 1131 == 120, k - 30), F.when(k % 1131 == 90, k + 30))
+    e = c.select(k.alias("source"), F.explode(to).alias("sink")).join(F.broadcast(c.agg(F.max("k").alias("m")))).where("sink BETWEEN 1 AND m")
+    return order.layers(e.select("source", "sink"), c.select(k.alias("node")))

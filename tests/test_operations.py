@@ -8,7 +8,7 @@ import re
 import duckdb
 import pytest
 
-from factloom.operators import patterns
+from factloom.operators import order, patterns
 from factloom.plans import operations as O
 
 SF = "/root/testdata/sf0.001"
@@ -64,3 +64,48 @@ def test_regexps_and_case(spark):
     globs = spark.createDataFrame([("A*", True), ("A*", False)], "pattern string, nocase boolean")
     assert sorted((r.nocase, r.name) for r in patterns.matched(globs, n, []).collect()) == sorted([(True, m) for m in names if m.lower().startswith("a")] + [(False, "ABC")])
     assert patterns.matched(globs.limit(0), n, []).count() == patterns.matched(globs, n.limit(0), []).count() == 0
+
+
+# ---------------------------------------------------------------- order
+
+
+def plain_layers(edges, nodes):
+    """Layers by recursion, components by reachability."""
+    every = {x for e in edges for x in e} | set(nodes)
+    out, into = {x: set() for x in every}, {x: set() for x in every}
+    for a, b in edges:
+        out[a].add(b)
+        into[b].add(a)
+    reach = {}
+    for x in every:
+        seen, todo = set(), list(out[x])
+        while todo:
+            y = todo.pop()
+            if y not in seen:
+                seen.add(y)
+                todo += out[y]
+        reach[x] = seen
+    cycle = {x: min(y for y in reach[x] if x in reach[y]) for x in every if x in reach[x]}
+    bad = {y for x in cycle for y in reach[x]} | set(cycle)
+    layer = {}
+    for x in sorted(every - bad, key=lambda x: sum(x in reach[y] for y in every)):
+        layer[x] = max((layer[y] + 1 for y in into[x]), default=0)
+    return {(x, layer.get(x), cycle.get(x)) for x in every}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_layers_and_cycles(spark, seed):
+    rnd = random.Random(seed)
+    edges = {(rnd.randrange(40), rnd.randrange(40)) for _ in range((30, 45, 60, 25)[seed])}
+    edges |= {(100 + k, 101 + k) for k in range(50)} | {(100, 5)}  # a long chain
+    edges |= {(200 + k, 200 + (k + 1) % 30) for k in range(30)}  # a ring
+    edges |= {(300 + k, 300 + (k + 1) % 20) for k in range(20)} | {(0, 307), (311, 400), (400, 401), (500, 500), (500, 501)}
+    rows = [*edges, *list(edges)[:5], (None, 1), (2, None)]
+    got = order.layers(spark.createDataFrame(rows, "source long, sink long"), spark.createDataFrame([(900,), (5,), (None,)], "node long"))
+    assert {tuple(r) for r in got.collect()} == plain_layers(edges, {900, 5})
+
+
+def test_layers_of_nothing(spark):
+    none = spark.createDataFrame([], "source string, sink string")
+    assert order.layers(none).count() == 0
+    assert [tuple(r) for r in order.layers(none, spark.createDataFrame([("a",)], "node string")).collect()] == [("a", 0, None)]
