@@ -27,8 +27,8 @@ from pyspark.sql.window import Window
 from .common import checkpointed, table, text_of
 from .substring_dedup import BLOOM_BITS, Filter
 
-#: Bytes of text of one automaton: its memory is some twenty times that, or that of one longer text.
-SHARD_BYTES = 12_000_000
+#: Bytes of text of one automaton: its memory is some thirty times that, or that of one longer text.
+SHARD_BYTES = 3_000_000
 #: Each language's phrases are ranked in so many parts before the first of each part are ranked together.
 PARTS = 64
 ROWS = 100_000
@@ -80,26 +80,28 @@ class Automaton:
 
     def __init__(self, texts: pa.BinaryArray, langs: pa.StringArray, depth: int):
         words, row, joined = lexed(texts)
-        self.words, self.ids = words.dictionary, words.indices.to_numpy().astype(np.int64)
+        self.words, self.ids = words.dictionary, words.indices.to_numpy()
         coded = langs.dictionary_encode()
         self.langs = coded.dictionary
         lang = coded.indices.to_numpy().astype(np.int64)[row] if len(row) else np.empty(0, np.int64)
         many = max(1, len(self.words))
         labels, first, state, count = np.unique(lang * many + self.ids, return_index=True, return_inverse=True, return_counts=True)
+        state = state.astype(np.int32)
         self.lang = labels // many
-        of_word = np.fromiter(map(xxhash.xxh3_64_intdigest, self.words.to_pylist()), np.uint64, len(self.words))
+        of_word = np.fromiter((xxhash.xxh3_64_intdigest(w.as_py()) for w in self.words), np.uint64, len(self.words))
         of_lang = np.fromiter(map(xxhash.xxh3_64_intdigest, self.langs.to_pylist()), np.uint64, len(self.langs))
         root = np.zeros(len(labels), np.int64)
         hashes = mixed(of_word[labels % many] + of_lang[self.lang] * _ODD) if len(labels) else np.empty(0, np.uint64)
         self.levels = [Level(root, np.arange(len(labels)), root, count, first, hashes)]
-        at, here, one = np.arange(len(state)), state, state
+        at, here, one = np.arange(len(state), dtype=np.int32), state, state
         for d in range(2, depth + 1):
             upper = self.levels[-1]
             inside = joined[at + d - 2]
-            before = np.full(len(state), -1, np.int64)
+            before = np.full(len(state), -1, np.int32)
             before[at] = here
             at, here = at[inside], here[inside]
-            keys, first, here, count = np.unique(here * len(labels) + one[at + d - 1], return_index=True, return_inverse=True, return_counts=True)
+            keys, first, here, count = np.unique(here.astype(np.int64) * len(labels) + one[at + d - 1], return_index=True, return_inverse=True, return_counts=True)
+            here = here.astype(np.int32)
             parent, last = keys // max(1, len(labels)), keys % max(1, len(labels))
             link = before[at[first] + 1]
             self.levels.append(Level(parent, last, link, count, at[first], mixed(upper.hash[parent] * _ODD + hashes[last])))
@@ -171,6 +173,8 @@ def level_counts(texts: DataFrame, depth: int, longest: int, kept: Filter | None
                     part = some[k : k + ROWS]
                     none = pa.nulls(len(part), pa.string())
                     yield rows(none, none, pa.array(more.hash[part].view(np.int64)), more.count[part])
+            del a, own, likely, some, text, lang, shard
+            pa.default_memory_pool().release_unused()  # else each worker keeps what its largest shard took
 
     def rows(lang: pa.Array, phrase: pa.Array, h: pa.Array, n: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([lang, phrase, h, pa.array(n, pa.int64())], ["lang", "phrase", "h", "n"])
