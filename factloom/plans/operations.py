@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.operators import order, patterns
+from factloom.operators import digests, incremental, order, patterns
+from factloom.operators.rules import Facts
 
-from .queries import TREE, table, tree
+from .queries import TREE, family, found, table, tree, views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -78,3 +79,68 @@ def graph_layers(spark: SparkSession, sf: str) -> DataFrame:
     to = F.array(k + 1 + (k * 7) % 40, F.when(k % 3 == 0, k + 2 + (k * 13) % 90), F.when(k % 1131 == 120, k - 30), F.when(k % 1131 == 90, k + 30))
     e = c.select(k.alias("source"), F.explode(to).alias("sink")).join(F.broadcast(c.agg(F.max("k").alias("m")))).where("sink BETWEEN 1 AND m")
     return order.layers(e.select("source", "sink"), c.select(k.alias("node")))
+
+
+# ---------------------------------------------------------------- contracts
+
+
+def contract_tables(spark: SparkSession, sf: str, later: bool = False) -> dict[str, DataFrame]:
+    """Customers as components of three views, orders as edges of two; later some edges have changed, and one view has gone for another."""
+    c, o = table(spark, sf, "customer"), table(spark, sf, "orders")
+    k, n = F.col("o_orderkey"), F.col("c_custkey")
+    named = ("rtl.v0", "rtl.v1", "lef.v3") if later else ("rtl.v0", "rtl.v1", "lef.v2")
+    of = F.element_at(F.array(*map(F.lit, named)), (n % 3).cast("int") + 1)
+    comps = family(c, "components", view=of, kind=F.lit("x"), native_name=F.concat(F.lit("c"), n), status=F.lit("known"))
+    flip = (k % 50 == 0) if later else F.lit(False)
+    o = o.where("o_orderkey % 70 != 3") if later else o
+    edges = family(o, "edges", view=F.when(k % 2 == 0, "rtl.v0").otherwise("rtl.v1"), source=F.concat(F.lit("c"), "o_custkey"), sink=F.col("o_orderpriority"), inverted=flip, status=F.lit("known"))
+    return {"views": views(spark, *named), "components": comps, "edges": edges}
+
+
+def contract_sql(later: bool) -> str:
+    gone = "lef.v3" if later else "lef.v2"
+    return f"""SELECT ['rtl.v0', 'rtl.v1', '{gone}'][c_custkey % 3 + 1] AS view, 'components' AS family,
+        '{{"column":null,"kind":"x","line":null,"native_name":"c' || c_custkey || '","ordinal":null,"source":null,"status":"known"}}' AS j FROM customer
+    UNION ALL SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'rtl.v0' ELSE 'rtl.v1' END, 'edges', '{{"edge_kind":null,"inverted":' || {"(o_orderkey % 50 = 0)" if later else "'false'"} || ',"sink":"' || o_orderpriority || '","source":"c' || o_custkey || '","status":"known"}}'
+        FROM orders{" WHERE o_orderkey % 70 <> 3" if later else ""}"""
+
+
+def _up(level: str, below: str, digits: int, child: str, prefix: str) -> str:
+    return f"{level} AS (SELECT view, family, substr({prefix}, 1, {digits}) AS p, sha256(string_agg({child}, ',' ORDER BY {child})) AS x, sum(n)::BIGINT AS n FROM {below} GROUP BY view, family, substr({prefix}, 1, {digits}))"
+
+
+@query(f"""WITH m AS (SELECT view, family, sha256(j) AS d, count(*) AS n FROM ({contract_sql(False)}) GROUP BY ALL),
+    {_up("l6", "m", 6, "d || ':' || n", "d")}, {_up("l4", "l6", 4, "p || ':' || x", "p")}, {_up("l2", "l4", 2, "p || ':' || x", "p")}, {_up("l0", "l2", 0, "p || ':' || x", "p")}
+    SELECT view, family, x AS digest, n AS n_rows FROM l0""")
+def contract_digests(spark: SparkSession, sf: str) -> DataFrame:
+    return digests.contract(contract_tables(spark, sf))["families"].withColumnRenamed("rows", "n_rows")
+
+
+@query(f"""WITH b AS ({contract_sql(False)}), a AS ({contract_sql(True)})
+    SELECT view, family, state, count(*) AS n FROM (SELECT *, 'removed' AS state FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a) UNION ALL SELECT *, 'added' FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)) GROUP BY ALL
+    UNION ALL SELECT 'lef.v2', NULL, 'view removed', 1 UNION ALL SELECT 'lef.v3', NULL, 'view added', 1""")
+def contract_family_changes(spark: SparkSession, sf: str) -> DataFrame:
+    return digests.contract_changes(*(digests.contract(contract_tables(spark, sf, later)) for later in (False, True)))
+
+
+# ---------------------------------------------------------------- incremental checks
+
+
+def order_ports(spark: SparkSession, sf: str, later: bool = False) -> Facts:
+    """Customers as components of three views, their orders as ports; later the second view has other directions and lacks some."""
+    c, o = table(spark, sf, "customer"), table(spark, sf, "orders")
+    k = F.col("o_orderkey")
+    named = ("rtl.a", "lef.b", "csv.c")
+    comps = [family(c, "components", view=F.lit(v), kind=F.lit(v[:3]), native_name=F.concat(F.lit("c"), "c_custkey")) for v in named]
+    way = {"rtl.a": F.lit("input"), "lef.b": F.when(k % 40 == 0, "output").otherwise("input") if later else F.lit("input"), "csv.c": F.when(k % 100 == 7, "output").otherwise("input")}
+    ports = [family(o.where("o_orderkey % 60 != 1") if later and v == "lef.b" else o, "ports", view=F.lit(v), kind=F.lit(v[:3]), component=F.concat(F.lit("c"), "o_custkey"), native_name=F.concat(F.lit("o"), k), direction=way[v], status=F.lit("known"), width=F.lit(1)) for v in named]
+    return Facts(spark, {"views": views(spark, *named), "components": comps[0].union(comps[1]).union(comps[2]), "ports": ports[0].union(ports[1]).union(ports[2])})
+
+
+@query("""SELECT 'OC4001' AS code, 'component:c' || o_custkey || '/port:o' || o_orderkey AS object_id, 3::BIGINT AS n_evidence FROM orders WHERE o_orderkey % 40 = 0 OR o_orderkey % 100 = 7
+    UNION ALL SELECT 'OC3101', 'component:c' || o_custkey || '/port:o' || o_orderkey, 2::BIGINT FROM orders WHERE o_orderkey % 60 = 1""")
+def incremental_check(spark: SparkSession, sf: str) -> DataFrame:
+    """The findings after one of three views has changed, from those before and the components that it touches."""
+    before, after = order_ports(spark, sf), order_ports(spark, sf, True)
+    old, _ = incremental.saved(incremental.findings(before, incremental.LOCAL))
+    return found(incremental.updated(old, before, after, ["lef.b"], incremental.LOCAL))

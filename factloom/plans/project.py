@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.model import CATALOG, SCHEMAS, SEVERITIES
-from factloom.operators import review
+from factloom.operators import digests, incremental, review
 from factloom.operators.rules import Facts, Policy
 from factloom.sources.reader import Source, observe
 
@@ -73,6 +73,17 @@ class Project:
         """The diagnostics; views whose files have not changed are read from ``cache``, a shared folder, if one is given."""
         return check(self.facts(contract, cache), today, checkers)
 
+    def findings(self, cache: str | None = None) -> DataFrame:
+        """All rules' findings by rule and component, to be kept for ``recheck``."""
+        return incremental.saved(incremental.findings(self.facts(cache=cache)))[0]
+
+    def recheck(self, before: Project, old: DataFrame, cache: str | None = None) -> DataFrame:
+        """The findings now, from those of an earlier state of the sources: only what changed views touch is judged again."""
+        then, now = before.facts(cache=cache), self.facts(cache=cache)
+        a, b = (digests.contract(f.tables)["views"].select("view", F.col("digest").alias(n)) for f, n in ((then, "_b"), (now, "_a")))
+        changed = a.join(b, "view", "full").where(~F.col("_b").eqNullSafe(F.col("_a"))).select("view")
+        return incremental.updated(old, then, now, [r.view for r in changed.collect()])  # views are few: one for each source
+
     def build_contract(self) -> DataFrame:
         return review.build_contract(self.facts())
 

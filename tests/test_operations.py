@@ -8,7 +8,9 @@ import re
 import duckdb
 import pytest
 
-from factloom.operators import order, patterns
+from factloom.model import SCHEMAS
+from factloom.operators import digests, incremental, order, patterns
+from factloom.operators.rules import Facts, Policy
 from factloom.plans import operations as O
 
 SF = "/root/testdata/sf0.001"
@@ -109,3 +111,89 @@ def test_layers_of_nothing(spark):
     none = spark.createDataFrame([], "source string, sink string")
     assert order.layers(none).count() == 0
     assert [tuple(r) for r in order.layers(none, spark.createDataFrame([("a",)], "node string")).collect()] == [("a", 0, None)]
+
+
+# ---------------------------------------------------------------- contracts
+
+
+def some_tables(spark, rows, **more):
+    named = spark.createDataFrame([(v, "rtl", True, []) for v in ("rtl.a", "rtl.b")], SCHEMAS["views"])
+    comps = spark.createDataFrame(rows, "view string, native_name string")
+    interfaces = spark.createDataFrame([("rtl.a", {"x": "1", "y": "2"} if more.get("maps") else {"y": "2", "x": "1"})], "view string, port_maps map<string,string>")
+    return {"views": named, "components": comps, "interfaces": interfaces}
+
+
+def test_digests_know_no_order_and_count_copies(spark):
+    rows = [("rtl.a", f"c{k}") for k in range(300)] + [("rtl.a", None), ("rtl.b", "c1"), ("rtl.b", "c1")]
+    one, two, less = some_tables(spark, rows), some_tables(spark, rows[::-1], maps=True), some_tables(spark, rows[:-1])
+    two["components"] = two["components"].repartition(7)
+    x, y, z = (digests.contract(t) for t in (one, two, less))
+    assert sorted(map(tuple, x["families"].collect())) == sorted(map(tuple, y["families"].collect())) and x["whole"].first() == y["whole"].first()
+    assert x["whole"].first().digest != z["whole"].first().digest and x["whole"].first().complete
+    assert [tuple(r) for r in digests.contract_changes(x, z).collect()] == [("rtl.b", "components", "removed", 1)]
+    assert digests.contract_changes(x, y).count() == 0
+
+
+def test_saved_contracts_and_empty_tables(spark, tmp_path):
+    x = digests.contract(some_tables(spark, [("rtl.a", "c")]))
+    digests.save(x, f"{tmp_path}/frozen")
+    back = digests.load(spark, f"{tmp_path}/frozen")
+    assert digests.contract_changes(back, x).count() == 0
+    none = {n: df.limit(0) for n, df in some_tables(spark, []).items()}
+    empty = digests.contract(none)
+    assert empty["whole"].first().rows is None and digests.contract_changes(empty, empty).count() == 0
+    assert {(r.view, r.state) for r in digests.contract_changes(empty, x).collect()} == {("rtl.a", "view added"), ("rtl.b", "view added"), ("rtl.a", "added")}
+
+
+# ---------------------------------------------------------------- incremental checks
+
+
+def random_facts(spark, seed, change=False):
+    """Components, ports and functions of four views; with ``change`` view rtl.b is another."""
+    rnd, other = random.Random(seed), random.Random(seed + 99)
+    comps, ports, functions = [], [], []
+    for v in ("rtl.a", "rtl.b", "liberty.c", "lef.d"):
+        r = other if change and v == "rtl.b" else rnd
+        for c in range(12):
+            if r.random() < 0.2:
+                continue
+            comps += [(v, v.split(".")[0], f"comp{c}", "known", "s", c, 1)] * r.choice((1, 1, 1, 2))
+            for p in range(4):
+                if r.random() < 0.85:
+                    ports.append((v, v.split(".")[0], f"comp{c}", f"pin{p}", 1, r.choice(("input", "input", "output", None)), r.choice(("signal", "power", "clock")), "known", r.choice((1, 1, 2)), "s", p, 1))
+            if v[:3] in ("rtl", "lib"):
+                functions.append((v, v.split(".")[0], f"comp{c}", "y", r.choice(("a & b", "b & a", "a | b"))))
+    make = lambda rows, names, family: spark.createDataFrame(rows, ", ".join(f"{n} {dict(x.strip().split(' ', 1) for x in re.split(r', (?=[a-z_]+ )', SCHEMAS[family]))[n]}" for n in names))
+    full = lambda df, family: spark.createDataFrame([], SCHEMAS[family]).unionByName(df, allowMissingColumns=True)
+    return Facts(spark, {
+        "views": spark.createDataFrame([(v, v.split(".")[0], True, []) for v in ("rtl.a", "rtl.b", "liberty.c", "lef.d")], SCHEMAS["views"]),
+        "components": full(make(comps, ("view", "kind", "native_name", "status", "source", "line", "column"), "components"), "components"),
+        "ports": full(make(ports, ("view", "kind", "component", "native_name", "ordinal", "direction", "role", "status", "width", "source", "line", "column"), "ports"), "ports"),
+        "functions": full(make(functions, ("view", "kind", "component", "output", "expression"), "functions"), "functions"),
+    })
+
+
+def told(df):
+    return sorted(str((r.rule, r.entity, r.code, r.object_id, r.property, r.message, [(e.view, e.value) for e in r.evidence])) for r in df.collect())
+
+
+def test_updated_findings_are_those_of_the_full_check(spark):
+    before, after = random_facts(spark, 1), random_facts(spark, 1, True)
+    for n in ("components", "ports", "functions"):  # what changed stays within three components
+        few = f"{'native_name' if n == 'components' else 'component'} IN ('comp1', 'comp2', 'comp3')"
+        after.tables[n] = before[n].where(f"NOT {few}").union(after[n].where(few))
+    old, _ = incremental.saved(incremental.findings(before))
+    got, want = told(incremental.updated(old, before, after, ["rtl.b"])), told(incremental.findings(after))
+    assert got == want and got != told(old)
+    some = incremental.touched(before, after, ["rtl.b"])
+    assert {r.component for r in some.collect()} <= {"comp1", "comp2", "comp3"}
+    less = incremental.restricted(after, some)
+    assert 0 < less["ports"].count() <= 3 * 16 < after["ports"].count()  # only touched members are read on
+
+
+def test_what_may_touch_anything_runs_in_full(spark):
+    before, after = random_facts(spark, 2), random_facts(spark, 2)
+    assert incremental.touched(before, after, []).count() == 0
+    after.tables["views"] = after["views"].withColumn("complete", after["views"]["view"] != "rtl.b")
+    assert incremental.touched(before, after, ["rtl.b"]) is None
+    assert incremental.touched(before, Facts(spark, before.tables, Policy(strict_inventory=True)), []) is None
