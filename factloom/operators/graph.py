@@ -56,6 +56,11 @@ class Found:
         numbers = ids.select(F.col("id").alias("_id"), F.col("of").alias("id")).join(self.numbers, "id").drop("id").withColumnRenamed("_id", "id")
         return Found(numbers, self.edges, self.rounds, self.full)
 
+    def touching(self, nodes: DataFrame) -> DataFrame:
+        """The ids whose search has reached one of ``nodes``."""
+        bits = self.rounds.join(nodes.select("node").distinct(), "node", "left_semi").groupBy("chunk").agg(F.bit_or("bits").alias("bits"))
+        return self.numbers.join(bits, "chunk").where(F.expr(f"bits & {ONE} != 0")).select("id")
+
     def at(self, wanted: DataFrame) -> DataFrame:
         """Of rows (id, sink, ...) the states in which the search of ``id`` is at its sink."""
         asked = wanted.join(self.numbers.select("id", "chunk", "bit"), "id")
@@ -122,7 +127,7 @@ def search(edges: DataFrame, starts: DataFrame, with_uncertain: bool = False, ma
     return Found(numbers, e, rounds, full)
 
 
-def judged(edges: DataFrame, requirements: DataFrame, complete: bool = True, max_states: int = MAX_STATES, proofs: bool = False, found: Found | None = None) -> DataFrame:
+def judged(edges: DataFrame, requirements: DataFrame, complete: bool = True, max_states: int = MAX_STATES, proofs: bool = False, found: Found | None = None, dark: DataFrame | None = None) -> DataFrame:
     """A verdict for each requirement on single nodes: id, verdict, path_length.
 
     ``requirements``: id, source, sink, expectation (reachable, unreachable), transform (any, identity:
@@ -131,12 +136,16 @@ def judged(edges: DataFrame, requirements: DataFrame, complete: bool = True, max
     failure of a reachable one; nor does a search beyond ``max_states``, of its own requirement only. A column
     ``open`` tells of single requirements that their graph is incomplete. With ``proofs`` there is a column
     ``proof``: the shortest path of a forbidden or inverted one, the first ends of what a missing one reaches.
-    ``found`` is a search of all ids with uncertain edges, if there has been one.
+    ``found`` is a search of all ids with uncertain edges, if there has been one. ``dark`` has nodes from which unknown
+    edges may lead: the graph of a requirement that reaches one is incomplete.
     """
     own = F.col("open") if "open" in requirements.columns else F.lit(False)
     wanted = requirements.select("id", "sink", "expectation", "transform", own.alias("open"), F.size(F.coalesce("through", F.array().cast("array<string>"))).alias("need"))
     found = found or search(edges, requirements.withColumnRenamed("source", "node"), True, max_states)
-    stopped = found.stopped().distinct().withColumn("stopped", F.lit(True))
+    stopped = found.stopped()
+    if dark is not None:
+        stopped = stopped.union(found.touching(dark))
+    stopped = stopped.distinct().withColumn("stopped", F.lit(True))
     at = written(found.at(wanted).where(F.col("passed") >= F.col("need")).select("id", "transform", F.col("sink").alias("node"), "passed", "parity", "uncertain", "depth"))[0]
 
     def hits(states: DataFrame, name: str) -> DataFrame:

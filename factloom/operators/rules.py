@@ -570,8 +570,8 @@ def connectivity_rules(f: Facts) -> DataFrame:
     Endpoints of both sides are paired by position (identity), from the other end (reverse) or all with all
     of one requirement (any); a requirement's verdict is its worst pair's. Waypoints and exclusions are
     selectors too: any bit of a waypoint will do, every bit of an exclusion counts. A missing pair whose
-    source reaches another bit of the sink is OC6507. Views are judged apart, and only a view that is itself
-    wholly tainted leaves its verdicts open. Names are matched exactly, so none is ambiguous (OC6502).
+    source reaches another bit of the sink is OC6507. Views are judged apart; a view that is itself wholly tainted
+    leaves its verdicts open, and a tainted scope those whose search comes into it. Names are matched exactly, so none is ambiguous (OC6502).
     """
     q = f["requirements"]
     same = ["source", "sink", F.coalesce("through", F.array().cast("array<string>")), F.coalesce("exclude", F.array().cast("array<string>"))]
@@ -642,13 +642,18 @@ def connectivity_rules(f: Facts) -> DataFrame:
     edges = f["edges"].select(node(F.col("source")).alias("source"), node(F.col("sink")).alias("sink"), "inverted", "status")
     part = lambda k: F.get(F.split("id", "\u0001"), F.lit(k))
     single = cut(single)
+    # Whatever lies in a scope that its view does not know whole may have edges that are not there.
+    scopes = f["views"].select("view", F.explode("tainted_scopes").alias("scope")).where("scope != '*'").distinct()
+    every = f["edges"].select("view", F.col("source").alias("key")).union(f["edges"].select("view", "sink")).union(ends.select("view", "key")).distinct()
+    above = F.transform(F.sequence(F.lit(1), F.size(F.split("key", "[/.]"))), lambda k: F.concat_ws("/", F.slice(F.split(F.regexp_replace("key", r"\[[^\]]*\]$", ""), "[/.]"), F.lit(1), k)))
+    dark = cut(every.withColumn("scope", F.explode(above)).join(scopes.withColumn("scope", F.translate("scope", ".", "/")), ["view", "scope"]).select(node(F.col("key")).alias("node")).distinct())
     searched = graph.search(edges, single.withColumnRenamed("source", "node"), True)
-    verdict = cut(graph.judged(edges, single, proofs=True, found=searched).select(F.concat_ws("\u0001", part(0), part(1)).alias("rid"), part(2).alias("from"), "verdict", "proof"))
+    verdict = cut(graph.judged(edges, single, proofs=True, found=searched, dark=dark).select(F.concat_ws("\u0001", part(0), part(1)).alias("rid"), part(2).alias("from"), "verdict", "proof"))
     # Of mapped pairs that are missing: does the source reach another bit of the sink?
     lost = verdict.where("verdict = 'missing'").select("rid", "from")
     other = pairs.where(mapped & (F.col("expectation") == "reachable") & ~F.when(rev, F.col("i") + F.col("j") == F.col("s_n") + 1).otherwise(F.col("i") == F.col("j"))).join(lost, ["rid", "from"], "left_semi")
     again = other.select(pid, "rid", "from").join(single.select(F.concat_ws("\u0001", part(0), part(1)).alias("rid"), part(2).alias("from"), F.col("id").alias("of")), ["rid", "from"])
-    astray = graph.judged(edges, other.select(*asked(F.lit("any"))), found=searched.like(again)).where("verdict = 'pass'").select(F.concat_ws("\u0001", part(0), part(1)).alias("rid"), part(2).alias("from"), F.lit(True).alias("astray")).distinct()
+    astray = graph.judged(edges, other.select(*asked(F.lit("any"))), found=searched.like(again), dark=dark).where("verdict = 'pass'").select(F.concat_ws("\u0001", part(0), part(1)).alias("rid"), part(2).alias("from"), F.lit(True).alias("astray")).distinct()
     verdict = verdict.join(astray, ["rid", "from"], "left").withColumn("verdict", F.when(F.col("astray"), "bits").otherwise(F.col("verdict")))
     rank = F.element_at(F.create_map(*[F.lit(x) for x in ("pass", 0, "inconclusive", 1, "polarity", 2, "bits", 3, "missing", 4, "forbidden", 5)]), F.col("verdict"))
     worst = verdict.groupBy("rid").agg(F.max(F.struct(rank.alias("rank"), "verdict", F.coalesce("proof", F.array().cast("array<string>")).alias("proof"))).alias("m"))

@@ -64,7 +64,7 @@ def tree_layers(spark: SparkSession, sf: str) -> DataFrame:
 
 #: Each customer leads to others with larger keys; some lead 30 back and are led to from there, which makes cycles.
 GRAPH = """m AS (SELECT max(c_custkey) AS m FROM customer), k AS (SELECT c_custkey AS k FROM customer),
-    e AS (SELECT DISTINCT s, t FROM (SELECT k AS s, k + 1 + (k * 7) % 40 AS t FROM k UNION ALL SELECT k, k + 2 + (k * 13) % 90 FROM k WHERE k % 3 = 0
+    e AS (SELECT DISTINCT s, t FROM (SELECT k AS s, 2 * k + k % 7 AS t FROM k UNION ALL SELECT k, 3 * k + 1 FROM k WHERE k % 3 = 0 UNION ALL SELECT k, k + 1 FROM k WHERE k % 500 BETWEEN 100 AND 108
         UNION ALL SELECT k, k - 30 FROM k WHERE k % 1131 = 120 UNION ALL SELECT k, k + 30 FROM k WHERE k % 1131 = 90), m WHERE t BETWEEN 1 AND m)"""
 
 
@@ -76,7 +76,7 @@ GRAPH = """m AS (SELECT max(c_custkey) AS m FROM customer), k AS (SELECT c_custk
 def graph_layers(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "customer").select(F.col("c_custkey").alias("k"))
     k = F.col("k")
-    to = F.array(k + 1 + (k * 7) % 40, F.when(k % 3 == 0, k + 2 + (k * 13) % 90), F.when(k % 1131 == 120, k - 30), F.when(k % 1131 == 90, k + 30))
+    to = F.array(2 * k + k % 7, F.when(k % 3 == 0, 3 * k + 1), F.when((k % 500).between(100, 108), k + 1), F.when(k % 1131 == 120, k - 30), F.when(k % 1131 == 90, k + 30))
     e = c.select(k.alias("source"), F.explode(to).alias("sink")).join(F.broadcast(c.agg(F.max("k").alias("m")))).where("sink BETWEEN 1 AND m")
     return order.layers(e.select("source", "sink"), c.select(k.alias("node")))
 

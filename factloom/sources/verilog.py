@@ -29,6 +29,11 @@ def _range(s: str | None, names: dict[str, int]):
     return integer(left, names), integer(right, names)
 
 
+GATE = rf"(?:^|;)\s*({'|'.join(sorted(GATES | TRANS | {'buf', 'not'}, key=len, reverse=True))})\b\s*(?:#\s*(?:\d+|\([^()]*\))\s*)?(?:{NAME}\s*)?\(([^()]*)\)\s*(?=;)"
+#: Cell, parameters, name, connections.
+INSTANCE = rf"(?:^|;|\bend\b)\s*({NAME})\s*(?:\s|(#\s*\((?:[^()]|\([^()]*\))*\)))\s*({NAME})\s*\(((?:[^()]|\((?:[^()]|\([^()]*\))*\))*)\)\s*(?=;)"
+
+
 def parse_verilog(files, view, kind, options):
     defines = options.get("defines", {})
     modules: dict[str, Module] = {}
@@ -55,6 +60,8 @@ class Module:
         self.edges: list[tuple[str, str, str, bool | None]] = []
         #: (cell, instance, [(port name or place, its bits, whether they are what is connected)]); a bit is None where there is no net.
         self.instances: list[tuple[str, str, list]] = []
+        #: Whether it has anything that no pattern has read: its nets may have edges that are not here.
+        self.unread = False
 
     def bits(self, net: str) -> list[str]:
         left, right = self.widths[net]
@@ -71,6 +78,8 @@ def _graph(modules: dict[str, Module]):
     while work:
         at, name, above = work.pop()
         m = modules[name]
+        if m.unread:
+            yield problem("OC1102", f"parts of {at} are not read", "", 0, at)
         edge = lambda a, b, kind, inverted, sure=True: ("edges", {"source": a, "sink": b, "edge_kind": kind, "inverted": inverted, "status": "known" if sure else "tainted"})
         for n, (left, _) in m.widths.items():
             keys = m.bits(n)
@@ -131,6 +140,9 @@ def _module(name: str, body: str, path: str, line: int, options: dict, modules:
             ports[m[3].strip()] = {"direction": direction, "span": span}
         elif item:
             unread = True
+    # A net's own assignment and several assignments in one statement are assignments.
+    rest = re.sub(rf"\b((?:wire|tri)\b[^=;(]*?)({NAME})\s*=([^;,]+);", r"\1\2; assign \2 =\3;", rest)
+    rest = re.sub(r"\bassign\b([^;]*);", lambda m: " ".join(f"assign {x};" for x in _split(m[1])), rest)
     for d, s, listing in re.findall(rf"\b(input|output|inout)\s+(?:wire|reg|logic)?\s*(?:signed)?\s*(?:\[([^\]]+)\])?\s*({NAME}(?:\s*,\s*{NAME})*)\s*;", rest):
         for n in listing.split(","):
             ports[n.strip()] = {"direction": d, "span": s}
@@ -140,6 +152,7 @@ def _module(name: str, body: str, path: str, line: int, options: dict, modules:
             left, right = _range(p["span"], names)
         except (Expression, ValueError):
             yield problem("OC1103", f"the width of {n} can't be evaluated", path, line, name)
+            unread = True
             yield "ports", {"component": name, "native_name": n, "ordinal": k, "direction": p["direction"], "width": None, "source": path, "line": line, "column": 1}
             continue
         widths[n] = (left, right)
@@ -206,7 +219,7 @@ def _module(name: str, body: str, path: str, line: int, options: dict, modules:
             own.edges += [(x, y, "alias", False) for one in listed for two in listed if one is not two for x, y in zip(one, two, strict=True) if x and y]
         else:
             own.edges += [(x, y, "alias", None) for one in sides for two in sides if one is not two for x in known_bits(one) for y in known_bits(two)]
-    for gate, terminals in re.findall(rf"(?:^|;)\s*({'|'.join(sorted(GATES | TRANS | {'buf', 'not'}, key=len, reverse=True))})\b\s*(?:#\s*(?:\d+|\([^()]*\))\s*)?(?:{NAME}\s*)?\(([^()]*)\)\s*(?=;)", rest):
+    for gate, terminals in re.findall(GATE, rest):
         pins = _split(terminals)
         try:
             at = [bits(x) for x in pins]
@@ -220,23 +233,34 @@ def _module(name: str, body: str, path: str, line: int, options: dict, modules:
             own.edges += [(x, y, gate, False if sure else None) for one, two in ((ends[0], ends[1]), (ends[1], ends[0])) for x in one for y in two] if len(ends) > 1 else []
         else:
             own.edges += [(x, y, gate, None) for one in ends[1:] for x in one for y in ends[0]]
-    for cell, inst, wiring in re.findall(rf"(?:^|;|\bend\b)\s*({NAME})\s*(?:\s|#\s*\((?:[^()]|\([^()]*\))*\))\s*({NAME})\s*\(((?:[^()]|\((?:[^()]|\([^()]*\))*\))*)\)\s*(?=;)", rest):
+    found = re.findall(INSTANCE, rest)
+    for _, _, _, wiring in found:  # a name that nothing declares is a net of one bit
+        for net in re.findall(rf"\(\s*({NAME})\s*\)", wiring) if "." in wiring else _split(wiring):
+            if re.fullmatch(NAME, net.strip()) and net.strip() not in ports:
+                widths.setdefault(net.strip(), (None, None))
+    for cell, parameters, inst, wiring in found:
         cell, inst = cell.strip(), inst.strip()
         if cell in ("assign", "module", "alias", *KEYWORDS, *GATES, *TRANS, "buf", "not"):
             continue
         yield "objects", {"object_kind": "instance", "relation": "definition", "native_name": inst, "scope": name, "ordinal": line}
         pins = []
         named = re.findall(rf"\.\s*({NAME})\s*\(((?:[^()]|\([^()]*\))*)\)", wiring)
+        unread = unread or bool(re.search(r"\.\s*\*", wiring))
         for pin, net in named or list(enumerate(_split(wiring))):
             if named:
                 yield "objects", {"object_kind": "pin", "relation": "definition", "native_name": f"{inst}/{pin.strip()}", "scope": name, "ordinal": line}
             if net.strip():
                 try:
-                    pins.append((pin.strip() if named else pin, bits(net), True))
+                    pins.append((pin.strip() if named else pin, bits(net), not parameters.strip()))  # parameters may change widths
                 except (Expression, ValueError):
                     pins.append((pin.strip() if named else pin, known_bits(net), False))
         own.instances.append((cell, inst, pins))
-    if unread or KEYWORDS & set(re.findall(r"\b[a-z_]+\b", rest)):
+    # Whatever is left when all that has been read is taken out has not been read.
+    left = rest
+    for pattern in (r"\bassign\s+[^=;]+?\s*=\s*[^;]+?\s*;", r"\balias\s+[^;]+;", rf"\b(?:input|output|inout)\b[^;=]*;", rf"\b(?:wire|logic|tri)\s*(?:signed)?\s*(?:\[[^\]]+\])?\s*{NAME}(?:\s*,\s*{NAME})*\s*;", r"\b(?:parameter|localparam)\b[^;]*;", GATE, INSTANCE):
+        left = re.sub(pattern, ";", left)
+    own.unread = unread = unread or bool(re.search(r"[^\s;]", left)) or bool(KEYWORDS & set(re.findall(r"\b[a-z_]+\b", rest)))
+    if unread:
         yield problem("OC1102", f"parts of {name} are not read", path, line, name)
 
 

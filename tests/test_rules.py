@@ -199,6 +199,18 @@ def test_connectivity_by_view_with_vectors_witnesses_and_wrong_bits(spark):
     assert two["via"][1] == ["m[0]"] and {k: x and x[0] for k, x in dark.items()} == {"crossed": "OC6505", "straight": "OC6505", "via": "OC6505", "not": "OC6505", "nowhere": "OC6501", "around": "OC6505"}
 
 
+def test_requirements_that_come_into_a_tainted_scope_stay_open(spark):
+    """Whatever is not read of top/u may join what it touches; what never comes there is judged."""
+    end = lambda n: {"view": "rtl.a", "native_name": n, "status": "known"}
+    edge = lambda a, b: {"view": "rtl.a", "source": a, "sink": b, "inverted": False, "status": "known"}
+    req = lambda k, i, a, b, e: {"id": i, "source": a, "sink": b, "expectation": e, "transform": "any", "through": [], "exclude": [], "ordinal": k}
+    ends = ("top/a", "top/u/q", "top/u/r", "top/y", "top/b", "top/z")
+    reqs = [("r1", "top/a", "top/y", "reachable"), ("r2", "top/a", "top/z", "unreachable"), ("r3", "top/a", "top/u/q", "reachable"), ("r4", "top/b", "top/z", "unreachable"), ("r5", "top/b", "top/y", "reachable"), ("r6", "top/a", "top/u/r", "unreachable")]
+    f = facts(spark, views=[view("rtl.a", False, ["top/u"])], endpoints=[end(n) for n in ends], edges=[edge("top/a", "top/u/q"), edge("top/u/r", "top/y")], requirements=[req(k, *r) for k, r in enumerate(reqs)])
+    got = {r.object_id.split(":")[1]: r.code for r in rules.connectivity_rules(f).collect()}
+    assert got == {"r1": "OC6505", "r2": "OC6505", "r5": "OC6503", "r6": "OC6505"}
+
+
 def test_a_checker_that_raises_is_told(spark):
     def bad(f):
         raise KeyError("x")

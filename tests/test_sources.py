@@ -284,3 +284,33 @@ def test_roles_from_names_are_shown_and_never_judged(spark):
     df = spark.createDataFrame(rows, "native_name string, role string, field_states map<string,string>")
     got = [(r.role, r.field_states) for r in names.hinted(df).collect()]
     assert got == [("ground", {"role": "tainted"}), ("power", {"shape": "known", "role": "tainted"}), ("signal", None), ("reset", {"role": "tainted"}), (None, None), (None, None)]
+
+
+CELL = "module c(input a, output y); assign y = a; endmodule\n"
+
+
+@pytest.mark.parametrize(
+    "body,edges,dark",
+    [
+        ("wire t = a; assign y = t;", {("top/a", "top/t"), ("top/t", "top/y")}, False),
+        ("assign y = a, z = a;", {("top/a", "top/y"), ("top/a", "top/z")}, False),
+        ("c u(.a(a), .y(n)); c v(.a(n), .y(y));", {("top/a", "top/u/a"), ("top/u/y", "top/n"), ("top/n", "top/v/a"), ("top/v/y", "top/y")}, False),
+        ("c u[1:0](.a(a), .y(y));", set(), True),
+        ("c u(.*);", set(), True),
+        ("always @* q = a;", set(), True),
+        ("generate if (1) assign y = a; endgenerate", None, True),
+    ],
+)
+def test_verilog_edges_are_there_or_their_scope_is_tainted(body, edges, dark):
+    found = list(run_parser(parser_of("verilog"), [("t.v", f"{CELL}module top(input a, output y, output z); {body} endmodule".encode())], "rtl.a", "rtl", {}))
+    got = {(r["source"], r["sink"]) for f, r in found if f == "edges" and r["status"] == "known"}
+    assert edges is None or edges <= got
+    view = next(r for f, r in found if f == "views")
+    assert ("top" in view["tainted_scopes"]) == dark and view["complete"] != dark
+
+
+def test_parameters_of_instances_leave_their_edges_uncertain():
+    found = list(run_parser(parser_of("verilog"), [("t.v", f"{CELL}module top(input a, output y); c #(.W(2)) u(.a(a), .y(y)); endmodule".encode())], "rtl.a", "rtl", {}))
+    assert {r["status"] for f, r in found if f == "edges" and "/u/" in r["sink"] + r["source"] and r["edge_kind"] == "port"} == {"tainted"}
+    lost = list(run_parser(parser_of("verilog"), [("t.v", b"module top(input [W-1:0] a, output y); assign y = a; endmodule")], "rtl.a", "rtl", {}))
+    assert "top" in next(r for f, r in lost if f == "views")["tainted_scopes"]
