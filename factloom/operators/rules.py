@@ -51,6 +51,12 @@ def gathered(e: Column) -> Column:
     return F.array_sort(F.collect_list(e)).cast(EVIDENCE)
 
 
+def proven(rows: DataFrame, keys: DataFrame, on: list[str], e: Column) -> DataFrame:
+    """``keys`` with the evidence of their rows: gathered for them only, after the test."""
+    found = rows.join(keys.select(*on).distinct(), on, "left_semi").groupBy(*on).agg(gathered(e).alias("evidence"))
+    return keys.join(found, on)
+
+
 def finding(df: DataFrame, code: str | Column, kind: str | Column, id: Column, property: str | None, message: Column, pieces: Column | None = None) -> DataFrame:
     lit = lambda x: F.lit(x).cast("string") if x is None or isinstance(x, str) else x
     return df.select(lit(code).alias("code"), lit(kind).alias("object_kind"), id.alias("object_id"), lit(property).alias("property"), message.alias("message"), (F.array().cast(EVIDENCE) if pieces is None else pieces).alias("evidence"))
@@ -231,12 +237,13 @@ def pin_inventory(f: Facts) -> DataFrame:
         required = required.where(~(F.coalesce(F.col("dominant").isin("power", "ground"), F.lit(False)) & (names.view_kind(F.col("kind")) == "rtl")))
     missing = generic.absence(required, f.ports, ["component", "port", "view"], f.whole_tainted, ["view"])
     missing = missing.groupBy("component", "port", "dominant").agg(F.array_join(F.array_sort(F.collect_set("view")), ", ").alias("missing"))
-    own = f.ports.groupBy("component", "port").agg(gathered(evidence("view", F.lit("present"), True)).alias("evidence"))
+    here = evidence("view", F.lit("present"), True)
+    own = f.ports.select("component", "port").distinct()
     pg = F.when(F.col("dominant").isin("power", "ground"), "OC4202").otherwise("OC3101")
-    found = finding(missing.join(own, ["component", "port"]), pg, "port", port_id(), "presence", text(F.col("component"), "/", F.col("port"), " is missing from ", F.col("missing"), "."), F.col("evidence"))
+    found = finding(proven(f.ports, missing, ["component", "port"], here), pg, "port", port_id(), "presence", text(F.col("component"), "/", F.col("port"), " is missing from ", F.col("missing"), "."), F.col("evidence"))
     frozen = f["contract_ports"]
     known = own.join(frozen.select("component").distinct(), "component", "left_semi")
-    extra = known.join(frozen, ["component", "port"], "left_anti")
+    extra = proven(f.ports, known.join(frozen, ["component", "port"], "left_anti"), ["component", "port"], here)
     found = found.union(finding(extra, "OC3102", "port", port_id(), None, text(F.col("component"), "/", F.col("port"), " is not in the frozen contract."), F.col("evidence")))
     gone = frozen.join(own.select("component").distinct(), "component", "left_semi").join(own, ["component", "port"], "left_anti").withColumn("dominant", names.role(F.col("role")))
     return found.union(finding(gone, pg, "port", port_id(), "presence", text(F.col("component"), "/", F.col("port"), " is required by the frozen contract but missing.")))
@@ -249,11 +256,13 @@ def port_conflicts(f: Facts) -> DataFrame:
     shaped = F.col("structure").isNotNull()
     proof = lambda c: F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), evidence("view", F.col(c), True)))).cast(EVIDENCE)
     g = f.port_values.groupBy(*key).agg(
-        differ("direction").alias("d"), proof("direction").alias("d_e"), differ("role").alias("r"), F.collect_set("role").alias("roles"), proof("role").alias("r_e"),
-        differ("width").alias("w"), proof("width").alias("w_e"), differ("scalar").alias("s"), proof("scalar").alias("s_e"), differ("structure").alias("x"), proof("structure").alias("x_e"),
+        differ("direction").alias("d"), differ("role").alias("r"), F.collect_set("role").alias("roles"), differ("width").alias("w"), differ("scalar").alias("s"), differ("structure").alias("x"),
         F.bool_and(F.when(shaped, F.col("bits").isNotNull())).alias("all_bits"), differ(F.array_join("bits", ",")).alias("orders"), differ(F.array_join(F.array_sort(F.array_distinct("bits")), ",")).alias("sets"),
         differ(F.when(shaped, F.coalesce("unpacked", F.lit("[]")))).alias("outer"), F.bool_and(F.when(shaped, F.col("bit_order_known"))).alias("order_known"),
-    )
+    ).where("d OR r OR w OR s OR x")
+    # Evidence is gathered for ports with a conflict only.
+    told = f.port_values.join(g.select(*key), key, "left_semi").groupBy(*key).agg(*[proof(c).alias(f"{n}_e") for c, n in (("direction", "d"), ("role", "r"), ("width", "w"), ("scalar", "s"), ("structure", "x"))])
+    g = g.join(told, key)
     only_order = F.col("all_bits") & F.col("orders") & ~F.col("sets") & ~F.col("outer")
     role_code = F.when(F.array_contains("roles", "power") & F.array_contains("roles", "ground"), "OC4203").when(F.arrays_overlap("roles", F.array(F.lit("clock"), F.lit("reset"))), "OC4204").otherwise("OC4201")
     shape_code = F.when(only_order, F.when(F.col("order_known"), "OC4102")).otherwise("OC4103")
@@ -521,7 +530,7 @@ def register_rules(f: Facts) -> DataFrame:
     reg = ["component", "register"]
     amb = m.where("needs_scope").groupBy("component", "name").agg(F.count_if(F.col("scope") == "").alias("unscoped"), gathered(evidence("view", F.col("native_name"))).alias("evidence")).where("unscoped > 0")
     found = finding(amb, "OC6310", "register", text("register:", F.col("component"), "/", F.col("name")), "identity", text(F.col("component"), "/", F.col("name"), " is in several scopes."), F.col("evidence"))
-    twice = m.groupBy(*reg, "view").agg(F.count("*").alias("n"), gathered(evidence("view", F.col("native_name"))).alias("evidence")).where("n > 1")
+    twice = proven(m, m.groupBy(*reg, "view").agg(F.count("*").alias("n")).where("n > 1"), [*reg, "view"], evidence("view", F.col("native_name")))
     found = found.union(finding(twice, "OC6307", "register", id, "definition", text(F.col("view"), " defines ", F.col("register"), " ", F.col("n").cast("string"), " times."), F.col("evidence")))
     first = m.withColumn("_k", F.row_number().over(Window.partitionBy(*reg, "view").orderBy(F.col("ordinal").asc_nulls_last(), "native_name"))).where("_k = 1").drop("_k")
     declared = m.select("component", "view").union(f["components"].where(names.view_kind(F.col("kind")).isin(*REGISTER_KINDS)).select(F.lower(names.decoded(F.col("native_name"))), "view")).distinct()
@@ -529,13 +538,12 @@ def register_rules(f: Facts) -> DataFrame:
     spared = kinds.where("needs_scope").select(*reg, "scoped").distinct().join(m.select("component", F.col("name").alias("_name"), "view", (F.col("scope") != "").alias("_s"), "needs_scope").where("needs_scope"), "component").where((F.col("scoped") != F.col("_s")) & F.substring_index("register", "/", -1).eqNullSafe(F.col("_name"))).select(*reg, "view").distinct()
     required = m.select(*reg).distinct().join(declared, "component").join(spared, [*reg, "view"], "left_anti")
     missing = generic.absence(required, m, [*reg, "view"], f.whole_tainted, ["view"]).groupBy(*reg).agg(F.array_join(F.array_sort(F.collect_set("view")), ", ").alias("missing"))
-    own = first.groupBy(*reg).agg(gathered(evidence("view", F.col("native_name"))).alias("evidence"))
-    found = found.union(finding(missing.join(own, reg), "OC6301", "register", id, "presence", text(F.col("register"), " is missing from ", F.col("missing"), "."), F.col("evidence")))
+    found = found.union(finding(proven(first, missing, reg, evidence("view", F.col("native_name"))), "OC6301", "register", id, "presence", text(F.col("register"), " is missing from ", F.col("missing"), "."), F.col("evidence")))
     known = cut(first.where(F.coalesce("status", F.lit("known")) == "known").withColumn("access", names.access(F.col("access"))))
     differ = generic.conflicts(known, reg, ["address_offset", "absolute_address", "size_bits", "access"])
     rows = F.array_compact(F.array(F.when(F.col("address_offset_conflict") | F.col("absolute_address_conflict"), F.lit("OC6302 address")), F.when(F.col("size_bits_conflict"), F.lit("OC6303 width")), F.when(F.col("access_conflict"), F.lit("OC6306 access"))))
-    proof = known.groupBy(*reg).agg(gathered(evidence("view", F.concat_ws(" ", F.col("address_offset").cast("string"), F.col("absolute_address").cast("string"), F.col("size_bits").cast("string"), "access"))).alias("evidence"))
-    d = differ.withColumn("x", F.explode(rows)).join(proof, reg)
+    values = evidence("view", F.concat_ws(" ", F.col("address_offset").cast("string"), F.col("absolute_address").cast("string"), F.col("size_bits").cast("string"), "access"))
+    d = proven(known, differ.withColumn("x", F.explode(rows)), reg, values)
     found = found.union(d.select(F.substring_index("x", " ", 1).alias("code"), F.lit("register").alias("object_kind"), id.alias("object_id"), F.substring_index("x", " ", -1).alias("property"), text(F.col("register"), " differs.").alias("message"), "evidence"))
     return found.union(field_rules(f, known, reg))
 
@@ -546,7 +554,7 @@ def field_rules(f: Facts, known: DataFrame, reg: list[str]) -> DataFrame:
     x, at = cut(x), [*reg, "field"]
     fid = text("register:", F.col("component"), "/", F.col("register"), "/field:", F.col("field"))
     rid = text("register:", F.col("component"), "/", F.col("register"))
-    twice = x.groupBy(*at, "view").agg(F.count("*").alias("n"), gathered(evidence("view", F.col("field"))).alias("evidence")).where("n > 1")
+    twice = proven(x, x.groupBy(*at, "view").agg(F.count("*").alias("n")).where("n > 1"), [*at, "view"], evidence("view", F.col("field")))
     found = finding(twice, "OC6307", "field", fid, "definition", text(F.col("view"), " defines ", F.col("field"), " ", F.col("n").cast("string"), " times."), F.col("evidence"))
     required = x.select(*at).distinct().join(known.select(*reg, "view").distinct(), reg)
     missing = generic.absence(required, x, [*at, "view"], f.whole_tainted, ["view"]).groupBy(*at).agg(gathered(evidence("view", F.lit("missing"))).alias("evidence"))
@@ -554,8 +562,8 @@ def field_rules(f: Facts, known: DataFrame, reg: list[str]) -> DataFrame:
     first = x.where("status = 'known'").withColumn("_k", F.row_number().over(Window.partitionBy(*at, "view").orderBy("k"))).where("_k = 1")
     differ = generic.conflicts(first, at, ["bit_offset", "bit_width", "access", "reset"])
     rows = F.array_compact(F.array(F.when(F.col("bit_offset_conflict") | F.col("bit_width_conflict"), F.lit("OC6305 layout")), F.when(F.col("access_conflict"), F.lit("OC6306 access")), F.when(F.col("reset_conflict"), F.lit("OC6308 reset"))))
-    proof = first.groupBy(*at).agg(gathered(evidence("view", F.concat_ws(" ", F.col("bit_offset").cast("string"), F.col("bit_width").cast("string"), "access", F.col("reset").cast("string")))).alias("evidence"))
-    d = differ.withColumn("x", F.explode(rows)).join(proof, at)
+    values = evidence("view", F.concat_ws(" ", F.col("bit_offset").cast("string"), F.col("bit_width").cast("string"), "access", F.col("reset").cast("string")))
+    d = proven(first, differ.withColumn("x", F.explode(rows)), at, values)
     found = found.union(d.select(F.substring_index("x", " ", 1).alias("code"), F.lit("field").alias("object_kind"), fid.alias("object_id"), F.substring_index("x", " ", -1).alias("property"), text(F.col("field"), " differs.").alias("message"), "evidence"))
     laid = x.where("status = 'known' AND bit_offset IS NOT NULL AND bit_width IS NOT NULL").withColumn("last", F.col("bit_offset") + F.col("bit_width") - 1)
     over = generic.overlaps(laid, [*reg, "view"], "bit_offset", "last", ["field"]).select(*reg, "view", "field")
