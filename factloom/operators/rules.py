@@ -359,22 +359,47 @@ def equivalences(pairs: DataFrame, most: int = 12) -> DataFrame:
     """
     every = pairs.select(F.col("left").alias("e")).union(pairs.select("right")).distinct().withColumn("p", parsed("e"))
     j = pairs.join(every.select(F.col("e").alias("left"), F.col("p").alias("l")), "left").join(every.select(F.col("e").alias("right"), F.col("p").alias("r")), "right")
+    return compared(j, pairs.columns, most)
+
+
+def compared(j: DataFrame, columns: list[str], most: int = 12) -> DataFrame:
+    """What ``equivalences`` adds, of rows with ``id`` and both sides' tokens, names and errors as ``l`` and ``r``."""
     j = j.withColumn("inputs", F.array_sort(F.array_union("l.names", "r.names")))
     good = F.col("l.error").isNull() & F.col("r.error").isNull() & (F.size("inputs") <= most)
     rows = j.where(good).withColumn("a", F.explode(F.sequence(F.lit(0), F.pow(F.lit(2), F.size("inputs")).cast("int") - 1)))
     value = lambda s: boolean.truth_table(F.col(f"{s}.tokens"), F.col("inputs"), F.col("a"))
     first = rows.groupBy("id").agg(F.min(F.when(value("l") != value("r"), F.col("a"))).alias("counterexample"))
     status = F.when(F.col("l.error").isNotNull() | F.col("r.error").isNotNull(), "unparsed").when(F.size("inputs") > most, "too-wide").when(F.col("counterexample").isNotNull(), "different").otherwise("equivalent")
-    return j.join(first, "id", "left").select(*pairs.columns, F.size("inputs").alias("n_inputs"), status.alias("status"), "counterexample", "inputs")
+    return j.join(first, "id", "left").select(*columns, F.size("inputs").alias("n_inputs"), status.alias("status"), "counterexample", "inputs")
+
+
+def renamed(f: Facts, used: DataFrame) -> DataFrame:
+    """(view, component, expression, p): tokens, names and errors, variables under the canonical names of their view's ports.
+
+    Tokens are exploded with their places, joined to the names and put back in order; components are native.
+    """
+    at = ["view", "component", "expression"]
+    distinct = used.select("expression").distinct().withColumn("p", parsed("expression"))
+    u = used.select(*at).distinct().join(distinct, "expression")
+    ports = f.ports.select("view", F.col("native_component").alias("component"), F.explode(F.array_distinct(F.array("native_name", names.decoded(F.col("native_name"))))).alias("token"), "port").where("token != port").distinct()
+    t = u.select(*at, F.col("p.names").alias("names"), F.posexplode("p.tokens").alias("i", "token")).join(ports, ["view", "component", "token"], "left")
+    # A name with several canonical ones keeps its own.
+    one = t.groupBy(*at, "i", "token").agg(F.first("names").alias("names"), F.min("port").alias("port"), F.max("port").alias("_other"))
+    new = F.when(F.array_contains("names", F.col("token")) & (F.col("port") == F.col("_other")), F.col("port")).otherwise(F.col("token"))
+    back = one.withColumn("new", new).groupBy(*at).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "new"))), lambda x: x["new"]).alias("tokens"), F.array_sort(F.collect_set(F.when(F.array_contains("names", F.col("token")), F.col("new")))).alias("names"))
+    return u.join(back, at, "left").select(*at, F.struct("tokens", "names", F.col("p.error").alias("error")).alias("p"))
 
 
 def functions(f: Facts) -> DataFrame:
     """OC4301: a view's function differs from the first one's; OC4302: it can't be told; OC4303: it names an unknown pin."""
     used = f["functions"].join(f.components.select("view", F.col("native_name").alias("component"), F.col("component").alias("canonical")).distinct(), ["view", "component"])
     w = Window.partitionBy("canonical", "output").orderBy(F.col("kind") != "liberty", "view")
-    r = used.withColumns({"base": F.first("expression").over(w), "base_view": F.first("view").over(w), "kinds": F.size(F.collect_set("kind").over(Window.partitionBy("canonical", "output")))})
-    pairs = r.where((F.col("kinds") > 1) & (F.col("view") != F.col("base_view"))).select(F.concat_ws("|", "canonical", "output", "view").alias("id"), F.col("base").alias("left"), F.col("expression").alias("right"), "canonical", "output", "view", "base_view")
-    e = equivalences(pairs, f.policy.max_boolean_inputs)
+    r = used.withColumns({"base": F.first("expression").over(w), "base_view": F.first("view").over(w), "base_component": F.first("component").over(w), "kinds": F.size(F.collect_set("kind").over(Window.partitionBy("canonical", "output")))})
+    pairs = r.where((F.col("kinds") > 1) & (F.col("view") != F.col("base_view"))).select(F.concat_ws("|", "canonical", "output", "view").alias("id"), F.col("base").alias("left"), F.col("expression").alias("right"), "canonical", "output", "view", "base_view", "component", "base_component")
+    named = renamed(f, used)
+    left = named.select(F.col("view").alias("base_view"), F.col("component").alias("base_component"), F.col("expression").alias("left"), F.col("p").alias("l"))
+    both = pairs.join(left, ["base_view", "base_component", "left"]).join(named.select("view", "component", F.col("expression").alias("right"), F.col("p").alias("r")), ["view", "component", "right"])
+    e = compared(both, pairs.columns, f.policy.max_boolean_inputs)
     e = e.withColumn("code", F.when(F.col("status") == "different", "OC4301").when(F.col("status") != "equivalent", "OC4302")).where("code IS NOT NULL")
     id = text("component:", F.col("canonical"), "/port:", F.col("output"))
     found = finding(e, F.col("code"), "port", id, "function", text(F.col("output"), ": ", F.col("left"), " and ", F.col("right"), " are ", F.col("status"), "."), F.array(evidence("base_view", F.col("left")), evidence("view", F.col("right"))).cast(EVIDENCE))
@@ -573,13 +598,14 @@ def field_rules(f: Facts, known: DataFrame, reg: list[str]) -> DataFrame:
 
 
 def connectivity_rules(f: Facts) -> DataFrame:
-    """OC6501 and OC6503 to OC6509: requirements on whole selectors, bit by bit, in each view that has endpoints.
+    """OC6501 to OC6509: requirements on whole selectors, bit by bit, in each view that has endpoints.
 
     Endpoints of both sides are paired by position (identity), from the other end (reverse) or all with all
     of one requirement (any); a requirement's verdict is its worst pair's. Waypoints and exclusions are
     selectors too: any bit of a waypoint will do, every bit of an exclusion counts. A missing pair whose
     source reaches another bit of the sink is OC6507. Views are judged apart; a view that is itself wholly tainted
-    leaves its verdicts open, and a tainted scope those whose search comes into it. Names are matched exactly, so none is ambiguous (OC6502).
+    leaves its verdicts open, and a tainted scope those whose search comes into it. A selector's base may be a pattern that one signal of the view matches;
+    if several do, it is ambiguous (OC6502).
     """
     q = f["requirements"]
     same = ["source", "sink", F.coalesce("through", F.array().cast("array<string>")), F.coalesce("exclude", F.array().cast("array<string>"))]
@@ -610,6 +636,9 @@ def connectivity_rules(f: Facts) -> DataFrame:
         lo, hi = (F.try_to_number(F.trim(F.substring_index("sel", ":", k)), F.lit("S999999999")).cast("int") for k in (1, -1))
         p = p.withColumns({"a": lo, "b": hi})
         inside = F.col("e.sel").isin("", "*") | F.col("n.bit_index").between(F.least("e.a", "e.b"), F.greatest("e.a", "e.b"))
+        wild = p.where(F.col("base").rlike("[*?]")).select("view", F.col("base").alias("pattern")).distinct()
+        bases = patterns.matched(wild, ends.select("view", F.col("base").alias("name")), ["view"]).groupBy("view", F.col("pattern").alias("base")).agg(F.min("name").alias("only"), (F.count("*") > 1).alias("several"))
+        p = p.join(bases, ["view", "base"], "left").withColumns({"several": F.coalesce("several", F.lit(False)), "base": F.when(F.col("base").rlike("[*?]"), F.when(~F.col("several"), F.col("only"))).otherwise(F.col("base"))}).drop("only")
         on = (F.col("e.view") == F.col("n.view")) & (F.col("e.base") == F.col("n.base")) & inside
         return p.alias("e").join(ends.alias("n"), on, "left").select("e.*", "n.key", "n.bit_index")
 
@@ -617,20 +646,23 @@ def connectivity_rules(f: Facts) -> DataFrame:
         hit = matched(q.select("rid", "view", F.col(name).alias("x")))
         down = F.col("a") > F.col("b")
         order = F.row_number().over(Window.partitionBy("rid").orderBy(F.when(F.coalesce(down, F.lit(True)), -F.coalesce("bit_index", F.lit(0))).otherwise(F.coalesce("bit_index", F.lit(0)))))
-        return hit.select("rid", "key", order.alias("place"), F.when(F.col("sel").contains(":"), F.abs(F.col("a") - F.col("b")) + 1).when(F.col("sel").isin("", "*"), None).otherwise(1).alias("wanted"))
+        return hit.select("rid", "key", "several", order.alias("place"), F.when(F.col("sel").contains(":"), F.abs(F.col("a") - F.col("b")) + 1).when(F.col("sel").isin("", "*"), None).otherwise(1).alias("wanted"))
 
     def listed(name: str) -> DataFrame:
         """By requirement the nodes of each selector of a list, in order, and how many selectors name nothing."""
         one = q.select("rid", "view", F.posexplode(name).alias("pos", "x"))
-        bits = matched(one).groupBy("rid", "pos").agg(F.array_sort(F.collect_set("key")).alias("keys"))
-        return bits.groupBy("rid").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "keys"))), lambda p: p["keys"]).alias(f"{name}_keys"), F.count_if(F.size("keys") == 0).alias(f"{name}_lost"))
+        bits = matched(one).groupBy("rid", "pos").agg(F.array_sort(F.collect_set("key")).alias("keys"), F.max("several").alias("several"))
+        return bits.groupBy("rid").agg(F.max("several").alias(f"{name}_several"), F.transform(F.array_sort(F.collect_list(F.struct("pos", "keys"))), lambda p: p["keys"]).alias(f"{name}_keys"), F.count_if(F.size("keys") == 0).alias(f"{name}_lost"))
 
     s, t = cut(side("source")), cut(side("sink"))
-    sizes = [x.groupBy("rid").agg(F.count("key").alias(f"{n}_n"), F.max("wanted").alias(f"{n}_w")) for x, n in ((s, "s"), (t, "t"))]
+    sizes = [x.groupBy("rid").agg(F.count("key").alias(f"{n}_n"), F.max("wanted").alias(f"{n}_w"), F.max("several").alias(f"{n}_several")) for x, n in ((s, "s"), (t, "t"))]
     z = q
     for x in (*sizes, listed("through"), listed("exclude")):
         z = z.join(x, "rid", "left")
     z = cut(z.fillna(0, ["s_n", "t_n", "through_lost", "exclude_lost"]))
+    several = reduce(lambda x, y: x | y, [F.coalesce(f"{n}_several", F.lit(False)) for n in ("s", "t", "through", "exclude")])
+    found = found.union(finding(z.where(several), "OC6502", "requirement", id, "endpoint", text("Requirement ", F.col("id"), " has a selector that matches several signals in ", F.col("view"), "."), own_view()))
+    z = cut(z.where(~several))
     none = (F.col("s_n") == 0) | (F.col("t_n") == 0) | (F.col("s_n") < F.coalesce("s_w", F.lit(0))) | (F.col("t_n") < F.coalesce("t_w", F.lit(0))) | (F.col("through_lost") + F.col("exclude_lost") > 0)
     found = found.union(finding(z.where(none), "OC6501", "requirement", id, "endpoint", text("Requirement ", F.col("id"), " names endpoints that do not exist in ", F.col("view"), "."), own_view()))
     mapped = F.coalesce("transform", F.lit("any")) != "any"

@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.operators import digests, incremental, order, patterns
+from factloom.operators import digests, incremental, order, patterns, rules
 from factloom.operators.rules import Facts
 
-from .queries import TREE, family, found, table, tree, views
+from .queries import TREE, family, found, one_top, part_ports, pick, table, tree, views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -144,3 +144,56 @@ def incremental_check(spark: SparkSession, sf: str) -> DataFrame:
     before, after = order_ports(spark, sf), order_ports(spark, sf, True)
     old, _ = incremental.saved(incremental.findings(before, incremental.LOCAL))
     return found(incremental.updated(old, before, after, ["lef.b"], incremental.LOCAL))
+
+
+# ---------------------------------------------------------------- rules by patterns and aliases
+
+
+@query("""WITH p AS (SELECT 'p' || p_partkey AS n FROM part), q AS (SELECT c_custkey AS k, 'p' || c_custkey || '*' AS g FROM customer),
+    h AS (SELECT k, count(n) AS n FROM q LEFT JOIN p ON n GLOB g GROUP BY k)
+    SELECT CASE WHEN n = 0 THEN 'OC6501' ELSE 'OC6502' END AS code, 'connectivity:r' || k AS object_id FROM h WHERE n <> 1""")
+def ambiguous_selectors(spark: SparkSession, sf: str) -> DataFrame:
+    """Each customer forbids a way from the one part whose number begins with its own."""
+    k = F.col("c_custkey").cast("string")
+    name = F.concat(F.lit("p"), "p_partkey")
+    p = table(spark, sf, "part")
+    ends = family(p, "endpoints", view=F.lit("rtl.a"), native_name=name, status=F.lit("known")).union(family(spark.range(1), "endpoints", view=F.lit("rtl.a"), native_name=F.lit("q"), status=F.lit("known")))
+    edges = family(p, "edges", view=F.lit("rtl.a"), source=name, sink=F.lit("z"), inverted=F.lit(False), status=F.lit("known"))
+    reqs = family(table(spark, sf, "customer"), "requirements", id=F.concat(F.lit("r"), k), source=F.concat(F.lit("p"), k, F.lit("*")), sink=F.lit("q"), expectation=F.lit("unreachable"), transform=F.lit("any"), through=F.array().cast("array<string>"), exclude=F.array().cast("array<string>"), ordinal=F.col("c_custkey"))
+    return rules.connectivity_rules(Facts(spark, {"views": views(spark, "rtl.a"), "endpoints": ends, "edges": edges, "requirements": reqs})).select("code", "object_id")
+
+
+@query("""WITH p AS (SELECT 'p' || p_partkey AS n FROM part), r AS (SELECT DISTINCT 'p' || (o_orderkey % 3000) || '*' AS g FROM orders)
+    SELECT 'OC6001' AS code, 'reference:sdc.s:port:' || g AS object_id FROM r WHERE NOT EXISTS (SELECT 1 FROM p WHERE n GLOB g)""")
+def glob_reference_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """Constraints name ports by patterns made from orders."""
+    o = table(spark, sf, "orders").select(F.concat(F.lit("p"), F.col("o_orderkey") % 3000, F.lit("*")).alias("g")).distinct()
+    objects = family(o, "objects", view=F.lit("sdc.s"), kind=F.lit("sdc"), object_kind=F.lit("ports"), relation=F.lit("reference"), native_name=F.col("g"), match_mode=F.lit("glob"))
+    f = Facts(spark, {"views": views(spark, "rtl.a", "sdc.s"), "components": one_top(spark, "rtl.a"), "ports": part_ports(spark, sf, "rtl.a"), "objects": objects})
+    return rules.references(f).select("code", "object_id")
+
+
+@query("""WITH p AS (SELECT 'p' || p_partkey AS n, p_size % 3 AS r FROM part), c AS (SELECT 'p' || s_suppkey || '?' AS g FROM supplier)
+    SELECT DISTINCT 'OC6003' AS code, 'component:top/port:' || n AS object_id FROM p JOIN c ON n GLOB g WHERE r <> 1""")
+def clock_pattern_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """Clocks on patterns of ports, two thirds of which are no clocks."""
+    c = family(table(spark, sf, "supplier"), "clocks", view=F.lit("sdc.s"), kind=F.lit("sdc"), native_name=F.concat(F.lit("c"), "s_suppkey"), period=F.lit(1.0), targets=F.array(F.concat(F.lit("p"), F.col("s_suppkey").cast("string"), F.lit("?"))))
+    ports = part_ports(spark, sf, "rtl.a", role=pick(F.col("p_size"), "signal", "clock", "reset"))
+    f = Facts(spark, {"views": views(spark, "rtl.a", "sdc.s"), "components": one_top(spark, "rtl.a"), "ports": ports, "clocks": c})
+    return rules.clock_rules(f).where("code = 'OC6003'").select("code", "object_id").distinct()
+
+
+@query("SELECT 'OC4301' AS code, 'component:c' || p_partkey || '/port:y' AS object_id FROM part WHERE p_size % 3 = 1")
+def aliased_function_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """The library calls the pins A1 and A2; aliases make them the a and b of the RTL."""
+    p, name = table(spark, sf, "part"), F.concat(F.lit("c"), "p_partkey")
+    size = F.col("p_size") % 3
+    named = ("liberty.tt", "rtl.a")
+    lib = family(p, "functions", view=F.lit(named[0]), kind=F.lit("liberty"), component=name, output=F.lit("y"), expression=F.lit("A1 & !A2"))
+    rtl = family(p, "functions", view=F.lit(named[1]), kind=F.lit("rtl"), component=name, output=F.lit("y"), expression=F.when(size == 1, "b & !a").when(size == 0, "!b & a").otherwise("a & !(a & b)"))
+    comps = [family(p, "components", view=F.lit(v), kind=F.lit(v.split(".")[0]), native_name=name) for v in named]
+    pins = [p.withColumn("pin", F.explode(F.array(*map(F.lit, x)))) for x in (("A1", "A2", "y"), ("a", "b", "y"))]
+    ports = [family(x, "ports", view=F.lit(v), kind=F.lit(v.split(".")[0]), component=name, native_name=F.col("pin"), status=F.lit("known")) for x, v in zip(pins, named, strict=True)]
+    aliases = [family(p, "aliases", alias_kind=F.lit("port"), view_selector=F.lit("liberty.*"), component=name, native=F.lit(x), canonical=F.lit(y)) for x, y in (("A1", "a"), ("A2", "b"))]
+    f = Facts(spark, {"views": views(spark, *named), "components": comps[0].union(comps[1]), "ports": ports[0].union(ports[1]), "functions": lib.union(rtl), "aliases": aliases[0].union(aliases[1])})
+    return rules.functions(f).select("code", "object_id")
