@@ -10,36 +10,47 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 
-def lag_monitor(stream: DataFrame, trace: str, cycle: str, sink: str, guards: list[tuple[str, str, int]], source: str, latency: int) -> DataFrame:
-    """``trace.holds`` over a stream of frames: trace, cycle, enabled, ok.
+def lag_monitor(stream: DataFrame, trace: str, cycle: str, sink: str, guards: list[tuple[str, str, int]], source: str, latency: int, wait: int = 0) -> DataFrame:
+    """``trace.holds`` over a stream of frames: trace, cycle, enabled, ok, late.
 
-    The state of a trace is its last frames, as many as the longest lag, and how many have come; frames of
-    a batch are ordered by cycle, and ones before the last judged cycle are late and left out.
+    Frames of a trace may come in any order: each is held until one has come that is ``wait`` cycles beyond it, and they are
+    judged in order of their cycles. A frame that comes when its place has been judged is told as late, with neither
+    enabled nor ok, and takes part in nothing. The state of a trace is its last judged frames, as many as the longest
+    lag, and the frames that wait; the last ``wait`` cycles stay there until others come.
     """
     depth = max([latency, *(k for _, _, k in guards)])
     signals = sorted({sink, source, *(s for s, _, _ in guards)})
     kinds = {f.name: f.dataType.simpleString() for f in stream.schema}
 
     def run(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        seen, last, held = state.get if state.exists else (0, None, [])
-        held = [list(h) for h in held]
-        frames = pd.concat(list(batches)).sort_values(cycle)
+        seen, last, newest, held, waiting = state.get if state.exists else (0, None, None, [], [])
+        held, waiting = [list(h) for h in held], [(int(w[0]), list(w[1:])) for w in waiting]
         out = []
-        for r in frames.itertuples(index=False):
-            at = getattr(r, cycle)
+        for r in pd.concat(list(batches)).itertuples(index=False):
+            at = int(getattr(r, cycle))
+            newest = at if newest is None else max(newest, at)
             if last is not None and at <= last:
+                out.append((key[0], at, None, None, True))
+            else:
+                waiting.append((at, [str(getattr(r, s)) for s in signals]))
+        waiting.sort()
+        while waiting and waiting[0][0] <= newest - wait:
+            at, frame = waiting.pop(0)
+            if last is not None and at <= last:  # the same cycle again
+                out.append((key[0], at, None, None, True))
                 continue
-            held = [*held, [str(getattr(r, s)) for s in signals]][-(depth + 1) :]
-            seen, last = seen + 1, int(at)
+            held = [*held, frame][-(depth + 1) :]
+            seen, last = seen + 1, at
             if seen > depth:
                 back = lambda s, k: held[-1 - k][signals.index(s)]  # noqa: B023, E731
                 enabled = all(back(s, k) == v for s, v, k in guards)
-                out.append((key[0], at, enabled, not enabled or back(sink, 0) == back(source, latency)))
-        state.update((seen, last, held))
-        yield pd.DataFrame(out, columns=[trace, cycle, "enabled", "ok"])
+                out.append((key[0], at, enabled, not enabled or back(sink, 0) == back(source, latency), False))
+        state.update((seen, last, newest, held, [[str(at), *frame] for at, frame in waiting]))
+        yield pd.DataFrame(out, columns=[trace, cycle, "enabled", "ok", "late"])
 
-    schema = f"`{trace}` {kinds[trace]}, `{cycle}` {kinds[cycle]}, enabled boolean, ok boolean"
-    return stream.select(trace, cycle, *[s for s in signals if s not in (trace, cycle)]).groupBy(trace).applyInPandasWithState(run, schema, "seen long, last long, held array<array<string>>", "append", GroupStateTimeout.NoTimeout)
+    schema = f"`{trace}` {kinds[trace]}, `{cycle}` {kinds[cycle]}, enabled boolean, ok boolean, late boolean"
+    kept = "seen long, last long, newest long, held array<array<string>>, waiting array<array<string>>"
+    return stream.select(trace, cycle, *[s for s in signals if s not in (trace, cycle)]).groupBy(trace).applyInPandasWithState(run, schema, kept, "append", GroupStateTimeout.NoTimeout)
 
 
 def findings_by_time(findings: DataFrame, time: str, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
