@@ -1,7 +1,8 @@
-"""Reports of diagnostics: JSON, text, Markdown, SARIF and HTML, written in one go.
+"""Reports of diagnostics: JSON, text, Markdown, SARIF and HTML.
 
-Diagnostics come in the report's order and are read partition by partition, so the driver holds one
-partition at a time; the text of a report is what the caller asks for and is held whole.
+``render_*`` give a report as a text, which the driver holds. ``publish_parts`` writes the same bytes of JSON, SARIF and
+Markdown without that: each partition of the ordered diagnostics writes its rows, the driver only the head, the tail
+and what has one row for each severity or code; the file system joins the parts.
 """
 
 from __future__ import annotations
@@ -11,22 +12,28 @@ import html
 import json
 import os
 import tempfile
+import uuid
 from collections import Counter
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from factloom.model import CATALOG
+from factloom.operators.shared import shared_folder
 
 LEVELS = {"fatal": "error", "error": "error", "warning": "warning", "info": "note"}
 
 
+def told(r: dict) -> dict:
+    """A diagnostic as a report has it."""
+    evidence = [{k: v for k, v in e.items() if v is not None} for e in r["evidence"]]
+    return {"code": r["code"], "rule": r["rule"], "severity": r["severity"], "message": r["message"], "object": {"kind": r["object_kind"], "id": r["object_id"]} if r["object_id"] else None, "property": r["property"], "fingerprint": r["fingerprint"], "evidence": evidence, "waiver": r["waiver"]}
+
+
 def rows(diagnostics: DataFrame, include_waived: bool = True) -> list[dict]:
-    found = []
-    for r in diagnostics.toLocalIterator():
-        if include_waived or r.waiver is None:
-            evidence = [{k: v for k, v in e.asDict().items() if v is not None} for e in r.evidence]
-            found.append({"code": r.code, "rule": r.rule, "severity": r.severity, "message": r.message, "object": {"kind": r.object_kind, "id": r.object_id} if r.object_id else None, "property": r["property"], "fingerprint": r.fingerprint, "evidence": evidence, "waiver": r.waiver})
-    return found
+    return [told(r.asDict(True)) for r in diagnostics.toLocalIterator() if include_waived or r.waiver is None]
 
 
 def exit_code(found: list[dict], deny_warnings: bool = False) -> int:
@@ -37,9 +44,12 @@ def exit_code(found: list[dict], deny_warnings: bool = False) -> int:
 def render_json(diagnostics: DataFrame, project: str = "", pretty: bool = False) -> str:
     found = rows(diagnostics)
     counts = Counter(d["severity"] for d in found if d["waiver"] is None)
-    code = exit_code(found)
-    body = {"schema_version": 1, "project": project, "status": "pass" if code == 0 else "fail", "exit_code": code, "summary": {s: counts[s] for s in LEVELS} | {"waived": sum(d["waiver"] is not None for d in found)}, "diagnostics": found}
-    return json.dumps(body, indent=2 if pretty else None, sort_keys=True)
+    return json.dumps(_body(found, counts, sum(d["waiver"] is not None for d in found), project), indent=2 if pretty else None, sort_keys=True)
+
+
+def _body(found: list, counts: dict[str, int], waived: int, project: str) -> dict:
+    code = 2 if counts.get("fatal") else 1 if counts.get("error") else 0
+    return {"schema_version": 1, "project": project, "status": "pass" if code == 0 else "fail", "exit_code": code, "summary": {s: counts.get(s, 0) for s in LEVELS} | {"waived": waived}, "diagnostics": found}
 
 
 def render_text(diagnostics: DataFrame, verbose: bool = False) -> str:
@@ -51,19 +61,30 @@ def render_text(diagnostics: DataFrame, verbose: bool = False) -> str:
     return "\n".join(out) + "\n"
 
 
-def render_markdown(diagnostics: DataFrame) -> str:
+HEAD = "| Severity | Code | Object | Message |\n|---|---|---|---|\n"
+
+
+def markdown_row(d: dict) -> str:
     clean = lambda s: str(s or "").replace("|", "\\|").replace("\n", " ")
-    body = [f"| {d['severity']} | {d['code']} | {clean((d['object'] or {}).get('id'))} | {clean(d['message'])} |" for d in rows(diagnostics, False)]
-    return "\n".join(["| Severity | Code | Object | Message |", "|---|---|---|---|", *body]) + "\n"
+    return f"| {d['severity']} | {d['code']} | {clean((d['object'] or {}).get('id'))} | {clean(d['message'])} |"
+
+
+def render_markdown(diagnostics: DataFrame) -> str:
+    return HEAD + "".join(f"{markdown_row(d)}\n" for d in rows(diagnostics, False))
+
+
+def sarif_result(d: dict, used: list[str]) -> dict:
+    places = [{"physicalLocation": {"artifactLocation": {"uri": e["source"]}, "region": {"startLine": max(1, e.get("line") or 1)}}} for e in d["evidence"] if e.get("source")]
+    return {"ruleId": d["code"], "ruleIndex": used.index(d["code"]), "level": LEVELS[d["severity"]], "message": {"text": d["message"]}, "locations": places[:1], "relatedLocations": places[1:], "partialFingerprints": {"finding/v1": d["fingerprint"]}} | ({"suppressions": [{"kind": "external"}]} if d["waiver"] is not None else {})
 
 
 def render_sarif(diagnostics: DataFrame) -> str:
     found = rows(diagnostics)
     used = sorted({d["code"] for d in found})
-    results = []
-    for d in found:
-        places = [{"physicalLocation": {"artifactLocation": {"uri": e["source"]}, "region": {"startLine": max(1, e.get("line") or 1)}}} for e in d["evidence"] if e.get("source")]
-        results.append({"ruleId": d["code"], "ruleIndex": used.index(d["code"]), "level": LEVELS[d["severity"]], "message": {"text": d["message"]}, "locations": places[:1], "relatedLocations": places[1:], "partialFingerprints": {"finding/v1": d["fingerprint"]}} | ({"suppressions": [{"kind": "external"}]} if d["waiver"] is not None else {}))
+    return _sarif([sarif_result(d, used) for d in found], used)
+
+
+def _sarif(results: list, used: list[str]) -> str:
     rules = [{"id": c, "name": CATALOG[c][0], "defaultConfiguration": {"level": LEVELS[CATALOG[c][1]]}} for c in used if c in CATALOG]
     return json.dumps({"$schema": "https://json.schemastore.org/sarif-2.1.0.json", "version": "2.1.0", "runs": [{"tool": {"driver": {"name": "factloom", "rules": rules}}, "results": results}]}, sort_keys=True)
 
@@ -79,6 +100,62 @@ def render_html(diagnostics: DataFrame, title: str = "Findings") -> str:
     return f'<!DOCTYPE html><html><head><meta charset="utf-8"><meta http-equiv="Content-Security-Policy" content="default-src \'none\'; style-src \'sha256-{allowed}\'"><title>{e(title)}</title><style>{style}</style></head><body><h1>{e(title)}</h1><table><tr><th>Severity<th>Code<th>Object<th>Message{body}</table></body></html>'
 
 
+#: Stands for the rows where head and tail are made; no report has it.
+_HERE = "\u0001here\u0001"
+
+
+def publish_parts(diagnostics: DataFrame, path: str, form: str, project: str = "") -> None:
+    """Write the report ``form`` (json, sarif, markdown) of ordered diagnostics to one file of the file system of ``path``.
+
+    The same bytes as the renderer's, at any number of diagnostics. The file takes its place when it is whole.
+    """
+    if form not in ("json", "sarif", "markdown"):
+        raise ValueError(f"{form} is not written by parts")
+    spark = diagnostics.sparkSession
+    counts = {(r.severity, r.w): r.n for r in diagnostics.groupBy("severity", F.col("waiver").isNotNull().alias("w")).agg(F.count("*").alias("n")).collect()}  # eight rows at most
+    used = sorted(r.code for r in diagnostics.select("code").distinct().collect()) if form == "sarif" else []  # one row a code
+    live, waived = {s: n for (s, w), n in counts.items() if not w}, sum(n for (_, w), n in counts.items() if w)
+    if form == "markdown":
+        head, tail, end = HEAD, "", "\n"
+    else:
+        whole = _sarif([_HERE], used) if form == "sarif" else json.dumps(_body([_HERE], live, waived, project), sort_keys=True)
+        (head, tail), end = whole.split(json.dumps(_HERE)), ", "
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = (told(r) for r in batch.to_pylist())
+            if form == "markdown":
+                lines = [markdown_row(d) for d in found if d["waiver"] is None]
+            else:
+                lines = [json.dumps(sarif_result(d, used) if form == "sarif" else d, sort_keys=True) for d in found]
+            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], ["value"])
+
+    folder = f"{shared_folder(spark)}/report-{uuid.uuid4().hex}"
+    diagnostics.mapInArrow(run, "value string").write.option("lineSep", end).text(folder)
+    _join(spark, folder, path, head.encode(), tail.encode(), len(end) if form != "markdown" else 0)
+
+
+def _join(spark: SparkSession, folder: str, path: str, head: bytes, tail: bytes, less: int) -> None:
+    """One file of a head, the folder's parts in order without the last ``less`` bytes, and a tail; streams, never held."""
+    hadoop, conf = spark._jvm.org.apache.hadoop, spark._jsc.hadoopConfiguration()
+    place, own = hadoop.fs.Path(path), hadoop.fs.Path(folder)
+    fs, source = place.getFileSystem(conf), own.getFileSystem(conf)
+    parts = sorted((int(f.getPath().getName().split("-")[1]), f.getPath(), f.getLen()) for f in source.listStatus(own) if f.getPath().getName().startswith("part-") and f.getLen())
+    temp = hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+    out = fs.create(temp)
+    out.write(bytearray(head))
+    for k, (_, part, size) in enumerate(parts):
+        into = source.open(part)
+        spark._jvm.org.apache.commons.io.IOUtils.copyLarge(into, out, 0, size - (less if k == len(parts) - 1 else 0))
+        into.close()
+    out.write(bytearray(tail))
+    out.close()
+    fs.delete(place, False)
+    if not fs.rename(temp, place):
+        raise OSError(f"{path} can't be written")
+    source.delete(own, True)
+
+
 def publish(path: str, text: str, overwrite: bool = True) -> None:
     """Write a report so that readers see the old file or the whole new one. A driver-side file."""
     handle, temp = tempfile.mkstemp(dir=os.path.dirname(os.path.abspath(path)), prefix=".report-")

@@ -197,3 +197,22 @@ def test_what_may_touch_anything_runs_in_full(spark):
     after.tables["views"] = after["views"].withColumn("complete", after["views"]["view"] != "rtl.b")
     assert incremental.touched(before, after, ["rtl.b"]) is None
     assert incremental.touched(before, Facts(spark, before.tables, Policy(strict_inventory=True)), []) is None
+
+
+# ---------------------------------------------------------------- reports by partition
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+def test_reports_by_partition_have_the_renderers_bytes(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from factloom.plans import check, queries, reports
+
+    d = queries.diagnosed(spark, SF)
+    d = d.withColumn("message", F.concat("message", F.lit(' "é" | \n😀'))).withColumn("waiver", F.when(F.col("line") % 3 == 0, F.col("line")).cast("int"))
+    for df in (check.ordered(d).repartition(1).sortWithinPartitions(*check.SORT), check.ordered(d.repartition(5)), check.ordered(d.limit(0))):
+        for form, render in (("json", lambda x: reports.render_json(x, "p")), ("sarif", reports.render_sarif), ("markdown", reports.render_markdown)):
+            path = str(tmp_path / f"report.{form}")
+            reports.publish_parts(df, path, form, "p")
+            with open(path, "rb") as f:
+                assert f.read() == render(df).encode()
