@@ -21,7 +21,7 @@ from factloom.functions import boolean, names
 from factloom.model import EVIDENCE, FINDING, SCHEMAS, empty
 
 from . import generic, graph, patterns
-from .shared import cut
+from .shared import cut, written
 
 NO_CONNECT = ("NC", "DNP", "N/C")
 REGISTER_KINDS = ("ipxact", "header", "systemrdl")
@@ -726,12 +726,19 @@ def all_findings(f: Facts, checkers: tuple = ()) -> DataFrame:
     return reduce(DataFrame.unionByName, out + [checked(f, c) for c in checkers], f.spark.createDataFrame([], FINDING))
 
 
+#: Findings of one user's rule at most; a rule with more has failed, as a whole.
+MOST_FINDINGS = 10_000
+
+
 def checked(f: Facts, checker) -> DataFrame:
-    """A user's rule; OC9002 in place of its findings if it raises, also where Spark runs it, or gives no findings."""
+    """A user's rule; OC9002 in place of its findings if it raises, also where Spark runs it, gives no findings table or too many."""
     name = getattr(checker, "__name__", type(checker).__name__)
     none = f.spark.createDataFrame([], FINDING)
     try:
-        return cut(none.unionByName(checker(f)))
+        out, told = written(none.unionByName(checker(f)))  # counted as it is written
+        if told["n"] > MOST_FINDINGS:
+            raise ValueError(f"{told['n']} findings, {MOST_FINDINGS} are allowed")
+        return out
     except Exception as e:  # fail closed: one checker never ends the check
         told = f.spark.createDataFrame([(name, f"{type(e).__name__}: {e}"[:500])], "n string, m string")
         return finding(told, "OC9002", "checker", text("checker:", F.col("n")), "plugin", text("The checker ", F.col("n"), " failed: ", F.col("m")))

@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 from factloom.model import CATALOG, SCHEMAS, SEVERITIES
 from factloom.operators import digests, incremental, review
 from factloom.operators.rules import Facts, Policy
+from factloom.operators.shared import cut
 from factloom.sources.reader import Source, observe
 
-from .check import check
+from .check import check, ordered
+from .guard import within
 
 
 class ConfigError(ValueError):
@@ -69,9 +71,14 @@ class Project:
             tables["contract_ports"] = contract.select("component", "port", "direction", "role", "width")
         return Facts(self.spark, tables, self.policy)
 
-    def check(self, today: date | None = None, contract: DataFrame | None = None, checkers: tuple = (), cache: str | None = None) -> DataFrame:
-        """The diagnostics; views whose files have not changed are read from ``cache``, a shared folder, if one is given."""
-        return check(self.facts(contract, cache), today, checkers)
+    def check(self, today: date | None = None, contract: DataFrame | None = None, checkers: tuple = (), cache: str | None = None, seconds: float | None = None) -> DataFrame:
+        """The diagnostics; views whose files have not changed are read from ``cache``, a shared folder, if one is given.
+
+        With ``seconds`` they are written within that time, or their jobs are cancelled and ``LimitExceeded`` is raised.
+        """
+        if seconds is None:
+            return check(self.facts(contract, cache), today, checkers)
+        return within(self.spark, seconds, lambda: ordered(cut(check(self.facts(contract, cache), today, checkers))))
 
     def findings(self, cache: str | None = None) -> DataFrame:
         """All rules' findings by rule and component, to be kept for ``recheck``."""
