@@ -58,8 +58,10 @@ class Module:
         self.ports: dict[str, str] = {}
         self.widths: dict[str, tuple] = {}
         self.edges: list[tuple[str, str, str, bool | None]] = []
-        #: (cell, instance, [(port name or place, its bits, whether they are what is connected)]); a bit is None where there is no net.
-        self.instances: list[tuple[str, str, list]] = []
+        #: (cell, instance, [(port name or place, its bits, whether they are what is connected)], parameters given: None if not known); a bit is None where there is no net.
+        self.instances: list[tuple[str, str, list, dict | None]] = []
+        #: The values of its parameters, by which its widths are read.
+        self.defaults: dict[str, int] = {}
         #: Whether it has anything that no pattern has read: its nets may have edges that are not here.
         self.unread = False
 
@@ -72,7 +74,7 @@ class Module:
 
 def _graph(modules: dict[str, Module]):
     """Endpoints and edges below every top module, named by the path of instances."""
-    used = {cell for m in modules.values() for cell, _, _ in m.instances}
+    used = {cell for m in modules.values() for cell, *_ in m.instances}
     work = [(name, name, (name,)) for name in modules if name not in used] or [(name, name, (name,)) for name in modules]
     made = 0
     while work:
@@ -89,7 +91,7 @@ def _graph(modules: dict[str, Module]):
         for a, b, kind, inverted in m.edges:
             yield edge(f"{at}/{a}", f"{at}/{b}", kind, inverted, inverted is not None)
         made += len(m.edges)
-        for cell, inst, wiring in m.instances:
+        for cell, inst, wiring, given in m.instances:
             below = modules.get(cell)
             if below is None or cell in above:
                 # An unknown cell may join anything that is connected with it.
@@ -100,13 +102,15 @@ def _graph(modules: dict[str, Module]):
                 continue
             work.append((f"{at}/{inst}", cell, (*above, cell)))
             order = list(below.ports)
+            # Other parameters than the module's own may change its widths.
+            same = given is not None and all(below.defaults.get(k) == v for k, v in given.items())
             for port, bits, plain in wiring:
                 port = order[port] if isinstance(port, int) and port < len(order) else port
                 if port not in below.ports:
                     yield problem("OC1102", f"{inst} connects {port}, which {cell} does not have", "", 0, above[0])
                     continue
                 own = [f"{at}/{inst}/{x}" for x in below.bits(port)] if port in below.widths else []
-                sure = plain and len(own) == len(bits)
+                sure = plain and same and len(own) == len(bits)
                 pairs = zip([f"{at}/{x}" if x else None for x in bits], own, strict=True) if sure else [(f"{at}/{x}", y) for x in bits if x for y in own]
                 for x, y in pairs:
                     if x and below.ports[port] in ("input", "inout"):
@@ -126,6 +130,7 @@ def _module(name: str, body: str, path: str, line: int, options: dict, modules:
             names.setdefault(p, integer(v, names))
         except Expression:
             pass
+    own.defaults = names
     yield "components", {"native_name": name, "ordinal": line, "source": path, "line": line, "column": 1}
     head, _, rest = body.partition(";")
     ports: dict[str, dict] = {}
@@ -251,10 +256,17 @@ def _module(name: str, body: str, path: str, line: int, options: dict, modules:
                 yield "objects", {"object_kind": "pin", "relation": "definition", "native_name": f"{inst}/{pin.strip()}", "scope": name, "ordinal": line}
             if net.strip():
                 try:
-                    pins.append((pin.strip() if named else pin, bits(net), not parameters.strip()))  # parameters may change widths
+                    pins.append((pin.strip() if named else pin, bits(net), True))
                 except (Expression, ValueError):
                     pins.append((pin.strip() if named else pin, known_bits(net), False))
-        own.instances.append((cell, inst, pins))
+        given: dict | None = {}
+        if parameters.strip():
+            listed = re.findall(r"\.\s*(\w+)\s*\(([^()]*)\)", parameters)
+            try:
+                given = {p: integer(v, names) for p, v in listed} if listed else None
+            except Expression:
+                given = None
+        own.instances.append((cell, inst, pins, given))
     # Whatever is left when all that has been read is taken out has not been read.
     left = rest
     for pattern in (r"\bassign\s+[^=;]+?\s*=\s*[^;]+?\s*;", r"\balias\s+[^;]+;", rf"\b(?:input|output|inout)\b[^;=]*;", rf"\b(?:wire|logic|tri)\s*(?:signed)?\s*(?:\[[^\]]+\])?\s*{NAME}(?:\s*,\s*{NAME})*\s*;", r"\b(?:parameter|localparam)\b[^;]*;", GATE, INSTANCE):

@@ -310,6 +310,7 @@ def test_verilog_edges_are_there_or_their_scope_is_tainted(body, edges, dark):
 
 
 def test_parameters_of_instances_leave_their_edges_uncertain():
+    """But for values that the module has anyway (see HIERARCHY)."""
     found = list(run_parser(parser_of("verilog"), [("t.v", f"{CELL}module top(input a, output y); c #(.W(2)) u(.a(a), .y(y)); endmodule".encode())], "rtl.a", "rtl", {}))
     assert {r["status"] for f, r in found if f == "edges" and "/u/" in r["sink"] + r["source"] and r["edge_kind"] == "port"} == {"tainted"}
     lost = list(run_parser(parser_of("verilog"), [("t.v", b"module top(input [W-1:0] a, output y); assign y = a; endmodule")], "rtl.a", "rtl", {}))
