@@ -80,13 +80,14 @@ class Project:
             return check(self.facts(contract, cache), today, checkers)
         return within(self.spark, seconds, lambda: ordered(cut(check(self.facts(contract, cache), today, checkers))))
 
-    def findings(self, cache: str | None = None) -> DataFrame:
-        """All rules' findings by rule and component, to be kept for ``recheck``."""
-        return incremental.saved(incremental.findings(self.facts(cache=cache)))[0]
-
-    def recheck(self, before: Project, old: DataFrame, cache: str | None = None) -> DataFrame:
-        """The findings now, from those of an earlier state of the sources: only what changed views touch is judged again."""
-        then, now = before.facts(cache=cache), self.facts(cache=cache)
+    @staticmethod
+    def findings(facts: Facts) -> DataFrame:
+        """All rules' findings by rule and component, to be kept with the facts for ``recheck``."""
+        return incremental.saved(incremental.findings(facts))[0]
+
+    def recheck(self, then: Facts, old: DataFrame, cache: str | None = None) -> DataFrame:
+        """The findings now, from the facts and findings of an earlier state: only what changed views touch is judged again."""
+        now = self.facts(cache=cache)
         a, b = (digests.contract(f.tables)["views"].select("view", F.col("digest").alias(n)) for f, n in ((then, "_b"), (now, "_a")))
         changed = a.join(b, "view", "full").where(~F.col("_b").eqNullSafe(F.col("_a"))).select("view")
         return incremental.updated(old, then, now, [r.view for r in changed.collect()])  # views are few: one for each source

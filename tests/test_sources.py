@@ -254,6 +254,22 @@ def test_only_changed_views_are_parsed_again(spark, project, tmp_path):
         lef.write_text(before)
 
 
+def test_a_recheck_tells_what_a_full_check_does(spark, project):
+    """One of two files has changed since the facts and findings were kept."""
+    said = lambda d: sorted((r.rule, r.code, str(r.object_id), r.message) for r in d.collect())
+    p = Project.load(spark, str(project / "p.toml"))
+    p.sources = [s for s in p.sources if s.view.split(".")[0] in ("liberty", "lef")]
+    then = p.facts()
+    old = p.findings(then)
+    lef = project / "chip.lef"
+    before = lef.read_text()
+    lef.write_text(before.replace("USE GROUND", "USE POWER"))
+    try:
+        assert said(p.recheck(then, old)) == said(p.findings(p.facts())) != said(old)
+    finally:
+        lef.write_text(before)
+
+
 def test_formats_plugins_and_errors(spark, project):
     assert format_of(Source("a.b", ["x.lib"])) == "liberty" and format_of(Source("a.b", ["x"], "SV")) == "verilog"
     for bad in (Source("a.b", ["x"]), Source("a.b", ["x.lib", "y.lef"]), Source("a.b", [], "nope")):
