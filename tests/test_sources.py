@@ -2,6 +2,7 @@
 
 import json
 import struct
+import time
 from datetime import date
 
 import pytest
@@ -331,3 +332,29 @@ def test_parameters_of_instances_leave_their_edges_uncertain():
     assert {r["status"] for f, r in found if f == "edges" and "/u/" in r["sink"] + r["source"] and r["edge_kind"] == "port"} == {"tainted"}
     lost = list(run_parser(parser_of("verilog"), [("t.v", b"module top(input [W-1:0] a, output y); assign y = a; endmodule")], "rtl.a", "rtl", {}))
     assert "top" in next(r for f, r in lost if f == "views")["tainted_scopes"]
+
+
+def header_of(n: int) -> bytes:
+    return "\n".join(f"#define REGS_R{k}_OFFSET (0x100 + {k} * 4)\n#define REGS_R{k}_F_SHIFT {k % 8}\n#define REGS_R{k}_F_WIDTH 2" for k in range(n)).encode()
+
+
+def rdl_of(n: int) -> bytes:
+    return ("addrmap regs {\n" + "\n".join(f"reg {{ field {{ sw = rw; }} F[{k % 8 + 1}:{k % 8}]; }} R{k} @ 0x{256 + k * 4:x};" for k in range(n)) + "\n};").encode()
+
+
+@pytest.mark.parametrize(("parser", "made", "options"), [(registers.parse_header, header_of, {"component_name": "regs"})])
+def test_register_files_are_read_in_time_that_grows_with_them(parser, made, options):
+    """Each register once looked at all macros, or at the rest of the file: 6,000 took minutes."""
+    start = time.perf_counter()
+    rows = [r for f, r in parser([("f", made(6000))], "v", "k", options) if f == "registers"]
+    assert time.perf_counter() - start < 15
+    assert [(r.get("address_offset"), r["fields"][0]["bit_offset"], r["fields"][0]["bit_width"]) for r in rows] == [(256 + k * 4, k % 8, 2) for k in range(6000)]
+
+
+def test_macros_that_use_later_ones():
+    """Values come by level; a field's macro belongs to the longest register's name; what has no value is told."""
+    body = b"#define R_B_OFFSET A3\n#define R_B_C_OFFSET 8\n#define R_B_C_F_SHIFT 2\n#define R_B_D_MASK 0x30\n#define A3 A2 + 1\n#define A2 A1 + 1\n#define A1 1\n#define R_X_OFFSET NONE\n#define R_Y_OFFSET R_X_OFFSET"
+    rows = list(registers.parse_header([("f", body)], "v", "k", {"component_name": "R"}))
+    got = [(r["native_name"], r["address_offset"], [f["name"] for f in r["fields"] or []]) for f, r in rows if f == "registers"]
+    assert got == [("B_C", 8, ["F"]), ("B", 3, ["D"])]
+    assert [r["scope"] for f, r in rows if f == "parser_diagnostics"] == ["R_X_OFFSET", "R_Y_OFFSET"]
