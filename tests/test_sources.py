@@ -342,7 +342,7 @@ def rdl_of(n: int) -> bytes:
     return ("addrmap regs {\n" + "\n".join(f"reg {{ field {{ sw = rw; }} F[{k % 8 + 1}:{k % 8}]; }} R{k} @ 0x{256 + k * 4:x};" for k in range(n)) + "\n};").encode()
 
 
-@pytest.mark.parametrize(("parser", "made", "options"), [(registers.parse_header, header_of, {"component_name": "regs"})])
+@pytest.mark.parametrize(("parser", "made", "options"), [(registers.parse_header, header_of, {"component_name": "regs"}), (registers.parse_systemrdl, rdl_of, {})])
 def test_register_files_are_read_in_time_that_grows_with_them(parser, made, options):
     """Each register once looked at all macros, or at the rest of the file: 6,000 took minutes."""
     start = time.perf_counter()
