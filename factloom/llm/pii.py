@@ -171,7 +171,8 @@ def personal_data(docs: DataFrame, id: str = "doc_id", text: str = "text", **opt
     are empty; repeated rows are searched alike; null ids stay null; an empty table gives no rows; other
     columns are ignored.
     """
-    t = docs.select(F.col(id), text_of(text).alias("_t")).withColumn("_t", F.when(F.col("_t").rlike("[0-9@]"), F.col("_t")).otherwise(""))
+    # Without a digit, an at sign or an address told in words no pattern matches.
+    t = docs.select(F.col(id), text_of(text).alias("_t")).withColumn("_t", F.when(F.col("_t").rlike(rf"[0-9@]|{IN_WORDS}"), F.col("_t")).otherwise(""))
     patterns = [*PATTERNS.values(), TOKEN]
     t = t.withColumns({f"_f{k}": F.regexp_extract_all("_t", F.lit(p), F.lit(0)) for k, p in enumerate(patterns)} | {f"_g{k}": F.split("_t", p, -1) for k, p in enumerate(patterns)})
     found = t.select(id, F.concat(*[pieces(k, F.col(f"_f{k}"), F.col(f"_g{k}")) for k in range(len(patterns))]).alias("pieces"))

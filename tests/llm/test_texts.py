@@ -256,6 +256,14 @@ def test_contexts_find_unseen_identifiers(spark):
     assert all(set(map(tuple, r.base)) <= set(map(tuple, r.spans)) for r in out)
 
 
+def test_addresses_in_words_need_no_other_sign(spark):
+    """A text without any digit or at sign is searched too."""
+    rows = [(k, f"please write mail to {'abcdef'[k]}x@host.com today", None) for k in range(5)]
+    rows += [(9, "please write mail to john at host dot org today", None), (10, "look at this", None)]
+    got = {r.doc_id: [(s.start, s.end, s.kind) for s in r.spans] for r in pii.personal_data(docs(spark, rows)).collect()}
+    assert got[9] == [(21, 41, "email")] and got[10] == []
+
+
 def test_neighbours_are_whole_words_however_long(spark):
     """A long word in front, or far away, makes the same pattern at a seed and at an unseen number."""
     for word, gap in (("x" * 60, " "), ("y" * 150, " "), ("z" * 12_000, " "), ("call", " " * 300)):
