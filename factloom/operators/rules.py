@@ -77,7 +77,10 @@ class Facts:
     policy: Policy = field(default_factory=Policy)
 
     def __getitem__(self, family: str) -> DataFrame:
-        return self.tables[family] if family in self.tables else empty(self.spark, family)
+        """The family's rows; but for views, of which there are few, to be joined by a shuffle (see ``shared``)."""
+        if family not in self.tables:
+            return empty(self.spark, family)
+        return self.tables[family] if family == "views" else self.tables[family].hint("merge")
 
     def _resolved(self, used: DataFrame, alias_kind: str) -> DataFrame:
         """Adds ``canonical`` and ``candidates`` (several at a collision) to rows with view, kind, component, native."""

@@ -1,4 +1,9 @@
-"""Tables that several branches of a plan read: written once to the checkpoint folder, so they are not computed again."""
+"""Tables that several branches of a plan read: written once to the checkpoint folder, so they are not computed again.
+
+They grow with the input, and files of few columns are a small part of the rows they hold, so Spark would take them for
+small and send them whole through the driver. The hint ``merge`` has them joined by a shuffle; a table that is small by its
+nature is broadcast where it is used.
+"""
 
 from __future__ import annotations
 
@@ -21,14 +26,14 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The table read back from the shared folder."""
+    """The table read back from the shared folder, to be joined by a shuffle."""
     shared_folder(df.sparkSession)
-    return df.checkpoint()
+    return df.checkpoint().hint("merge")
 
 
 def written(df: DataFrame, **measures) -> tuple[DataFrame, dict]:
-    """The table written to the shared folder in one job, and its number of rows ``n`` and other aggregates, observed as it was written."""
+    """The table written to the shared folder in one job, and its number of rows ``n`` and other aggregates, observed as it was written; to be joined by a shuffle."""
     spark, seen = df.sparkSession, Observation()
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.observe(seen, F.count(F.lit(1)).alias("n"), *[c.alias(k) for k, c in measures.items()]).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), seen.get
+    return spark.read.schema(df.schema).parquet(path).hint("merge"), seen.get
