@@ -216,3 +216,16 @@ def test_reports_by_partition_have_the_renderers_bytes(spark, tmp_path):
             reports.publish_parts(df, path, form, "p")
             with open(path, "rb") as f:
                 assert f.read() == render(df).encode()
+
+
+def test_probes_are_as_wide_as_literals(spark):
+    """Numbers that share all short grams: what a pattern probes is hardly more than what it matches."""
+    from pyspark.sql import functions as F
+
+    p = spark.createDataFrame([(f"p{k}?",) for k in (12345, 54321)] + [("*9876*",), ("*4321",), ("p777",)], "pattern string")
+    kinds = {(r.k["kind"], r.k["width"]) for r in p.select(F.explode(patterns.keys(F.col("pattern"), F.lit("glob"))).alias("k")).collect()}
+    assert kinds == {("^", 6), (".", 4), ("$", 4), ("=", 0)}
+    n = spark.range(1000, 600_000).selectExpr("'p' || id AS name")
+    got = sorted((r.pattern, r.name) for r in patterns.matched(p, n, []).collect())
+    names = [f"p{k}" for k in range(1000, 600_000)]
+    assert got == sorted([("p54321?", x) for x in names if x.startswith("p54321") and len(x) == 7] + [("p12345?", x) for x in names if x.startswith("p12345") and len(x) == 7] + [("*9876*", x) for x in names if "9876" in x] + [("*4321", x) for x in names if x.endswith("4321")])
