@@ -10,6 +10,8 @@ TOKEN = re.compile(r'\s+|/\*.*?\*/|//[^\n]*|\\\r?\n|"((?:[^"\\]|\\.)*)"|([{}();:
 
 
 class Group:
+    __slots__ = ("kind", "args", "line", "values", "groups")
+
     def __init__(self, kind: str, args: list[str], line: int):
         self.kind, self.args, self.line, self.values, self.groups = kind, args, line, {}, []
 
@@ -23,55 +25,68 @@ class Group:
 
 def groups(source: str, path: str, problems: list) -> Group:
     """The file's groups and attributes; a broken statement is skipped to its end."""
-    tokens, line, at = [], 1, 0
-    while at < len(source):
-        m = TOKEN.match(source, at)
-        if m is None:
-            problems.append(problem("OC1101", "a string is not closed", path, line, "*"))
-            break
-        if m[1] is not None or m[2] or m[3]:
-            tokens.append((m[2] or "w", m[1] if m[1] is not None else m[2] or m[3], line))
-        line += m[0].count("\n")
-        at = m.end()
-    root, k = Group("", [], 1), 0
+    def scanned():
+        line, at = 1, 0
+        while at < len(source):
+            m = TOKEN.match(source, at)
+            if m is None:
+                problems.append(problem("OC1101", "a string is not closed", path, line, "*"))
+                break
+            if m[1] is not None or m[2] or m[3]:
+                yield m[2] or "w", m[1] if m[1] is not None else m[2] or m[3], line
+            line += m[0].count("\n")
+            at = m.end()
+
+    # Tokens are read as they are needed: a large file's would not fit.
+    tokens, end = scanned(), ("", "", 0)
+    token, following = next(tokens, end), next(tokens, end)
+
+    def step():
+        nonlocal token, following
+        token, following = following, next(tokens, end)
+
+    root = Group("", [], 1)
     stack = [root]
-    while k < len(tokens):
-        kind, value, line = tokens[k]
-        following = tokens[k + 1][0] if k + 1 < len(tokens) else ""
+    while token is not end:
+        kind, value, line = token
         if kind == "}":
             if len(stack) == 1:
                 problems.append(problem("OC1101", "a brace is not opened", path, line, "*"))
             else:
                 stack.pop()
-            k += 1
-        elif kind == "w" and following == ":":
-            k += 2
+            step()
+        elif kind == "w" and following[0] == ":":
+            step()
+            step()
             parts = []
-            while k < len(tokens) and tokens[k][0] not in (";", "}") and tokens[k][2] == tokens[min(k, len(tokens) - 1)][2]:
-                parts.append(tokens[k][1])
-                k += 1
+            while token is not end and token[0] not in (";", "}"):
+                parts.append(token[1])
+                step()
             stack[-1].values[value] = [" ".join(parts)]
-            k += k < len(tokens) and tokens[k][0] == ";"
-        elif kind == "w" and following == "(":
-            k += 2
+            if token[0] == ";":
+                step()
+        elif kind == "w" and following[0] == "(":
+            step()
+            step()
             args = []
-            while k < len(tokens) and tokens[k][0] != ")":
-                if tokens[k][0] == "w":
-                    args.append(tokens[k][1])
-                k += 1
-            k += 1
-            if k < len(tokens) and tokens[k][0] == "{":
+            while token is not end and token[0] != ")":
+                if token[0] == "w":
+                    args.append(token[1])
+                step()
+            step()
+            if token[0] == "{":
                 g = Group(value, args, line)
                 stack[-1].groups.append(g)
                 stack.append(g)
-                k += 1
+                step()
             else:
                 stack[-1].values[value] = args
-                k += k < len(tokens) and tokens[k][0] == ";"
+                if token[0] == ";":
+                    step()
         else:
             if kind != ";":
                 problems.append(problem("OC1101", f"unexpected {value}", path, line, "*"))
-            k += 1
+            step()
     if len(stack) > 1:
         problems.append(problem("OC1101", f"group {stack[-1].kind} is not closed", path, stack[-1].line, stack[-1].args[0] if stack[-1].args else "*"))
     return root

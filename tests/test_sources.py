@@ -358,3 +358,12 @@ def test_macros_that_use_later_ones():
     got = [(r["native_name"], r["address_offset"], [f["name"] for f in r["fields"] or []]) for f, r in rows if f == "registers"]
     assert got == [("B_C", 8, ["F"]), ("B", 3, ["D"])]
     assert [r["scope"] for f, r in rows if f == "parser_diagnostics"] == ["R_X_OFFSET", "R_Y_OFFSET"]
+
+
+def test_files_of_more_than_64_mib_are_read(spark, tmp_path):
+    """Such files were refused; rows of one view leave the task in several batches."""
+    pad = ("# " + "x" * 1021 + "\n") * (66 << 10)
+    (tmp_path / "big.lef").write_text(FILES["chip.lef"] + pad + "".join(f"MACRO m{k}\nEND m{k}\n" for k in range(25_000)))
+    out = observe(spark, [Source("lef.default", [str(tmp_path / "big.lef")])])
+    assert [r.complete for r in out["views"].collect()] == [True]
+    assert out["components"].count() == 25_001 and out["parser_diagnostics"].count() == 0
