@@ -7,7 +7,8 @@ told apart by the transitions from the root, so one automaton serves them all. E
 shards. A phrase cannot be frequent unless its parent and its suffix link are: level by level, only substrings
 whose two shorter ones may be frequent are counted, first by 64-bit hash, then, for those hashes that are frequent,
 by their words, so what is returned is exact. A Bloom filter of fixed size carries the frequent hashes; what it
-lets through needlessly costs time only. A phrase hands its count along its suffix link and to its parent, which
+lets through needlessly costs time only. Places are tested by rolling hash before states are made, so from the second
+scan on an automaton has states for what may be frequent only. Each shard's counts travel in ``BUCKETS`` rows by hash. A phrase hands its count along its suffix link and to its parent, which
 are all the ways in which a phrase of one word less can lie in it; the largest count decides on subsumption.
 """
 
@@ -32,6 +33,10 @@ SHARD_BYTES = 3_000_000
 #: Each language's phrases are ranked in so many parts before the first of each part are ranked together.
 PARTS = 64
 ROWS = 100_000
+#: Hashes and phrases are summed in so many groups; a task's counts are one row for each.
+BUCKETS = 2048
+#: Buckets are summed together up to so many counts.
+GROUP = 2_000_000
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -54,8 +59,8 @@ def lexed(texts: pa.BinaryArray) -> tuple[pa.DictionaryArray, np.ndarray, np.nda
     edge[1:] |= ~word
     edge[:-1] |= ~word
     starts, ends = np.flatnonzero(word & edge[:-1]), np.flatnonzero(word & edge[1:]) + 1
-    row = np.searchsorted(offsets, starts, "right") - 1
-    breaks = np.searchsorted(np.flatnonzero(kind == BREAK), starts)
+    row = np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(starts, offsets)))
+    breaks = np.cumsum(kind == BREAK)[starts]
     joined = np.zeros(len(starts), bool)
     joined[:-1] = (breaks[1:] == breaks[:-1]) & (row[1:] == row[:-1])
     at = np.r_[0, np.cumsum(ends - starts)].astype(np.int32)
@@ -68,48 +73,89 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+def numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The different keys in order, a place of each, each key's number among them, how often each comes."""
+    if not len(keys):
+        return keys, np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int64)
+    order = np.argsort(keys)
+    ordered = keys[order]
+    new = np.r_[True, ordered[1:] != ordered[:-1]]
+    starts = np.flatnonzero(new)
+    number = np.empty(len(keys), np.int32)
+    number[order] = np.cumsum(new, dtype=np.int32) - 1
+    return ordered[starts], order[starts], number, np.diff(np.r_[starts, len(keys)])
+
+
+def hashed(values: pa.Array) -> np.ndarray:
+    """The hash of each string, from slices of the one buffer: a Python object for each Arrow value costs thrice as much."""
+    ends = np.frombuffer(values.buffers()[1], np.int32)[values.offset : values.offset + len(values) + 1].tolist() if len(values) else [0]
+    data = memoryview(values.buffers()[2] or b"")
+    return np.fromiter((xxhash.xxh3_64_intdigest(data[i:j]) for i, j in zip(ends, ends[1:], strict=False)), np.uint64, len(values))
+
+
 class Level:
-    """The states of one depth: parent, last word, suffix link (states of the depth above), endpos count, first place, hash."""
+    """The states of one depth: parent, last word, suffix link (states of the depth above), endpos count, a place, hash."""
 
-    def __init__(self, parent: np.ndarray, last: np.ndarray, link: np.ndarray, count: np.ndarray, first: np.ndarray, hash: np.ndarray):
-        self.parent, self.last, self.link, self.count, self.first, self.hash = parent, last, link, count, first, hash
+    def __init__(self, parent: np.ndarray, last: np.ndarray, link: np.ndarray, count: np.ndarray, place: np.ndarray, hash: np.ndarray):
+        self.parent, self.last, self.link, self.count, self.place, self.hash = parent, last, link, count, place, hash
 
 
 class Automaton:
-    """The suffix automaton of several texts' pieces, cut at a depth; substrings are kept apart by language."""
+    """The suffix automaton of several texts' pieces, cut at a depth; substrings are kept apart by language.
+
+    With a filter only places are gone on from whose ``of`` words it may have: depth ``of`` has the states of these,
+    the next one those whose parent and suffix link are among them; depths from 2 to before it have what these need.
+    """
 
-    def __init__(self, texts: pa.BinaryArray, langs: pa.StringArray, depth: int):
+    def __init__(self, texts: pa.BinaryArray, langs: pa.StringArray, depth: int, kept: Filter | None = None, of: int = 0):
         words, row, joined = lexed(texts)
         self.words, self.ids = words.dictionary, words.indices.to_numpy()
         coded = langs.dictionary_encode()
         self.langs = coded.dictionary
-        lang = coded.indices.to_numpy().astype(np.int64)[row] if len(row) else np.empty(0, np.int64)
         many = max(1, len(self.words))
-        labels, first, state, count = np.unique(lang * many + self.ids, return_index=True, return_inverse=True, return_counts=True)
-        state = state.astype(np.int32)
+        labels, place, one, count = numbered(coded.indices.to_numpy().astype(np.int64)[row] * many + self.ids)
         self.lang = labels // many
-        of_word = np.fromiter((xxhash.xxh3_64_intdigest(w.as_py()) for w in self.words), np.uint64, len(self.words))
-        of_lang = np.fromiter(map(xxhash.xxh3_64_intdigest, self.langs.to_pylist()), np.uint64, len(self.langs))
+        of_word, of_lang = hashed(self.words), hashed(self.langs)
         root = np.zeros(len(labels), np.int64)
-        hashes = mixed(of_word[labels % many] + of_lang[self.lang] * _ODD) if len(labels) else np.empty(0, np.uint64)
-        self.levels = [Level(root, np.arange(len(labels)), root, count, first, hashes)]
-        at, here, one = np.arange(len(state), dtype=np.int32), state, state
-        for d in range(2, depth + 1):
+        hashes = mixed(of_word[labels % many] + of_lang[self.lang] * _ODD)
+        self.levels = [Level(root, np.arange(len(labels)), root, count, place, hashes)]
+        here = one
+        for d, at in enumerate(self._places(joined, one, hashes, depth, kept, of), 2):
             upper = self.levels[-1]
-            inside = joined[at + d - 2]
-            before = np.full(len(state), -1, np.int32)
-            before[at] = here
-            at, here = at[inside], here[inside]
-            keys, first, here, count = np.unique(here.astype(np.int64) * len(labels) + one[at + d - 1], return_index=True, return_inverse=True, return_counts=True)
-            here = here.astype(np.int32)
+            before = np.full(len(one), -1, np.int32)
+            before[at_before if d > 2 else slice(None)] = here
+            keys, place, here, count = numbered(before[at].astype(np.int64) * len(labels) + one[at + d - 1])
             parent, last = keys // max(1, len(labels)), keys % max(1, len(labels))
-            link = before[at[first] + 1]
-            self.levels.append(Level(parent, last, link, count, at[first], mixed(upper.hash[parent] * _ODD + hashes[last])))
+            self.levels.append(Level(parent, last, before[at[place] + 1], count, at[place], mixed(upper.hash[parent] * _ODD + hashes[last])))
+            at_before = at
+
+    @staticmethod
+    def _places(joined: np.ndarray, one: np.ndarray, hashes: np.ndarray, depth: int, kept: Filter | None, of: int) -> list[np.ndarray]:
+        """The places at which a substring of 2, 3 ... ``depth`` words begins that gets a state."""
+        n, runs = len(one), [np.ones(len(one), bool)]
+        for d in range(2, depth + 1):  # within a piece
+            run = runs[-1].copy()
+            run[: n - d + 2] &= joined[d - 2 :]
+            runs.append(run)
+        if kept is not None:
+            at = np.flatnonzero(runs[of - 1])
+            h = hashes[one[at]]
+            for k in range(1, of):
+                h = mixed(h * _ODD + hashes[one[at + k]])
+            some = np.zeros(n, bool)
+            some[at[kept.has(h)]] = True
+            runs[of - 1] = some
+            for d in range(of, depth):
+                runs[d][:-1] &= runs[d - 1][:-1] & runs[d - 1][1:]
+            for d in range(of - 1, 1, -1):
+                runs[d - 1] = runs[d].copy()
+                runs[d - 1][1:] |= runs[d][:-1]
+        return [np.flatnonzero(r) for r in runs[1:]]
 
     def phrases(self, depth: int, some: np.ndarray) -> pa.Array:
         """The words of some states of a depth, joined by spaces."""
-        first = self.levels[depth - 1].first[some]
-        parts = [self.words.take(pa.array(self.ids[first + k])) for k in range(depth)]
+        place = self.levels[depth - 1].place[some]
+        parts = [self.words.take(pa.array(self.ids[place + k])) for k in range(depth)]
         return pc.binary_join_element_wise(*parts, b" ").cast(pa.string())
 
     def languages(self, depth: int, some: np.ndarray) -> pa.Array:
@@ -147,39 +193,82 @@ def frequent(hashes: DataFrame) -> Filter:
     return Filter(bits, np.empty(0, np.uint64))
 
 
+def dealt(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order that puts hashes into buckets, and where each bucket begins."""
+    bucket = (hashes >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int16)
+    order = np.argsort(bucket, kind="stable")
+    return order, np.r_[0, np.cumsum(np.bincount(bucket, minlength=BUCKETS))].astype(np.int32)
+
+
+def lists(order: np.ndarray, starts: np.ndarray, *columns: pa.Array) -> list[pa.Array]:
+    return [pa.ListArray.from_arrays(pa.array(starts), c.take(pa.array(order))) for c in columns]
+
+
+def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, phrase, h, n) of rows that come bucket by bucket; small buckets are summed together, none is parted."""
+    held, size, last = [], 0, None
+    for batch in batches:
+        bucket = batch.column(0).to_numpy()
+        ends = np.r_[np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, len(bucket)]
+        entries = np.cumsum(sum(pc.list_value_length(batch.column(c)).to_numpy().astype(np.int64) for c in ("h", "n")))
+        at = 0
+        for end in ends.tolist() if len(bucket) else ():
+            if size >= GROUP and bucket[at] != last:
+                yield from _summed(held)
+                held, size = [], 0
+            held.append(batch.slice(at, end - at))
+            size += int(entries[end - 1] - (entries[at - 1] if at else 0))
+            last, at = bucket[at], end
+    if held:
+        yield from _summed(held)
+
+
+def _summed(rows: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+    flat = {c: pa.concat_arrays([r.column(c).flatten() for r in rows]) for c in ("h", "m", "lang", "phrase", "n")}
+    h, order = flat["h"].to_numpy(), np.argsort(flat["h"].to_numpy())
+    h = h[order]
+    starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]][: len(h)])
+    n = np.add.reduceat(flat["m"].to_numpy()[order], starts) if len(h) else h
+    own = pa.table({c: flat[c] for c in ("lang", "phrase", "n")}).group_by(["lang", "phrase"]).aggregate([("n", "sum")]).combine_chunks()
+    none = pa.nulls(len(starts), pa.string())
+    names = ["lang", "phrase", "h", "n"]
+    out = [pa.RecordBatch.from_arrays([none, none, pa.array(h[starts]), pa.array(n)], names)]
+    for b in own.to_batches():
+        out.append(pa.RecordBatch.from_arrays([b["lang"], b["phrase"], pa.nulls(b.num_rows, pa.int64()), b["n_sum"]], names))
+    return out
+
+
 def level_counts(texts: DataFrame, depth: int, longest: int, kept: Filter | None, least: int) -> DataFrame:
     """(lang, phrase, h, n) with n >= ``least``: phrases of ``depth`` words by their words, those one longer by their hash.
 
-    Of the first level also each language's number of words, under a null phrase.
+    The first scan, which has no filter yet, counts words by their hash too, and each language's words under a null
+    phrase; the second one also returns the words.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in shards(batches):
             text, lang = (shard[c].combine_chunks() for c in ("_t", "_lang"))
-            a = Automaton(text.cast(pa.binary()), lang, min(longest, depth + 1))
-            own = a.levels[depth - 1]
-            likely = np.ones(len(own.count), bool) if kept is None else kept.has(own.hash)
-            some = np.flatnonzero(likely)
-            for k in range(0, len(some), ROWS):
-                part = some[k : k + ROWS]
-                yield rows(a.languages(depth, part), a.phrases(depth, part), pa.nulls(len(part), pa.int64()), own.count[part])
-            if depth == 1 and len(own.count):
-                n = np.bincount(a.lang, own.count, len(a.langs)).astype(np.int64)
-                yield rows(a.langs, pa.nulls(len(n), pa.string()), pa.nulls(len(n), pa.int64()), n)
-            if depth < longest:
-                more = a.levels[depth]
-                some = np.flatnonzero(likely[more.parent] & likely[more.link])
-                for k in range(0, len(some), ROWS):
-                    part = some[k : k + ROWS]
-                    none = pa.nulls(len(part), pa.string())
-                    yield rows(none, none, pa.array(more.hash[part].view(np.int64)), more.count[part])
-            del a, own, likely, some, text, lang, shard
+            a = Automaton(text.cast(pa.binary()), lang, min(longest, depth + 1), kept, depth if kept else 0)
+            counted = a.levels[:2] if kept is None else a.levels[depth : depth + 1]
+            hashes, m = (np.concatenate([x, *(getattr(level, k) for level in counted)]) for k, x in (("hash", np.empty(0, np.uint64)), ("count", np.empty(0, np.int64))))
+            rows = lists(*dealt(hashes), pa.array(hashes.view(np.int64)), pa.array(m))
+            if kept is None:
+                n = np.bincount(a.lang, a.levels[0].count, len(a.langs)).astype(np.int64)
+                rows += lists(*dealt(np.zeros(len(n), np.uint64)), a.langs, pa.nulls(len(n), pa.string()), pa.array(n))
+            else:
+                told = [(d, np.flatnonzero(kept.has(a.levels[d - 1].hash))) for d in ((1, 2) if depth == 2 else (depth,))]
+                langs, phrases, n = (pa.concat_arrays(x) for x in zip(*((a.languages(d, some), a.phrases(d, some), pa.array(a.levels[d - 1].count[some])) for d, some in told), strict=True))
+                rows += lists(*dealt(np.concatenate([a.levels[d - 1].hash[some] for d, some in told])), langs, phrases, n)
+            batch = pa.RecordBatch.from_arrays([pa.array(np.arange(BUCKETS, dtype=np.int32)), *rows], ["bucket", "h", "m", "lang", "phrase", "n"])
+            step = max(1, ROWS * BUCKETS // max(1, len(hashes)))
+            del a, counted, hashes, m, rows, text, lang, shard
+            for k in range(0, BUCKETS, step):
+                yield batch.slice(k, step)
+            del batch
             pa.default_memory_pool().release_unused()  # else each worker keeps what its largest shard took
 
-    def rows(lang: pa.Array, phrase: pa.Array, h: pa.Array, n: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([lang, phrase, h, pa.array(n, pa.int64())], ["lang", "phrase", "h", "n"])
-
-    counts = texts.mapInArrow(run, "lang string, phrase string, h long, n long").groupBy("lang", "phrase", "h").agg(F.sum("n").alias("n"))
+    counts = texts.mapInArrow(run, "bucket int, h array<long>, m array<long>, lang array<string>, phrase array<string>, n array<long>")
+    counts = counts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(summed, "lang string, phrase string, h long, n long")
     return checkpointed(counts.where((F.col("n") >= least) | F.col("phrase").isNull() & F.col("h").isNull()))
 
 
@@ -196,15 +285,13 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", longes
     they come; other columns are ignored. ``least`` may be 1 at least.
     """
     texts = docs.select(F.coalesce(F.col(lang), F.lit("und")).alias("_lang"), text_of(text).alias("_t"))
-    kept, levels, total = None, [], None
-    for depth in range(1, longest + 1):
-        counts = level_counts(texts, depth, longest, kept, least)
-        levels.append(counts.where("phrase IS NOT NULL").select("lang", "phrase", F.lit(depth).alias("words"), "n"))
-        if depth == 1:
-            total = counts.where("phrase IS NULL AND h IS NULL").select("lang", F.col("n").alias("total"))
-        if depth < longest:
-            kept = frequent(counts.where("h IS NOT NULL"))
-    every = reduce(DataFrame.union, levels)
+    counts = level_counts(texts, 1, longest, None, least)
+    total = counts.where("phrase IS NULL AND h IS NULL").select("lang", F.col("n").alias("total"))
+    levels = [counts.where("phrase IS NOT NULL")]  # none yet
+    for depth in range(2, longest + 1):
+        counts = level_counts(texts, depth, longest, frequent(counts.where("h IS NOT NULL")), least)
+        levels.append(counts.where("phrase IS NOT NULL"))
+    every = reduce(DataFrame.union, levels).select("lang", "phrase", F.size(F.split("phrase", " ")).alias("words"), "n")
     long = every.where("words > 1").withColumn("w", F.split("phrase", " "))
 
     part = every.select("lang", F.col("phrase").alias("part"), "n")

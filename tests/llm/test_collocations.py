@@ -86,3 +86,31 @@ def test_scores_beyond_64_bits(spark):
     """The same decimal arithmetic on counts near 10^15."""
     row = spark.sql("SELECT CAST(999999999999999 AS DECIMAL(15,0)) * CAST(999999999999999 AS DECIMAL(15,0)) * CAST(1000000 AS DECIMAL(7,0)) div (CAST(999999999999999 AS DECIMAL(15,0)) * CAST(999999999999999 AS DECIMAL(15,0))) AS s").first()
     assert row.s == 1_000_000
+
+
+def test_states_are_made_for_what_may_be_frequent_only():
+    """With a filter of some bigrams: these, and the trigrams whose parent and suffix link are among them."""
+    rows = corpus(5)
+    texts, langs = pa.array([(t or "").encode() for t, _ in rows], pa.binary()), pa.array(["und" if x is None else x for _, x in rows])
+    full = K.Automaton(texts, langs, 3)
+    some = full.levels[1].hash[full.levels[1].count >= 10]
+
+    class Exact:
+        def has(self, h):
+            return np.isin(h, some)
+
+    a, may = K.Automaton(texts, langs, 3, Exact(), 2), np.isin(full.levels[1].hash, some)
+    want = [np.flatnonzero(may), np.flatnonzero(may[full.levels[2].parent] & may[full.levels[2].link])]
+    for d, x in zip((2, 3), want, strict=True):
+        assert 0 < len(x) < len(full.levels[d - 1].count)
+        assert dict(zip(full.levels[d - 1].hash[x].tolist(), full.levels[d - 1].count[x].tolist(), strict=True)) == dict(zip(a.levels[d - 1].hash.tolist(), a.levels[d - 1].count.tolist(), strict=True))
+    assert set(a.levels[2].parent.tolist()) | set(a.levels[2].link.tolist()) <= set(range(len(a.levels[1].count)))
+
+
+def test_buckets_are_summed_whole(monkeypatch):
+    monkeypatch.setattr(K, "GROUP", 1)
+    schema = pa.schema({"bucket": pa.int32(), "h": pa.list_(pa.int64()), "m": pa.list_(pa.int64()), "lang": pa.list_(pa.string()), "phrase": pa.list_(pa.string()), "n": pa.list_(pa.int64())})
+    batch = lambda *b: pa.RecordBatch.from_pylist([dict(zip(schema.names, x, strict=True)) for x in b], schema)
+    out = pa.Table.from_batches(K.summed(iter([batch((0, [-5, 7], [1, 2], ["en"], [None], [4])), batch((0, [7], [2**53 + 1], ["en"], [None], [5]), (1, [], [], [], [], []), (3, [9], [1], ["de", "en"], ["a", "a"], [1, 2]))])))
+    assert sorted(map(str, map(tuple, (r.values() for r in out.to_pylist())))) == sorted(map(str, [(None, None, -5, 1), (None, None, 7, 2**53 + 3), ("en", None, None, 9), (None, None, 9, 1), ("de", "a", None, 1), ("en", "a", None, 2)]))
+    assert list(K.summed(iter([]))) == []
