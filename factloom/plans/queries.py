@@ -44,6 +44,13 @@ def family(df: DataFrame, name: str, **columns) -> DataFrame:
     return df.select(*[(columns[f.name] if f.name in columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields])
 
 
+def both(df: DataFrame, name: str, a: dict, b: dict, where=None) -> DataFrame:
+    """Two observations of each row, the second one of those that a condition selects, in one pass over the table."""
+    fields = empty(df.sparkSession, name).schema.fields
+    one, two = (F.struct(*[(x[f.name] if f.name in x else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields]) for x in (a, b))
+    return df.select(F.explode(F.array_compact(F.array(one, two if where is None else F.when(where, two)))).alias("x")).select("x.*")
+
+
 def pick(n, *values: str):
     """One of the values by a number's remainder."""
     return F.element_at(F.array(*map(F.lit, values)), (n % len(values)).cast("int") + 1)
@@ -300,10 +307,9 @@ def register_facts(spark, sf):
     k = F.col("o_orderkey")
     fields = F.transform("f", lambda x: F.struct(F.concat(F.lit("f"), x["l_linenumber"].cast("string")).alias("name"), (x["l_linenumber"].cast("int") * 4).alias("bit_offset"), F.lit(4).alias("bit_width"), F.lit("RW").alias("access"), F.lit(0).cast("decimal(38,0)").alias("reset"), F.lit("known").alias("status")))
     base = dict(component=F.lit("Chip"), native_name=F.concat(F.lit("R"), k.cast("string"), F.lit("_REG")), memory_map=F.lit("m"), status=F.lit("known"), ordinal=F.lit(1))
-    a = family(j, "registers", view=F.lit("ipxact.a"), kind=F.lit("ipxact"), address_offset=k * 4, size_bits=F.lit(32), access=F.lit("read-write"), fields=fields, **base)
-    b = j.where("o_orderkey % 9 != 0")
-    b = family(b, "registers", view=F.lit("systemrdl.b"), kind=F.lit("systemrdl"), address_offset=k * 4 + F.when(k % 16 == 1, 4).otherwise(0), size_bits=F.when(k % 32 == 1, 16).otherwise(32), access=F.when(k % 20 == 0, "ro").otherwise("rw"), fields=F.when(k % 24 == 0, F.filter(fields, lambda x: x["name"] != "f1")).otherwise(fields), **base)
-    return Facts(spark, {"registers": a.union(b)})
+    a = dict(view=F.lit("ipxact.a"), kind=F.lit("ipxact"), address_offset=k * 4, size_bits=F.lit(32), access=F.lit("read-write"), fields=fields, **base)
+    b = dict(view=F.lit("systemrdl.b"), kind=F.lit("systemrdl"), address_offset=k * 4 + F.when(k % 16 == 1, 4).otherwise(0), size_bits=F.when(k % 32 == 1, 16).otherwise(32), access=F.when(k % 20 == 0, "ro").otherwise("rw"), fields=F.when(k % 24 == 0, F.filter(fields, lambda x: x["name"] != "f1")).otherwise(fields), **base)
+    return Facts(spark, {"registers": both(j, "registers", a, b, k % 9 != 0)})
 
 
 @query("""WITH li AS (SELECT DISTINCT l_orderkey AS k, l_linenumber AS n FROM lineitem), dup AS (SELECT l_orderkey AS k, l_linenumber AS n, count(*) AS c FROM lineitem GROUP BY ALL),
@@ -654,10 +660,10 @@ def register_field_rules(spark, sf):
 
     def side(view: str, offset, reset):
         f = F.array(F.struct(F.lit("F").alias("name"), offset.cast("int").alias("bit_offset"), F.lit(2).alias("bit_width"), F.lit("rw").alias("access"), reset.cast("decimal(38,0)").alias("reset"), F.lit("known").alias("status")))
-        return family(o, "registers", view=F.lit(view), kind=F.lit(view.split(".")[0]), component=F.lit("chip"), native_name=F.concat(F.lit("R"), k.cast("string")), memory_map=F.lit("m"), address_offset=k * 4, size_bits=F.lit(32), access=F.lit("rw"), status=F.lit("known"), ordinal=F.lit(1), fields=f)
+        return dict(view=F.lit(view), kind=F.lit(view.split(".")[0]), component=F.lit("chip"), native_name=F.concat(F.lit("R"), k.cast("string")), memory_map=F.lit("m"), address_offset=k * 4, size_bits=F.lit(32), access=F.lit("rw"), status=F.lit("known"), ordinal=F.lit(1), fields=f)
 
     a, b = side("ipxact.a", F.lit(0), F.lit(0)), side("systemrdl.b", F.when(k % 5 == 0, 4).otherwise(0), F.when(k % 3 == 0, 1).otherwise(0))
-    return rules.register_rules(Facts(spark, {"registers": a.union(b)})).select("code", "object_id")
+    return rules.register_rules(Facts(spark, {"registers": both(o, "registers", a, b)})).select("code", "object_id")
 
 
 @query("""SELECT DISTINCT 'OC5002' AS code, 'package-ball:b' || s_suppkey AS object_id FROM supplier WHERE s_suppkey % 3 = 0""")

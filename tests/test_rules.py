@@ -294,3 +294,21 @@ def test_check_with_waivers_and_exit_codes(spark):
 def test_checkers_of_the_user(spark):
     own = lambda f: rules.finding(f["views"], "OC9002", "view", F.col("view"), None, F.lit("mine"))
     assert ("OC9002", "lef.default") in codes(rules.all_findings(facts(spark, **UART), (own,)))
+
+
+def test_registers_are_shuffled_once(spark):
+    """Findings are read off a row for each register: no shuffle of registers or fields for each rule."""
+    from factloom.model import empty
+
+    fields = "array(named_struct('name', 'f', 'bit_offset', {0}, 'bit_width', 4, 'access', 'rw', 'reset', cast(0 AS decimal(38,0)), 'status', 'known'), named_struct('name', 'F', 'bit_offset', 2, 'bit_width', 4, 'access', 'rw', 'reset', cast(0 AS decimal(38,0)), 'status', 'known'))"
+    row = "SELECT '{0}' AS view, '{1}' AS kind, 'r' AS native_name, 'c' AS component, cast({2} AS decimal(38,0)) AS address_offset, 32 AS size_bits, 'rw' AS access, 'known' AS status, {3} AS fields"
+    rows = [("ipxact.a", "ipxact", 0, fields.format(0)), ("systemrdl.b", "systemrdl", 4, fields.format(1)), ("systemrdl.b", "systemrdl", 8, "NULL")]
+    sql = " UNION ALL ".join(row.format(*r) for r in rows) + " UNION ALL " + row.format("ipxact.a", "ipxact", 0, "NULL").replace("'r' AS", "'s' AS")
+    r = empty(spark, "registers").unionByName(spark.sql(sql), allowMissingColumns=True)
+    out = rules.register_rules(rules.Facts(spark, {"registers": r}))
+    assert out._jdf.queryExecution().sparkPlan().toString().count("SortMergeJoin") == 0
+    got = sorted((x.code, x.object_id, x.property, [e.view for e in x.evidence]) for x in out.collect())
+    both, reg = ["ipxact.a", "systemrdl.b"], "register:c/r"
+    assert ("OC6301", "register:c/s", "presence", ["ipxact.a"]) in got and ("OC6307", reg, "definition", ["systemrdl.b"] * 2) in got
+    assert ("OC6309", reg, "fields.layout", ["ipxact.a"]) in got and ("OC6307", f"{reg}/field:f", "definition", ["ipxact.a"] * 2) in got
+    assert [x for x in got if x[0] == "OC6302"] == [("OC6302", reg, "address", both)]
