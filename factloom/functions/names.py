@@ -31,12 +31,12 @@ def lookup(table: dict[str, str], key: Column, other: Column) -> Column:
     return F.coalesce(F.element_at(F.create_map(*pairs), key), other)
 
 
-def direction(c: Column) -> Column:
-    return lookup(DIRECTIONS, F.translate(F.lower(F.trim(F.coalesce(c, F.lit("")))), "-_", ""), F.lit("unknown"))
+def direction(c: Column, other: str | None = "unknown") -> Column:
+    return lookup(DIRECTIONS, F.translate(F.lower(F.trim(F.coalesce(c, F.lit("")))), "-_", ""), F.lit(other).cast("string"))
 
 
-def role(c: Column) -> Column:
-    return lookup(ROLES, F.translate(F.lower(F.trim(F.coalesce(c, F.lit("")))), "-", "_"), F.lit("unknown"))
+def role(c: Column, other: str | None = "unknown") -> Column:
+    return lookup(ROLES, F.translate(F.lower(F.trim(F.coalesce(c, F.lit("")))), "-", "_"), F.lit(other).cast("string"))
 
 
 def view_kind(c: Column) -> Column:

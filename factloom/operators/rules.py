@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from factloom.functions import boolean, names
-from factloom.model import EVIDENCE, FINDING, SCHEMAS, empty
+from factloom.model import EVIDENCE, FINDING, SCHEMAS, empty, without_rows
 
 from . import generic, graph, patterns
 from .shared import cut, written
@@ -48,7 +48,7 @@ def evidence(view: Column | str, value: Column | None = None, located: bool = Fa
 
 def gathered(e: Column) -> Column:
     """The evidence of a group, in a fixed order."""
-    return F.array_sort(F.collect_list(e)).cast(EVIDENCE)
+    return F.sort_array(F.collect_list(e)).cast(EVIDENCE)
 
 
 def proven(rows: DataFrame, keys: DataFrame, on: list[str], e: Column) -> DataFrame:
@@ -57,6 +57,10 @@ def proven(rows: DataFrame, keys: DataFrame, on: list[str], e: Column) -> DataFr
     return keys.join(found, on)
 
 
+def no_findings(f: Facts) -> DataFrame:
+    return without_rows(f.spark, FINDING)
+
+
 def finding(df: DataFrame, code: str | Column, kind: str | Column, id: Column, property: str | None, message: Column, pieces: Column | None = None) -> DataFrame:
     lit = lambda x: F.lit(x).cast("string") if x is None or isinstance(x, str) else x
     return df.select(lit(code).alias("code"), lit(kind).alias("object_kind"), id.alias("object_id"), lit(property).alias("property"), message.alias("message"), (F.array().cast(EVIDENCE) if pieces is None else pieces).alias("evidence"))
@@ -98,36 +102,57 @@ class Facts:
     def components(self) -> DataFrame:
         """A row for each definition: view, kind, native_name, component (canonical), candidates."""
         used = self["components"].withColumn("native", F.col("native_name")).withColumn("component", F.lit(None).cast("string"))
-        return cut(self._resolved(used, "component").drop("component", "native").withColumnRenamed("canonical", "component"))
+        return written(self._resolved(used, "component").drop("component", "native").withColumnRenamed("canonical", "component"))[0]
 
     @cached_property
     def ports(self) -> DataFrame:
         """A row for each port of each definition: component and port (canonical) beside the observed columns."""
         of = self.components.select("view", F.col("native_name").alias("native_component"), "component").distinct()
-        own = self["ports"].withColumnRenamed("component", "native_component").join(of, ["view", "native_component"])
-        return cut(self._resolved(own.withColumn("native", F.col("native_name")), "port").drop("native").withColumnRenamed("canonical", "port"))
+        own = self["ports"].withColumnRenamed("component", "native_component")
+        # What the joins do not need goes through them and to the disk as one value.
+        named = ("view", "kind", "native_component", "native_name")
+        own = own.select(*named, F.struct(*[c for c in own.columns if c not in named]).alias("seen")).join(of, ["view", "native_component"])
+        resolved = self._resolved(own.withColumn("native", F.col("native_name")), "port").drop("native").withColumnRenamed("canonical", "port")
+        return written(resolved)[0].select(*[c for c in resolved.columns if c != "seen"], "seen.*")
+
+    @cached_property
+    def pins(self) -> tuple[DataFrame, int]:
+        """A row for each (component, port): ``seen``, the definitions with it (view, native_component), and ``again``, whether one of them has it twice; and how many have."""
+        seen = F.collect_set(F.struct("view", "native_component"))
+        g = self.ports.groupBy("component", "port").agg(seen.alias("seen"), (F.count("*") > F.size(seen)).alias("again"))
+        df, told = written(g, again=F.count_if("again"))
+        return df, told["again"]
 
     @cached_property
     def port_values(self) -> DataFrame:
         """Known values of ports, the contract's as those of one more view; none for package maps."""
         p = self.ports.where(~package_map())
         shape_known = names.state_for("shape") == "known"
-        seen = p.select(
-            "component", "port", "view", "source", "line", "column",
-            F.when((names.state_for("direction") == "known") & (names.direction(F.col("direction")) != "unknown"), names.direction(F.col("direction"))).alias("direction"),
-            F.when((names.state_for("role") == "known") & (names.role(F.col("role")) != "unknown"), names.role(F.col("role"))).alias("role"),
-            F.when(shape_known, F.col("width")).alias("width"),
-            F.when(shape_known & (F.col("width") == 1), F.col("explicit_scalar")).alias("scalar"),
-            F.when(shape_known, ordered_bits()).alias("bits"),
-            F.when(shape_known, structure()).alias("structure"),
-            F.coalesce("bit_order_known", F.lit(True)).alias("bit_order_known"),
-            F.to_json("unpacked").alias("unpacked"),
-        )
+        # Known unless the row or the field says otherwise; a value that is absent or not one of the known words is null by itself.
+        told = lambda field: (F.coalesce("status", F.lit("known")) == "known") & F.coalesce(F.element_at("field_states", field) == "known", F.lit(True))
+
+        def values(rows: DataFrame, bits: Column, shape: Column) -> DataFrame:
+            return rows.select(
+                "component", "port", "view", "source", "line", "column",
+                F.when(told("direction"), names.direction(F.col("direction"), None)).alias("direction"),
+                F.when(told("role"), names.role(F.col("role"), None)).alias("role"),
+                F.when(told("shape"), F.col("width")).alias("width"),
+                F.when(told("shape") & (F.col("width") == 1), F.col("explicit_scalar")).alias("scalar"),
+                F.when(shape_known, bits).alias("bits"),
+                F.when(shape_known, shape).alias("structure"),
+                F.coalesce("bit_order_known", F.lit(True)).alias("bit_order_known"),
+                F.to_json("unpacked").alias("unpacked"),
+            )
+
+        # Bits and structure are long expressions: too long for one compiled method, so they stand apart from the ports that have neither.
+        plain = values(p.where(~laid_out()), F.lit(None).cast("array<int>"), F.lit(None).cast("string"))
+        seen = plain.union(values(p.where(laid_out()), ordered_bits(), structure()))
         frozen = self["contract_ports"].select(
             "component", "port", F.lit("contract.frozen").alias("view"), F.lit(None).cast("string").alias("source"), F.lit(None).cast("int").alias("line"), F.lit(None).cast("int").alias("column"),
             *[F.when(c(F.col(n)) != "unknown", c(F.col(n))).alias(n) for n, c in (("direction", names.direction), ("role", names.role))], "width",
         )
-        return cut(seen.unionByName(frozen.join(seen.select("component", "port").distinct(), ["component", "port"], "left_semi"), allowMissingColumns=True))
+        every = seen.unionByName(frozen.join(seen.select("component", "port").distinct(), ["component", "port"], "left_semi"), allowMissingColumns=True)
+        return written(every)[0] if "contract_ports" in self.tables else every.hint("merge")  # ports are written already
 
     @cached_property
     def whole_tainted(self) -> DataFrame:
@@ -143,7 +168,13 @@ class Facts:
 
 def package_map() -> Column:
     """A CSV view whose name says that it maps a package's balls; its rows are no ports."""
-    return (names.view_kind(F.col("kind")) == "csv") & F.col("view").endswith(".package")
+    return F.col("view").endswith(".package") & (names.view_kind(F.col("kind")) == "csv")
+
+
+def laid_out() -> Column:
+    """Whether a port lists bits or dimensions; all others have no bits and no structure."""
+    some = lambda c: F.coalesce(F.size(c) > 0, F.lit(False))
+    return some("bit_indices") | some("packed") | some("unpacked") | (F.col("left").isNotNull() & F.col("right").isNotNull())
 
 
 def ordered_bits() -> Column:
@@ -180,17 +211,28 @@ def alias_collisions(f: Facts) -> DataFrame:
 def duplicate_components(f: Facts) -> DataFrame:
     """OC2003 and OC2004: a view defines a component twice, alike or not."""
     sig = F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "native_name", "direction", "role", F.col("width").cast("string")))), ";")
-    ports = f["ports"].groupBy("view", F.col("component").alias("native_name"), F.coalesce("ordinal", F.lit(0)).alias("_o")).agg(sig.alias("s")).groupBy("view", "native_name").agg(F.array_join(F.array_sort(F.collect_list("s")), "|").alias("signature"))
-    of = f.components.join(ports, ["view", "native_name"], "left").withColumn("signature", F.coalesce("signature", F.lit("")))
+    twice, told = written(f.components.groupBy(F.col("view").alias("_v"), F.col("component").alias("_c")).agg(F.count("*").alias("_n")).where("_n > 1"))
+    if not told["n"]:
+        return no_findings(f)
+    # Signatures are made of the components that come again only.
+    of = f.components.join(twice, F.col("view").eqNullSafe(F.col("_v")) & F.col("component").eqNullSafe(F.col("_c")), "left_semi")
+    own = f["ports"].join(of.select("view", F.col("native_name").alias("component")).distinct(), ["view", "component"], "left_semi")
+    ports = own.groupBy("view", F.col("component").alias("native_name"), F.coalesce("ordinal", F.lit(0)).alias("_o")).agg(sig.alias("s")).groupBy("view", "native_name").agg(F.array_join(F.array_sort(F.collect_list("s")), "|").alias("signature"))
+    of = of.join(ports, ["view", "native_name"], "left").withColumn("signature", F.coalesce("signature", F.lit("")))
     g = of.groupBy("view", "component").agg(F.count("*").alias("n"), (F.min("signature") != F.max("signature")).alias("differs"), gathered(evidence("view", F.col("native_name"), True)).alias("evidence")).where("n > 1")
     return finding(g, F.when(F.col("differs"), "OC2004").otherwise("OC2003"), "component", text("component:", F.col("component")), None, text(F.col("view"), " defines ", F.col("component"), " ", F.col("n").cast("string"), " times."), F.col("evidence"))
 
 
 def duplicate_pins(f: Facts) -> DataFrame:
     """OC3103: one finding for each further occurrence, with the first one as evidence."""
+    pins, n = f.pins
+    if not n:
+        return no_findings(f)
     w = Window.partitionBy("view", "native_component", "component", "port").orderBy(F.col("ordinal").asc_nulls_last(), "line", "native_name")
     one = evidence("view", F.col("native_name"), True)
-    r = f.ports.withColumns({"n": F.row_number().over(w), "first": F.first(one).over(w)}).where("n > 1")
+    again = pins.where("again").select(F.col("component").alias("_c"), F.col("port").alias("_p"))
+    rows = f.ports.join(again, F.col("component").eqNullSafe(F.col("_c")) & F.col("port").eqNullSafe(F.col("_p")), "left_semi")
+    r = rows.withColumns({"n": F.row_number().over(w), "first": F.first(one).over(w)}).where("n > 1")
     return finding(r, "OC3103", "port", port_id(), None, text(F.col("view"), " has ", F.col("component"), "/", F.col("port"), " again."), F.array("first", one).cast(EVIDENCE))
 
 
@@ -232,18 +274,27 @@ def dominant_roles(f: Facts) -> DataFrame:
 
 def pin_inventory(f: Facts) -> DataFrame:
     """OC3101 and, for power and ground, OC4202: a view with the component lacks the pin. OC3102: the contract lacks it."""
+    key = ["component", "port"]
     has = f.components.where(~names.view_kind(F.col("kind")).isin("sdc", "upf", "header")).select("component", "view", "kind", "native_name").distinct()
     scopes = f["views"].select("view", F.explode("tainted_scopes").alias("native_name"))
-    pins = f.ports.select("component", "port").distinct().join(dominant_roles(f), ["component", "port"], "left")
-    required = pins.join(has, "component").join(scopes, ["view", "native_name"], "left_anti")
-    if f.policy.rtl_power_pins in ("optional", "ignore"):
-        required = required.where(~(F.coalesce(F.col("dominant").isin("power", "ground"), F.lit(False)) & (names.view_kind(F.col("kind")) == "rtl")))
-    missing = generic.absence(required, f.ports, ["component", "port", "view"], f.whole_tainted, ["view"])
-    missing = missing.groupBy("component", "port", "dominant").agg(F.array_join(F.array_sort(F.collect_set("view")), ", ").alias("missing"))
+    has = has.join(scopes, ["view", "native_name"], "left_anti").join(F.broadcast(f.whole_tainted), "view", "left_anti")
+    others = F.when(names.view_kind(F.col("kind")) != "rtl", F.col("view"))
+    declared = has.groupBy("component").agg(F.collect_set("view").alias("every"), F.collect_set(others).alias("others"))
+    pins, _ = f.pins
+    own = pins.select(*key)
+    # A pin lacks the views that declare its component and do not have it; roles are looked up for such pins only.
+    lacks = lambda c: F.array_except(c, F.transform("seen", lambda x: x["view"]))
+    lacking, told = written(pins.join(declared, "component").select(*key, lacks("every").alias("missing"), lacks("others").alias("_others")).where(F.size("missing") > 0))
+    found = no_findings(f)
     here = evidence("view", F.lit("present"), True)
-    own = f.ports.select("component", "port").distinct()
     pg = F.when(F.col("dominant").isin("power", "ground"), "OC4202").otherwise("OC3101")
-    found = finding(proven(f.ports, missing, ["component", "port"], here), pg, "port", port_id(), "presence", text(F.col("component"), "/", F.col("port"), " is missing from ", F.col("missing"), "."), F.col("evidence"))
+    if told["n"]:
+        missing = lacking.join(dominant_roles(f), key, "left")
+        if f.policy.rtl_power_pins in ("optional", "ignore"):
+            missing = missing.withColumn("missing", F.when(F.coalesce(F.col("dominant").isin("power", "ground"), F.lit(False)), F.col("_others")).otherwise(F.col("missing"))).where(F.size("missing") > 0)
+        pieces = f.ports.join(lacking.select(*key), key, "left_semi").groupBy(*key).agg(gathered(here).alias("evidence"))
+        missing = missing.withColumn("missing", F.array_join(F.array_sort("missing"), ", ")).join(pieces, key)
+        found = finding(missing, pg, "port", port_id(), "presence", text(F.col("component"), "/", F.col("port"), " is missing from ", F.col("missing"), "."), F.col("evidence"))
     frozen = f["contract_ports"]
     known = own.join(frozen.select("component").distinct(), "component", "left_semi")
     extra = proven(f.ports, known.join(frozen, ["component", "port"], "left_anti"), ["component", "port"], here)
@@ -255,19 +306,28 @@ def pin_inventory(f: Facts) -> DataFrame:
 def port_conflicts(f: Facts) -> DataFrame:
     """OC4001, OC4101, OC4102, OC4103, OC4106, OC4201, OC4203, OC4204 in one grouping of the ports' values."""
     key = ["component", "port"]
+    v = f.port_values
     differ = lambda c: F.coalesce(F.min(c) != F.max(c), F.lit(False))
-    shaped = F.col("structure").isNotNull()
-    proof = lambda c: F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), evidence("view", F.col(c), True)))).cast(EVIDENCE)
-    g = f.port_values.groupBy(*key).agg(
-        differ("direction").alias("d"), differ("role").alias("r"), F.collect_set("role").alias("roles"), differ("width").alias("w"), differ("scalar").alias("s"), differ("structure").alias("x"),
-        F.bool_and(F.when(shaped, F.col("bits").isNotNull())).alias("all_bits"), differ(F.array_join("bits", ",")).alias("orders"), differ(F.array_join(F.array_sort(F.array_distinct("bits")), ",")).alias("sets"),
-        differ(F.when(shaped, F.coalesce("unpacked", F.lit("[]")))).alias("outer"), F.bool_and(F.when(shaped, F.col("bit_order_known"))).alias("order_known"),
-    ).where("d OR r OR w OR s OR x")
+    number = lambda c, of: F.array_position(F.array(*map(F.lit, sorted(set(of.values())))), F.col(c))
+    some = lambda *roles: F.coalesce(F.bool_or(F.col("role").isin(*roles)), F.lit(False))
+    proof = lambda c: F.sort_array(F.collect_list(F.when(F.col(c).isNotNull(), evidence("view", F.col(c), True)))).cast(EVIDENCE)
+    # Numbers in place of names: a hash of numbers needs no sort. Text is compared for ports of a known structure only.
+    g = v.groupBy(*key).agg(
+        differ(number("direction", names.DIRECTIONS)).alias("d"), differ(number("role", names.ROLES)).alias("r"), (some("power") & some("ground")).alias("rails"), some("clock", "reset").alias("timed"),
+        differ("width").alias("w"), differ("scalar").alias("s"),
+    ).where("d OR r OR w OR s")
+    shaped = v.where("structure IS NOT NULL").groupBy(*key).agg(
+        differ("structure").alias("x"), F.bool_and(F.col("bits").isNotNull()).alias("all_bits"), differ(F.array_join("bits", ",")).alias("orders"), differ(F.array_join(F.array_sort(F.array_distinct("bits")), ",")).alias("sets"),
+        differ(F.coalesce("unpacked", F.lit("[]"))).alias("outer"), F.bool_and("bit_order_known").alias("order_known"),
+    ).where("x")
+    g, measured = written(g.join(shaped, key, "full").fillna(False, ["d", "r", "rails", "timed", "w", "s", "x"]))
+    if not measured["n"]:
+        return no_findings(f)
     # Evidence is gathered for ports with a conflict only.
-    told = f.port_values.join(g.select(*key), key, "left_semi").groupBy(*key).agg(*[proof(c).alias(f"{n}_e") for c, n in (("direction", "d"), ("role", "r"), ("width", "w"), ("scalar", "s"), ("structure", "x"))])
+    told = v.join(g.select(*key), key, "left_semi").groupBy(*key).agg(*[proof(c).alias(f"{n}_e") for c, n in (("direction", "d"), ("role", "r"), ("width", "w"), ("scalar", "s"), ("structure", "x"))])
     g = g.join(told, key)
     only_order = F.col("all_bits") & F.col("orders") & ~F.col("sets") & ~F.col("outer")
-    role_code = F.when(F.array_contains("roles", "power") & F.array_contains("roles", "ground"), "OC4203").when(F.arrays_overlap("roles", F.array(F.lit("clock"), F.lit("reset"))), "OC4204").otherwise("OC4201")
+    role_code = F.when(F.col("rails"), "OC4203").when(F.col("timed"), "OC4204").otherwise("OC4201")
     shape_code = F.when(only_order, F.when(F.col("order_known"), "OC4102")).otherwise("OC4103")
     row = lambda code, property, pieces: F.struct(code.alias("code"), property.alias("property"), F.col(pieces).alias("evidence"))
     rows = F.filter(

@@ -199,6 +199,21 @@ def test_what_may_touch_anything_runs_in_full(spark):
     assert incremental.touched(before, Facts(spark, before.tables, Policy(strict_inventory=True)), []) is None
 
 
+def test_ports_are_read_for_what_a_rule_finds_only(spark):
+    """No pin twice, no component twice: nothing is gathered for them; empty families are known to be empty as joins are planned."""
+    from factloom.model import empty
+    from factloom.operators import rules
+
+    before = random_facts(spark, 3)
+    once = {"components": before["components"].dropDuplicates(["view", "native_name"]), "ports": before["ports"].dropDuplicates(["view", "component", "native_name"])}
+    f = Facts(spark, before.tables | once)
+    for rule in (rules.duplicate_components, rules.duplicate_pins):
+        assert "Scan" not in plan_of(rule(f)).replace("LocalTableScan", "") and rule(f).count() == 0
+        assert rule(before).count() > 0 or rule is rules.duplicate_pins
+    assert "LocalTableScan <empty>" in plan_of(before["ports"].join(empty(spark, "aliases"), "component"))
+    assert f.pins[1] == 0 and all(len(r.seen) >= 1 and not r.again for r in f.pins[0].collect())
+
+
 # ---------------------------------------------------------------- reports by partition
 
 
