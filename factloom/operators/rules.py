@@ -474,33 +474,56 @@ def functions(f: Facts) -> DataFrame:
 
 def package_rules(f: Facts) -> DataFrame:
     """OC5001 to OC5006 over pin mappings: package rows are those of CSV views, all others are physical."""
-    m = cut(f["pin_mappings"].withColumn("row", F.monotonically_increasing_id()))  # row numbers must stay as they are
-    rows, physical = m.where(names.view_kind(F.col("kind")) == "csv"), m.where((names.view_kind(F.col("kind")) != "csv") & (F.col("die_pad") != ""))
     blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    package = F.coalesce(names.view_kind(F.col("kind")) == "csv", F.lit(False))
+    physical = F.coalesce((names.view_kind(F.col("kind")) != "csv") & (F.col("die_pad") != ""), F.lit(False))
     used = ~F.upper(F.coalesce("signal", F.lit("NC"))).isin(*NO_CONNECT) & ~blank("signal")
-    own = F.array(evidence("view", F.coalesce("signal", "die_pad"))).cast(EVIDENCE)
-    bad = rows.where(blank("package_ball") | (blank("die_pad") & blank("signal")))
-    found = finding(bad, "OC5006", F.lit(None).cast("string"), F.lit(None).cast("string"), None, text(F.col("view"), ": a row needs a ball and a pad or signal."))
-    good = rows.join(bad.select("row"), "row", "left_anti")
-    pads = physical.select("die_pad").distinct()
-    some = pads.limit(1).select(F.lit(1).alias("_any"))  # no finding without any physical pad
+    bad = blank("package_ball") | (blank("die_pad") & blank("signal"))
+    m = f["pin_mappings"].select("view", "die_pad", "package_ball", "signal", "component", physical.alias("physical"), (package & bad).alias("bad"), used.alias("used")).where(package | F.col("physical"))
+    m, told = written(m, physical=F.count_if("physical"))
     pad_id, ball_id = text("die-pad:", F.col("die_pad")), text("package-ball:", F.col("package_ball"))
-    lost = good.where(~blank("die_pad")).join(pads, "die_pad", "left_anti").join(F.broadcast(some))
-    found = found.union(finding(lost, "OC5001", "die_pad", pad_id, "presence", text("Ball ", F.col("package_ball"), " names pad ", F.col("die_pad"), ", which is not in the physical design."), own))
-    signals = physical.where(used).groupBy("die_pad").agg(F.collect_set("signal").alias("signals"))
-    other = good.where(used).join(signals, "die_pad").where(~F.array_contains("signals", F.col("signal")))
-    found = found.union(finding(other, "OC5005", "die_pad", pad_id, "signal", text("Pad ", F.col("die_pad"), " has ", F.col("signal"), " but physically ", F.array_join(F.array_sort("signals"), ", "), "."), own))
-    of = f.components.select(F.col("native_name").alias("component"), F.col("component").alias("canonical")).distinct()
-    ports = f.ports.select(F.col("component").alias("canonical"), F.explode(F.array("port", "native_name")).alias("signal")).distinct()
-    unknown = good.where(used).join(of, "component").join(ports, ["canonical", "signal"], "left_anti")
-    found = found.union(finding(unknown, "OC5002", "package_ball", ball_id, "signal", text("Ball ", F.col("package_ball"), " names unknown signal ", F.col("signal"), "."), own))
+    found = finding(m.where("bad"), "OC5006", F.lit(None).cast("string"), F.lit(None).cast("string"), None, text(F.col("view"), ": a row needs a ball and a pad or signal."))
+    good = m.where("NOT physical AND NOT bad")
+    found = found.union(pad_findings(m.where("NOT bad AND die_pad != ''"), told["physical"] > 0, f.policy.allow_multi_bond))
+    if "components" in f.tables:  # without any there is no signal to know
+        of = f.components.select(F.col("native_name").alias("component"), F.col("component").alias("canonical")).distinct()
+        ports = f.ports.select(F.col("component").alias("canonical"), F.explode(F.array("port", "native_name")).alias("signal")).distinct()
+        unknown = good.where("used").join(of, "component").join(ports, ["canonical", "signal"], "left_anti")
+        own = F.array(evidence("view", F.coalesce("signal", "die_pad"))).cast(EVIDENCE)
+        found = found.union(finding(unknown, "OC5002", "package_ball", ball_id, "signal", text("Ball ", F.col("package_ball"), " names unknown signal ", F.col("signal"), "."), own))
     if f.policy.allow_multi_bond:
-        by = good.where(used).groupBy("package_ball").agg(F.countDistinct("signal").alias("n"), gathered(evidence("view", F.col("signal"))).alias("evidence")).where("n > 1")
+        by = good.where("used").groupBy("package_ball").agg(F.countDistinct("signal").alias("n"), gathered(evidence("view", F.col("signal"))).alias("evidence")).where("n > 1")
         return found.union(finding(by, "OC5005", "package_ball", ball_id, "mapping", text("Ball ", F.col("package_ball"), " has several signals."), F.col("evidence")))
-    balls = good.groupBy("package_ball").agg(F.count("*").alias("n"), gathered(evidence("view", F.col("die_pad"))).alias("evidence")).where("n > 1")
-    multi = good.where(~blank("die_pad")).groupBy("die_pad").agg(F.countDistinct("package_ball").alias("n"), gathered(evidence("view", F.col("package_ball"))).alias("evidence")).where("n > 1")
-    found = found.union(finding(balls, "OC5003", "package_ball", ball_id, "mapping", text("Ball ", F.col("package_ball"), " is mapped ", F.col("n").cast("string"), " times."), F.col("evidence")))
-    return found.union(finding(multi, "OC5004", "die_pad", pad_id, "mapping", text("Pad ", F.col("die_pad"), " has ", F.col("n").cast("string"), " balls."), F.col("evidence")))
+    # A ball's pads are sorted as pairs; they become evidence afterwards.
+    pairs = F.sort_array(F.collect_list(F.struct("view", "die_pad")))
+    balls = good.groupBy("package_ball").agg(pairs.alias("rows")).where(F.size("rows") > 1)
+    pieces = F.transform("rows", lambda x: evidence(x["view"], x["die_pad"])).cast(EVIDENCE)
+    return found.union(finding(balls, "OC5003", "package_ball", ball_id, "mapping", text("Ball ", F.col("package_ball"), " is mapped ", F.size("rows").cast("string"), " times."), pieces))
+
+
+def pad_findings(rows: DataFrame, judged: bool, multi_bond: bool) -> DataFrame:
+    """OC5001, OC5005 and OC5004 of die pads: all rows of a pad meet in one shuffle, and its findings are read off them.
+
+    Without any physical pad (``judged``) none is missing.
+    """
+    here = F.when(~F.col("physical"), F.struct("view", "package_ball", "signal", "used"))
+    signals = F.collect_set(F.when(F.col("physical") & F.col("used"), F.col("signal")))
+    g = rows.groupBy("die_pad").agg(F.bool_or("physical").alias("known"), signals.alias("signals"), F.collect_list(here).alias("rows")).where(F.size("rows") > 0)
+    id = text("die-pad:", F.col("die_pad"))
+    own = lambda x: F.array(evidence(x["view"], F.coalesce(x["signal"], F.col("die_pad")))).cast(EVIDENCE)
+    one = lambda code, property, message, pieces: struct_finding(code, "die_pad", id, property, message, pieces)
+    lost = lambda x: one("OC5001", "presence", text("Ball ", x["package_ball"], " names pad ", F.col("die_pad"), ", which is not in the physical design."), own(x))
+    other = lambda x: one("OC5005", "signal", text("Pad ", F.col("die_pad"), " has ", x["signal"], " but physically ", F.col("told"), "."), own(x))
+    wrong = F.filter("rows", lambda x: x["used"] & ~F.array_contains("signals", x["signal"]))
+    lost, other = F.transform("rows", lost), F.transform(F.when(F.size("signals") > 0, wrong).otherwise(F.slice("rows", 1, 0)), other)
+    each = F.when(~F.col("known") & F.lit(judged), lost).otherwise(other)
+    if not multi_bond:
+        balls = F.size(F.array_distinct(F.transform("rows", lambda x: x["package_ball"])))
+        many = one("OC5004", "mapping", text("Pad ", F.col("die_pad"), " has ", F.col("n").cast("string"), " balls."), sorted_evidence(F.col("rows"), lambda x: evidence(x["view"], x["package_ball"])))
+        g = g.withColumn("n", balls)
+        each = F.concat(each, F.when(F.col("n") > 1, F.array(many)).otherwise(F.slice(F.array(many), 1, 0)))
+    g = g.withColumn("told", F.array_join(F.array_sort("signals"), ", "))
+    return g.select(F.explode(each).alias("x")).select("x.*")
 
 
 @F.udf(T.StringType())
@@ -634,7 +657,7 @@ def laid_wrong(fields: Column, size: Column) -> Column:
 
 def sorted_evidence(c: Column, piece) -> Column:
     """What ``gathered`` makes of rows, of an array."""
-    return F.array_sort(F.transform(c, piece)).cast(EVIDENCE)
+    return F.sort_array(F.transform(c, piece)).cast(EVIDENCE)
 
 
 def struct_finding(code: Column | str, kind: str, id: Column, property: Column | str, message: Column, pieces: Column) -> Column:
