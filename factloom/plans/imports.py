@@ -31,9 +31,11 @@ def query(sql: str):
 def written(spark: SparkSession, sf: str, table: str, line: str, head: str = "", tail: str = "") -> str:
     """A file of one line (an SQL expression) for each row of a table, in the order of its first column; its path."""
     rows = spark.read.parquet(f"{sf}/{table}.parquet")
-    body = rows.select(F.struct(F.col(rows.columns[0]), F.expr(line).alias("line")).alias("r")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["line"]), "\n").alias("body"))
+    lines = rows.select(F.lit(1).alias("part"), F.col(rows.columns[0]).alias("key"), F.expr(line).alias("value")).where("value IS NOT NULL")
+    ends = spark.createDataFrame([(0, head), (2, tail)], "part int, value string").select("part", F.lit(None).cast(lines.schema["key"].dataType).alias("key"), "value")
     path = f"{shared_folder(spark)}/import-{uuid.uuid4().hex}"
-    body.select(F.concat(F.lit(head + "\n"), "body", F.lit("\n" + tail)).alias("value")).coalesce(1).write.text(path)
+    # One task sorts, on disk where memory does not hold the rows, and writes row by row.
+    lines.unionAll(ends).repartition(1).sortWithinPartitions("part", "key", "value").select("value").write.text(path)
     return f"{path}/*.txt"
 
 

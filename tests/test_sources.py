@@ -367,3 +367,49 @@ def test_files_of_more_than_64_mib_are_read(spark, tmp_path):
     out = observe(spark, [Source("lef.default", [str(tmp_path / "big.lef")])])
     assert [r.complete for r in out["views"].collect()] == [True]
     assert out["components"].count() == 25_001 and out["parser_diagnostics"].count() == 0
+
+
+CELLS = "".join(f'  cell(c{k}) {{ pin(a) {{ direction : input; }}\n    pin(y[{k % 5}:0]) {{ function : "!a"; }}\n    bus(d) {{ bus_type : b{k % 4}; }} bus(e) {{ bus_type : late; }} }}\n' for k in range(40))
+LATE = "type(late) { bit_from : 0; bit_to : 7; }\n"
+TYPES = "type(b1) { bit_from : 3; bit_to : 0; } type(b2) { bit_from : 1; bit_to : 0; }\n"
+LIBERTY = {
+    "whole": f"library(l) {{ {TYPES}{CELLS}{LATE}}}\n",
+    "no_end": f"library(l) {{ {TYPES}{CELLS}{LATE}}}",
+    "two": f"/* a */ library(l) {{ {TYPES}{CELLS}}}\nlibrary(m) {{ {CELLS}{LATE}{CELLS} }} cell(out) {{ }}\n",
+    "comment": f"library(l) {{ {CELLS}/* closed later\n{CELLS}*/\n{LATE}{CELLS}}}",
+    "string": f'library(l) {{ {CELLS} note : "\n{CELLS.replace(chr(34), "")}";\n{CELLS}}}',
+    "open_string": f'library(l) {{ {CELLS} note : "\n{CELLS.replace(chr(34), "")}',
+    "open_comment": f"library(l) {{ {CELLS}/* x\n{CELLS}}}",
+    "open_cell": f"library(l) {{ {CELLS} cell(o) {{ pin(a) {{\n{CELLS}}} }}",
+    "open_library": f"\n\nlibrary(l) {{ {CELLS}{TYPES}{CELLS}",
+    "closed_twice": f"library(l) {{ {CELLS}}} }}\n{CELLS}",
+    "values": f"library(l) {{ {CELLS} a : b\n{CELLS} x(1, 2)\n{CELLS} word\n{CELLS} y(\n{CELLS}) ; {CELLS}}}",
+    "packed": "library(l) { " + CELLS.replace("\n", "\r\n") + "}\\",
+    "none": "\n" * 300,
+}
+
+
+def both_ways(spark, monkeypatch, folder, format, files):
+    """Rows of views parsed whole and in pieces of some hundred bytes."""
+    from factloom.sources import pieces
+
+    for name, body in files.items():
+        (folder / name).write_bytes(body if isinstance(body, bytes) else body.encode())
+    sources = [Source(f"{format}.{name}", [str(folder / name)], format) for name in files]
+    found = []
+    for large in (1 << 40, 1):
+        monkeypatch.setattr(pieces, "LARGE", large)
+        monkeypatch.setattr(pieces, "PIECE", 300)
+        monkeypatch.setattr(pieces, "HANDED", 1000)
+        out = observe(spark, sources)
+        found.append({f: sorted(map(str, out[f].collect())) for f in ("views", "components", "ports", "functions", "parser_diagnostics")})
+    name = next(iter(files))
+    cut = pieces.fragments(spark, 0, str(folder / name), __import__(f"factloom.sources.{format}", fromlist=["CUT"]).CUT, 300).count()
+    return *found, cut
+
+
+def test_large_libraries_are_parsed_in_pieces(spark, monkeypatch, tmp_path):
+    """One task held a whole file's groups; cells, lines, numbers, types and findings are those of the whole file."""
+    odd = {"latin": LIBERTY["whole"].replace("c7", "c\xe9").encode("latin-1"), "mark": b"\xef\xbb\xbf" + LIBERTY["no_end"].encode(), "latin_mark": b"\xef\xbb\xbf" + LIBERTY["no_end"].encode() + b"\xe9"}
+    whole, pieces, cut = both_ways(spark, monkeypatch, tmp_path, "liberty", LIBERTY | odd)
+    assert cut > 5 and whole == pieces and len(whole["components"]) > 400 and any("OC1103" in d for d in whole["parser_diagnostics"])
