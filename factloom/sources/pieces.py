@@ -31,7 +31,7 @@ LARGE = 4 << 20
 #: Bytes of a piece, and of what is handed on at once where a file has no line to cut it at.
 PIECE, HANDED = 1 << 20, 8 << 20
 #: Formats whose files can be cut: modules of this package.
-FORMATS = {"liberty"}
+FORMATS = {"lef", "liberty"}
 #: Endings of what Spark unpacks as it reads lines.
 PACKED = (".gz", ".bz2", ".deflate", ".snappy", ".lz4", ".zst", ".zstd")
 #: The first bytes of a file that Spark leaves out as it reads lines.

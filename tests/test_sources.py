@@ -413,3 +413,19 @@ def test_large_libraries_are_parsed_in_pieces(spark, monkeypatch, tmp_path):
     odd = {"latin": LIBERTY["whole"].replace("c7", "c\xe9").encode("latin-1"), "mark": b"\xef\xbb\xbf" + LIBERTY["no_end"].encode(), "latin_mark": b"\xef\xbb\xbf" + LIBERTY["no_end"].encode() + b"\xe9"}
     whole, pieces, cut = both_ways(spark, monkeypatch, tmp_path, "liberty", LIBERTY | odd)
     assert cut > 5 and whole == pieces and len(whole["components"]) > 400 and any("OC1103" in d for d in whole["parser_diagnostics"])
+
+
+MACROS = "".join(f"MACRO m{k}\n  PIN clk\n    DIRECTION INPUT ;\n    USE CLOCK ;\n  END clk\n  PIN q<{k % 3}>\n  END q<{k % 3}>\n  PIN q[1]\n  END q[1]\nEND m{k}\n" for k in range(40))
+LEF = {
+    "whole": f"VERSION 5.8 ;\n{MACROS}END LIBRARY",
+    "brackets": f'{MACROS}BUSBITCHARS "<>" ;\n{MACROS}{MACROS}BUSBITCHARS "[]" ;\n{MACROS}',
+    "open": f"{MACROS}MACRO o\n  PIN a\n{MACROS}MACRO p\n  PIN b\n",
+    "geometry": f"MACRO g\n{'  RECT 0 0 1 1 ;' * 9}\n" + "  RECT 0 0 1 1 ; # MACRO x\n" * 200 + f"END g\n  # c\r\n{MACROS.lower()}",
+    "latin": MACROS.replace("m7\n", "\xe9\n").encode("latin-1"),
+}
+
+
+def test_large_abstracts_are_parsed_in_pieces(spark, monkeypatch, tmp_path):
+    """Macros, their lines, bus brackets set anywhere, and macros that are not closed are those of the whole file."""
+    whole, pieces, cut = both_ways(spark, monkeypatch, tmp_path, "lef", LEF)
+    assert cut > 5 and whole == pieces and len(whole["components"]) > 240 and any("OC1101" in d for d in whole["parser_diagnostics"])
