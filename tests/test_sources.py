@@ -429,3 +429,17 @@ def test_large_abstracts_are_parsed_in_pieces(spark, monkeypatch, tmp_path):
     """Macros, their lines, bus brackets set anywhere, and macros that are not closed are those of the whole file."""
     whole, pieces, cut = both_ways(spark, monkeypatch, tmp_path, "lef", LEF)
     assert cut > 5 and whole == pieces and len(whole["components"]) > 240 and any("OC1101" in d for d in whole["parser_diagnostics"])
+
+
+@pytest.mark.parametrize("name", ["liberty_functions", "lef_import"])
+def test_imports_in_pieces_equal_their_sql(spark, monkeypatch, name):
+    duckdb = pytest.importorskip("duckdb")
+    from factloom.plans import imports
+    from factloom.sources import pieces
+
+    monkeypatch.setattr(pieces, "LARGE", 1)
+    monkeypatch.setattr(pieces, "PIECE", 2000)
+    sf = "/root/testdata/sf0.001"
+    got = imports.IMPORTS[name](spark, sf)
+    want = duckdb.sql(imports.IMPORTS_SQL[name].replace("FROM part", f"FROM '{sf}/part.parquet' AS part"))
+    assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(want.fetchall())
