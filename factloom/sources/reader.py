@@ -10,7 +10,6 @@ exception taints the whole view and never ends the job.
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from importlib import import_module
@@ -146,11 +145,12 @@ def observe(spark: SparkSession, sources: list[Source], cache: str | None = None
     for k, view, format, options, n, path in plan:
         try:
             found = spark.read.format("binaryFile").load(path)
-            if cache is None and pieces.cuttable(format, ""):
-                for r in found.where(F.col("length") >= pieces.LARGE).select("path", "length").collect():
-                    if pieces.cuttable(format, r.path):
+            if cache is None and format in pieces.FORMATS:
+                big = found.where(F.col("length") >= pieces.LARGE).select("path", "length").collect()
+                if all(pieces.cuttable(format, r.path) for r in big):
+                    for r in big:
                         large.setdefault((k, r.path), pieces.Large(k, view, FORMATS[format][0], format, r.path, r.length))
-                found = found.where((F.col("length") < pieces.LARGE) | F.lower("path").rlike(rf"({'|'.join(map(re.escape, pieces.PACKED))})$"))
+                    found = found.where(F.col("length") < pieces.LARGE)  # by itself, so that Spark reads no larger file's bytes
             found = found.select("path", F.when(F.col("length") <= LARGEST, F.col("content")).alias("content"), F.lit(k).alias("k"), F.lit(view).alias("view"), F.lit(format).alias("format"), F.lit(options).alias("options"), F.lit(n).alias("n"))
             found.schema  # noqa: B018  resolves the path
             parts.append(found)
